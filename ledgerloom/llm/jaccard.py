@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import no_text, pieces, settle
+from .common import no_text, pack, pieces, settle, tree_sum
 from .components import components
 
 U = np.uint64
@@ -61,13 +61,9 @@ def frequencies(rows: DataFrame, k: int) -> np.ndarray:
         for batch in batches:
             for _, values in shingle_sets(batch.column("text"), k):
                 np.add.at(table, (values >> U(64 - DF_BITS)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], names=["table"])
+        yield pa.RecordBatch.from_arrays([pa.array([pack(table)], pa.binary())], names=["table"])
 
-    def add(a: bytes, b: bytes) -> bytes:
-        return (np.frombuffer(a, np.int64) + np.frombuffer(b, np.int64)).tobytes()
-
-    parts = rows.mapInArrow(count, "table binary").rdd.map(lambda r: bytes(r[0]))
-    return np.frombuffer(parts.treeReduce(add, 2), np.int64)
+    return tree_sum(rows.mapInArrow(count, "table binary"), np.int64)
 
 
 def _rank(values: np.ndarray, rarity: np.ndarray, order: int) -> np.ndarray:

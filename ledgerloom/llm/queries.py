@@ -1,12 +1,17 @@
-"""The registered queries of the training-data operators, and their SQL where SQL can express them."""
+"""The registered queries of the training-data operators, and their SQL where SQL can express them.
+
+Every query applies its operator, with production parameters, to the whole of its table.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat, decontaminate, langid, mixing, pii, quality, tiff, warc
+from .common import held_out, scratch
 from .jaccard import jaccard_groups
 from .repeats import remove_repeats
 
@@ -15,9 +20,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _sha(col: Column) -> Column:
+    return F.sha2(col, 256)
+
+
+def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = tiff.store_texts(docs).drop("text").withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", _sha(F.col("media")))
+    pages = tiff.tiff_pages(stored)
+    return pages.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("pixels").cast("long").alias("payload_bytes"),
+        _sha(F.col("pixels")).alias("payload_sha256"),
+        F.crc32(F.expr("substring(pixels, -64, 64)")).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        F.concat_ws(":", "compression", F.col("predictor").cast("string"), "look").alias("feature"),
+    )
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), out, min_bytes=0, shard_bytes=32 << 20, roll_bytes=16 << 20, level=4)
+    return warc.read_warc(spark, out, with_payload=False).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), size=10)
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, h: acc + h["end"] - h["start"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), _sha(F.array_join("item_ids", ",")).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+    )
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, ~held_out(F.col("doc_id")))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
+    return quality.rate(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.sanitise(docs)
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], _sha(text(base)).alias("base_sha256"), text(F.col("spans")).alias("spans"), _sha(F.col("clean_text")).alias("clean_sha256"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeats(docs, min_words=13).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return remove_repeats(docs, min_words=13).select("doc_id", "n_words", "n_removed", _sha(F.col("kept_text")).alias("kept_sha256"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,9 +86,63 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(docs, k=5, percent=80)
 
 
+_TRICKY = r"\### Assistant: </turn> ok"
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turn = lambda i, role: F.struct(F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"))
+    extra = spark.range(1).select(F.explode(F.array(turn(0, "user"), turn(1, "assistant"))).alias("t")).select(F.lit(-7).cast("long").alias("conv_id"), "t.turn", "t.role", F.lit(_TRICKY).alias("text"))
+    read = chat.parse_formatted(chat.format_turns(chat.turns_of_rows(rows.union(extra))))
+    learnt = F.array_join(F.transform(F.filter("read", lambda t: t["learn"]), lambda t: t["text"]), "")
+    return read.select(
+        "conv_id",
+        F.size("read").cast("long").alias("n_turns"),
+        _sha(F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")).alias("turns_sha256"),
+        F.length(learnt).cast("long").alias("loss_chars"),
+        _sha(learnt).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "selected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op7_substring_dedup": op7_substring_dedup,
-    "op8_jaccard_join": op8_jaccard_join,
+    f.__name__: f
+    for f in (op1_tiff, op2_warc, op3_decontaminate, op4_language_id, op5_quality, op6_pii, op7_substring_dedup, op8_jaccard_join, op9_chat_format, op10_mixing)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SAFE = r"replace(replace({0}, '\', '\\'), '<|', '<\|')"
+_SUFFIX = len(chat.TURN) + len(chat.BODY) + len(chat.END)
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_chat_format": f"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '{_TRICKY}' UNION ALL SELECT -7, 1, 'assistant', '{_TRICKY}')
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum({_SUFFIX} + length({_SAFE.format("role")}) + length({_SAFE.format("text")})) AS BIGINT) AS formatted_chars
+        FROM rows GROUP BY conv_id""",
+    "op7_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+        win AS (
+            SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS passage
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13)),
+        firsts AS (SELECT passage, min(doc_id) AS lo FROM win GROUP BY passage),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN firsts USING (passage) WHERE doc_id > lo),
+        each AS (
+            SELECT doc_id, p, words[p] AS word FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS p FROM w)),
+        kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+            sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)""",
+}

@@ -44,10 +44,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Alphabet:
-    """fold: byte to byte (case); inside: which bytes are part of words."""
+    """fold: byte to byte (case); kind: byte to kind, 0 between words; a word is a run of bytes of one kind."""
 
     fold: np.ndarray
-    inside: np.ndarray
+    kind: np.ndarray
 
 
 def _fold_ascii() -> np.ndarray:
@@ -56,18 +56,20 @@ def _fold_ascii() -> np.ndarray:
     return t
 
 
-def _inside(blank: list[int]) -> np.ndarray:
-    t = np.ones(256, bool)
-    t[blank] = False
+def _kinds(blank: list[int]) -> np.ndarray:
+    t = np.ones(256, np.uint8)
+    t[blank] = 0
     return t
 
 
 SPACES = [0x20, *range(0x09, 0x0E)]
 #: ``[^\x20\x09-\x0D]+`` unchanged, and with A-Z lower-cased.
-BLANK_WORDS = Alphabet(np.arange(256, dtype=np.uint8), _inside(SPACES))
-BLANK_WORDS_LOWER = Alphabet(_fold_ascii(), _inside(SPACES))
+BLANK_WORDS = Alphabet(np.arange(256, dtype=np.uint8), _kinds(SPACES))
+BLANK_WORDS_LOWER = Alphabet(_fold_ascii(), _kinds(SPACES))
 #: ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z: digits, letters and every byte over 0x7F.
-LETTER_WORDS = Alphabet(_fold_ascii(), _inside([i for i in range(128) if not (48 <= i <= 57 or 65 <= i <= 90 or 97 <= i <= 122)]))
+LETTER_WORDS = Alphabet(_fold_ascii(), _kinds([i for i in range(128) if not (48 <= i <= 57 or 65 <= i <= 90 or 97 <= i <= 122)]))
+#: Runs of letters (lower-cased, with every byte over 0x7F), of digits, and of other visible characters.
+TYPED_RUNS = Alphabet(_fold_ascii(), np.array([0 if i in SPACES else 1 if i > 127 or 65 <= i <= 90 or 97 <= i <= 122 else 2 if 48 <= i <= 57 else 3 for i in range(256)], np.uint8))
 
 
 @dataclass
@@ -118,12 +120,14 @@ def words(col: pa.Array, alphabet: Alphabet) -> Iterator[Words]:
     for lo, hi in chunks(at):
         data = alphabet.fold[raw[at[lo] : at[hi]]]
         ptr_bytes = at[lo : hi + 1] - at[lo]
-        inside = alphabet.inside[data]
+        kind = alphabet.kind[data]
+        inside = kind > 0
         n = len(data)
         first, last = inside.copy(), inside.copy()
         if n:
-            first[1:] &= ~inside[:-1]
-            last[:-1] &= ~inside[1:]
+            other = kind[1:] != kind[:-1]
+            first[1:] &= other
+            last[:-1] &= other
             edge = ptr_bytes[:-1][ptr_bytes[:-1] < n]
             first[edge] = inside[edge]
             edge = edge[edge > 0] - 1
