@@ -1,10 +1,8 @@
-"""Registered queries of the lending operators, with their SQL."""
+"""All registered queries of the lending operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import collateral, governance, monitoring, portfolio, quality  # noqa: F401  (they register)
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
