@@ -39,11 +39,11 @@ def with_coverage(cells: DataFrame, least_ratio: float = 0.0, least_records: int
     return cells.withColumn("coverage", share).withColumn("availability", F.when((F.col("availability") == "available") & thin, "insufficient_coverage").otherwise(F.col("availability")))
 
 
-def suppress_grouped(cells: DataFrame, group: list[str], key: list[str], least: int) -> DataFrame:
-    """Primary: a denominator, a numerator (if any) or a complement (if any) under ``least``. Complementary: in a group with
+def suppress_grouped(cells: DataFrame, group: list[str], key: list[str], least: int, least_denominator: int | None = None) -> DataFrame:
+    """Primary: a denominator under its least (``least``, if not given), a numerator (if any) or a complement (if any) under ``least``. Complementary: in a group with
     exactly one suppressed cell, also the not suppressed, not empty cell with the smallest numerator population."""
     small = lambda c: (F.col(c) > 0) & (F.col(c) < least)
-    primary = (F.col("denominator_population") < least) | small("numerator_population") | small("complement_population")
+    primary = (F.col("denominator_population") < (least if least_denominator is None else least_denominator)) | small("numerator_population") | small("complement_population")
     marked = cells.withColumn("__p", primary)
     whole = Window.partitionBy(*group)
     candidate = ~F.col("__p") & (F.col("numerator_population") > 0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import filters
-from ..functions.scalars import Bin, category, cohort, entity_token, numeric_bin, row_token
+from ..functions.scalars import Bin, category, cohort, entity_token, numeric_bin, ratio, row_token
 from ..operators import finalize, surveillance, vintage
 from ..operators.stratification import stratify, stratify_live, suppress_flat
 from .registry import query
@@ -303,22 +303,9 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def a17_a20_finalised_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Availability, primary and complementary suppression of a share of delinquent balance by segment within facilities."""
-    cells = finalize.suppress_grouped(_cells(spark, sf_dir), ["as_of_date", "facility_id"], ["segment"], 3)
-    cells = cells.withColumn("suppressed", F.col("suppressed"))
-    return _publish(_cells(spark, sf_dir), 8, 3)
-
-
-def _publish(cells: DataFrame, least_denominator: int, least: int) -> DataFrame:
-    from pyspark.sql import Window
-
-    group = Window.partitionBy("as_of_date", "facility_id")
-    small = lambda c: (F.col(c) > 0) & (F.col(c) < least)
-    primary = (F.col("denominator_population") < least_denominator) | small("numerator_population") | small("complement_population")
-    marked = cells.withColumn("p", primary).withColumn("c", ~primary & (F.col("numerator_population") > 0)).withColumn("k", F.sum(F.col("p").cast("int")).over(group))
-    rank = F.row_number().over(Window.partitionBy("as_of_date", "facility_id", "c").orderBy("numerator_population", "segment"))
-    final = marked.withColumn("r", rank).withColumn("suppressed", F.col("p") | ((F.col("k") == 1) & F.col("c") & (F.col("r") == 1)))
-    final = final.withColumn("availability", finalize.availability(F.col("denominator_population"), F.lit(False), F.col("denominator"))).withColumn("value", surveillance.ratio("numerator", "denominator"))
-    out = finalize.publish(final, ["denominator_population", "numerator", "value"])
+    cells = finalize.suppress_grouped(_cells(spark, sf_dir), ["as_of_date", "facility_id"], ["segment"], 3, 8)
+    cells = cells.withColumn("availability", finalize.availability(F.col("denominator_population"), F.lit(False), F.col("denominator"))).withColumn("value", ratio("numerator", "denominator"))
+    out = finalize.publish(cells, ["denominator_population", "numerator", "value"])
     return out.select("as_of_date", "facility_id", "segment", "suppressed", "availability", "denominator_population", "numerator", "value")
 
 
