@@ -1 +1,403 @@
-"""Queries."""
+"""Mapping, sources, corrections, disclosure and reports over tables derived from the star schema."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import filters, mapping
+from ..functions.scalars import infer_temporal, infer_unit, months_until, value_kind
+from ..operators import disclosure, history, matching
+from ..sources import tapes
+from .registry import query
+from .tape import KEY, PERIODS, tape, views, with_tape
+
+_RAW = """
+    raw AS (SELECT o_orderkey AS id, CAST(o_orderkey AS VARCHAR(20)) AS loan_no, CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR(20)) AS balance_cents,
+        CASE WHEN o_orderkey % 50 = 0 THEN '02/30/1999' WHEN o_orderkey % 3 = 0 THEN replace(substr(CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)), 1, 10), '-', '') ELSE substr(CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)), 1, 10) END AS report_date,
+        o_orderpriority AS grade, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN 'yes' ELSE 'true' END AS flag, CAST(o_custkey AS VARCHAR(20)) AS cust FROM orders)"""
+
+
+def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views(spark, sf_dir, "orders")
+    return spark.sql(f"WITH {_RAW} SELECT * FROM raw")
+
+
+def _src(c: str) -> dict:
+    return {"op": "source", "column": c}
+
+
+RULES = [
+    mapping.Rule("loan", "loan_id", _src("loan_no")),
+    mapping.Rule("balance", "balance", {"op": "scale_decimal", "input": _src("balance_cents"), "factor": "0.01", "places": 2, "rounding": "half_even"}),
+    mapping.Rule("as-of", "as_of_date", {"op": "parse_date", "input": _src("report_date"), "formats": ["YYYY-MM-DD", "YYYYMMDD", "MM/DD/YYYY"]}),
+    mapping.Rule("grade", "grade", {"op": "code_map", "input": {"op": "split", "input": _src("grade"), "delimiter": "-", "index": 0}, "values": {"1": "A", "2": "B", "3": "C", "4": "D"}, "unknown": "reject"}),
+    mapping.Rule("flag", "flag", {"op": "exact_cast", "input": _src("flag"), "to": "boolean"}, "null"),
+    mapping.Rule("label", "label", {"op": "combine", "inputs": [_src("loan_no"), _src("missing"), _src("grade")], "separator": " / ", "skip_nulls": True}),
+    mapping.Rule("segment", "segment", {"op": "dimension_lookup", "input": _src("cust"), "definition": "segment", "missing": "null"}),
+    mapping.Rule("size", "size", {"op": "when", "condition": {"op": "or", "args": [{"op": "is_null", "input": _src("flag")}, {"op": "in", "input": _src("flag"), "values": ["yes"]}]}, "then": {"op": "literal", "value": "odd"}, "otherwise": {"op": "coalesce", "inputs": [_src("missing"), {"op": "literal", "value": "even"}]}}),
+]
+_REJECT = "CASE WHEN report_date = '02/30/1999' THEN 'as-of' WHEN substr(grade, 1, 1) NOT IN ('1', '2', '3', '4') THEN 'grade' END"
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 10 <> 0").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_mktsegment").alias("value"))
+    return mapping.execute_mapping(raw_orders(spark, sf_dir), RULES, "id", {"segment": customers})
+
+
+@query(
+    f"""WITH {_RAW}, r AS (SELECT raw.*, {_REJECT} AS rej, c.c_mktsegment AS segment FROM raw LEFT JOIN customer c ON CAST(c.c_custkey AS VARCHAR) = cust AND c.c_custkey % 10 <> 0)
+    SELECT id, loan_no AS loan_id, CAST(CAST(balance_cents AS DECIMAL(20,2)) / 100 AS DECIMAL(30,2)) AS balance, CASE WHEN length(report_date) = 8 THEN CAST(strptime(report_date, '%Y%m%d') AS DATE) ELSE CAST(report_date AS DATE) END AS as_of_date,
+        CASE substr(grade, 1, 1) WHEN '1' THEN 'A' WHEN '2' THEN 'B' WHEN '3' THEN 'C' ELSE 'D' END AS grade, CASE WHEN flag = 'true' THEN TRUE END AS flag, concat(loan_no, ' / ', grade) AS label, segment,
+        CASE WHEN flag IS NULL OR flag = 'yes' THEN 'odd' ELSE 'even' END AS size FROM r WHERE rej IS NULL"""
+)
+def p2_mapping_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped(spark, sf_dir)[0].withColumn("balance", F.col("balance").cast("decimal(30,2)"))
+
+
+@query(f"WITH {_RAW} SELECT id, {_REJECT} AS rule_id FROM raw WHERE {_REJECT} IS NOT NULL")
+def p2_mapping_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped(spark, sf_dir)[1]
+
+
+@query(f"WITH {_RAW} SELECT loan_no AS loan_id, CAST(balance_cents AS BIGINT) AS cents, flag AS flag_text FROM raw")
+def p1_approved_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.apply_approved(raw_orders(spark, sf_dir), {"loan_id": ("loan_no", "identifier"), "cents": ("balance_cents", "integer"), "flag_text": ("flag", "string")})
+
+
+@query()
+def p20_masked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tape(spark, sf_dir).where("period_idx = 3").select("loan_id", "borrower_id", "risk_rating", "outstanding_balance", "industry_code")
+    return mapping.mask(rows, {"loan_id": "tokenize", "borrower_id": "partial", "risk_rating": "none", "outstanding_balance": "none"}, b"demo key")
+
+
+@query("SELECT c_custkey, trim(regexp_replace(lower(c_mktsegment || ' rate and ' || c_name), '[^a-z0-9]+', '_', 'g'), '_') AS norm FROM customer")
+def p19_normal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return rows.select("c_custkey", mapping.normal_name(F.concat("c_mktsegment", F.lit(" % & "), "c_name")).alias("norm"))
+
+
+@query(
+    r"""WITH c AS (SELECT CASE event_id % 6 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN CAST(event_id AS VARCHAR) || '.50' WHEN 2 THEN 'true' WHEN 3 THEN substr(CAST(CAST(ts AS DATE) AS VARCHAR), 1, 10) WHEN 4 THEN event_type ELSE '' END AS v FROM events)
+    SELECT CASE WHEN trim(v) = '' THEN 'null' WHEN v IN ('true', 'false') THEN 'boolean' WHEN regexp_full_match(v, '-?(0|[1-9][0-9]*)') THEN 'integer' WHEN regexp_full_match(v, '-?(0|[1-9][0-9]*)(\.[0-9]+)?') THEN 'decimal'
+        WHEN regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'date' ELSE 'text' END AS kind, COUNT(*) AS n FROM c GROUP BY 1"""
+)
+def h11_value_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    i, m = F.col("event_id"), F.col("event_id") % 6
+    text = i.cast("string")
+    v = F.when(m == 0, text).when(m == 1, F.concat(text, F.lit(".50"))).when(m == 2, "true").when(m == 3, F.to_date("ts").cast("string")).when(m == 4, F.col("event_type")).otherwise("")
+    return e.select(value_kind(v).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH c AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'interest_rate' WHEN 1 THEN 'days_past_due' WHEN 2 THEN 'maturity_date' ELSE 'loan_count' END AS name FROM part)
+    SELECT p_partkey, CASE name WHEN 'interest_rate' THEN 'rate' WHEN 'days_past_due' THEN 'days' WHEN 'loan_count' THEN 'count' ELSE 'none' END AS unit, CASE name WHEN 'maturity_date' THEN 'scheduled' ELSE 'none' END AS temporal FROM c"""
+)
+def h10_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    name = F.element_at(F.array(F.lit("interest_rate"), F.lit("days_past_due"), F.lit("maturity_date"), F.lit("loan_count")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return p.select("p_partkey", infer_unit(name).alias("unit"), infer_temporal(name).alias("temporal"))
+
+
+@query(
+    with_tape("""SELECT as_of_date, months, COUNT(*) AS loans FROM (SELECT as_of_date, (year(maturity_date) * 12 + month(maturity_date)) - (year(as_of_date) * 12 + month(as_of_date)) + CASE WHEN day(maturity_date) > day(as_of_date) THEN 1 ELSE 0 END AS months FROM tape) GROUP BY 1, 2""")
+)
+def h5_months_until(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tape(spark, sf_dir).groupBy("as_of_date", months_until("as_of_date", "maturity_date").alias("months")).agg(F.count("*").alias("loans"))
+
+
+_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+
+
+def lake_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(dataset, column_name, native_type) of the tables, and of copies of the tape under delivered names, one per supplier."""
+    rows = [(t, f.name, f.dataType.simpleString()) for t in _TABLES for f in spark.read.parquet(f"{sf_dir}/{t}.parquet").schema.fields]
+    named = spark.createDataFrame(rows, "dataset string, column_name string, native_type string")
+    delivered = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("native_type")) for c, t in (("CurrentBalance", "decimal(18,2)"), ("loan_no", "varchar"), ("Report Date", "date"), ("coupon_rate", "double"), ("riskGrade", "varchar"), ("due_date", "date"))])
+    copies = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("tape_"), F.col("s_suppkey").cast("string")).alias("dataset"), F.explode(delivered).alias("c")).select("dataset", "c.*")
+    return named.union(copies)
+
+
+@query()
+def q11_schema_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.suggest(lake_columns(spark, sf_dir))
+
+
+@query(
+    """WITH d AS (SELECT 'tape_' || CAST(s_suppkey AS VARCHAR) AS dataset, s_suppkey AS k FROM supplier)
+    SELECT dataset, 'type_mismatch' AS problem, 'coupon_rate' AS item FROM d WHERE k % 2 = 0 UNION ALL SELECT dataset, 'unmapped_column', 'Report Date' FROM d UNION ALL SELECT dataset, 'unmapped_column', 'riskGrade' FROM d
+    UNION ALL SELECT dataset, 'unmapped_column', 'due_date' FROM d UNION ALL SELECT dataset, 'unmapped_column', 'coupon_rate' FROM d WHERE k % 2 = 1
+    UNION ALL SELECT dataset, 'missing_required', 'as_of_date' FROM d UNION ALL SELECT dataset, 'unknown_source', 'nothing' FROM d WHERE k % 3 = 0 UNION ALL SELECT dataset, 'unknown_target', 'no_such_field' FROM d WHERE k % 3 = 0
+    UNION ALL SELECT dataset, 'duplicate_target', 'outstanding_balance' FROM d WHERE k % 5 = 0"""
+)
+def q10_mapping_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = lake_columns(spark, sf_dir).where(F.col("dataset").startswith("tape_"))
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("tape_"), F.col("s_suppkey").cast("string")).alias("dataset"), F.col("s_suppkey").alias("k"))
+    m = lambda a, b, cond: F.when(cond, F.struct(F.lit(a).alias("source"), F.lit(b).alias("target")))
+    yes = F.lit(True)
+    maps = F.array_compact(
+        F.array(
+            m("CurrentBalance", "outstanding_balance", yes), m("loan_no", "loan_id", yes), m("coupon_rate", "currency", F.col("k") % 2 == 0), m("nothing", "no_such_field", F.col("k") % 3 == 0),
+            m("CurrentBalance", "outstanding_balance", F.col("k") % 5 == 0),
+        )
+    )
+    mappings = s.select("dataset", F.explode(maps).alias("m")).select("dataset", "m.*")
+    return matching.readiness(columns, mappings, ["as_of_date", "loan_id"]).where("not (problem = 'duplicate_source')")
+
+
+_MANIFESTS = """
+    manifests AS (SELECT o_custkey AS dataset_id, CAST(o_orderdate AS DATE) AS d, o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS sequence,
+        LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS corrects_id FROM orders)"""
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders in time as one chain of revisions; every 40th link is broken."""
+    views(spark, sf_dir, "orders")
+    m = spark.sql(f"WITH {_MANIFESTS} SELECT * FROM manifests")
+    sha = lambda c: F.sha2(F.col(c).cast("string"), 256)
+    broken = F.col("o_orderkey") % 40 == 0
+    return m.select("dataset_id", F.col("o_orderkey").alias("manifest_id"), sha("o_orderkey").alias("content_hash"), "sequence", "corrects_id", F.when(broken & F.col("corrects_id").isNotNull(), "x").otherwise(sha("corrects_id")).alias("corrects_hash"), F.col("d").alias("known_at"), F.lit("core").alias("source_system"), F.lit(PERIODS[-1]).cast("date").alias("as_of_date"))
+
+
+@query(f"WITH {_MANIFESTS} SELECT dataset_id, MAX_BY(o_orderkey, sequence) AS manifest_id, MAX(sequence) AS sequence FROM manifests WHERE d <= DATE '1999-06-30' GROUP BY 1")
+def j16_terminal_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.terminal_revisions(manifests(spark, sf_dir), F.lit("1999-06-30").cast("date"), ["dataset_id"]).select("dataset_id", "manifest_id", "sequence")
+
+
+@query(f"WITH {_MANIFESTS} SELECT DISTINCT dataset_id, 'parent' AS problem FROM manifests WHERE corrects_id IS NOT NULL AND o_orderkey % 40 = 0")
+def j16_chain_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.chain_violations(manifests(spark, sf_dir), ["dataset_id"])
+
+
+@query("SELECT o_custkey AS dataset_id, CAST(1 AS BIGINT) AS dates, DATE '1999-12-31' AS first, DATE '1999-12-31' AS last, TRUE AS unique_dates, TRUE AS one_source FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '1999-06-30' GROUP BY 1")
+def j17_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = history.terminal_revisions(manifests(spark, sf_dir), F.lit("1999-06-30").cast("date"), ["dataset_id"])
+    return history.bundle(last)
+
+
+_RATES = """
+    rates AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'GBP' END AS base, CAST(DATE '1999-09-01' + CAST(p_partkey % 120 AS INT) AS DATE) AS effective_on, CAST(p_partkey AS BIGINT) AS received_at, CAST(1 + CAST(p_partkey % 97 AS DECIMAL(12,6)) / 100 AS DECIMAL(12,6)) AS rate, CAST(p_partkey AS VARCHAR(20)) AS rate_hash FROM part)"""
+
+
+@query(
+    with_tape(f"""
+    , {_RATES}, l AS (SELECT base, effective_on, MAX_BY(rate, received_at) AS rate FROM rates GROUP BY 1, 2), d AS (SELECT DISTINCT as_of_date, currency FROM tape),
+    r AS (SELECT d.*, (SELECT l.rate FROM l WHERE l.base = d.currency AND l.effective_on <= d.as_of_date ORDER BY l.effective_on DESC LIMIT 1) AS rate FROM d)
+    SELECT t.as_of_date, t.currency, COUNT(*) AS loans, MAX(r.rate) AS rate FROM tape t JOIN r ON r.as_of_date = t.as_of_date AND r.currency = t.currency GROUP BY 1, 2""")
+)
+def j13_fx_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views(spark, sf_dir, "part")
+    rates = spark.sql(f"WITH {_RATES} SELECT * FROM rates".replace("DATE '1999-09-01' + CAST(p_partkey % 120 AS INT)", "date_add(DATE '1999-09-01', CAST(p_partkey % 120 AS INT))"))
+    rated = history.rates_by_day(tape(spark, sf_dir), rates)
+    return rated.groupBy("as_of_date", "currency").agg(F.count("*").alias("loans"), F.max("rate").alias("rate"))
+
+
+@query(
+    with_tape(f"""
+    , {_RATES}, l AS (SELECT base, effective_on, MAX_BY(rate, received_at) AS rate FROM rates GROUP BY 1, 2),
+    d AS (SELECT DISTINCT as_of_date, currency FROM tape), r AS (SELECT d.*, (SELECT l.rate FROM l WHERE l.base = d.currency AND l.effective_on <= d.as_of_date ORDER BY l.effective_on DESC LIMIT 1) AS rate FROM d)
+    SELECT t.as_of_date, t.loan_id, CAST(round_even(t.outstanding_balance * r.rate, 2) AS DECIMAL(38,2)) AS converted FROM tape t JOIN r ON r.as_of_date = t.as_of_date AND r.currency = t.currency WHERE t.currency = 'EUR'""")
+)
+def b19_fx_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views(spark, sf_dir, "part")
+    rates = spark.sql(f"WITH {_RATES} SELECT * FROM rates".replace("DATE '1999-09-01' + CAST(p_partkey % 120 AS INT)", "date_add(DATE '1999-09-01', CAST(p_partkey % 120 AS INT))"))
+    rated = history.rates_by_day(tape(spark, sf_dir).where("currency = 'EUR'"), rates).where("rate is not null")
+    return rated.select("as_of_date", "loan_id", history.convert(F.col("outstanding_balance"), F.col("rate")).cast("decimal(38,2)").alias("converted"))
+
+
+_MEMBERS = """
+    cand AS (SELECT facility_id AS cell, loan_id AS token FROM tape WHERE period_idx = 3),
+    rel AS (SELECT facility_id AS cell, period_idx AS release_id, loan_id AS token FROM tape WHERE period_idx IN (1, 2) AND NOT (facility_id = 'F4' AND CAST(loan_id AS BIGINT) % 50 < 2))"""
+
+
+@query(
+    with_tape(f"""
+    , {_MEMBERS}, s AS (SELECT cell, COUNT(DISTINCT token) AS n FROM cand GROUP BY 1), m AS (SELECT cell, release_id, COUNT(DISTINCT token) AS m FROM rel GROUP BY 1, 2),
+    b AS (SELECT r.cell, r.release_id, COUNT(*) AS shared FROM rel r JOIN cand c ON c.cell = r.cell AND c.token = r.token GROUP BY 1, 2),
+    k AS (SELECT DISTINCT m.cell FROM m JOIN s USING (cell) LEFT JOIN b USING (cell, release_id) WHERE (n - COALESCE(shared, 0) BETWEEN 1 AND 9) OR (m - COALESCE(shared, 0) BETWEEN 1 AND 9))
+    SELECT cell, n, CASE WHEN n < 10 THEN 'deny_small_cell' WHEN cell IN (SELECT cell FROM k) THEN 'deny_differencing_risk' ELSE 'permit' END AS decision FROM s""")
+)
+def j18_m11_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tape(spark, sf_dir).select(F.col("facility_id").alias("cell"), F.col("loan_id").alias("token"), "period_idx")
+    old = rows.where("period_idx in (1, 2) and not (cell = 'F4' and cast(token as bigint) % 50 < 2)").withColumn("release_id", F.col("period_idx")).withColumn("released_at", F.col("period_idx"))
+    return disclosure.differencing(rows.where("period_idx = 3").drop("period_idx"), old.drop("period_idx"), ["cell"], 10)
+
+
+@query("SELECT user_id, seq, rows, disclosed, disclosed <= 200 AS allowed FROM (SELECT user_id, event_id AS seq, event_id % 20 AS rows, CAST(SUM(event_id % 20) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS disclosed FROM events)")
+def m12_disclosure_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("event_id").alias("seq"), (F.col("event_id") % 20).alias("rows"))
+    return disclosure.budget(log, ["user_id"], 200)
+
+
+@query(with_tape("SELECT loan_id, as_of_date, outstanding_balance FROM tape WHERE outstanding_balance > 100000 AND (risk_rating IN ('1-URGENT', '2-HIGH') OR days_past_due IS NULL) AND loan_id > '3' ORDER BY as_of_date, loan_id LIMIT 50 OFFSET 25"))
+def f2_t5_investigation_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = {"op": "and", "args": [{"op": "gt", "field": "outstanding_balance", "value": "100000"}, {"op": "or", "args": [{"op": "in", "field": "risk_rating", "values": ["1-URGENT", "2-HIGH"]}, {"op": "is_null", "field": "days_past_due"}]}]}
+    rows = tape(spark, sf_dir).where(filters.investigation_filter(tree)).where("loan_id > '3'").select("loan_id", "as_of_date", "outstanding_balance")
+    return disclosure.page(rows, ["as_of_date", "loan_id"], 25, 50)
+
+
+@query(with_tape("SELECT as_of_date, COUNT(*) AS loans FROM tape WHERE facility_id NOT IN (SELECT DISTINCT facility_id FROM tape WHERE CAST(loan_id AS BIGINT) % 900 = 1) AND outstanding_balance <= 50000.5 AND outstanding_balance > 10 GROUP BY 1"))
+def f7_f9_watermark_and_disabled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tape(spark, sf_dir)
+    off = rows.where("cast(loan_id as bigint) % 900 = 1")
+    return filters.watermark(filters.without_disabled(rows, off, ["facility_id"]), "outstanding_balance", "50000.5", "decimal", "10").groupBy("as_of_date").agg(F.count("*").alias("loans"))
+
+
+@query(
+    with_tape("""
+    , c AS (SELECT industry_code, risk_rating, COUNT(*) AS n, SUM(outstanding_balance) AS v FROM tape WHERE period_idx = 3 AND risk_rating IS NOT NULL GROUP BY 1, 2)
+    SELECT industry_code, CAST(MAX(CASE WHEN risk_rating = '1-URGENT' AND n >= 30 THEN v END) AS DECIMAL(38,2)) AS "1-URGENT", CAST(MAX(CASE WHEN risk_rating = '5-LOW' AND n >= 30 THEN v END) AS DECIMAL(38,2)) AS "5-LOW", CAST(SUM((n < 30)::INT) AS BIGINT) AS suppressed_cells FROM c GROUP BY 1""")
+)
+def a26_report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tape(spark, sf_dir).where("period_idx = 3 and risk_rating is not null").groupBy("industry_code", "risk_rating").agg(F.count("*").alias("n"), F.sum("outstanding_balance").cast("decimal(38,2)").alias("value"))
+    return disclosure.report_table(rows.withColumn("suppressed", F.col("n") < 30), "industry_code", "risk_rating", ["1-URGENT", "5-LOW"])
+
+
+@query(
+    with_tape("""
+    , c AS (SELECT facility_id, as_of_date, SUM(outstanding_balance) AS value FROM tape GROUP BY 1, 2), o AS (SELECT facility_id, as_of_date, value + CASE WHEN facility_id = 'F7' THEN 1 ELSE 0 END AS value FROM c)
+    SELECT facility_id, as_of_date, CAST(value AS DECIMAL(38,2)) AS value FROM o ANTI JOIN c USING (facility_id, as_of_date, value)""")
+)
+def j19_unbacked_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = tape(spark, sf_dir).groupBy("facility_id", "as_of_date").agg(F.sum("outstanding_balance").cast("decimal(38,2)").alias("value"))
+    seen = cells.withColumn("value", (F.col("value") + F.when(F.col("facility_id") == "F7", 1).otherwise(0)).cast("decimal(38,2)"))
+    return disclosure.unbacked(seen, cells, ["facility_id", "as_of_date"])
+
+
+@query(
+    """WITH f AS (SELECT CAST(event_id % 700 AS VARCHAR) AS metric_id, CAST(user_id AS VARCHAR) AS ref FROM events WHERE event_id % 3 = 0), d AS (SELECT DISTINCT CAST(p_partkey % 900 AS VARCHAR) AS metric_id FROM part), t AS (SELECT CAST(c_custkey AS VARCHAR) AS ref FROM customer WHERE c_custkey % 2 = 0)
+    SELECT 'unknown' AS problem, metric_id FROM (SELECT DISTINCT metric_id FROM f) ANTI JOIN d USING (metric_id) UNION ALL SELECT 'duplicate', metric_id FROM f GROUP BY metric_id HAVING COUNT(*) > 1
+    UNION ALL SELECT 'missing', metric_id FROM d ANTI JOIN f USING (metric_id) UNION ALL SELECT 'untrusted', metric_id FROM (SELECT DISTINCT metric_id FROM f ANTI JOIN t USING (ref))"""
+)
+def j20_sidecar_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 3 = 0")
+    facts = e.select((F.col("event_id") % 700).cast("string").alias("metric_id"), F.array(F.col("user_id").cast("string")).alias("evidence"))
+    defs = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") % 900).cast("string").alias("metric_id"))
+    trusted = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("ref"))
+    return disclosure.sidecar_problems(facts, defs, trusted)
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey AS cell_id, CAST(l_suppkey AS VARCHAR) AS population_hash FROM lineitem), s AS (SELECT CAST(s_suppkey AS VARCHAR) AS population_hash FROM supplier WHERE s_suppkey % 10 <> 0)
+    SELECT DISTINCT cell_id, population_hash FROM c ANTI JOIN s USING (population_hash)"""
+)
+def j21_report_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("cell_id")).agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("populations"))
+    ok = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey % 10 <> 0").select(F.col("s_suppkey").cast("string").alias("population_hash"))
+    return disclosure.unbacked_lineage(cells, ok)
+
+
+def _folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
+
+
+_ORDERS_TEXT = "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, o_orderpriority FROM orders"
+_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+def _orders_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(*[F.col(c).cast("string") for c in _COLS])
+
+
+@query(_ORDERS_TEXT)
+def s1_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    _orders_text(spark, sf_dir).write.option("header", True).option("escape", '"').csv(path)
+    return tapes.read_csv(spark, path, _COLS)
+
+
+@query(_ORDERS_TEXT)
+def s2_json_array_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of some hundred objects, one array a line of a text file each."""
+    path = _folder(spark)
+    rows = _orders_text(spark, sf_dir)
+    part = F.pmod(F.xxhash64("o_orderkey"), F.lit(16))
+    arrays = rows.groupBy(part.alias("p")).agg(F.to_json(F.collect_list(F.struct(*_COLS))).alias("value"))
+    arrays.repartition(16, "p").select("value", "p").write.partitionBy("p").text(path)
+    return tapes.read_json_array(spark, path, _COLS)
+
+
+@query(_ORDERS_TEXT)
+def s3_ndjson_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    _orders_text(spark, sf_dir).write.json(path)
+    return tapes.read_ndjson(spark, path, _COLS)
+
+
+@query("SELECT unnest(['o_custkey', 'o_extra', 'o_orderkey', 'o_orderpriority', 'o_orderstatus']) AS \"column\"")
+def s4_ragged_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    _orders_text(spark, sf_dir).withColumn("o_extra", F.when(F.col("o_orderkey").cast("long") % 9 == 0, "x")).write.json(path)
+    return tapes.ragged_columns(spark, path)
+
+
+@query("SELECT COUNT(*) AS rows, CAST(SUM(CAST(o_totalprice AS DECIMAL(20,2))) AS DECIMAL(38,2)) AS total FROM orders")
+def s5_parquet_governed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
+    return tapes.read_parquet(spark, f"{sf_dir}/orders.parquet", expected).agg(F.count("*").alias("rows"), F.sum(F.col("o_totalprice").cast("decimal(20,2)")).cast("decimal(38,2)").alias("total"))
+
+
+@query(with_tape("SELECT CAST(as_of_date AS VARCHAR) AS as_of_date, COUNT(*) AS rows FROM tape GROUP BY 1"))
+def s6_s12_partitioned_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write once by date, read back, and hold each partition against its expectation."""
+    path = _folder(spark)
+    tapes.write_snapshot(tape(spark, sf_dir).select("as_of_date", *KEY, "outstanding_balance"), path, "demo")
+    back = spark.read.parquet(path)
+    bad = tapes.partition_mismatch(back.where(F.col("as_of_date") == PERIODS[0]), {"as_of_date": PERIODS[0]})
+    return back.join(bad.select("loan_id"), "loan_id", "left_anti").groupBy(F.col("as_of_date").cast("string").alias("as_of_date")).agg(F.count("*").alias("rows"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_mktsegment AS segment FROM customer")
+def s7_worksheet_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as cells of worksheets, up to 100 rows a file, with a blank row at the end of each."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    file, row = F.floor(F.col("c_custkey") / 100), (F.col("c_custkey") % 100 + 2)
+    cell = lambda i, v: F.struct(F.lit(i).alias("col"), v.cast("string").alias("value"))
+    body = c.select(file.alias("file"), row.alias("row"), F.explode(F.array(cell(1, F.col("c_custkey")), cell(2, F.col("c_name")), cell(3, F.col("c_mktsegment")))).alias("x")).select("file", "row", "x.*")
+    files = c.select(file.alias("file")).distinct()
+    head = files.select("file", F.lit(1).alias("row"), F.explode(F.array(cell(1, F.lit("id")), cell(2, F.lit("name")), cell(3, F.lit("segment")))).alias("x")).select("file", "row", "x.*")
+    tail = files.select("file", F.lit(400).alias("row"), F.lit(1).alias("col"), F.lit(" ").alias("value"))
+    cells = body.union(head).union(tail).select("file", F.lit("Tape").alias("sheet"), "row", "col", F.lit("text").alias("kind"), "value")
+    # Rows of a file start right below the header only where its first key is present.
+    return tapes.worksheet_rows(_compact(cells), "Tape", 1, ["id", "name", "segment"]).select("id", "name", "segment")
+
+
+def _compact(cells: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    dense = F.dense_rank().over(Window.partitionBy("file", "sheet").orderBy("row"))
+    return cells.withColumn("row", dense)
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority FROM orders WHERE o_orderdate <= '1999-06-30' ORDER BY o_orderdate DESC NULLS LAST, o_orderkey ASC NULLS FIRST LIMIT 1001")
+def s8_sql_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views(spark, sf_dir, "orders")
+    sql = tapes.snapshot_query("orders", ["o_orderkey", "o_orderpriority"], ["o_orderkey"], ("o_orderdate", "1999-06-30"), [("o_orderdate", "desc", "last"), ("o_orderkey", "asc", "first")], 1000)
+    return spark.sql(sql)
+
+
+@query("SELECT COUNT(*) AS rows, CAST(MAX(greatest(length(CAST(c_custkey AS VARCHAR)), length(c_name), length(c_mktsegment))) AS INT) AS max_cell_bytes, TRUE AS allowed FROM customer")
+def s10_population_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment")
+    return tapes.population_limits(c, ["c_custkey", "c_name", "c_mktsegment", "c_nationkey"]).drop("max_row_bytes")
+
+
+@query("""SELECT 'o_custkey' AS "column", 'integer' AS kinds, FALSE AS nullable UNION ALL SELECT 'o_orderkey', 'integer', FALSE UNION ALL SELECT 'o_orderpriority', 'text', FALSE UNION ALL SELECT 'o_orderstatus', 'text', FALSE""")
+def s13_infer_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tapes.infer_kinds(_orders_text(spark, sf_dir))
+
+
+@query()
+def s14_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tapes.content_hash(tape(spark, sf_dir))
+
+
+@query("SELECT COALESCE(m.k, a.k) AS section_id, m.n AS rows, a.n AS actual FROM (SELECT o_orderstatus AS k, COUNT(*) + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS n FROM orders GROUP BY 1) m FULL JOIN (SELECT o_orderstatus AS k, COUNT(*) AS n FROM orders GROUP BY 1) a ON a.k = m.k WHERE m.n IS DISTINCT FROM a.n")
+def s15_section_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumnRenamed("o_orderstatus", "section_id")
+    declared = rows.groupBy("section_id").agg((F.count("*") + F.when(F.col("section_id") == "P", 1).otherwise(0)).alias("rows"))
+    return tapes.section_gaps(rows, declared)
