@@ -154,9 +154,7 @@ def component_base(collateral: DataFrame, policy: Policy, scope: list[str]) -> D
     gross = collateral.groupBy(*scope, "collateral_class").agg(F.sum(money("gross_value")).cast(M).alias("gross"))
     out = gross.join(eligible, [*scope, "collateral_class"], "left").na.fill(0, ["pre_concentration", "concentration_excess"])
     out = out.withColumn("eligible", (F.col("pre_concentration") - F.col("concentration_excess")).cast(M))
-    rate = F.coalesce(F.col("rate_override"), _per_class(policy, "advance_rate", None)) if "rate_override" in out.columns else _per_class(policy, "advance_rate", None)
-    out = out.withColumn("advanced", (F.col("eligible") * rate).cast(M))
-    return out.withColumn("contribution", F.least("advanced", F.coalesce(_per_class(policy, "sublimit", None), F.col("advanced"))).cast(M))
+    return reprice(out.withColumn("rate_override", F.lit(None).cast(M)), policy).drop("rate_override")
 
 
 def reserve_amount(formula: dict, depth: int = 1) -> Column:
@@ -279,3 +277,10 @@ def as_amounts(df: DataFrame, columns: list[str]) -> DataFrame:
     for c in columns:
         df = df.withColumn(c, F.col(c).cast(WIDE))
     return df
+
+
+def reprice(components: DataFrame, policy: Policy) -> DataFrame:
+    """advanced and contribution from eligible, by rate_override where there is one."""
+    rate = F.coalesce(F.col("rate_override").cast(M), _per_class(policy, "advance_rate", None))
+    out = components.withColumn("advanced", (F.col("eligible") * rate).cast(M))
+    return out.withColumn("contribution", F.least("advanced", F.coalesce(_per_class(policy, "sublimit", None), F.col("advanced"))).cast(M))
