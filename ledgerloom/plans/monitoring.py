@@ -1 +1,194 @@
-"""Queries."""
+"""Monitors, alerts, deliveries and staged runs over daily series of the event table."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import monitor as m
+from ..operators import quality as q
+from ..operators.stratification import stratify
+from ..streaming import streams
+from .quality import PROFILE, raw
+from .registry import query
+from .tape import tape, with_tape
+
+_POINTS = """
+    points AS (SELECT user_id AS series, CAST(ts AS DATE) AS as_of_date, MIN(event_id) AS point_id, CASE WHEN MIN(event_id) % 23 = 0 THEN NULL ELSE CAST(COUNT(*) * 10 + MIN(event_id) % 10 AS BIGINT) END AS value FROM events GROUP BY 1, 2)"""
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    g = e.groupBy(F.col("user_id").alias("series"), F.to_date("ts").alias("as_of_date")).agg(F.min("event_id").alias("point_id"), F.count("*").alias("n"))
+    return g.select("series", "as_of_date", "point_id", F.when(F.col("point_id") % 23 != 0, F.col("n") * 10 + F.col("point_id") % 10).alias("value"))
+
+
+_ORDER = ["as_of_date", "point_id"]
+_W = "OVER (PARTITION BY series ORDER BY as_of_date, point_id"
+
+
+@query(f"WITH {_POINTS} SELECT point_id, CAST(value - lag(value, 2) {_W}) AS DOUBLE) AS delta, CASE WHEN lag(value) {_W}) <> 0 THEN CAST(value - lag(value) {_W}) AS DOUBLE) / CAST(abs(lag(value) {_W})) AS DOUBLE) END AS percent FROM points")
+def w7_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value").cast("double")
+    return points(spark, sf_dir).select("point_id", m.change(v, ["series"], _ORDER, 2, False).alias("delta"), m.change(v, ["series"], _ORDER, 1, True).alias("percent"))
+
+
+@query(
+    f"""WITH {_POINTS}, r AS (SELECT point_id, COUNT(value) {_W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c, COUNT(*) {_W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n, SUM(value) {_W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s, MAX(value) {_W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS x FROM points)
+    SELECT point_id, CASE WHEN c = n AND n >= 2 THEN CAST(s AS DOUBLE) / CAST(n AS DOUBLE) END AS mean3, CASE WHEN c = n AND n >= 3 THEN x END AS max3 FROM r"""
+)
+def w8_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    return points(spark, sf_dir).select("point_id", m.rolling(v, ["series"], _ORDER, 3, "avg", 2).alias("mean3"), m.rolling(v, ["series"], _ORDER, 3, "max", 3).alias("max3"))
+
+
+@query(f"WITH {_POINTS} SELECT point_id, COUNT(*) {_W} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) = 2 AND COALESCE(MIN(COALESCE(value >= 30, FALSE)::INT) {_W} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 0) = 1 AS both FROM points")
+def w9_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).select("point_id", m.consecutive(F.col("value") >= 30, ["series"], _ORDER, 2).alias("both"))
+
+
+@query(
+    with_tape("""
+    , o AS (SELECT facility_id AS metric_id, as_of_date, CAST(SUM(outstanding_balance) AS DECIMAL(38,2)) AS value FROM tape WHERE facility_id <> 'F9' GROUP BY 1, 2),
+    d AS (SELECT CONCAT('F', CAST(n_nationkey AS VARCHAR)) AS metric_id, n_nationkey AS k FROM nation)
+    SELECT 'm' || CAST(k AS VARCHAR) AS monitor_id, d.metric_id, CASE WHEN o.metric_id IS NULL THEN 'missing_observation' WHEN k % 5 = 1 THEN 'unit_mismatch' WHEN CASE WHEN k % 2 = 0 THEN value > 40000000 ELSE value <= 30000000 END THEN 'alert' ELSE 'clear' END AS outcome
+    FROM d LEFT JOIN o ON o.metric_id = d.metric_id AND o.as_of_date = DATE '1999-12-31'""")
+)
+def m1_monitor_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    k, day = F.col("n_nationkey"), F.lit("1999-12-31").cast("date")
+    monitors = n.select(
+        F.concat(F.lit("m"), k.cast("string")).alias("monitor_id"), F.concat(F.lit("F"), k.cast("string")).alias("metric_id"), F.lit("1999-12-31").alias("snapshot_id"), day.alias("as_of_date"), F.lit("decimal").alias("type"),
+        F.when(k % 2 == 0, "gt").otherwise("lte").alias("op"), F.when(k % 2 == 0, 40000000).otherwise(30000000).cast("decimal(38,2)").alias("bound"), F.lit(None).cast("boolean").alias("bound_flag"), F.when(k % 5 == 1, "EUR").otherwise("USD").alias("unit"),
+    )
+    rows = tape(spark, sf_dir).where("facility_id <> 'F9'").groupBy(F.col("facility_id").alias("metric_id"), "as_of_date").agg(F.sum("outstanding_balance").cast("decimal(38,2)").alias("value"))
+    seen = rows.select("metric_id", F.col("as_of_date").cast("string").alias("snapshot_id"), "as_of_date", F.lit("decimal").alias("type"), "value", F.lit(None).cast("boolean").alias("flag"), F.lit("USD").alias("unit"))
+    return m.evaluate_v1(monitors, seen).select("monitor_id", "metric_id", "outcome")
+
+
+TREE = {"type": "any", "conditions": [{"type": "all", "conditions": [{"type": "absolute", "op": "gte", "bound": 25}, {"type": "change", "op": "gt", "bound": 0, "lookback": 1}]}, {"type": "consecutive", "periods": 2, "condition": {"type": "rolling", "window": 2, "aggregation": "max", "minimum": 1, "op": "gte", "bound": 45}}]}
+
+
+@query(
+    f"""WITH {_POINTS}, p AS (SELECT *, lag(value) {_W}) AS was, COUNT(value) {_W} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS c, COUNT(*) {_W} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n, MAX(value) {_W} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS x FROM points WHERE as_of_date <= DATE '2024-01-29'),
+    r AS (SELECT *, CASE WHEN c = n THEN x >= 45 END AS roll FROM p),
+    h AS (SELECT *, ((value >= 25) AND (value - was > 0)) OR (n = 2 AND COALESCE(MIN(COALESCE(roll, FALSE)::INT) {_W} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 0) = 1) AS hit, ROW_NUMBER() OVER (PARTITION BY series ORDER BY as_of_date DESC, point_id DESC) AS rn FROM r)
+    SELECT series, as_of_date, point_id, CASE WHEN date_diff('day', as_of_date, DATE '2024-01-29') > 2 THEN 'stale' WHEN value IS NULL THEN 'triggered' WHEN hit IS NULL THEN 'insufficient' WHEN hit THEN 'triggered' ELSE 'clear' END AS outcome FROM h WHERE rn = 1"""
+)
+def m2_m3_monitor_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.evaluate_v2(points(spark, sf_dir), TREE, ["series"], F.lit("2024-01-29").cast("date"), 2).drop("value")
+
+
+@query()
+def m4_stateful_cases_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.fold_cases(points(spark, sf_dir), ["series"], 35.0, 25.0, 3)
+
+
+def _path(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+@query()
+def m4_stateful_cases_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cases through a stream; equal to the batch fold."""
+    at = _path(spark)
+    rows = points(spark, sf_dir).select("series", "as_of_date", "point_id", F.col("value").cast("double").alias("value"))
+    rows.write.parquet(f"{at}/in")
+    stream = streams.file_stream(spark, f"{at}/in", rows.schema)
+    return streams.run_to_table(streams.stateful_cases(stream, ["series"], 35.0, 25.0, 3), f"{at}/out", f"{at}/checkpoint")
+
+
+_OCC = "occ AS (SELECT event_id % 400 AS occurrence_key, user_id AS dedupe_key, ts AS seen_at FROM events WHERE event_type = 'click' OR event_id % 3 = 0)"
+
+
+@query(f"WITH {_OCC}, o AS (SELECT dedupe_key, occurrence_key, MIN(seen_at) AS seen_at FROM occ GROUP BY 1, 2) SELECT dedupe_key, COUNT(*) AS recurrences, CAST(MIN(seen_at) AS DATE) AS first_seen, CAST(MAX(seen_at) AS DATE) AS last_seen FROM o GROUP BY 1")
+def m5_alert_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'click' or event_id % 3 = 0")
+    occ = e.select((F.col("event_id") % 400).alias("occurrence_key"), F.col("user_id").alias("dedupe_key"), F.col("ts").alias("seen_at"))
+    return m.alert_cases(occ).select("dedupe_key", "recurrences", F.to_date("first_seen").alias("first_seen"), F.to_date("last_seen").alias("last_seen"))
+
+
+_LOG = "log AS (SELECT user_id AS case_id, event_id AS seq, CASE WHEN event_id % 6 = 5 THEN 'occurrence' ELSE 'manual' END AS kind, CASE WHEN event_id % 6 = 5 THEN 'open' ELSE ['open', 'acknowledged', 'escalated', 'resolved', 'suppressed'][CAST(event_id % 5 + 1 AS INT)] END AS status FROM events)"
+
+
+@query(
+    f"""WITH {_LOG}, p AS (SELECT *, lag(status) OVER (PARTITION BY case_id ORDER BY seq) AS was FROM log),
+    v AS (SELECT *, CASE WHEN kind = 'occurrence' THEN COALESCE(was = 'resolved' AND status = 'open', TRUE) WHEN was IS NULL THEN status = 'open' ELSE
+        list_contains(CASE was WHEN 'open' THEN ['acknowledged', 'escalated', 'resolved', 'suppressed'] WHEN 'acknowledged' THEN ['escalated', 'resolved', 'suppressed'] WHEN 'escalated' THEN ['acknowledged', 'resolved', 'suppressed'] ELSE ['open'] END, status) END AS valid FROM p)
+    SELECT case_id, MAX_BY(status, CASE WHEN valid THEN seq END) AS status, CAST(SUM((NOT valid)::INT) AS BIGINT) AS invalid, COUNT(*) AS events FROM v GROUP BY 1"""
+)
+def m6_case_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    names = F.array(*[F.lit(s) for s in ("open", "acknowledged", "escalated", "resolved", "suppressed")])
+    auto = F.col("event_id") % 6 == 5
+    log = e.select(F.col("user_id").alias("case_id"), F.col("event_id").alias("seq"), F.when(auto, "occurrence").otherwise("manual").alias("kind"), F.when(auto, "open").otherwise(F.element_at(names, (F.col("event_id") % 5 + 1).cast("int"))).alias("status"))
+    return m.case_status(log)
+
+
+_DELIVERED = "d AS (SELECT event_type AS source, event_id % 900 AS fingerprint, ts AS observed_at, user_id AS watermark_end FROM events)"
+
+
+@query(
+    f"""WITH {_DELIVERED}, o AS (SELECT source, fingerprint, MIN(observed_at) AS observed_at, MAX(watermark_end) AS w FROM d GROUP BY 1, 2)
+    SELECT source, COUNT(*) AS deliveries, CAST(SUM((CAST(floor(epoch(TIMESTAMP '2024-01-15 12:00:00')) AS BIGINT) - CAST(floor(epoch(observed_at)) AS BIGINT) > 3600)::INT) AS BIGINT) AS late, MAX(w) AS high_watermark FROM o GROUP BY 1"""
+)
+def m7_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    d = e.select(F.col("event_type").alias("source"), (F.col("event_id") % 900).alias("fingerprint"), F.col("ts").alias("observed_at"), F.col("user_id").alias("watermark_end"))
+    return m.deliveries(d, F.lit("2024-01-15 12:00:00").cast("timestamp"), 60)
+
+
+@query("SELECT event_type AS source, COUNT(DISTINCT event_id % 900) AS deliveries FROM events GROUP BY 1")
+def m7_deliveries_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries once per fingerprint through a stream with state for a year."""
+    at = _path(spark)
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = e.select(F.col("event_type").alias("source"), (F.col("event_id") % 900).alias("fingerprint"), F.col("ts").cast("timestamp").alias("observed_at"), F.col("ts").cast("timestamp").alias("due_at"))
+    rows.write.parquet(f"{at}/in")
+    out = streams.run_to_table(streams.delivery_alerts(streams.file_stream(spark, f"{at}/in", rows.schema), 60, "365 days"), f"{at}/out", f"{at}/checkpoint")
+    return out.groupBy("source").agg(F.count("*").alias("deliveries"))
+
+
+@query("SELECT user_id, MAX(event_id) AS event_id FROM events GROUP BY 1")
+def m8_upsert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user, kept by a sink that repeats of a batch don't change."""
+    at = _path(spark)
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id")
+    rows.repartition(4, "user_id").write.parquet(f"{at}/in")
+    streams.upsert_sink(streams.file_stream(spark, f"{at}/in", rows.schema, 2), f"{at}/out", ["user_id"], "event_id", f"{at}/checkpoint").awaitTermination()
+    return streams.read_latest(spark, f"{at}/out", ["user_id"], "event_id").select("user_id", "event_id")
+
+
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, COUNT(*) AS n FROM events WHERE CAST(ts AS DATE) < (SELECT MAX(CAST(ts AS DATE)) FROM events) GROUP BY 1, 2")
+def m9_windowed_totals_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily windows of event time in append mode; the last day stays open until its watermark passes."""
+    at = _path(spark)
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    rows.write.parquet(f"{at}/in")
+    totals = streams.windowed_totals(streams.file_stream(spark, f"{at}/in", rows.schema), "ts", "0 seconds", "1 day", ["event_type"], "value")
+    out = streams.run_to_table(totals, f"{at}/out", f"{at}/checkpoint")
+    return out.select(F.to_date("window.start").cast("string").alias("day"), "event_type", "n")
+
+
+@query(with_tape("SELECT late, COUNT(*) AS rows FROM (SELECT as_of_date > DATE '1999-11-30' AS late FROM tape) GROUP BY 1"))
+def m9_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, late = m.quarantine_late(tape(spark, sf_dir), F.lit("1999-11-30").cast("date"))
+    n = lambda df, flag: df.agg(F.count("*").alias("rows")).select(F.lit(flag).alias("late"), "rows")
+    return n(good, False).union(n(late, True))
+
+
+@query()
+def m10_staged_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """profile, quality, certify, analyse: each stage reads the table of the one before; the last runs only for what is certified."""
+    at = _path(spark)
+    raw(spark, sf_dir).write.parquet(f"{at}/raw")
+    q.run_quality(spark.read.parquet(f"{at}/raw"), PROFILE).write.parquet(f"{at}/findings")
+    findings = spark.read.parquet(f"{at}/findings")
+    gate = q.decision(findings)
+    certified = tape(spark, sf_dir).where("period_idx = 3").crossJoin(F.broadcast(gate.where("decision = 'publish'").select("decision").limit(1)))
+    result = stratify(certified, F.col("industry_code")).select("bucket", "loans", "balance")
+    status = gate.select(F.concat(F.lit("gate: "), "decision").alias("bucket"), F.col("findings").alias("loans"), F.lit(None).cast("decimal(38,2)").alias("balance"))
+    return status.union(result)
