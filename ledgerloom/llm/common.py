@@ -114,11 +114,47 @@ def pack(table: np.ndarray) -> bytes:
     return zlib.compress(table.tobytes(), 1)
 
 
-def tree_sum(tables: DataFrame, kind: type) -> np.ndarray:
-    """Sum of equally sized packed tables, one a task, by a tree of tasks: no task and not the driver ever holds more than two."""
+def tree_sum(tables: DataFrame, kind: type, merge: np.ufunc = np.add) -> np.ndarray:
+    """Sum (or other merge) of equally sized packed tables, one a task, by a tree of tasks: nobody ever holds more than two."""
 
-    def add(a: bytes, b: bytes) -> bytes:
-        return pack(np.frombuffer(zlib.decompress(a), kind) + np.frombuffer(zlib.decompress(b), kind))
+    def both(a: bytes, b: bytes) -> bytes:
+        return pack(merge(np.frombuffer(zlib.decompress(a), kind), np.frombuffer(zlib.decompress(b), kind)))
 
-    total = tables.rdd.map(lambda r: bytes(r[0])).treeReduce(add, 2)
+    total = tables.rdd.map(lambda r: bytes(r[0])).treeReduce(both, 2)
     return np.frombuffer(zlib.decompress(total), kind)
+
+
+#: A bitmap has 16 bits a value, but never more than 2**29 (64 MB).
+MOST_BITS = 29
+
+
+def _slot(values: np.ndarray, bits: int) -> np.ndarray:
+    x = values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)
+
+
+class Bitmap:
+    """Which of many 64-bit values may be in a set: never misses one, and lets more others through as it fills.
+
+    Only for dropping rows early that a join would drop anyway, so results never depend on it; its size is bounded.
+    """
+
+    def __init__(self, values: DataFrame, count: int):
+        bits = min(MOST_BITS, max(16, (16 * count).bit_length()))
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = np.zeros(1 << bits - 3, np.uint8)
+            for batch in batches:
+                at = _slot(batch.column(0).to_numpy(zero_copy_only=False), bits)
+                np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([pack(table)], pa.binary())], names=["table"])
+
+        self.bits = bits
+        table = tree_sum(values.mapInArrow(mark, "table binary"), np.uint8, np.bitwise_or)
+        #: Share of other values that get through.
+        self.leak = float(np.unpackbits(table[: 1 << 20]).mean())
+        self.table = values.sparkSession.sparkContext.broadcast(table)
+
+    def may_have(self, values: np.ndarray) -> np.ndarray:
+        at = _slot(values, self.bits)
+        return self.table.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0

@@ -6,9 +6,11 @@ Documents are joined on anchors; only around anchors of two or more documents is
 windows of threshold length that chose that anchor. A window that a smaller document also has is a repeat; neighbouring
 repeats merge into maximal ones.
 
-Shuffles: anchors (two in eleven words) twice as narrow rows, texts once by document (used twice), windows of seeded places
-only. Every aggregate combines before it shuffles and every join is an equi-join that adaptive execution can split, so an
-anchor in a third of all documents stays spread out.
+Shuffles: anchors (two in eleven words) once, counted; windows of seeded places, then only repeated ones; texts once, for the
+result. Bitmaps of bounded size keep unshared anchors and windows out of the later shuffles; they never decide a result,
+and once too many anchors are shared for one, documents are joined with their anchors instead. Every aggregate combines
+before it shuffles and every join is an equi-join that adaptive execution can split, so an anchor in a third of all
+documents stays spread out.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import append_columns, no_text, pieces, without
+from .common import Bitmap, append_columns, no_text, pieces, settle, without
 
 LAST = (1 << 63) - 1
 OUT = [
@@ -63,7 +65,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("min_words must be at least gram")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), no_text(F.col(text_col)).alias("text"))
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def anchors(batches: Iterator[pa.RecordBatch], wanted: Bitmap | None) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("ord").to_numpy(zero_copy_only=False)
             for w in K.words(batch.column("text"), K.BLANK_WORDS):
@@ -72,29 +74,47 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     continue
                 place, value = winnow(w.value, at, gram, reach)
                 new = np.append(True, place[1:] != place[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(value[new])), pa.array(ids[w.lo + row[new]])], names=["anchor", "ord"])
+                value, row = value[new], row[new]
+                if wanted is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(_signed(value))], names=["anchor"])
+                    continue
+                use = wanted.may_have(value)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(value[use])), pa.array(ids[w.lo + row[use]])], names=["anchor", "ord"])
 
-    seeds = rows.mapInArrow(anchors, "anchor long, ord long")
-    shared = seeds.groupBy("anchor").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("anchor")
-    seeded = seeds.join(shared, "anchor").groupBy("ord").agg(F.collect_set("anchor").alias("anchors"))
+    seeds = rows.mapInArrow(lambda b: anchors(b, None), "anchor long")
+    shared = settle(seeds.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
+    mask = Bitmap(shared, shared.count())
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def extend(batches: Iterator[pa.RecordBatch], seeded: Bitmap | None, wanted: Bitmap | None) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
                 ids = part.column("ord").to_numpy(zero_copy_only=False)
-                known, known_at = _lists(part.column("anchors"))
+                known, known_at = _lists(part.column("anchors")) if seeded is None else (None, None)
                 for w in K.words(part.column("text"), K.BLANK_WORDS):
                     at, row = K.starts(w.ptr, min_words)
                     if not len(at):
                         continue
                     _, value = winnow(w.value, at, gram, reach)
-                    use = _member(_signed(value), row + w.lo, known, known_at)
-                    whole = K.windows(w.value, min_words, K.SECOND)[at[use]]
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(whole)), pa.array(ids[w.lo + row[use]])], names=["passage", "ord"])
-
-    passages = rows.join(seeded, "ord").mapInArrow(extend, "passage long, ord long")
-    firsts = passages.groupBy("passage").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("passage", "lo")
-    later = passages.join(firsts, "passage").where("ord > lo").groupBy("ord").agg(F.collect_set("passage").alias("__later"))
+                    use = seeded.may_have(value) if seeded is not None else _member(_signed(value), row + w.lo, known, known_at)
+                    whole = _signed(K.windows(w.value, min_words, K.SECOND)[at[use]])
+                    ord_ = ids[w.lo + row[use]]
+                    if wanted is not None:
+                        keep = wanted.may_have(whole)
+                        whole, ord_ = whole[keep], ord_[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(ord_)], names=["passage", "ord"])
+
+    # While the bitmap of shared anchors is thin it stands for the join of documents with their anchors; beyond, join them.
+    thin = mask.leak < 0.5
+    if thin:
+        places = rows
+    else:
+        found = rows.mapInArrow(lambda b: anchors(b, mask), "anchor long, ord long").join(shared, "anchor")
+        places = rows.join(found.groupBy("ord").agg(F.collect_set("anchor").alias("anchors")), "ord")
+    seeded = mask if thin else None
+    passages = places.mapInArrow(lambda b: extend(b, seeded, None), "passage long, ord long")
+    firsts = settle(passages.groupBy("passage").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("passage", "lo"), "passages")
+    again = Bitmap(firsts, firsts.count())
+    later = places.mapInArrow(lambda b: extend(b, seeded, again), "passage long, ord long").join(firsts, "passage").where("ord > lo").groupBy("ord").agg(F.collect_set("passage").alias("__later"))
 
     base = without(docs, [f.name for f in OUT])
     base = base.withColumn("__ord", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)))
