@@ -92,20 +92,14 @@ def turns_of_json(rows: DataFrame, json_col: str) -> DataFrame:
     """All columns, fingerprint and turns of a column of JSON objects whose layouts may differ row by row.
 
     Unparseable, null and unknown layouts have null turns (and keep their fingerprint, so that a mapping can be added).
-    Fields whose value is null in a row count by name; element fields come from the merged schema of the row's elements.
+    Fields whose value is null in a row count by name; the fields of an array's elements are those of its first one.
     """
     parsed = rows.withColumn("v", F.try_parse_json(F.col(json_col)))
-    # schema_of_variant writes OBJECT<a: STRING, b: ARRAY<OBJECT<c: STRING>>>; two levels cover every mapping.
+    # Field names of the object, and those of the objects in its arrays: two levels cover every mapping.
     top = F.expr("sort_array(coalesce(json_object_keys(to_json(v)), array()))")
-    path = F.flatten(
-        F.transform(
-            top,
-            lambda k: F.when(
-                F.get_json_object(F.to_json("v"), F.concat(F.lit("$['"), k, F.lit("'][0]"))).startswith("{"),
-                F.transform(F.sort_array(F.json_object_keys(F.get_json_object(F.to_json("v"), F.concat(F.lit("$['"), k, F.lit("'][0]"))))), lambda j: F.concat(k, F.lit("[]."), j)),
-            ).otherwise(F.array(k)),
-        )
-    )
+    element = lambda k: F.call_function("get_json_object", F.to_json("v"), F.concat(F.lit("$['"), k, F.lit("'][0]")))
+    inner = lambda k: F.transform(F.json_object_keys(element(k)), lambda j: F.concat(k, F.lit("[]."), j))
+    path = F.flatten(F.transform(top, lambda k: F.when(element(k).startswith("{"), inner(k)).otherwise(F.array(k))))
     marked = parsed.withColumn("fingerprint", F.sha2(F.array_join(F.sort_array(path), "\n"), 256))
     turns = F.lit(None).cast(TURNS)
     for mark, layout in DOCUMENT_LAYOUTS.items():
