@@ -238,7 +238,7 @@ def reconcile(actual: DataFrame, declared: DataFrame, scope: list[str], toleranc
             F.when(F.col("rows").isNull(), "missing_population"),
             F.when(F.col("row_count").isNull(), "undeclared_population"),
             F.when(F.col("rows") != F.col("row_count"), "row_count_mismatch"),
-            F.when(off > F.lit(tolerance).cast(WIDE), "balance_mismatch"),
+            F.when(off.cast("decimal(28,6)") > F.lit(tolerance).cast("decimal(28,6)"), "balance_mismatch"),
             F.when((F.col("c0") != F.col("c1")) | (F.col("c0") != F.col("declared_currency")), "currency_mismatch"),
         )
     )
@@ -255,7 +255,7 @@ def reconcile_segments(actual: DataFrame, expected: DataFrame, dims: list[str],
     e = named(expected).groupBy(*keys).agg(F.sum("balance").cast(WIDE).alias("expected"))
     both = a.join(e, keys, "full")
     diff = (F.coalesce("actual", F.lit(0)) - F.coalesce("expected", F.lit(0))).cast(WIDE)
-    return both.select(*keys, "expected", "actual", diff.alias("difference"), (F.abs(diff) <= F.lit(tolerance).cast(WIDE)).alias("passed"))
+    return both.select(*keys, "expected", "actual", diff.alias("difference"), (F.abs(diff).cast("decimal(28,6)") <= F.lit(tolerance).cast("decimal(28,6)")).alias("passed"))
 
 
 def certify(findings: DataFrame, controls: DataFrame) -> DataFrame:

@@ -185,7 +185,7 @@ DRIVERS = ["new_exposure", "exit", "increase", "decrease", "unchanged"]
 def period_change(tape: DataFrame, segment: str, balance: str = "outstanding_balance") -> DataFrame:
     """Change of balance between periods per segment and driver. A loan that changes its segment is an exit in one and new in the other."""
     known = tape.where(F.col(balance).isNotNull())
-    pairs = period_pairs(known, [balance], "full", [*KEY, segment])
+    pairs = period_pairs(known, [balance], "full", list(dict.fromkeys([*KEY, segment])))
     change = nz(f"{balance}_next") - nz(balance)
     driver = F.when(~F.col("was"), "new_exposure").when(~F.col("found"), "exit").when(change > 0, "increase").when(change < 0, "decrease").otherwise("unchanged")
     rows = pairs.groupBy("to_date", F.col(segment).alias("segment"), driver.alias("driver")).agg(total(change).alias("amount"), F.count("*").alias("loans"))

@@ -196,7 +196,7 @@ def q6_control_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     , a AS (SELECT facility_id, COALESCE(risk_rating, '[NULL]') AS risk_rating, currency, SUM(outstanding_balance) AS v FROM tape WHERE period_idx = 3 GROUP BY ALL),
     e AS (SELECT facility_id, COALESCE(risk_rating, '[NULL]') AS risk_rating, currency, SUM(outstanding_balance + CASE WHEN CAST(loan_id AS BIGINT) % 1000 = 7 THEN 1 ELSE 0 END) AS v FROM tape WHERE period_idx = 3 AND facility_id <> 'F3' GROUP BY ALL)
     SELECT COALESCE(a.facility_id, e.facility_id) AS facility_id, COALESCE(a.risk_rating, e.risk_rating) AS risk_rating, COALESCE(a.currency, e.currency) AS currency, CAST(e.v AS DECIMAL(38,2)) AS expected, CAST(a.v AS DECIMAL(38,2)) AS actual,
-        CAST(COALESCE(a.v, 0) - COALESCE(e.v, 0) AS DECIMAL(38,2)) AS difference, CAST(abs(COALESCE(a.v, 0) - COALESCE(e.v, 0)) AS DECIMAL(38,2)) <= 0.01 AS passed
+        CAST(COALESCE(a.v, 0) - COALESCE(e.v, 0) AS DECIMAL(38,2)) AS difference, CAST(abs(COALESCE(a.v, 0) - COALESCE(e.v, 0)) AS DECIMAL(38,2)) <= 0.005 AS passed
     FROM a FULL JOIN e ON a.facility_id = e.facility_id AND a.risk_rating = e.risk_rating AND a.currency = e.currency""")
 )
 def q7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,11 +14,11 @@ def _text(columns: list[str]) -> T.StructType:
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Header required and equal to ``columns``; a row of another width, or an unclosed quote, ends the run."""
+    """Header required and equal to ``columns``; a row of another width, or an unclosed quote, ends the run. Empty cells are null."""
     if len(set(columns)) != len(columns):
         raise ValueError("column names must be unique")
     reader = spark.read.schema(_text(columns)).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("multiLine", True).option("escape", '"')
-    return reader.option("emptyValue", "").option("nullValue", "\u0000").csv(path)
+    return reader.csv(path)
 
 
 def read_json_array(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
