@@ -31,6 +31,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+#: A task combines its terms whenever it holds so many, and sends them on in batches of so many rows.
+HELD_TERMS, OUT_ROWS = 500_000, 50_000
 OUT = [T.StructField("spans", T.ArrayType(SPAN)), T.StructField("clean_text", T.StringType())]
 
 
@@ -77,11 +79,10 @@ _MAYBE[[ord(c) for c in "0123456789@+"]] = True
 def rows_with_marks(col: pa.Array) -> Iterator[tuple[int, str]]:
     """Rows that may hold a base span: those with a digit, an at sign or a plus."""
     raw, at = K.rows_of(col)
-    if not len(at) - 1:
-        return
-    marks = np.concatenate(([0], np.cumsum(_MAYBE[raw[at[0] : at[-1]]])))[at - at[0]]
-    for r in np.flatnonzero(np.diff(marks)).tolist():
-        yield r, raw[at[r] : at[r + 1]].tobytes().decode()
+    for lo, hi in K.chunks(at):
+        places = np.flatnonzero(_MAYBE[raw[at[lo] : at[hi]]]) + at[lo]
+        for r in np.unique(np.searchsorted(at, places, side="right") - 1).tolist():
+            yield r, raw[at[r] : at[r + 1]].tobytes().decode()
 
 
 def terms(text: str, spans: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,11 +112,13 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", reach: int = 4, al
         counts: list[np.ndarray] = []
         size = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             value, n = np.concatenate(held), np.concatenate(counts)
             u, inv = np.unique(value, return_inverse=True)
             n = np.bincount(inv, n, len(u)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n), pa.nulls(len(u), pa.int64())], names=["term", "n", "around"])
+            whole = pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n), pa.nulls(len(u), pa.int64())], names=["term", "n", "around"])
+            for lo in range(0, whole.num_rows, OUT_ROWS):
+                yield whole.slice(lo, OUT_ROWS)
 
         for batch in batches:
             for w in K.words(batch.column("text"), K.LETTER_WORDS):
@@ -123,8 +126,8 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", reach: int = 4, al
                 held.append(u)
                 counts.append(n)
                 size += len(u)
-                if size > 4_000_000:
-                    yield flush()
+                if size > HELD_TERMS:
+                    yield from flush()
                     held, counts, size = [], [], 0
             term, around = [], []
             for _, text in rows_with_marks(batch.column("text")):
@@ -140,7 +143,7 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", reach: int = 4, al
                 t = np.concatenate(term)
                 yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.nulls(len(t), pa.int64()), pa.array(np.concatenate(around))], names=["term", "n", "around"])
         if held:
-            yield flush()
+            yield from flush()
 
     seen = settle(rows.mapInArrow(count, "term long, n long, around long").groupBy("term", "around").agg(F.sum("n").alias("n")), "terms")
     by_term = seen.groupBy("term").agg(F.sum("n").alias("n"), F.count("around").alias("joint"))
