@@ -23,12 +23,13 @@ def with_index(tape: DataFrame) -> DataFrame:
     return tape.drop("period_idx").join(F.broadcast(ranked.limit(10_000)), "as_of_date")
 
 
-def period_pairs(tape: DataFrame, fields: list[str], how: str = "left", key: list[str] = KEY) -> DataFrame:
+def period_pairs(tape: DataFrame, fields: list[str], how: str = "left", key: list[str] = KEY, periods: DataFrame | None = None) -> DataFrame:
     """Each loan of a period (``f``) with itself in the next (``f_next``); found says whether it is there. The last period has no next.
 
-    ``left`` keeps loans that leave, ``full`` also those that come. to_date is the later date.
+    ``left`` keeps loans that leave, ``full`` also those that come. to_date is the later date. periods (period_idx, as_of_date)
+    spares a scan for the dates, where the caller knows them.
     """
-    dates = tape.select("period_idx", "as_of_date").distinct()
+    dates = periods if periods is not None else tape.select("period_idx", "as_of_date").distinct()
     last = F.broadcast(dates.agg(F.max("period_idx").alias("__last")))
     now = tape.crossJoin(last).where("period_idx < __last").select(*key, (F.col("period_idx") + 1).alias("pair"), *fields, F.lit(True).alias("__a"))
     nxt = tape.select(*key, F.col("period_idx").alias("pair"), *[F.col(f).alias(f"{f}_next") for f in fields], F.lit(True).alias("__b"))
@@ -60,27 +61,27 @@ def matrix(pairs: DataFrame, before: Column, after: Column, balance: str, labels
     )
 
 
-def roll_cure(tape: DataFrame, bins: list[Bin], balance: str = "outstanding_balance") -> DataFrame:
+def roll_cure(tape: DataFrame, bins: list[Bin], balance: str = "outstanding_balance", periods: DataFrame | None = None) -> DataFrame:
     """Roll and cure between delinquency bands; direction by the order of the bands."""
     spark = tape.sparkSession
     names = [b.label for b in bins] + ["Unknown", "Outside"]
     order = {n: i for i, n in enumerate(names)}
     labels = spark.createDataFrame([(a, b, "stay" if a == b else "other" if max(order[a], order[b]) >= len(bins) else "roll" if order[b] > order[a] else "cure") for a in names for b in names], "from_label string, to_label string, movement string")
-    pairs = period_pairs(tape.where(F.col(balance).isNotNull()), [balance, "days_past_due"])
+    pairs = period_pairs(tape.where(F.col(balance).isNotNull()), [balance, "days_past_due"], periods=periods)
     band = lambda c: numeric_bin(c, bins, "Unknown", "Outside")
     out = matrix(pairs, band("days_past_due"), band("days_past_due_next"), balance, labels.select("from_label", "to_label"))
     return out.join(F.broadcast(labels), ["from_label", "to_label"])
 
 
-def rating_migration(tape: DataFrame, rating: str = "risk_rating", balance: str = "outstanding_balance") -> DataFrame:
+def rating_migration(tape: DataFrame, rating: str = "risk_rating", balance: str = "outstanding_balance", periods: DataFrame | None = None) -> DataFrame:
     """Migration by prior balance; loans without a rating are ``Unrated``."""
     label = lambda c: F.coalesce(F.col(c), F.lit("Unrated"))
-    return matrix(period_pairs(tape.where(F.col(balance).isNotNull()), [balance, rating]), label(rating), label(f"{rating}_next"), balance)
+    return matrix(period_pairs(tape.where(F.col(balance).isNotNull()), [balance, rating], periods=periods), label(rating), label(f"{rating}_next"), balance)
 
 
-def default_incidence(tape: DataFrame, basis: str = "count", balance: str = "outstanding_balance") -> DataFrame:
+def default_incidence(tape: DataFrame, basis: str = "count", balance: str = "outstanding_balance", periods: DataFrame | None = None) -> DataFrame:
     """Loans not in default that are in default one period later. An unknown flag at the start is eligible, not observed."""
-    pairs = period_pairs(tape, ["default_flag", balance]).where(~F.coalesce(F.col("default_flag"), F.lit(False)))
+    pairs = period_pairs(tape, ["default_flag", balance], periods=periods).where(~F.coalesce(F.col("default_flag"), F.lit(False)))
     observed = F.col("found") & F.col("default_flag").isNotNull() & F.col("default_flag_next").isNotNull()
     weight = F.lit(1).cast("decimal(20,2)") if basis == "count" else F.col(balance)
     sums = pairs.groupBy("to_date").agg(total(F.when(observed & F.col("default_flag_next"), weight).otherwise(0)).alias("numerator"), total(F.when(observed, weight).otherwise(0)).alias("denominator"), F.count("*").alias("eligible"), F.sum(observed.cast("long")).alias("observed"))
@@ -126,11 +127,11 @@ def loss_recovery(tape: DataFrame, flows: str = "period", exposure: str = "outst
     return sums.select("as_of_date", "gross_loss", "recovery", ratio("gross_loss", "gross_exposure").alias("gross_loss_rate"), ratio(net, "net_exposure").alias("net_loss_rate"), ratio("lag_sum", "lag_weight").alias("recovery_lag_days"))
 
 
-def paydown_prepayment(tape: DataFrame, balance: str = "outstanding_balance", scheduled: str | None = "scheduled_principal_amount") -> DataFrame:
+def paydown_prepayment(tape: DataFrame, balance: str = "outstanding_balance", scheduled: str | None = "scheduled_principal_amount", periods: DataFrame | None = None) -> DataFrame:
     """Paydown and prepayment by pair of periods. A loan that left is paid to zero; a prepayment needs the later row and its
     scheduled principal, over the paydown denominator; without a scheduled field it is unavailable (null)."""
     fields = [balance] + ([scheduled] if scheduled else [])
-    pairs = period_pairs(tape, fields).where(F.col(balance).isNotNull() & (~F.col("found") | F.col(f"{balance}_next").isNotNull()))
+    pairs = period_pairs(tape, fields, periods=periods).where(F.col(balance).isNotNull() & (~F.col("found") | F.col(f"{balance}_next").isNotNull()))
     decline = F.greatest(F.col(balance) - nz(f"{balance}_next"), F.lit(0))
     pre = F.when(F.col("found") & F.col(f"{scheduled}_next").isNotNull(), F.greatest(decline - F.col(f"{scheduled}_next"), F.lit(0))) if scheduled else F.lit(None).cast("decimal(20,2)")
     sums = pairs.groupBy("to_date").agg(total(decline).alias("paydown"), total(pre).alias("prepayment"), total(balance).alias("denominator"), F.count("*").alias("loans"))
@@ -182,10 +183,10 @@ def resolve_entities(tape: DataFrame, entities: DataFrame, field: str = "borrowe
 DRIVERS = ["new_exposure", "exit", "increase", "decrease", "unchanged"]
 
 
-def period_change(tape: DataFrame, segment: str, balance: str = "outstanding_balance") -> DataFrame:
+def period_change(tape: DataFrame, segment: str, balance: str = "outstanding_balance", periods: DataFrame | None = None) -> DataFrame:
     """Change of balance between periods per segment and driver. A loan that changes its segment is an exit in one and new in the other."""
     known = tape.where(F.col(balance).isNotNull())
-    pairs = period_pairs(known, [balance], "full", list(dict.fromkeys([*KEY, segment])))
+    pairs = period_pairs(known, [balance], "full", list(dict.fromkeys([*KEY, segment])), periods=periods)
     change = nz(f"{balance}_next") - nz(balance)
     driver = F.when(~F.col("was"), "new_exposure").when(~F.col("found"), "exit").when(change > 0, "increase").when(change < 0, "decrease").otherwise("unchanged")
     rows = pairs.groupBy("to_date", F.col(segment).alias("segment"), driver.alias("driver")).agg(total(change).alias("amount"), F.count("*").alias("loans"))

@@ -10,7 +10,7 @@ from ..functions.scalars import Bin, category, cohort, entity_token, numeric_bin
 from ..operators import finalize, surveillance, vintage
 from ..operators.stratification import stratify, stratify_live, suppress_flat
 from .registry import query
-from .tape import KEY, PERIODS, tape, with_tape
+from .tape import KEY, PERIODS, periods, tape, with_tape
 
 BINS = [Bin("Current", 0, 30), Bin("30-59", 30, 60), Bin("60-89", 60, 90), Bin("90+", 90, 120)]
 _BAND = "CASE WHEN {0} IS NULL THEN 'Unknown' WHEN {0} >= 0 AND {0} < 30 THEN 'Current' WHEN {0} >= 30 AND {0} < 60 THEN '30-59' WHEN {0} >= 60 AND {0} < 90 THEN '60-89' WHEN {0} >= 90 AND {0} < 120 THEN '90+' ELSE 'Outside' END"
@@ -110,7 +110,7 @@ _LABELS = "('Current', 0), ('30-59', 1), ('60-89', 2), ('90+', 3), ('Unknown', 4
     )
 )
 def a5_roll_cure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surveillance.roll_cure(tape(spark, sf_dir), BINS)
+    return surveillance.roll_cure(tape(spark, sf_dir), BINS, periods=periods(spark))
 
 
 @query(
@@ -121,7 +121,7 @@ def a5_roll_cure(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def a10_rating_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surveillance.rating_migration(tape(spark, sf_dir))
+    return surveillance.rating_migration(tape(spark, sf_dir), periods=periods(spark))
 
 
 def _default_sql(weight: str) -> str:
@@ -134,12 +134,12 @@ def _default_sql(weight: str) -> str:
 
 @query(_default_sql("1"))
 def a6_default_incidence_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surveillance.default_incidence(tape(spark, sf_dir), "count")
+    return surveillance.default_incidence(tape(spark, sf_dir), "count", periods=periods(spark))
 
 
 @query(_default_sql("outstanding_balance"))
 def a6_default_incidence_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surveillance.default_incidence(tape(spark, sf_dir), "balance")
+    return surveillance.default_incidence(tape(spark, sf_dir), "balance", periods=periods(spark))
 
 
 @query(
@@ -184,7 +184,7 @@ def a8_loss_recovery_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT to_date, CAST(pd AS DECIMAL(38,2)) AS paydown, CAST(pp AS DECIMAL(38,2)) AS prepayment, CAST(den AS DECIMAL(38,2)) AS denominator, loans, {_RATIO.format("pd", "den")} AS paydown_rate, {_RATIO.format("pp", "den")} AS prepayment_rate FROM s""")
 )
 def a9_paydown_prepayment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surveillance.paydown_prepayment(tape(spark, sf_dir))
+    return surveillance.paydown_prepayment(tape(spark, sf_dir), periods=periods(spark))
 
 
 @query(
@@ -255,7 +255,7 @@ def a14_herfindahl(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM s CROSS JOIN (SELECT unnest(['new_exposure', 'exit', 'increase', 'decrease', 'unchanged']) AS driver) n LEFT JOIN g ON g.to_date = s.to_date AND g.segment = s.segment AND g.driver = n.driver""")
 )
 def a15_period_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surveillance.period_change(tape(spark, sf_dir), "industry_code")
+    return surveillance.period_change(tape(spark, sf_dir), "industry_code", periods=periods(spark))
 
 
 @query()

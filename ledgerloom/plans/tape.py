@@ -70,3 +70,8 @@ def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_tape(select: str) -> str:
     return f"WITH {TAPE_SQL} {select}"
+
+
+def periods(spark: SparkSession) -> DataFrame:
+    """The dates of the tape, which are known without a scan."""
+    return spark.sql(f"SELECT * FROM (VALUES {_ROWS}) AS t(period_idx, as_of_date)")
