@@ -116,6 +116,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _SAFE = r"replace(replace({0}, '\', '\\'), '<|', '<\|')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LETTERS = rf"list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 _SUFFIX = len(chat.TURN) + len(chat.BODY) + len(chat.END)
 
 ORACLE_SQL: dict[str, str] = {
@@ -131,7 +133,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM rows GROUP BY conv_id""",
     "op7_substring_dedup": r"""
         WITH w AS (
-            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
         win AS (
             SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS passage
             FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13)),
@@ -145,4 +147,28 @@ ORACLE_SQL: dict[str, str] = {
         SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
             sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM w LEFT JOIN kept USING (doc_id)""",
+    "op3_decontaminate": rf"""
+        WITH d AS (SELECT doc_id, {_LETTERS} AS w FROM documents), b AS (SELECT item_id, {_LETTERS} AS w FROM benchmark),
+        item AS (
+            SELECT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+            FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+        place AS (
+            SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s
+            FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM item) WHERE len(w) >= k)),
+        hit AS (SELECT DISTINCT doc_id, item_id, k, i FROM place JOIN item USING (k, s)),
+        word AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY 1),
+        names AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY 1)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(word.n, 0) AS n_hit, coalesce(names.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(word.n, 0) > 0 AS contaminated
+        FROM d LEFT JOIN word USING (doc_id) LEFT JOIN names USING (doc_id)""",
+    "op8_jaccard_join": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+            UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        l AS (
+            SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+            JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+        r(doc_id, reach) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reach)
+        SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(reach) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY 1""",
 }
