@@ -114,14 +114,17 @@ def pack(table: np.ndarray) -> bytes:
     return zlib.compress(table.tobytes(), 1)
 
 
-def tree_sum(tables: DataFrame, kind: type, merge: np.ufunc = np.add) -> np.ndarray:
-    """Sum (or other merge) of equally sized packed tables, one a task, by a tree of tasks: nobody ever holds more than two."""
+def tree_sum(tables: DataFrame, kind: type, size: int, merge: np.ufunc = np.add) -> np.ndarray:
+    """Sum (or other merge) of packed tables of ``size`` values, one a task, by a tree of tasks: nobody ever holds more than two.
+    No table at all gives zeros."""
 
     def both(a: bytes, b: bytes) -> bytes:
+        if not a or not b:
+            return a or b
         return pack(merge(np.frombuffer(zlib.decompress(a), kind), np.frombuffer(zlib.decompress(b), kind)))
 
-    total = tables.rdd.map(lambda r: bytes(r[0])).treeReduce(both, 2)
-    return np.frombuffer(zlib.decompress(total), kind)
+    total = tables.rdd.map(lambda r: bytes(r[0])).treeAggregate(b"", both, both, 2)
+    return np.frombuffer(zlib.decompress(total), kind) if total else np.zeros(size, kind)
 
 
 #: A bitmap has 16 bits a value, but never more than 2**29 (64 MB).
@@ -150,7 +153,7 @@ class Bitmap:
             yield pa.RecordBatch.from_arrays([pa.array([pack(table)], pa.binary())], names=["table"])
 
         self.bits = bits
-        table = tree_sum(values.mapInArrow(mark, "table binary"), np.uint8, np.bitwise_or)
+        table = tree_sum(values.mapInArrow(mark, "table binary"), np.uint8, 1 << bits - 3, np.bitwise_or)
         #: Share of other values that get through.
         self.leak = float(np.unpackbits(table[: 1 << 20]).mean())
         self.table = values.sparkSession.sparkContext.broadcast(table)

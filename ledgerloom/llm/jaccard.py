@@ -7,8 +7,9 @@ shingle under every one of them, and only if lengths and positions leave room fo
 the whole sets.
 
 Equal sets are one node from the start, so copies cost one row per task. Nodes of one token are first linked to that token's
-smallest node (a star, never all pairs); only pairs that are still in different components then are joined with each other,
-which loses no link between components. Rarity comes from a table of fixed size (``DF_BITS``), counted over all documents;
+first few nodes if the token is common (stars, never all pairs); only members that are still in different components then are
+joined with each other, which loses no link between components. Bitmaps of bounded size drop rows early that the joins would
+drop anyway. Rarity comes from a table of fixed size (``DF_BITS``), counted over all documents;
 it only steers the order, results don't depend on it.
 """
 
@@ -18,16 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import no_text, pack, pieces, settle, tree_sum
+from .common import Bitmap, no_text, pack, pieces, settle, tree_sum
 from .components import components
 
 U = np.uint64
-#: The table of shingle frequencies has 2**DF_BITS counters, 8 bytes each: 2 MB, whatever the input.
-DF_BITS = 18
+#: Groups of a token up to this size are joined in full; larger ones start with stars around so many hubs.
+SMALL, HUBS = 32, 16
+#: The table of shingle frequencies has 2**DF_BITS counters, 4 bytes each: 16 MB in a task and 4 MB as classes, whatever the input.
+DF_BITS = 22
 
 
 def shingle_sets(col: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -37,39 +40,46 @@ def shingle_sets(col: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
         for r in range(w.hi - w.lo):
             a, b = int(w.ptr[r]), int(w.ptr[r + 1])
             if b - a >= k:
-                yield w.lo + r, np.unique(whole[a : b - k + 1])
+                v = np.sort(whole[a : b - k + 1])
+                yield w.lo + r, v[np.append(True, v[1:] != v[:-1])]
             elif b > a:
                 yield w.lo + r, K.windows(w.value[a:b], b - a)
             else:
                 yield w.lo + r, np.zeros(0, U)
 
 
+_MASK = (1 << 64) - 1
+
+
 def node_of(values: np.ndarray) -> int:
     """One signed 64-bit value for a set."""
     if not len(values):
         return 0
-    with np.errstate(over="ignore"):
-        x = K.mix(values + U(K.SECOND)).sum(dtype=U) + U(len(values) * K.BASE % (1 << 64))
-    return int(K.mix(np.array([x], U)).view(np.int64)[0])
+    x = (int(K.mix(values + U(K.SECOND)).sum(dtype=U)) + len(values) * K.BASE) & _MASK
+    x = ((x ^ x >> 32) * K.SECOND) & _MASK
+    x ^= x >> 29
+    return x - (1 << 64) if x >> 63 else x
 
 
 def frequencies(rows: DataFrame, k: int) -> np.ndarray:
-    """Counters of shingles over all documents, hashed to 2**DF_BITS; summed by a tree of tasks."""
+    """Counters of shingles over all documents, repeats too, hashed to 2**DF_BITS; summed by a tree of tasks."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << DF_BITS, np.int64)
+        table = np.zeros(1 << DF_BITS, np.uint32)
         for batch in batches:
-            for _, values in shingle_sets(batch.column("text"), k):
-                np.add.at(table, (values >> U(64 - DF_BITS)).astype(np.int64), 1)
+            for w in K.words(batch.column("text"), K.BLANK_WORDS_LOWER):
+                at, _ = K.starts(w.ptr, k)
+                np.add.at(table, (K.windows(w.value, k)[at] >> U(64 - DF_BITS)).astype(np.int64), 1)
         yield pa.RecordBatch.from_arrays([pa.array([pack(table)], pa.binary())], names=["table"])
 
-    return tree_sum(rows.mapInArrow(count, "table binary"), np.int64)
+    return tree_sum(rows.mapInArrow(count, "table binary"), np.uint32, 1 << DF_BITS)
 
 
-def _rank(values: np.ndarray, rarity: np.ndarray, order: int) -> np.ndarray:
-    """Positions of the set in the given global order: by class of rarity, then by a permutation of that order."""
-    kind = rarity[(values >> U(64 - DF_BITS)).astype(np.int64)]
-    return np.lexsort((K.mix(values + U(order * K.SECOND % (1 << 64))), kind))
+def _first(values: np.ndarray, rarity: np.ndarray, order: int, n: int) -> np.ndarray:
+    """The first n of a sorted set in the given global order: by class of rarity, then by a permutation of that order, then by value."""
+    kind = rarity[(values >> U(64 - DF_BITS)).astype(np.int64)].astype(U)
+    key = kind << U(56) | K.mix(values + U(order * K.SECOND % (1 << 64))) >> U(8)
+    return values[np.argsort(key, kind="stable")[:n]]
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -87,7 +97,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), no_text(F.col(text_col)).alias("text"))
     table = frequencies(rows, k)
     # Classes of rarity: doublings over the mean counter, so noise of shared counters doesn't decide.
-    rarity = np.floor(np.log2(np.maximum(table / max(1.0, float(table.mean())), 1.0)) * 2).astype(np.int16)
+    rarity = np.minimum(255, np.floor(np.log2(np.maximum(table / max(1.0, float(table.mean())), 1.0)) * 2)).astype(np.uint8)
     shared_rarity = spark.sparkContext.broadcast(rarity)
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +107,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     members = settle(rows.mapInArrow(nodes, "id long, node long, n_shingles long"), "members")
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tokens(batches: Iterator[pa.RecordBatch], wanted: Bitmap | None) -> Iterator[pa.RecordBatch]:
         rare, seen = shared_rarity.value, set()
         for batch in batches:
             for part in pieces(batch):
@@ -107,85 +117,112 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         continue
                     seen.add(me)
                     p = prefix_length(len(v), percent)
-                    token.append(v[_rank(v, rare, 0)[:p]])
-                    node.append(np.full(p, me, np.int64))
-                    meta.append((np.int64(len(v)) << np.int64(32)) + np.arange(p, dtype=np.int64))
+                    mine = _first(v, rare, 0, p)
+                    place = np.flatnonzero(wanted.may_have(mine)) if wanted else np.arange(p)
+                    token.append(mine[place])
+                    node.append(np.full(len(place), me, np.int64))
+                    meta.append((np.int64(len(v)) << np.int64(32)) + place)
                 if token:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(node)), pa.array(np.concatenate(meta))], names=["token", "node", "meta"])
-
-    found = rows.mapInArrow(tokens, "token long, node long, meta long")
-    hubs = found.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("hi")).where("hub < hi").select("token", "hub")
-    prefixes = settle(found.join(hubs, "token").distinct(), "prefixes")
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    found = [pa.array(np.concatenate(token).view(np.int64))]
+                    if wanted:
+                        found += [pa.array(np.concatenate(node)), pa.array(np.concatenate(meta))]
+                    yield pa.RecordBatch.from_arrays(found, names=["token", "node", "meta"][: len(found)])
+
+    # Tokens that more than one node, or more than one task, has: all others can't link anything.
+    repeated = settle(rows.mapInArrow(lambda b: tokens(b, None), "token long").groupBy("token").count().where("count > 1").select("token"), "repeated")
+    mask = Bitmap(repeated, repeated.count())
+    found = rows.mapInArrow(lambda b: tokens(b, mask), "token long, node long, meta long")
+    prefixes = settle(found.join(repeated, "token").distinct(), "prefixes")
+    groups = settle(prefixes.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "groups")
+
+    def sides(table: DataFrame, *more: str) -> list[DataFrame]:
+        place = [F.shiftright("meta", 32).alias("n"), F.col("meta").bitwiseAND((1 << 32) - 1).alias("p")]
+        both = table.select("token", "node", *place, *more)
+        return [both.select("token", *[F.col(c).alias(f"{c}_{s}") for c in both.columns[1:]]) for s in "ab"]
+
+    # Room for the overlap: sizes near enough, and enough left after the shared place in either set.
+    room = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and (100 + {percent}) * least(n_a - p_a, n_b - p_b) >= {percent} * (n_a + n_b)"
+    pair = [F.col("node_a").alias("a"), F.col("node_b").alias("b")]
+    sized = prefixes.join(groups, "token")
+    small = sides(sized.where(F.col("size") <= SMALL))
+    close = small[0].join(small[1], "token").where(f"node_a < node_b and {room}").select(*pair)
+    # A pair of a large group is made at its first common token alone: there the room is judged, and no copy follows.
+    large = sized.where(F.col("size") > SMALL).drop("size")
+    inside = F.transform(F.sort_array(F.collect_list(F.struct(F.col("meta").bitwiseAND((1 << 32) - 1).alias("p"), "token"))), lambda x: x["token"])
+    large = settle(large.join(large.groupBy("node").agg(inside.alias("large")), "node"), "large")
+    first_common = "token = array_intersect(large_a, large_b)[0]"
+    # The first nodes of a large group are its hubs: Spark keeps no more of them than that in each task before the shuffle.
+    rank = F.row_number().over(Window.partitionBy("token").orderBy("node"))
+    hubs, rest = sides(large.withColumn("rank", rank).where(F.col("rank") <= HUBS).drop("rank"), "large")[0], sides(large, "large")[1]
+    stars = rest.join(hubs, "token").where(f"node_a < node_b and {room} and {first_common}").select(*pair)
+    candidates = settle(close.union(stars).distinct(), "pairs")
+
+    def texts(batches: Iterator[pa.RecordBatch], wanted: Bitmap) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for part in pieces(batch):
-                keep, node = [], []
+                at, node = [], []
                 for i, v in shingle_sets(part.column("text"), k):
                     if len(v) and (me := node_of(v)) not in seen:
                         seen.add(me)
-                        keep.append(i)
+                        at.append(i)
                         node.append(me)
-                if keep:
-                    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), part.column("text").take(pa.array(keep))], names=["node", "text"])
+                ids = np.array(node, np.int64)
+                use = wanted.may_have(ids)
+                if use.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[use]), part.column("text").take(pa.array(np.array(at)[use]))], names=["node", "text"])
 
     def filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = shared_rarity.value
         for batch in batches:
             for part in pieces(batch):
-                size, others = [], []
+                others = []
                 for _, v in shingle_sets(part.column("text"), k):
                     p = prefix_length(len(v), percent)
-                    size.append(len(v))
-                    others.append([(v[_rank(v, rare, o)[:p]] >> U(32)).astype(np.uint32).view(np.int32) for o in range(1, orders)])
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("text"), pa.array(size, pa.int64()), pa.array(others, pa.list_(pa.list_(pa.int32())))], names=["node", "text", "n", "others"])
+                    others.append([(_first(v, rare, o, p) >> U(32)).astype(np.uint32).view(np.int32) for o in range(1, orders)])
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("text"), pa.array(others, pa.list_(pa.list_(pa.int32())))], names=["node", "text", "others"])
 
-    wanted = prefixes.select("node").distinct()
-    unique = rows.mapInArrow(texts, "node long, text string").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    store = settle(unique.mapInArrow(filters, "node long, text string, n long, others array<array<int>>"), "sets")
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for part in pieces(batch):
+                a = part.column("a").to_numpy()
+                ok = np.zeros(len(a), bool)
+                first = np.append(True, a[1:] != a[:-1])
+                sets_a = shingle_sets(part.column("t_a").filter(pa.array(first)), k)
+                for i, ((_, y), new) in enumerate(zip(shingle_sets(part.column("t_b"), k), first, strict=True)):
+                    if new:
+                        held = next(sets_a)[1]
+                    both = len(np.intersect1d(held, y, assume_unique=True))
+                    ok[i] = 100 * both >= percent * (len(held) + len(y) - both)
+                keep = pa.array(ok)
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], names=["a", "b"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs(a, b) those that are linked."""
-        narrow = store.select("node", "n", "others")
-        left, right = (narrow.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("others").alias(f"o_{s}")) for s in "ab")
-        close = pairs.join(left, "a").join(right, "b").where("100 * least(n_a, n_b) >= %d * greatest(n_a, n_b)" % percent)
+        """Of pairs(a, b) those that are linked: the filters of the other orders first, then the whole sets."""
+        wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+        mask = Bitmap(wanted, wanted.count())
+        got = rows.mapInArrow(lambda b: texts(b, mask), "node long, text string").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        store = settle(got.mapInArrow(filters, "node long, text string, others array<array<int>>"), "sets")
+        narrow = [store.select(F.col("node").alias(s), F.col("others").alias(f"o_{s}")) for s in "ab"]
+        left = pairs.join(narrow[0], "a").join(narrow[1], "b")
         for i in range(orders - 1):
-            close = close.where(F.arrays_overlap(F.col("o_a")[i], F.col("o_b")[i]))
-        close = settle(close.select("a", "b"), "candidates")
-        text = store.select("node", "text")
-        both = close.join(text.select(F.col("node").alias("b"), F.col("text").alias("t_b")), "b").join(text.select(F.col("node").alias("a"), F.col("text").alias("t_a")), "a")
-
-        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last, held = None, None
-            for batch in batches:
-                for part in pieces(batch):
-                    a = part.column("a").to_numpy()
-                    ok = np.zeros(len(a), bool)
-                    first = np.append(True, a[1:] != a[:-1])
-                    sets_a = shingle_sets(part.column("t_a").filter(pa.array(first)), k)
-                    for i, ((_, y), new) in enumerate(zip(shingle_sets(part.column("t_b"), k), first, strict=True)):
-                        if new:
-                            last, held = a[i], next(sets_a)[1]
-                        both_n = len(np.intersect1d(held, y, assume_unique=True))
-                        ok[i] = 100 * both_n >= percent * (len(held) + len(y) - both_n)
-                    keep = pa.array(ok)
-                    yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], names=["a", "b"])
-
-        return settle(both.select("a", "b", "t_a", "t_b").mapInArrow(check, "a long, b long"), "verified")
-
-    stars = verified(prefixes.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    label = components(stars)
-    placed = prefixes.join(label, "node", "left").select("token", "node", "meta", F.coalesce("component", "node").alias("component"))
-    open_tokens = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    apart = settle(placed.join(open_tokens, "token", "left_semi"), "apart")
-    side = [apart.select("token", F.col("node").alias(s), F.col("component").alias(f"c_{s}"), F.shiftright("meta", 32).alias(f"n_{s}"), F.col("meta").bitwiseAND((1 << 32) - 1).alias(f"p_{s}")) for s in "ab"]
-    room = "1 + least(n_a - p_a, n_b - p_b) - 1"
-    cross = side[0].join(side[1], "token").where(
-        f"a < b and c_a <> c_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and (100 + {percent}) * ({room}) >= {percent} * (n_a + n_b)"
-    )
-    more = verified(cross.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
-    label = components(stars.union(more))
+            left = left.where(F.arrays_overlap(F.col("o_a")[i], F.col("o_b")[i]))
+        left = settle(left.select("a", "b"), "candidates")
+        text = [store.select(F.col("node").alias(s), F.col("text").alias(f"t_{s}")) for s in "ab"]
+        whole = left.join(text[1], "b").join(text[0], "a").select("a", "b", "t_a", "t_b")
+        return settle(whole.mapInArrow(check, "a long, b long"), "verified")
+
+    links = verified(candidates)
+    label = components(links)
+    # Large groups have only been tried against their hubs. Members that are still apart are tried against each other.
+    placed = large.join(label, "node", "left").select("token", "node", "meta", "large", F.coalesce("component", "node").alias("component"))
+    apart = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    rest = sides(settle(placed.join(apart, "token", "left_semi"), "apart"), "component", "large")
+    cross = rest[0].join(rest[1], "token").where(f"node_a < node_b and component_a <> component_b and {room} and {first_common}").select(*pair)
+    more = settle(cross.join(candidates, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        label = components(links.union(verified(more)))
     named = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.where("n_shingles > 0").groupBy("component").agg(F.min("id").alias("least"))
     full = named.where("n_shingles > 0").join(least, "component").select("id", "n_shingles", F.col("least").alias("component_id"))

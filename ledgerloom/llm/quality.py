@@ -54,7 +54,7 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
                         np.add.at(total, right * DIM + place[left, j], sign[left, j])
         yield pa.RecordBatch.from_arrays([pa.array([pack(total.astype(np.int64))], pa.binary())], names=["table"])
 
-    total = tree_sum(texts.mapInArrow(count, "table binary"), np.int64).reshape(BUCKETS, DIM).astype(np.float64)
+    total = tree_sum(texts.mapInArrow(count, "table binary"), np.int64, BUCKETS * DIM).reshape(BUCKETS, DIM).astype(np.float64)
     return (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
