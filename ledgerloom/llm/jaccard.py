@@ -172,18 +172,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if use.any():
                     yield pa.RecordBatch.from_arrays([pa.array(ids[use]), part.column("text").take(pa.array(np.array(at)[use]))], names=["node", "text"])
 
-    def filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = shared_rarity.value
-        for batch in batches:
-            for part in pieces(batch):
-                others = []
-                for _, v in shingle_sets(part.column("text"), k):
-                    p = prefix_length(len(v), percent)
-                    others.append([(_first(v, rare, o, p) >> U(32)).astype(np.uint32).view(np.int32) for o in range(1, orders)])
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("text"), pa.array(others, pa.list_(pa.list_(pa.int32())))], names=["node", "text", "others"])
+    def prefixes_of(values: np.ndarray) -> list[np.ndarray]:
+        p = prefix_length(len(values), percent)
+        return [_first(values, shared_rarity.value, o, p) for o in range(1, orders)]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, others = None, None
         for batch in batches:
             for part in pieces(batch):
                 a = part.column("a").to_numpy()
@@ -193,8 +187,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for i, ((_, y), new) in enumerate(zip(shingle_sets(part.column("t_b"), k), first, strict=True)):
                     if new:
                         held = next(sets_a)[1]
-                    both = len(np.intersect1d(held, y, assume_unique=True))
-                    ok[i] = 100 * both >= percent * (len(held) + len(y) - both)
+                        others = prefixes_of(held)
+                    # The filters of the other orders intersect: a pair has to pass every one of them.
+                    if all(np.isin(x, z, assume_unique=True).any() for x, z in zip(others, prefixes_of(y), strict=True)):
+                        both = len(np.intersect1d(held, y, assume_unique=True))
+                        ok[i] = 100 * both >= percent * (len(held) + len(y) - both)
                 keep = pa.array(ok)
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], names=["a", "b"])
 
@@ -203,14 +200,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
         mask = Bitmap(wanted, wanted.count())
         got = rows.mapInArrow(lambda b: texts(b, mask), "node long, text string").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-        store = settle(got.mapInArrow(filters, "node long, text string, others array<array<int>>"), "sets")
-        narrow = [store.select(F.col("node").alias(s), F.col("others").alias(f"o_{s}")) for s in "ab"]
-        left = pairs.join(narrow[0], "a").join(narrow[1], "b")
-        for i in range(orders - 1):
-            left = left.where(F.arrays_overlap(F.col("o_a")[i], F.col("o_b")[i]))
-        left = settle(left.select("a", "b"), "candidates")
+        store = settle(got, "sets")
         text = [store.select(F.col("node").alias(s), F.col("text").alias(f"t_{s}")) for s in "ab"]
-        whole = left.join(text[1], "b").join(text[0], "a").select("a", "b", "t_a", "t_b")
+        whole = pairs.join(text[1], "b").join(text[0], "a").select("a", "b", "t_a", "t_b")
         return settle(whole.mapInArrow(check, "a long, b long"), "verified")
 
     links = verified(candidates)
