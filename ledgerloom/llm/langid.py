@@ -2,10 +2,10 @@
 
 Characters are folded to 128 symbols (0: not a letter; 1-26: a-z; the other letters share the rest by a hash of their code
 point), so an n-gram is an exact packed number of 7 bits a symbol and prefixes and suffixes are shifts. Counts come from
-all training rows (or a documented sample of them), summed by Spark; the models of all languages live in one sorted array
+all training rows, summed by Spark; the models of all languages live in one sorted array
 of n-grams per order with a matrix of log probabilities beside it. A text goes to the language of least cross-entropy per
 character. Rejection is calibrated: texts whose best cross-entropy is beyond what the language's own training texts of
-such length reach are marked.
+such length reach are marked. The bounds come from all distinct training texts, in one more pass.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from . import textkernel as K
 from .common import append_columns, no_text
 
 BITS, SYMBOLS, PAD = 7, 128, 4
+#: Cross-entropies are counted in this many classes a bit; a language of fewer distinct texts than LEAST takes wide bounds.
+CLASSES, LEAST = 1024, 20
 OUT = [
     T.StructField("lang_pred", T.StringType()),
     T.StructField("score", T.DoubleType()),
@@ -213,11 +215,50 @@ def predict(model: Model, col: pa.Array, z: float = 12.0) -> dict[str, list]:
     return {"lang_pred": langs, "score": scores, "cross_entropy": ents, "rejected": bad}
 
 
-def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", order: int = 4, calibrate_rows: int = 4000) -> Model | None:
+def _bounds(model: Model, rows: DataFrame) -> None:
+    """Sets mean and spread from all distinct training texts of at least 50 letters.
+
+    A language of fewer than LEAST such texts says little about texts it wasn't fitted on: it takes the median bounds of the
+    other languages, or its own where they are wider. If no language has enough, no text with letters is rejected.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(model)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {x: j for j, x in enumerate(held.value.langs)}
+        for batch in batches:
+            at, lang = 0, np.array([place.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
+            use, bits = [], []
+            for b, letters in cross_entropies(held.value, batch.column("text")):
+                own = lang[at : at + len(b)]
+                some = np.flatnonzero((letters >= 50) & (own >= 0))
+                use.append(at + some)
+                bits.append(np.floor(b[some, own[some]] * CLASSES).astype(np.int64))
+                at += len(b)
+            if use:
+                use = np.concatenate(use)
+                yield pa.RecordBatch.from_arrays([pa.array(lang[use]), batch.column("mark").take(pa.array(use)), pa.array(np.concatenate(bits))], names=["lang", "mark", "bits"])
+
+    # Copies meet by a hash of the text, combined in each task before the shuffle; then only counts of classes are left.
+    each = rows.select("lang", "text", F.xxhash64("text").alias("mark")).mapInArrow(seen, "lang long, mark long, bits long").groupBy("lang", "mark").agg(F.min("bits").alias("bits"))
+    got = each.groupBy("lang", "bits").count().toPandas().sort_values("bits")
+    total = np.zeros(len(model.langs), np.int64)
+    for j, mine in got.groupby("lang"):
+        upto = mine["count"].to_numpy().cumsum()
+        total[j] = upto[-1]
+        low, mid, high = (mine["bits"].to_numpy()[np.searchsorted(upto, q * upto[-1])] / CLASSES for q in (0.25, 0.5, 0.75))
+        model.mean[j], model.spread[j] = mid + 0.5 / CLASSES, max((high - low) / 1.35, 0.05)
+    known = total >= LEAST
+    mean, spread = (np.median(model.mean[known]), np.median(model.spread[known])) if known.any() else (math.log2(SYMBOLS), 1.0)
+    for j in np.flatnonzero(~known):
+        own = (model.mean[j], model.spread[j]) if total[j] else (0.0, 0.0)
+        model.mean[j], model.spread[j] = max(mean, own[0]), max(spread, own[1])
+
+
+def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", order: int = 4) -> Model | None:
     """order: up to PAD. Learn from every row that ``train`` keeps and whose language is not null; None if there is none.
 
     The table of n-grams has at most 128**order rows a language whatever the input (in practice some ten thousand).
-    Rejection bounds come from at most about ``calibrate_rows`` training rows, chosen by a hash of their text.
+    Rejection bounds come from the same rows, equal texts counted once.
     """
     rows = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), no_text(F.col(text_col)).alias("text"))
     got = gram_counts(rows, order).toPandas()
@@ -229,28 +270,7 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str =
         mine = got[got["lang"] == lang].sort_values("gram")
         grams[lang] = (mine["gram"].to_numpy(np.int64).astype(np.uint32), mine["n"].to_numpy(np.int64))
     model = fit_counts(langs, grams, order)
-    total = max(1, rows.count())
-    share = int(min(1.0, calibrate_rows / total) * (1 << 30))
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, lang, bits = 0, batch.column("lang").to_pylist(), []
-            for b, letters in cross_entropies(held.value, batch.column("text")):
-                for i in range(len(b)):
-                    if letters[i] >= 50 and lang[at + i] in held.value.langs:
-                        bits.append((lang[at + i], float(b[i, held.value.langs.index(lang[at + i])])))
-                at += len(b)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in bits], pa.string()), pa.array([x for _, x in bits], pa.float64())], names=["lang", "bits"])
-
-    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share)
-    stats = some.mapInArrow(seen, "lang string, bits double").groupBy("lang").agg(F.percentile("bits", 0.5), F.percentile("bits", F.array(F.lit(0.25), F.lit(0.75)))).collect()
-    for lang, mid, (low, high) in stats:
-        j = langs.index(lang)
-        model.mean[j], model.spread[j] = mid, max((high - low) / 1.35, 0.05)
-    for j in range(len(langs)):
-        if model.mean[j] == 0:  # too few letters to calibrate with
-            model.mean[j] = math.log2(SYMBOLS)
+    _bounds(model, rows)
     return model
 
 

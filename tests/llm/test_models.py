@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,20 @@ def test_equal_texts_score_alike_whatever_their_neighbours(spark):
     assert all(np.isclose(a[k], b[k]) for k in a if a[k] is not None)
 
 
+def test_language_bounds_come_from_all_distinct_texts(spark):
+    """A rare language is calibrated beside a large one, and copies of one text count once."""
+    rng = np.random.default_rng(3)
+    text = lambda words: " ".join(rng.choice(words, 30))
+    en, fr = "the cat and dog sat on this mat with that hat under their house".split(), "le chat et chien sur ce tapis avec cette maison sous notre toit".split()
+    rows = [(text(en), "en") for _ in range(9000)] + [(text(fr), "fr") for _ in range(40)] + [("chat et chien sur ce tapis " * 9, "fr")] * 500 + [("der hund und die katze " * 9, "de")] * 30
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), F.lit(True))
+    de, en_at, fr_at = (model.langs.index(x) for x in ("de", "en", "fr"))
+    assert model.mean[fr_at] < 4 and model.mean[de] < 4 and model.spread[de] < 1
+    bits = np.sort([b[0, fr_at] for t, x in rows[9000:9041] for b, _ in langid.cross_entropies(model, pa.array([t]))])
+    assert abs(model.mean[fr_at] - np.quantile(bits, 0.5)) < 0.01
+    assert model.mean[de] >= np.median(model.mean[[en_at, fr_at]]) - 1e-9
+
+
 def auc(y, s):
     order = pd.Series(s).rank()
     y = np.asarray(y)
