@@ -3,9 +3,10 @@
 Base spans are e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone numbers. Beyond them the corpus says which
 terms give a protected entity away: with ``P(near)`` the share of all terms within ``reach`` words of an entity and
 ``P(near | t)`` that share of the occurrences of term t, t discloses too much if its pointwise mutual information
-``log P(near | t) / P(near)`` is at least ``alpha`` times the information ``-log P(near)`` that the entity itself holds. Joint
-counts are over distinct surroundings, so copies of one text are one witness. Such terms are generalised wherever a text
-holds a protected entity; texts without one stay as they are.
+``log P(near | t) / P(near)`` is at least ``alpha`` times the information ``-log P(near)`` that the entity itself holds. All
+counts are occurrences in distinct texts, so copies of one text are one witness, and ``P(near | t)`` is smoothed by some
+further occurrences at the share ``P(near)``: a rare term that only occurs near entities gives them away, too. Such terms
+are generalised wherever a text holds a protected entity; texts without one stay as they are.
 """
 
 from __future__ import annotations
@@ -103,58 +104,70 @@ def near(start: np.ndarray, end: np.ndarray, spans: list[tuple[str, int, int]],
         yield np.r_[max(0, before - reach) : before, after : min(len(start), after + reach)]
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", reach: int = 4, alpha: float = 0.8, support: int = 5) -> DataFrame:
-    """(term long, share double): hashed terms over the disclosure threshold, from all of ``docs``."""
-    rows = docs.select(no_text(F.col(text_col)).alias("text"))
+def disclosing_terms(docs: DataFrame, text_col: str = "text", reach: int = 4, alpha: float = 0.8, prior: float = 1.0) -> DataFrame:
+    """(term long, share double): hashed terms over the disclosure threshold, from all distinct texts of ``docs``.
+
+    prior: how many occurrences at the common share are added to those of each term.
+    """
+    rows = docs.select(no_text(F.col(text_col)).alias("text")).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         counts: list[np.ndarray] = []
+        joints: list[np.ndarray] = []
         size = 0
 
+        def add(value: np.ndarray, n: int, joint: int) -> None:
+            nonlocal size
+            u, many = np.unique(value, return_counts=True)
+            held.append(u)
+            counts.append(n * many)
+            joints.append(joint * many)
+            size += len(u)
+
         def flush() -> Iterator[pa.RecordBatch]:
-            value, n = np.concatenate(held), np.concatenate(counts)
+            value, n, joint = np.concatenate(held), np.concatenate(counts), np.concatenate(joints)
             u, inv = np.unique(value, return_inverse=True)
-            n = np.bincount(inv, n, len(u)).astype(np.int64)
-            whole = pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n), pa.nulls(len(u), pa.int64())], names=["term", "n", "around"])
+            n, joint = (np.bincount(inv, x, len(u)).astype(np.int64) for x in (n, joint))
+            whole = pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n), pa.array(joint)], names=["term", "n", "joint"])
             for lo in range(0, whole.num_rows, OUT_ROWS):
                 yield whole.slice(lo, OUT_ROWS)
 
         for batch in batches:
             for w in K.words(batch.column("text"), K.LETTER_WORDS):
-                u, n = np.unique(w.value, return_counts=True)
-                held.append(u)
-                counts.append(n)
-                size += len(u)
+                digits = np.concatenate(([0], np.cumsum((w.data >= 48) & (w.data <= 57))))
+                add(w.value[digits[w.end] - digits[w.start] < w.end - w.start], 1, 0)
                 if size > HELD_TERMS:
                     yield from flush()
-                    held, counts, size = [], [], 0
-            term, around = [], []
+                    held, counts, joints, size = [], [], [], 0
+            inside, around = [], []
             for _, text in rows_with_marks(batch.column("text")):
                 spans = base_spans(text)
                 if spans:
                     value, start, end = terms(text, spans)
-                    for at in near(start, end, spans, reach):
-                        own = value[at]
-                        mark = int(K.mix(np.array([np.bitwise_xor.reduce(K.mix(own + np.arange(len(own), dtype=np.uint64)))], np.uint64)).view(np.int64)[0]) if len(own) else 0
-                        term.append(np.unique(own))
-                        around.append(np.full(len(term[-1]), mark, np.int64))
-            if term:
-                t = np.concatenate(term)
-                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.nulls(len(t), pa.int64()), pa.array(np.concatenate(around))], names=["term", "n", "around"])
+                    # What stands in a span is no term: its words are taken off again.
+                    every, _, _ = terms(text, [])
+                    u, n = np.unique(np.concatenate((every, value)), return_counts=True)
+                    own, mine = np.unique(value, return_counts=True)
+                    n[np.searchsorted(u, own)] -= 2 * mine
+                    inside.append(np.repeat(u, n))
+                    around.append(value[np.unique(np.concatenate(list(near(start, end, spans, reach))))])
+            if inside:
+                add(np.concatenate(inside), -1, 0)
+                add(np.concatenate(around), 0, 1)
         if held:
             yield from flush()
 
-    seen = settle(rows.mapInArrow(count, "term long, n long, around long").groupBy("term", "around").agg(F.sum("n").alias("n")), "terms")
-    by_term = seen.groupBy("term").agg(F.sum("n").alias("n"), F.count("around").alias("joint"))
-    all_n, all_joint = seen.agg(F.sum("n"), F.count("around")).first()
+    by_term = settle(rows.mapInArrow(count, "term long, n long, joint long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("joint").alias("joint")), "terms")
+    all_n, all_joint = by_term.agg(F.sum("n"), F.sum("joint")).first()
     if not all_joint or not all_n:
         return by_term.select("term", F.lit(0.0).alias("share")).limit(0)
-    least = min(1.0, all_joint / all_n) ** (1 - alpha)
-    return by_term.where(F.col("joint") >= support).select("term", (F.col("joint") / F.col("n")).alias("share")).where(F.col("share") >= least)
+    common = all_joint / all_n
+    share = (F.col("joint") + F.lit(prior * common)) / (F.col("n") + F.lit(prior))
+    return by_term.where("joint > 0").select("term", share.alias("share")).where(F.col("share") >= common ** (1 - alpha))
 
 
-def sanitise(docs: DataFrame, text_col: str = "text", reach: int = 4, alpha: float = 0.8, support: int = 5, block_terms: int = 1_000_000) -> DataFrame:
+def sanitise(docs: DataFrame, text_col: str = "text", reach: int = 4, alpha: float = 0.8, prior: float = 1.0, block_terms: int = 1_000_000) -> DataFrame:
     """All rows and columns of ``docs`` with spans (kind, start, end; code points; base kinds first, then term) and clean_text
     (spans replaced by their kind; overlapping ones by the first).
 
@@ -162,7 +175,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", reach: int = 4, alpha: flo
     passes, never fewer terms.
     """
     spark = docs.sparkSession
-    found = settle(disclosing_terms(docs, text_col, reach, alpha, support), "disclosing")
+    found = settle(disclosing_terms(docs, text_col, reach, alpha, prior), "disclosing")
     blocks = max(1, -(-found.count() // block_terms))
     work = docs
     for n in range(blocks):

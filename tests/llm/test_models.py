@@ -135,6 +135,19 @@ def test_sanitising_terms_that_give_entities_away(spark):
     assert pii.sanitise(docs.limit(0)).count() == 0
 
 
+def test_disclosure_counts_distinct_texts_and_keeps_rare_names(spark):
+    filler = [f"plain words on page {i} about {'abcdefghij'[i % 10]} and more plain words without any mark at all " * 3 for i in range(60)]
+    mine = [f"Ana{'x' * i} writes {'uvwxyz'[i]} here Zorro a{i}@b.org and goes on with plain words about more words" for i in range(6)]
+    once = "so far plain words and then Quasimodo q@b.org and again plain words about more"
+    texts = [*filler, *mine, once, *[mine[0]] * 2000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.text: r.clean_text for r in pii.sanitise(docs).collect()}
+    assert all("[TERM] [EMAIL]" in out[t] and "plain" in out[t] for t in mine)
+    assert "[TERM] [EMAIL]" in out[once] and out[filler[0]] == filler[0]
+    terms = {r.term: r.share for r in pii.disclosing_terms(docs).collect()}
+    assert all(0 < s <= 1 for s in terms.values())
+
+
 def test_raking_meets_the_marginals():
     rng = np.random.default_rng(0)
     codes = np.array([(a, b, c) for a in range(4) for b in range(3) for c in range(5)])
