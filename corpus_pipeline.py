@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, langid, mixing, pii
 from ledgerloom.llm.common import scratch
-from ledgerloom.llm.jaccard import jaccard_groups
+from ledgerloom.llm.jaccard import jaccard_groups, row_mark
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,11 +21,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id (one row, if that is repeated)."""
-    groups = jaccard_groups(docs)
-    kept = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
-    return rows.groupBy(F.col("doc_id")).agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
+    """One document of each group stays: the one with the smallest id (null last), then mark of the text; documents without
+    words are alone. Only rows that are equal in id and text become one."""
+    key = [F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__none"), F.col("mark").alias("__mark")]
+    groups = jaccard_groups(docs, by_row=True).select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark").alias("row"))
+    first = groups.where("root is not null").groupBy("root").agg(F.min("row").alias("row")).select("row.*")
+    kept = first.union(groups.where("root is null").select("row.*")).select(*key).distinct()
+    rows = docs.withColumn("mark", row_mark(F.col("text"))).select(*key, *COLUMNS)
+    rows = rows.groupBy("__id", "__none", "__mark").agg(F.min(F.struct(*COLUMNS)).alias("r"))
+    return rows.join(kept, ["__id", "__none", "__mark"], "left_semi").select("r.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
@@ -86,12 +86,20 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, orders: int = 3) -> DataFrame:
+def row_mark(text: Column) -> Column:
+    """A 64-bit value of a text; null is not the empty text."""
+    return F.xxhash64(text, text.isNull())
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, orders: int = 3, by_row: bool = False) -> DataFrame:
     """(id, n_shingles long, component_id): groups of documents that are linked, directly or over others, by
     ``100 * intersection >= percent * union`` of their shingle sets.
 
     component_id is the smallest id of the group; a document without words is alone. A null id is the largest: it takes
     the smallest other id of its group, and stays null alone. Repeated rows are links like any others.
+
+    by_row: also mark (``row_mark`` of the text, which with the id tells rows of unlike texts apart) and root, a value of the
+    group itself (null for documents without words), as several groups may have one id or none.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), no_text(F.col(text_col)).alias("text"))
@@ -100,12 +108,16 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rarity = np.minimum(255, np.floor(np.log2(np.maximum(table / max(1.0, float(table.mean())), 1.0)) * 2)).astype(np.uint8)
     shared_rarity = spark.sparkContext.broadcast(rarity)
 
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def nodes(batches: Iterator[pa.RecordBatch], more: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(node_of(v), len(v)) for _, v in shingle_sets(batch.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["id", "node", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), *(batch.column(c) for c in more)], names=["id", "node", "n_shingles", *more])
 
-    members = settle(rows.mapInArrow(nodes, "id long, node long, n_shingles long"), "members")
+    if by_row:
+        marked = docs.select(F.col(id_col).cast("long").alias("id"), no_text(F.col(text_col)).alias("text"), row_mark(F.col(text_col)).alias("mark"))
+        members = settle(marked.mapInArrow(lambda b: nodes(b, ("mark",)), "id long, node long, n_shingles long, mark long"), "members")
+    else:
+        members = settle(rows.mapInArrow(nodes, "id long, node long, n_shingles long"), "members")
 
     def tokens(batches: Iterator[pa.RecordBatch], wanted: Bitmap | None) -> Iterator[pa.RecordBatch]:
         rare, seen = shared_rarity.value, set()
@@ -217,6 +229,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         label = components(links.union(verified(more)))
     named = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.where("n_shingles > 0").groupBy("component").agg(F.min("id").alias("least"))
-    full = named.where("n_shingles > 0").join(least, "component").select("id", "n_shingles", F.col("least").alias("component_id"))
-    alone = named.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
+    more = ["mark", F.col("component").alias("root")] if by_row else []
+    full = named.where("n_shingles > 0").join(least, "component").select("id", "n_shingles", F.col("least").alias("component_id"), *more)
+    more = ["mark", F.lit(None).cast("long").alias("root")] if by_row else []
+    alone = named.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"), *more)
     return full.union(alone).withColumnRenamed("id", id_col)

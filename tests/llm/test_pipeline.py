@@ -32,3 +32,14 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     spark.createDataFrame([(1, "nothing of this")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = cp.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} <= {1, None} and len(out) <= 2
+
+
+def test_near_duplicates_lose_no_unlike_document(spark):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [(None, text("a"), "en"), (None, text("b"), "en"), (None, text("b"), "en"), (1, text("c"), "en"), (1, text("d"), "fr"), (1, text("d"), "fr")]
+    rows += [(2, text("c") + " more", "en"), (3, text("e"), "en"), (None, text("e") + " more", "en"), (4, "", "en"), (4, None, "en"), (5, "", "en")]
+    docs = spark.createDataFrame([(i, t, x, "s", 1) for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.near_duplicates(spark, docs, SF)
+    assert got.columns == cp.COLUMNS
+    want = [(None, text("a")), (None, text("b")), (1, text("c")), (1, text("d")), (3, text("e")), (4, ""), (4, None), (5, "")]
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.text)) for r in got.collect())
