@@ -312,13 +312,13 @@ def s1_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_ORDERS_TEXT)
 def s2_json_array_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrays of some hundred objects, one array a line of a text file each."""
+    """Arrays of at most 512 neighbouring objects, one array a line of a text file, however many rows there are."""
     path = _folder(spark)
     rows = _orders_text(spark, sf_dir)
-    part = F.pmod(F.xxhash64("o_orderkey"), F.lit(16))
-    arrays = rows.groupBy(part.alias("p")).agg(F.to_json(F.collect_list(F.struct(*_COLS))).alias("value"))
-    arrays.repartition(16, "p").select("value", "p").write.partitionBy("p").text(path)
-    return tapes.read_json_array(spark, path, _COLS)
+    part = F.shiftright(F.monotonically_increasing_id(), 9)
+    arrays = rows.select(*_COLS, part.alias("p")).groupBy("p").agg(F.to_json(F.collect_list(F.struct(*_COLS))).alias("value"))
+    arrays.select("value").write.text(path)
+    return tapes.read_json_array(spark, path, _COLS, by_line=True)
 
 
 @query(_ORDERS_TEXT)

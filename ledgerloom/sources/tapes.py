@@ -21,10 +21,10 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return reader.csv(path)
 
 
-def read_json_array(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Files that hold one array of flat objects. Values must be text, whole numbers, booleans or null; a fractional number
+def read_json_array(spark: SparkSession, path: str, columns: list[str], by_line: bool = False) -> DataFrame:
+    """Files that hold one array of flat objects, or one a line. Values must be text, whole numbers, booleans or null; a fractional number
     ends the run, as it would lose digits."""
-    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+    whole = spark.read.text(path, wholetext=not by_line).select(F.parse_json("value").alias("v"))
     rows = whole.select(F.explode(F.col("v").try_cast("array<variant>")).alias("r"))
     return _flat(rows, columns)
 
