@@ -201,10 +201,10 @@ def facility_state(components: DataFrame, usage: DataFrame, policy: Policy, scop
 
 
 def scenario_collateral(collateral: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Each record once per scenario with its values scaled. scenarios: (scenario_id, collateral_class, value_multiplier), few rows;
+    """Each record once per scenario with its values scaled. scenarios: (scenario_id, collateral_class, value_multiplier);
     classes without a row keep their values."""
-    names = F.broadcast(scenarios.select("scenario_id").distinct().limit(10_000))
-    each = collateral.crossJoin(names).join(F.broadcast(scenarios.limit(100_000)), ["scenario_id", "collateral_class"], "left")
+    names = scenarios.select("scenario_id").distinct()
+    each = collateral.crossJoin(names).join(scenarios, ["scenario_id", "collateral_class"], "left")
     by = F.coalesce(F.col("value_multiplier").cast(M), lit(1))
     return each.withColumn("gross_value", (money("gross_value") * by).cast(M)).withColumn("basis_value", (money("basis_value") * by).cast(M)).drop("value_multiplier")
 

@@ -196,7 +196,7 @@ def top_values(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     counted = unpivot_text(df, columns).where("value is not null").groupBy("field", "value").agg(F.count("*").alias("n"))
     whole = counted.groupBy("field").agg(F.sum("n").alias("whole"))
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(F.col("n").desc(), "value"))).where(F.col("rank") <= k)
-    return ranked.join(F.broadcast(whole.limit(10_000)), "field").select("field", "rank", "value", "n", ratio("n", "whole").alias("share"))
+    return ranked.join(F.broadcast(whole), "field").select("field", "rank", "value", "n", ratio("n", "whole").alias("share"))
 
 
 def drift(before: DataFrame, after: DataFrame, null_share: float = 0.05) -> DataFrame:

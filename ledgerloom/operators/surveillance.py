@@ -20,7 +20,7 @@ def with_index(tape: DataFrame) -> DataFrame:
     """Adds period_idx: the rank of the date among the distinct dates, which are few."""
     dates = tape.select("as_of_date").distinct()
     ranked = dates.withColumn("period_idx", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("as_of_date")) - 1)
-    return tape.drop("period_idx").join(F.broadcast(ranked.limit(10_000)), "as_of_date")
+    return tape.drop("period_idx").join(F.broadcast(ranked), "as_of_date")
 
 
 def period_pairs(tape: DataFrame, fields: list[str], how: str = "left", key: list[str] = KEY, periods: DataFrame | None = None) -> DataFrame:
@@ -37,7 +37,7 @@ def period_pairs(tape: DataFrame, fields: list[str], how: str = "left", key: lis
         first = F.broadcast(dates.agg(F.min("period_idx").alias("__first")))
         nxt = nxt.crossJoin(first).where("pair > __first").drop("__first")
     joined = now.join(nxt, [*key, "pair"], how)
-    named = joined.join(F.broadcast(dates.select(F.col("period_idx").alias("pair"), F.col("as_of_date").alias("to_date")).limit(10_000)), "pair")
+    named = joined.join(F.broadcast(dates.select(F.col("period_idx").alias("pair"), F.col("as_of_date").alias("to_date"))), "pair")
     return named.withColumn("found", F.coalesce("__b", F.lit(False))).withColumn("was", F.coalesce("__a", F.lit(False))).drop("__a", "__b")
 
 
