@@ -186,8 +186,9 @@ class Page:
     pixels: bytes
 
 
-def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
-    """(byte order, tags) of each image directory; a chain that turns back on itself ends with an error."""
+def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple | None]]]:
+    """(byte order, tags; None where a value is out of range) of each image directory; a chain that turns back on itself ends
+    with an error."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack(f"{order}H", data[2:4])[0] != 42:
         raise ValueError("not a TIFF header")
@@ -205,14 +206,22 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
             if kind in FIELD:
                 code = f"{order}{count}{FIELD[kind]}"
                 where = at + 10 + 12 * i
-                if struct.calcsize(code) > 4:
-                    (where,) = struct.unpack_from(f"{order}I", data, where)
-                tags[tag] = struct.unpack_from(code, data, where)
+                try:
+                    if struct.calcsize(code) > 4:
+                        (where,) = struct.unpack_from(f"{order}I", data, where)
+                    tags[tag] = struct.unpack_from(code, data, where)
+                except struct.error:
+                    tags[tag] = None
         yield order, tags
         (at,) = struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)
 
 
-def decode(data: bytes, order: str, tags: dict[int, tuple]) -> Page:
+USED = [WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES]
+
+
+def decode(data: bytes, order: str, tags: dict[int, tuple | None]) -> Page:
+    if lost := [tag for tag in USED if tag in tags and not tags[tag]]:
+        raise ValueError(f"no value of tag {lost[0]}")
     one = lambda tag, default=None: tags.get(tag, (default,))[0]
     width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
     bits, predictor = one(BITS, 1), one(PREDICTOR, 1)
@@ -302,8 +311,8 @@ def tiff_pages(media: DataFrame, media_col: str = "media") -> DataFrame:
     """One row per page: the other columns of ``media``, then page (from 0), width, height, bits, samples, compression,
     predictor, pixels (samples in row order, interleaved, in the file's byte order), look and error.
 
-    Null or empty media give no row. What can't be decoded gives one row with the error in place of the pixels, after the
-    pages that could be read. Columns with the names of the new ones are replaced.
+    Null or empty media give no row. A page that can't be decoded gives its row with the error in place of the pixels, and the
+    pages after it are read; a broken chain of directories ends the file with such a row. Columns with the names of the new ones are replaced.
     """
     kept = without(media, [f.name for f in PAGE if f.name.lower() != media_col.lower()])
     rest = [c for c in kept.columns if c != media_col]
@@ -336,15 +345,22 @@ def tiff_pages(media: DataFrame, media_col: str = "media") -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
+FAILURES = (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error)
+
+
 def _rows(data: bytes) -> Iterator[tuple]:
     n = 0
     try:
         for order, tags in directories(data):
-            p = decode(data, order, tags)
-            yield n, p.width, p.height, p.bits, p.samples, p.compression, p.predictor, p.pixels, look_of(p), None
+            try:
+                p = decode(data, order, tags)
+                row = p.width, p.height, p.bits, p.samples, p.compression, p.predictor, p.pixels, look_of(p), None
+            except FAILURES as e:
+                row = *[None] * 8, f"{type(e).__name__}: {e}"
+            yield n, *row
             n += 1
-    except (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error) as e:
-        yield n, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"
+    except FAILURES as e:
+        yield n, *[None] * 8, f"{type(e).__name__}: {e}"
 
 
 #: How a payload is stored, by its crc32 modulo 4: (scheme, predictor, tile).

@@ -65,6 +65,27 @@ def test_tiff_pages_and_damage(spark):
     assert {r.id for r in out} == {1, 2, 5, 6} and all(r.error for r in out if r.id in (5, 6))
 
 
+def test_tiff_pages_after_one_that_cannot_be_decoded():
+    images = [np.full((2, 5), i, np.uint16) for i in range(4)]
+    good, _ = big_endian_pages(images)
+    at, places = struct.unpack(">I", good[4:8])[0], []
+    while at:
+        places.append(at)
+        (n,) = struct.unpack_from(">H", good, at)
+        (at,) = struct.unpack_from(">I", good, at + 2 + 12 * n)
+
+    def entry(page: int, tag: int) -> int:
+        (n,) = struct.unpack_from(">H", good, places[page])
+        return next(places[page] + 2 + 12 * i for i in range(n) if struct.unpack_from(">H", good, places[page] + 2 + 12 * i)[0] == tag)
+
+    bad = bytearray(good)
+    struct.pack_into(">H", bad, entry(1, tiff.COMPRESSION) + 8, 7)
+    struct.pack_into(">II", bad, entry(2, tiff.STRIP_OFFSETS) + 4, 9, 1 << 30)
+    rows = list(tiff._rows(bytes(bad)))
+    assert [r[0] for r in rows] == [0, 1, 2, 3] and [r[-1] is None for r in rows] == [True, False, False, True]
+    assert np.array_equal(np.frombuffer(rows[3][7], ">u2").reshape(2, 5), images[3])
+
+
 def test_tiff_floating_predictor():
     x = np.random.default_rng(0).random((3, 5)).astype("<f4")
     planes = np.swapaxes(x.astype(">f4").view(np.uint8).reshape(3, 5, 4), 1, 2).reshape(3, -1)
