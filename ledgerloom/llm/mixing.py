@@ -21,6 +21,8 @@ from .common import append_columns, without
 
 #: Cells up to this many are raked on the driver (some MB); more are raked by Spark in the same way.
 MAX_CELLS = 100_000
+#: Raking ends when no marginal is off by more than this, or after so many rounds.
+ROUNDS, TOLERANCE = 200, 1e-10
 DIMS = ["source", "lang", "topic"]
 NONE = "∅"
 
@@ -49,7 +51,7 @@ def smoothed(tokens: dict[str, float], power: float) -> dict[str, float]:
     return {k: v / total for k, v in raised.items()}
 
 
-def rake(codes: np.ndarray, tokens: np.ndarray, targets: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-10) -> np.ndarray:
+def rake(codes: np.ndarray, tokens: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """codes: cells x dimensions; targets: one array of shares per dimension. Shares of cells after raking, sum 1."""
     share = tokens / max(tokens.sum(), 1e-300)
     for _ in range(rounds):
@@ -90,6 +92,8 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, pow
     marked = without(with_topics(docs, text_col=text_col), ["weight", "probability", "selected"])
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE)) if c in marked.columns else F.lit(NONE)
     keyed = marked.select("*", *[name(d).alias(f"__{d}") for d in DIMS])
+    # Documents without words belong to no cell; their ids keep them apart in a shuffle.
+    keyed = keyed.withColumn("__topic", F.when(F.col("n_tokens") > 0, F.col("__topic")).otherwise(F.concat(F.lit(NONE), F.col(id_col).cast("string"))))
     cells = keyed.where("n_tokens > 0").groupBy(*[f"__{d}" for d in DIMS]).agg(F.sum("n_tokens").alias("tokens"))
     rated = _cell_table(cells, targets or {}, power, keep)
     out = keyed.join(rated, [f"__{d}" for d in DIMS], "left")
@@ -123,8 +127,9 @@ def _cell_table(cells: DataFrame, targets: dict[str, dict[str, float]], power: f
     return F.broadcast(spark.createDataFrame(rows, SCHEMA))
 
 
-def _rake_by_spark(cells: DataFrame, targets: dict[str, dict[str, float]], power: float, keep: float, rounds: int = 20) -> DataFrame:
-    """The same for any number of cells: each step is one grouped sum and one join; the common factor is found by bisection."""
+def _rake_by_spark(cells: DataFrame, targets: dict[str, dict[str, float]], power: float, keep: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """The same for any number of cells: each step is one grouped sum and one join, each round is settled and tested; the cells
+    that are drawn in full are found by bisection, the common factor of the others follows from them."""
     from .common import settle
 
     spark = cells.sparkSession
@@ -141,18 +146,36 @@ def _rake_by_spark(cells: DataFrame, targets: dict[str, dict[str, float]], power
             raw = present.select(key, F.pow("s", F.lit(power)).alias("t"))
         whole = raw.agg(F.sum("t")).first()[0] or 1.0
         wanted[key] = settle(raw.select(key, (F.col("t") / F.lit(whole)).alias("t")), "targets")
+    whole = 1.0
     for _ in range(rounds):
+        now = now.withColumn("share", F.col("share") / F.lit(whole)).withColumn("off", F.lit(0.0))
         for key in keys:
-            factor = now.groupBy(key).agg(F.sum("share").alias("s")).join(wanted[key], key).select(key, F.when(F.col("s") > 0, F.col("t") / F.col("s")).otherwise(0.0).alias("f"))
-            now = now.join(factor, key).withColumn("share", F.col("share") * F.col("f")).drop("f")
+            factor = now.groupBy(key).agg(F.sum("share").alias("s")).join(wanted[key], key).select(key, F.when(F.col("s") > 0, F.col("t") / F.col("s")).otherwise(0.0).alias("f"), F.when(F.col("s") > 0, F.abs(F.col("s") - F.col("t"))).otherwise(0.0).alias("o"))
+            now = now.join(factor, key).withColumn("share", F.col("share") * F.col("f")).withColumn("off", F.greatest("off", "o")).drop("f", "o")
         now = settle(now, "cells")
-    rated = now.withColumn("__w", F.col("share") * F.lit(total) / F.col("tokens"))
-    low, high = 0.0, 1.0
-    spent = lambda c: rated.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(c) * F.col("__w")))).first()[0]
-    most = spent(1e300)
-    while spent(high) < min(keep * total, most) * (1 - 1e-9) and high < 1e18:
-        low, high = high, high * 8
-    for _ in range(40):
-        mid = (low + high) / 2
-        low, high = (mid, high) if spent(mid) < keep * total else (low, mid)
-    return rated.select(*keys, "__w", F.least(F.lit(1.0), F.lit(high) * F.col("__w")).alias("__p"))
+        worst, whole = now.agg(F.max("off"), F.sum("share")).first()
+        whole = max(whole, 1e-300)
+        if worst < tolerance:
+            break
+    rated = settle(now.withColumn("__w", F.col("share") / F.lit(whole) * F.lit(total) / F.col("tokens")), "rated")
+    weighed = rated.where(F.col("__w") > 0)
+    most, product, least = weighed.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("__w")), F.min("__w")).first()
+    budget = keep * total
+    if budget >= (most or 0):
+        return rated.select(*keys, "__w", F.when(F.col("__w") > 0, 1.0).otherwise(0.0).alias("__p"))
+
+    def drawn(c: float) -> tuple[int, float, float]:
+        """With the factor c: number and tokens of the cells that are drawn in full, sum of tokens times weight of the others."""
+        full = F.lit(c) * F.col("__w") >= 1
+        return tuple(weighed.agg(F.count_if(full), F.sum(F.when(full, F.col("tokens")).otherwise(0)).cast("double"), F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("__w")))).first())
+
+    low, high = budget / product, 1 / least
+    few, many = drawn(low), drawn(high)
+    while few[0] != many[0] and low < (mid := low**0.5 * high**0.5) < high:
+        now_drawn = drawn(mid)
+        if now_drawn[1] + mid * now_drawn[2] < budget:
+            low, few = mid, now_drawn
+        else:
+            high, many = mid, now_drawn
+    c = (budget - few[1]) / few[2] if few[2] > 0 else high
+    return rated.select(*keys, "__w", F.least(F.lit(1.0), F.lit(c) * F.col("__w")).alias("__p"))

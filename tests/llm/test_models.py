@@ -184,6 +184,27 @@ def test_mix_by_spark_equals_mix_by_numpy(spark, monkeypatch):
 ORIGINAL = mixing._rake_by_spark
 
 
+def test_mix_is_the_same_on_both_sides_of_the_switch(spark, monkeypatch):
+    """Cells that need 25 rounds, and a budget that draws some of them in full."""
+    tokens = {("a", "en"): 50, ("a", "fr"): 10, ("b", "en"): 8, ("b", "fr"): 60}
+    docs = spark.createDataFrame([(i, "word " * n, s, x) for i, ((s, x), n) in enumerate(tokens.items())], "doc_id long, text string, source string, lang string")
+    targets = {"source": {"a": 0.6, "b": 0.4}, "lang": {"en": 0.45, "fr": 0.55}}
+    a = {r.doc_id: (r.weight, r.probability, r.selected) for r in mixing.mix(docs, targets).collect()}
+    monkeypatch.setattr(mixing, "MAX_CELLS", 3)
+    b = {r.doc_id: (r.weight, r.probability, r.selected) for r in mixing.mix(docs, targets).collect()}
+    assert np.allclose([a[k][:2] for k in a], [b[k][:2] for k in a], rtol=5e-9, atol=0) and all(a[k][2] == b[k][2] for k in a)
+    assert max(p for _, p, _ in a.values()) == 1 and min(p for _, p, _ in a.values()) < 1
+
+
+def test_documents_without_words_belong_to_no_cell(spark):
+    docs = spark.createDataFrame([(i, "" if i % 2 else "alpha " * 9, "en", "s") for i in range(60)], "doc_id long, text string, lang string, source string")
+    topic = mixing.with_topics(docs).where("n_tokens > 0").first().topic
+    word = next(w for w in (f"w{i}" for i in range(99)) if mixing.with_topics(spark.createDataFrame([(w,)], "text string")).first().topic == "t0") if topic != "t0" else "alpha"
+    out = mixing.mix(docs.withColumn("text", F.regexp_replace("text", "alpha", word)), keep=0.3).collect()
+    assert all(r.weight == 1 and r.probability == 1 and r.selected for r in out if r.n_tokens == 0)
+    assert any(r.probability < 0.5 for r in out if r.n_tokens)
+
+
 def test_mix_edge_cases(spark):
     rows = [(1, "a b", "en", "s", 5), (2, None, None, None, 5), (3, "", "en", "s", 5), (3, "", "en", "s", 5), (None, "c d e", "fr", None, 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic int")
