@@ -38,16 +38,15 @@ def stateful_cases(stream: DataFrame, series: list[str], bound: float, reset: fl
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         points = pd.concat(list(batches)).sort_values(["as_of_date", "point_id"])
-        is_open, cleared = state.get if state.exists else (False, None)
-        case = CaseState(bound, reset, cooldown_days, is_open, cleared)
+        case = CaseState(bound, reset, cooldown_days, *(state.get if state.exists else ()))
         points["transition"] = [case.step(d, None if pd.isna(v) else v) for d, v in zip(points["as_of_date"], points["value"], strict=True)]
-        state.update((case.is_open, case.cleared))
+        state.update((case.is_open, case.triggered, case.cleared))
         yield points[[*series, "as_of_date", "point_id", "value", "transition"]]
 
     kinds = dict(stream.dtypes)
     out = ", ".join(f"{c} {kinds[c]}" for c in [*series, "as_of_date", "point_id"]) + ", value double, transition string"
     rows = stream.select(*series, "as_of_date", "point_id", F.col("value").cast("double").alias("value"))
-    return rows.groupBy(*series).applyInPandasWithState(step, out, "is_open boolean, cleared date", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(*series).applyInPandasWithState(step, out, "is_open boolean, triggered date, cleared date", "append", GroupStateTimeout.NoTimeout)
 
 
 def upsert_sink(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str) -> StreamingQuery:
