@@ -117,7 +117,8 @@ class Policy:
     #: (reserve_id, formula): fixed, percentage (basis), amount_above (basis, threshold, rate), sum (args).
     reserves: list[tuple[str, dict]]
     commitment: str
-    #: (trigger_id, metric excess|utilisation, threshold, block): strictly below for excess, strictly above for utilisation.
+    #: (trigger_id, metric excess|overadvance|utilisation, threshold, amount blocked or ``cash_dominion``): strictly below for excess,
+    #: strictly above for the others.
     triggers: list[tuple[str, str, str, str]] = field(default_factory=list)
 
 
@@ -137,10 +138,10 @@ def _per_class(policy: Policy, name: str, default: str | None) -> Column:
     return out
 
 
-def component_base(collateral: DataFrame, policy: Policy, scope: list[str]) -> DataFrame:
+def component_base(collateral: DataFrame, policy: Policy, scope: list[str], levers: DataFrame | None = None) -> DataFrame:
     """Per class: gross, eligible before the cap, concentration excess, eligible, advanced and contribution.
 
-    Groups are summed first (rows without a group are one); each group's cap is its tier's share of the class.
+    levers: per scope and class what ``reprice`` takes. Groups are summed first (rows without a group are one); each group's cap is its tier's share of the class.
     """
     rows = collateral.where("eligible").withColumn("concentration_group", F.coalesce("concentration_group", F.lit("Ungrouped")))
     groups = rows.groupBy(*scope, "collateral_class", "concentration_group").agg(F.sum(money("basis_value")).cast(M).alias("g"))
@@ -154,7 +155,7 @@ def component_base(collateral: DataFrame, policy: Policy, scope: list[str]) -> D
     gross = collateral.groupBy(*scope, "collateral_class").agg(F.sum(money("gross_value")).cast(M).alias("gross"))
     out = gross.join(eligible, [*scope, "collateral_class"], "left").na.fill(0, ["pre_concentration", "concentration_excess"])
     out = out.withColumn("eligible", (F.col("pre_concentration") - F.col("concentration_excess")).cast(M))
-    return reprice(out.withColumn("rate_override", F.lit(None).cast(M)), policy).drop("rate_override")
+    return reprice(out if levers is None else out.join(levers, [*scope, "collateral_class"], "left"), policy)
 
 
 def reserve_amount(formula: dict, depth: int = 1) -> Column:
@@ -173,9 +174,13 @@ def reserve_amount(formula: dict, depth: int = 1) -> Column:
     raise ValueError(f"unknown reserve {kind}")
 
 
-def facility_state(components: DataFrame, usage: DataFrame, policy: Policy, scope: list[str]) -> DataFrame:
-    """One row per scope: contributions, reserves, capacity before and after blocks, usage, excess and overadvance. Triggers see
-    the capacity before any block; with no capacity the utilisation is 1 if anything is used, else 0."""
+def facility_state(components: DataFrame, usage: DataFrame, policy: Policy, scope: list[str], levers: DataFrame | None = None) -> DataFrame:
+    """One row per scope: contributions, reserves, capacity before and after blocks, usage, excess, overadvance and cash dominion.
+
+    Triggers see the capacity before any block; with no capacity the utilisation is 1 if anything is used, else 0.
+    levers: per scope, where given, commitment_override, reserve_delta (added), extra_block (added), and for a reserve r the amount
+    ``override_<r>`` in its place or ``waived_<r>``.
+    """
     classes = [c.collateral_class for c in policy.components]
     measures = ("gross", "eligible", "contribution")
     wide = components.groupBy(*scope).agg(
@@ -184,29 +189,58 @@ def facility_state(components: DataFrame, usage: DataFrame, policy: Policy, scop
     )
     used = usage.groupBy(*scope).agg(F.sum(money("amount")).cast(M).alias("usage"))
     row = wide.join(used, scope, "left").withColumn("usage", F.coalesce("usage", lit(0)).cast(M))
-    row = row.withColumn("reserves", reduce(lambda a, b: (a + b).cast(M), [reserve_amount(f) for _, f in policy.reserves], lit(0)))
-    before = F.least(F.greatest(F.col("contribution") - F.col("reserves"), lit(0)), lit(policy.commitment)).cast(M)
+    row = row if levers is None else row.join(levers, scope, "left")
+    lever = lambda name, kind, default: F.coalesce(F.col(name).cast(kind), default) if name in row.columns else default
+    reserves = lever("reserve_delta", M, lit(0))
+    for name, formula in policy.reserves:
+        amount = lever(f"override_{name}", M, reserve_amount(formula))
+        reserves = (reserves + F.when(lever(f"waived_{name}", "boolean", F.lit(False)), lit(0)).otherwise(amount)).cast(M)
+    row = row.withColumn("reserves", reserves)
+    before = F.least(F.greatest(F.col("contribution") - F.col("reserves"), lit(0)), lever("commitment_override", M, lit(policy.commitment))).cast(M)
     row = row.withColumn("capacity_before_blocks", before).withColumn("excess_before_blocks", (before - F.col("usage")).cast(M))
     share = F.when(F.col("capacity_before_blocks") > 0, ratio("usage", "capacity_before_blocks")).otherwise(F.when(F.col("usage") > 0, 1.0).otherwise(0.0))
     row = row.withColumn("utilisation", share)
-    blocks, fired = lit(0), []
-    for name, metric, bound, block in policy.triggers:
-        hit = (F.col("excess_before_blocks") < lit(bound)) if metric == "excess" else (F.col("utilisation") > float(bound))
-        blocks = (blocks + F.when(hit, lit(block)).otherwise(lit(0))).cast(M)
+    blocks, fired, dominion = lever("extra_block", M, lit(0)), [], F.lit(False)
+    for name, metric, bound, action in policy.triggers:
+        excess = F.col("excess_before_blocks")
+        hit = {"excess": excess < lit(bound), "overadvance": F.greatest(-excess, lit(0)) > lit(bound), "utilisation": F.col("utilisation") > float(bound)}[metric]
+        if action == "cash_dominion":
+            dominion = dominion | hit
+        else:
+            blocks = (blocks + F.when(hit, lit(action)).otherwise(lit(0))).cast(M)
         fired.append(F.when(hit, name))
-    row = row.withColumn("blocks", blocks).withColumn("triggers", F.array_join(F.array_compact(F.array(*fired)), ",") if fired else F.lit(""))
+    row = row.withColumn("blocks", blocks).withColumn("triggers", F.array_join(F.array_compact(F.array(*fired)), ",") if fired else F.lit("")).withColumn("cash_dominion", dominion)
     capacity = F.greatest(F.col("capacity_before_blocks") - F.col("blocks"), lit(0)).cast(M)
     net = (capacity - F.col("usage")).cast(M)
     return row.withColumn("capacity", capacity).withColumn("excess", net).withColumn("overadvance", F.greatest(-net, lit(0)).cast(M))
 
 
 def scenario_collateral(collateral: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """Each record once per scenario with its values scaled. scenarios: (scenario_id, collateral_class, value_multiplier);
-    classes without a row keep their values."""
+    """Each record once per scenario with its eligible basis scaled; gross values stay. scenarios: (scenario_id, collateral_class,
+    value_multiplier); classes without a row, or with a null in it, keep their values."""
     names = scenarios.select("scenario_id").distinct()
-    each = collateral.crossJoin(names).join(scenarios, ["scenario_id", "collateral_class"], "left")
-    by = F.coalesce(F.col("value_multiplier").cast(M), lit(1))
-    return each.withColumn("gross_value", (money("gross_value") * by).cast(M)).withColumn("basis_value", (money("basis_value") * by).cast(M)).drop("value_multiplier")
+    each = collateral.crossJoin(names).join(scenarios.where("collateral_class is not null").select("scenario_id", "collateral_class", money("value_multiplier").alias("__by")), ["scenario_id", "collateral_class"], "left")
+    return each.withColumn("basis_value", (money("basis_value") * F.coalesce("__by", lit(1))).cast(M)).drop("__by")
+
+
+def run_scenarios(collateral: DataFrame, usage: DataFrame, policy: Policy, scope: list[str], scenarios: DataFrame, assumptions: DataFrame) -> DataFrame:
+    """``facility_state`` under every scenario, each beside its difference from the unchanged state (``<metric>_change``).
+
+    scenarios: scenario_id, reserve_delta, commitment_override (null keeps the policy's). assumptions: scenario_id,
+    collateral_class, value_multiplier, rate_multiplier (null keeps). Value multipliers scale the eligible basis alone, and since the
+    caps are shares of tiers of that basis, records are scaled before they are summed. A scenario is one more copy of the
+    collateral, so their number is a factor of the work; Spark sends the small tables to the tasks by itself.
+    """
+    more = ["scenario_id", *scope]
+    named = scenarios.select("scenario_id", money("reserve_delta").alias("reserve_delta"), money("commitment_override").alias("commitment_override"))
+    each = scenario_collateral(collateral, named.join(assumptions.select("scenario_id", "collateral_class", "value_multiplier"), "scenario_id", "left"))
+    priced = assumptions.select("scenario_id", "collateral_class", money("rate_multiplier").alias("rate_multiplier"))
+    bases = component_base(each, policy, more, each.select(*more).distinct().join(priced, "scenario_id"))
+    state = facility_state(bases, usage.crossJoin(named.select("scenario_id")), policy, more, each.select(*more).distinct().join(named, "scenario_id"))
+    metrics = ["contribution", "reserves", "capacity", "excess", "overadvance"]
+    before = facility_state(component_base(collateral, policy, scope), usage, policy, scope).select(*scope, *[F.col(m).alias(f"was_{m}") for m in metrics])
+    both = state.join(before, scope)
+    return both.select(*state.columns, *[(F.col(m) - F.col(f"was_{m}")).cast(M).alias(f"{m}_change") for m in metrics])
 
 
 def compare_states(left: DataFrame, right: DataFrame, scope: list[str], metrics: list[str]) -> DataFrame:
@@ -220,10 +254,16 @@ def compare_states(left: DataFrame, right: DataFrame, scope: list[str], metrics:
     return both.withColumn("variance", (F.col("right_value") - F.col("left_value")).cast(M))
 
 
-def submitted_ties(certificates: DataFrame) -> DataFrame:
-    """Borrower certificates whose own figures tie: capacity = contributions - reserves - blocks, excess = capacity - usage."""
-    capacity = (money("contribution") - money("reserves") - money("blocks")).cast(M)
-    return certificates.withColumn("capacity_ties", F.greatest(capacity, lit(0)) == money("capacity")).withColumn("excess_ties", money("excess") == (money("capacity") - money("usage")).cast(M))
+def submitted_states(certificates: DataFrame, commitment: Column | str) -> DataFrame:
+    """Certificates of borrowers (contribution, reserves, blocks, capacity, usage, excess) with whether their own figures tie:
+    capacity is contributions less reserves, at most the commitment, less blocks; excess is capacity less usage. Adds
+    expected_capacity, capacity_ties, excess_ties and overadvance; one that doesn't tie must not be used."""
+    bound = commitment if isinstance(commitment, Column) else lit(commitment)
+    left = F.least(F.greatest(money("contribution") - money("reserves"), lit(0)), bound)
+    expected = F.greatest(left - money("blocks"), lit(0)).cast(M)
+    out = certificates.withColumn("expected_capacity", expected)
+    ties = out.withColumn("capacity_ties", F.col("expected_capacity") == money("capacity")).withColumn("excess_ties", money("excess") == (money("capacity") - money("usage")).cast(M))
+    return ties.withColumn("overadvance", F.greatest(-money("excess"), lit(0)).cast(M))
 
 
 def covenants(tests: DataFrame) -> DataFrame:
@@ -239,16 +279,40 @@ def ticklers(items: DataFrame, as_of: Column, soon_days: int = 30) -> DataFrame:
     return items.withColumn("status", status)
 
 
-def adjusted_rates(components: DataFrame, adjustments: DataFrame, as_of: Column, scope: list[str]) -> DataFrame:
-    """Active rate overrides (inclusive end) beside each class; ``active_conflicts`` shows targets with more than one."""
-    active = adjustments.where((F.col("effective_from") <= as_of) & (F.col("effective_to").isNull() | (as_of <= F.col("effective_to"))))
-    one = active.where("kind = 'rate_override'").groupBy(*scope, F.col("target").alias("collateral_class")).agg(F.max("value").alias("rate_override"))
-    return components.join(one, [*scope, "collateral_class"], "left")
+FAMILIES = {"advance_rate_override": "rate", "component_sublimit_override": "sublimit", "component_sublimit_waiver": "sublimit", "reserve_override": "reserve", "reserve_waiver": "reserve"}
+
+
+def _active(adjustments: DataFrame, as_of: Column) -> DataFrame:
+    on = adjustments.where((F.col("effective_from") <= as_of) & (F.col("effective_to").isNull() | (as_of <= F.col("effective_to"))))
+    return on.withColumn("family", F.element_at(F.create_map(*[F.lit(x) for kv in [*FAMILIES.items(), ("availability_block", "block")] for x in kv]), F.col("kind")))
 
 
 def active_conflicts(adjustments: DataFrame, as_of: Column, scope: list[str]) -> DataFrame:
-    active = adjustments.where((F.col("effective_from") <= as_of) & (F.col("effective_to").isNull() | (as_of <= F.col("effective_to"))))
-    return active.groupBy(*scope, "kind", "target").count().where("count > 1")
+    """Targets with more than one active adjustment of a family; blocks add up and never conflict. Must be empty."""
+    return _active(adjustments, as_of).where("family <> 'block'").groupBy(*scope, "family", "target").count().where("count > 1")
+
+
+def adjustment_levers(adjustments: DataFrame, as_of: Column, policy: Policy, scope: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(levers of ``component_base``, levers of ``facility_state``) of the adjustments active on a day (inclusive end).
+
+    kinds: advance_rate_override, component_sublimit_override and _waiver (target: a class), reserve_override and _waiver (target: a
+    reserve), availability_block. Two active ones for one target end the run.
+    """
+    on = _active(adjustments, as_of)
+    of = lambda kind, name: F.max(F.when((F.col("kind") == kind) & (F.col("target") == name) if name else F.col("kind") == kind, money("value")))
+    is_on = lambda kind, name: F.coalesce(F.bool_or((F.col("kind") == kind) & ((F.col("target") == name) if name else F.lit(True))), F.lit(False))
+    by_class = on.where(F.col("family").isin("rate", "sublimit")).groupBy(*scope, F.col("target").alias("collateral_class")).agg(
+        of("advance_rate_override", None).alias("rate_override"), of("component_sublimit_override", None).alias("sublimit_override"), is_on("component_sublimit_waiver", None).alias("sublimit_waived"),
+        F.count_if(F.col("family") == "rate").alias("rates"), F.count_if(F.col("family") == "sublimit").alias("sublimits"),
+    )
+    names = [n for n, _ in policy.reserves]
+    by_scope = on.where(F.col("family").isin("reserve", "block")).groupBy(*scope).agg(
+        F.coalesce(F.sum(F.when(F.col("family") == "block", money("value"))), lit(0)).cast(M).alias("extra_block"),
+        *[x for n in names for x in (of("reserve_override", n).alias(f"override_{n}"), is_on("reserve_waiver", n).alias(f"waived_{n}"), F.count_if((F.col("family") == "reserve") & (F.col("target") == n)).alias(f"n_{n}"))],
+    )
+    one = lambda n, c: F.when(n > 1, F.raise_error(F.lit("several active adjustments for one target"))).otherwise(F.col(c)).alias(c)
+    classes = by_class.select(*scope, "collateral_class", one(F.col("rates"), "rate_override"), one(F.col("sublimits"), "sublimit_override"), "sublimit_waived")
+    return classes, by_scope.select(*scope, "extra_block", *[x for n in names for x in (one(F.col(f"n_{n}"), f"override_{n}"), F.col(f"waived_{n}"))])
 
 
 def collateral_violations(collateral: DataFrame, classes: list[str]) -> DataFrame:
@@ -280,7 +344,12 @@ def as_amounts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def reprice(components: DataFrame, policy: Policy) -> DataFrame:
-    """advanced and contribution from eligible, by rate_override where there is one."""
-    rate = F.coalesce(F.col("rate_override").cast(M), _per_class(policy, "advance_rate", None))
+    """advanced and contribution from eligible. Where these columns are given and not null: rate_override in place of the
+    policy's rate, rate_multiplier on it (a rate over 1 ends the run), sublimit_override, sublimit_waived."""
+    has = lambda c, kind, default: F.coalesce(F.col(c).cast(kind), default) if c in components.columns else default
+    rate = (has("rate_override", M, _per_class(policy, "advance_rate", None)) * has("rate_multiplier", "decimal(10,6)", lit(1).cast("decimal(10,6)"))).cast(M)
+    rate = F.when(rate > 1, F.raise_error(F.lit("an advance rate exceeds 1")).cast(M)).otherwise(rate)
+    limit = F.when(~has("sublimit_waived", "boolean", F.lit(False)), has("sublimit_override", M, _per_class(policy, "sublimit", None)))
     out = components.withColumn("advanced", (F.col("eligible") * rate).cast(M))
-    return out.withColumn("contribution", F.least("advanced", F.coalesce(_per_class(policy, "sublimit", None), F.col("advanced"))).cast(M))
+    out = out.withColumn("contribution", F.least("advanced", F.coalesce(limit, F.col("advanced"))).cast(M))
+    return out.drop("rate_override", "rate_multiplier", "sublimit_override", "sublimit_waived")

@@ -98,7 +98,7 @@ POLICY = b.Policy(
     components=[b.Component("AR", "0.85", None, [("8000000", "0.5"), (None, "0.2")]), b.Component("inventory", "0.5", "7000000"), b.Component("equipment", "0.4"), b.Component("cash", "1")],
     reserves=[("fixed", {"kind": "fixed", "amount": "100000"}), ("nested", {"kind": "sum", "args": [{"kind": "percentage", "basis": "contribution", "rate": "0.02"}, {"kind": "amount_above", "basis": "AR_eligible", "threshold": "2000000", "rate": "0.1"}]})],
     commitment="60000000",
-    triggers=[("low-excess", "excess", "2000000", "500000"), ("high-use", "utilisation", "0.75", "0")],
+    triggers=[("low-excess", "excess", "2000000", "500000"), ("high-use", "utilisation", "0.75", "0"), ("over", "overadvance", "1000000", "cash_dominion")],
 )
 
 
@@ -107,7 +107,11 @@ def collateral(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return spark.sql(f"WITH {_COLLATERAL} SELECT * FROM collateral"), spark.sql(f"WITH {_COLLATERAL} SELECT * FROM usage")
 
 
-def _component_sql(keys: str, source: str = "collateral", rate: str = "CASE collateral_class WHEN 'AR' THEN 0.85 WHEN 'inventory' THEN 0.50 WHEN 'equipment' THEN 0.40 ELSE 1.00 END") -> str:
+_RATE = "CASE collateral_class WHEN 'AR' THEN 0.85 WHEN 'inventory' THEN 0.50 WHEN 'equipment' THEN 0.40 ELSE 1.00 END"
+_LIMIT = "CASE collateral_class WHEN 'inventory' THEN 7000000 END"
+
+
+def _component_sql(keys: str, source: str = "collateral", rate: str = _RATE, sublimit: str = _LIMIT) -> str:
     k = keys
     return f"""
     g AS (SELECT {k}, collateral_class, COALESCE(concentration_group, 'Ungrouped') AS cg, CAST(SUM(CAST(basis_value AS DECIMAL(24,6))) AS DECIMAL(24,6)) AS g FROM {source} WHERE eligible GROUP BY ALL),
@@ -117,17 +121,20 @@ def _component_sql(keys: str, source: str = "collateral", rate: str = "CASE coll
     gr AS (SELECT {k}, collateral_class, SUM(CAST(gross_value AS DECIMAL(24,6))) AS gross FROM {source} GROUP BY ALL),
     c1 AS (SELECT gr.*, COALESCE(pre_concentration, 0) AS pre_concentration, COALESCE(concentration_excess, 0) AS concentration_excess FROM gr LEFT JOIN el USING ({k}, collateral_class)),
     c2 AS (SELECT *, CAST(pre_concentration - concentration_excess AS DECIMAL(24,6)) AS eligible FROM c1),
-    c3 AS (SELECT *, CAST(CAST(eligible AS DECIMAL(28,6)) * CAST({rate} AS DECIMAL(4,2)) AS DECIMAL(24,6)) AS advanced FROM c2),
-    comp AS (SELECT *, CASE WHEN collateral_class = 'inventory' THEN least(advanced, 7000000) ELSE advanced END AS contribution FROM c3)"""
+    c3 AS (SELECT *, CAST(CAST(eligible AS DECIMAL(28,6)) * CAST({rate} AS DECIMAL(6,4)) AS DECIMAL(24,6)) AS advanced FROM c2),
+    comp AS (SELECT *, least(advanced, COALESCE({sublimit}, advanced)) AS contribution FROM c3)"""
+
 
+_NESTED = "ROUND(contribution * CAST(0.02 AS DECIMAL(3,2)), 6) + ROUND(greatest(ar - 2000000, 0) * CAST(0.1 AS DECIMAL(2,1)), 6)"
 
-def _state_sql(keys: str) -> str:
+
+def _state_sql(keys: str, reserves: str = f"100000 + {_NESTED}", commitment: str = "60000000", block: str = "0", levers: str = "") -> str:
     return f"""
     f1 AS (SELECT {keys}, SUM(contribution) AS contribution, SUM(CASE WHEN collateral_class = 'AR' THEN eligible ELSE 0 END) AS ar FROM comp GROUP BY ALL),
-    f2 AS (SELECT f1.*, COALESCE(amount, 0) AS usage, 100000 + ROUND(contribution * CAST(0.02 AS DECIMAL(3,2)), 6) + ROUND(greatest(ar - 2000000, 0) * CAST(0.1 AS DECIMAL(2,1)), 6) AS reserves FROM f1 LEFT JOIN usage USING (facility_id)),
-    f3 AS (SELECT *, least(greatest(contribution - reserves, 0), 60000000) AS before FROM f2),
+    f2 AS (SELECT f1.*, COALESCE(amount, 0) AS usage, {reserves} AS reserves, {commitment} AS commitment, {block} AS extra FROM f1 LEFT JOIN usage USING (facility_id) {levers}),
+    f3 AS (SELECT *, least(greatest(contribution - reserves, 0), commitment) AS before FROM f2),
     f4 AS (SELECT *, CASE WHEN before > 0 THEN CAST(usage AS DOUBLE) / CAST(before AS DOUBLE) WHEN usage > 0 THEN 1.0 ELSE 0.0 END AS util FROM f3),
-    f5 AS (SELECT *, CASE WHEN before - usage < 2000000 THEN 500000 ELSE 0 END AS blocks, concat_ws(',', CASE WHEN before - usage < 2000000 THEN 'low-excess' END, CASE WHEN util > 0.75 THEN 'high-use' END) AS triggers FROM f4),
+    f5 AS (SELECT *, extra + CASE WHEN before - usage < 2000000 THEN 500000 ELSE 0 END AS blocks, usage - before > 1000000 AS cash_dominion, concat_ws(',', CASE WHEN before - usage < 2000000 THEN 'low-excess' END, CASE WHEN util > 0.75 THEN 'high-use' END, CASE WHEN usage - before > 1000000 THEN 'over' END) AS triggers FROM f4),
     f6 AS (SELECT *, greatest(before - blocks, 0) AS capacity FROM f5)"""
 
 
@@ -140,57 +147,97 @@ def b7_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(b.component_base(rows, POLICY, SCOPE), _COMP)
 
 
-_STATE = "CAST(ROUND(contribution, 1) AS DECIMAL(38,1)) AS contribution, CAST(ROUND(reserves, 1) AS DECIMAL(38,1)) AS reserves, CAST(ROUND(capacity, 1) AS DECIMAL(38,1)) AS capacity, CAST(ROUND(capacity - usage, 1) AS DECIMAL(38,1)) AS excess, CAST(ROUND(greatest(usage - capacity, 0), 1) AS DECIMAL(38,1)) AS overadvance, CAST(blocks AS DECIMAL(38,1)) AS blocks, triggers, ROUND(util, 6) AS utilisation"
+_STATE = "CAST(ROUND(contribution, 1) AS DECIMAL(38,1)) AS contribution, CAST(ROUND(reserves, 1) AS DECIMAL(38,1)) AS reserves, CAST(ROUND(capacity, 1) AS DECIMAL(38,1)) AS capacity, CAST(ROUND(capacity - usage, 1) AS DECIMAL(38,1)) AS excess, CAST(ROUND(greatest(usage - capacity, 0), 1) AS DECIMAL(38,1)) AS overadvance, CAST(blocks AS DECIMAL(38,1)) AS blocks, triggers, cash_dominion, ROUND(util, 6) AS utilisation"
+
 
+_STATE_COLUMNS = ["contribution", "reserves", "capacity", "excess", "overadvance", "blocks", "triggers", "cash_dominion", "utilisation"]
 
-def _state_out(df: DataFrame) -> DataFrame:
-    for c in ["contribution", "reserves", "capacity", "excess", "overadvance", "blocks"]:
-        df = df.withColumn(c, F.round(c, 1).cast("decimal(38,1)"))
-    return df.withColumn("utilisation", F.round("utilisation", 6))
+
+def _state_out(df: DataFrame, *keys: str) -> DataFrame:
+    tenth = lambda c: F.round(c, 1).cast("decimal(38,1)").alias(c)
+    rest = [tenth(c) for c in df.columns if c.endswith("_change")]
+    return df.select(*keys, *[tenth(c) for c in _STATE_COLUMNS[:6]], "triggers", "cash_dominion", F.round("utilisation", 6).alias("utilisation"), *rest)
 
 
 @query(f"WITH {_COLLATERAL},{_component_sql('facility_id')},{_state_sql('facility_id')} SELECT facility_id, {_STATE} FROM f6")
 def b9_b12_facility_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, usage = collateral(spark, sf_dir)
     state = b.facility_state(b.component_base(rows, POLICY, SCOPE), usage, POLICY, SCOPE)
-    return _state_out(state.select("facility_id", "contribution", "reserves", "capacity", "excess", "overadvance", "blocks", "triggers", "utilisation"))
+    return _state_out(state, "facility_id")
 
 
-_SCENARIOS = [("base", "AR", "1"), ("ar-down", "AR", "0.7"), ("all-down", "AR", "0.8"), ("all-down", "inventory", "0.5"), ("all-down", "equipment", "0.6")]
+#: scenario, class, value multiplier, rate multiplier; and scenario, reserve delta, commitment.
+_ASSUMED = [("ar-down", "AR", "0.7", None), ("all-down", "AR", "0.8", "0.9"), ("all-down", "inventory", "0.5", None), ("all-down", "equipment", None, "1.5")]
+_SCENARIOS = [("same", "0", None), ("ar-down", "0", None), ("all-down", "250000", "20000000"), ("more-room", "0", "90000000")]
+_SQL = lambda v: "NULL" if v is None else f"'{v}'"
+_CHANGES = ", ".join(f"CAST(ROUND(({x}) - ({y}), 1) AS DECIMAL(38,1)) AS {m}_change" for m, x, y in [(m, f"s.{m}", f"b.{m}") for m in ("contribution", "reserves", "capacity")] + [("excess", "s.capacity - s.usage", "b.capacity - b.usage"), ("overadvance", "greatest(s.usage - s.capacity, 0)", "greatest(b.usage - b.capacity, 0)")])
 
 
 @query(
-    f"""WITH {_COLLATERAL}, m AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{c}', CAST({v} AS DECIMAL(24,6)))" for a, c, v in _SCENARIOS)}) AS t(scenario_id, collateral_class, m)), n AS (SELECT DISTINCT scenario_id FROM m),
-    sc AS (SELECT c.facility_id, c.record_id, c.collateral_class, c.eligible, c.concentration_group, n.scenario_id, CAST(CAST(gross_value AS DECIMAL(24,6)) * CAST(COALESCE(m, 1) AS DECIMAL(4,1)) AS DECIMAL(24,6)) AS gross_value, CAST(CAST(basis_value AS DECIMAL(24,6)) * CAST(COALESCE(m, 1) AS DECIMAL(4,1)) AS DECIMAL(24,6)) AS basis_value
-        FROM collateral c CROSS JOIN n LEFT JOIN m ON m.scenario_id = n.scenario_id AND m.collateral_class = c.collateral_class),
-    {_component_sql("scenario_id, facility_id", "sc")},{_state_sql("scenario_id, facility_id")} SELECT scenario_id, facility_id, {_STATE} FROM f6"""
+    f"""WITH {_COLLATERAL}, m AS (SELECT scenario_id, collateral_class, CAST(v AS DECIMAL(4,2)) AS v, CAST(r AS DECIMAL(4,2)) AS r FROM (VALUES {", ".join(f"({', '.join(map(_SQL, x))})" for x in _ASSUMED)}) AS t(scenario_id, collateral_class, v, r)),
+    n AS (SELECT scenario_id, CAST(d AS DECIMAL(24,6)) AS delta, CAST(c AS DECIMAL(24,6)) AS promise FROM (VALUES {", ".join(f"({', '.join(map(_SQL, x))})" for x in _SCENARIOS)}) AS t(scenario_id, d, c)),
+    base AS (WITH {_component_sql("facility_id")},{_state_sql("facility_id")} SELECT * FROM f6),
+    sc AS (SELECT c.* EXCLUDE (basis_value), n.scenario_id, CAST(CAST(basis_value AS DECIMAL(24,6)) * COALESCE(m.v, CAST(1 AS DECIMAL(4,2))) AS DECIMAL(24,6)) AS basis_value FROM collateral c CROSS JOIN n LEFT JOIN m ON m.scenario_id = n.scenario_id AND m.collateral_class = c.collateral_class),
+    {_component_sql("scenario_id, facility_id", "sc", f"CAST({_RATE} AS DECIMAL(4,2)) * COALESCE((SELECT r FROM m WHERE m.scenario_id = c2.scenario_id AND m.collateral_class = c2.collateral_class), CAST(1 AS DECIMAL(4,2)))")},
+    {_state_sql("scenario_id, facility_id", f"n.delta + 100000 + {_NESTED}", "COALESCE(n.promise, 60000000)", "0", "JOIN n USING (scenario_id)")}
+    SELECT s.scenario_id, s.facility_id, {_STATE.replace("ROUND(", "ROUND(s.").replace("ROUND(s.capacity - usage", "ROUND(s.capacity - s.usage").replace("ROUND(s.greatest(usage - capacity", "ROUND(greatest(s.usage - s.capacity").replace("CAST(blocks", "CAST(s.blocks").replace(" triggers, cash_dominion", " s.triggers, s.cash_dominion")}, {_CHANGES} FROM f6 s JOIN base b USING (facility_id)"""
 )
 def b17_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, usage = collateral(spark, sf_dir)
-    scenarios = spark.createDataFrame(_SCENARIOS, "scenario_id string, collateral_class string, value_multiplier string")
-    scope = ["scenario_id", "facility_id"]
-    each = usage.crossJoin(scenarios.select("scenario_id").distinct())
-    state = b.facility_state(b.component_base(b.scenario_collateral(rows, scenarios), POLICY, scope), each, POLICY, scope)
-    return _state_out(state.select(*scope, "contribution", "reserves", "capacity", "excess", "overadvance", "blocks", "triggers", "utilisation"))
+    assumed = spark.createDataFrame(_ASSUMED, "scenario_id string, collateral_class string, value_multiplier string, rate_multiplier string")
+    scenarios = spark.createDataFrame(_SCENARIOS, "scenario_id string, reserve_delta string, commitment_override string")
+    return _state_out(b.run_scenarios(rows, usage, POLICY, SCOPE, scenarios, assumed), "scenario_id", "facility_id")
+
+
+def adjustments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Governed adjustments of every kind, on some facilities each; one has ended before the day and one only begins."""
+    n = F.col("n_nationkey")
+    made = [("advance_rate_override", "AR", "0.9", n % 2 == 0), ("component_sublimit_override", "inventory", "2000000", n % 3 == 0), ("component_sublimit_waiver", "inventory", None, n % 3 == 1), ("reserve_override", "fixed", "350000", n % 4 == 1), ("reserve_waiver", "nested", None, n % 4 == 2), ("availability_block", None, "125000", n % 5 == 0), ("availability_block", None, "75000", n % 10 == 0)]
+    each = F.array_compact(F.array(*[F.when(on, F.struct(F.lit(k).alias("kind"), F.lit(t).cast("string").alias("target"), F.lit(v).cast("string").alias("value"))) for k, t, v, on in made]))
+    day = lambda d: F.lit(d).cast("date")
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    live = nations.select(F.concat(F.lit("F"), n.cast("string")).alias("facility_id"), F.explode(each).alias("a")).select("facility_id", "a.*", day("1999-01-01").alias("effective_from"), day("1999-12-31").alias("effective_to"))
+    off = nations.select(F.concat(F.lit("F"), n.cast("string")).alias("facility_id"), F.lit("advance_rate_override").alias("kind"), F.lit("AR").alias("target"), F.lit("0.1").alias("value"), F.when(n % 2 == 0, day("1998-01-01")).otherwise(day("2000-01-01")).alias("effective_from"), F.when(n % 2 == 0, day("1999-12-30")).alias("effective_to"))
+    return live.union(off)
+
+
+_N = "CAST(substr(facility_id, 2) AS INT)"
+_METRICS = ["contribution", "reserves", "blocks", "capacity", "excess", "overadvance"]
 
 
 @query(
-    f"""WITH {_COLLATERAL},{_component_sql('facility_id')}, adj AS (SELECT *, CAST(CAST(eligible AS DECIMAL(28,6)) * CASE WHEN collateral_class = 'AR' AND CAST(substr(facility_id, 2) AS INT) % 2 = 0 THEN CAST(0.90 AS DECIMAL(4,2)) WHEN collateral_class = 'AR' THEN CAST(0.85 AS DECIMAL(4,2)) WHEN collateral_class = 'inventory' THEN CAST(0.50 AS DECIMAL(4,2)) WHEN collateral_class = 'equipment' THEN CAST(0.40 AS DECIMAL(4,2)) ELSE CAST(1.00 AS DECIMAL(4,2)) END AS DECIMAL(24,6)) AS adv2 FROM comp),
-    s AS (SELECT facility_id, SUM(contribution) AS l, SUM(CASE WHEN collateral_class = 'inventory' THEN least(adv2, 7000000) ELSE adv2 END) AS r, SUM(eligible) AS e FROM adj GROUP BY 1)
-    SELECT facility_id, 'contribution' AS metric, CAST(ROUND(r - l, 1) AS DECIMAL(38,1)) AS variance FROM s UNION ALL SELECT facility_id, 'eligible', 0 FROM s"""
+    f"""WITH {_COLLATERAL}, l AS (WITH {_component_sql("facility_id")},{_state_sql("facility_id")} SELECT *, capacity - usage AS excess, greatest(usage - capacity, 0) AS overadvance FROM f6),
+    r AS (WITH {_component_sql("facility_id", "collateral", f"CASE WHEN collateral_class = 'AR' AND {_N} % 2 = 0 THEN 0.90 ELSE {_RATE} END", f"CASE WHEN collateral_class = 'inventory' AND {_N} % 3 = 0 THEN 2000000 WHEN collateral_class = 'inventory' AND {_N} % 3 = 2 THEN 7000000 END")},
+        {_state_sql("facility_id", f"CASE WHEN {_N} % 4 = 1 THEN 350000 ELSE 100000 END + CASE WHEN {_N} % 4 = 2 THEN 0 ELSE {_NESTED} END", "60000000", f"CASE WHEN {_N} % 5 = 0 THEN 125000 ELSE 0 END + CASE WHEN {_N} % 10 = 0 THEN 75000 ELSE 0 END")} SELECT *, capacity - usage AS excess, greatest(usage - capacity, 0) AS overadvance FROM f6)
+    {" UNION ALL ".join(f"SELECT facility_id, '{m}' AS metric, CAST(ROUND(l.{m}, 1) AS DECIMAL(38,1)) AS left_value, CAST(ROUND(r.{m}, 1) AS DECIMAL(38,1)) AS right_value, CAST(ROUND(r.{m} - l.{m}, 1) AS DECIMAL(38,1)) AS variance FROM l JOIN r USING (facility_id)" for m in _METRICS)}"""
 )
 def b11_b14_adjusted_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An active rate override in every other facility against the system's state."""
-    rows, _ = collateral(spark, sf_dir)
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey % 2 = 0")
-    day = lambda d: F.lit(d).cast("date")
-    over = nations.select(F.concat(F.lit("F"), F.col("n_nationkey").cast("string")).alias("facility_id"), F.lit("rate_override").alias("kind"), F.lit("AR").alias("target"), F.lit("0.9").cast("decimal(24,6)").alias("value"), day("1999-01-01").alias("effective_from"), day("1999-12-31").alias("effective_to"))
-    policy = b.Policy(POLICY.components, POLICY.reserves, POLICY.commitment, POLICY.triggers)
-    system = b.component_base(rows, policy, SCOPE)
-    raw = b.adjusted_rates(system.drop("advanced", "contribution"), over, day("1999-12-31"), SCOPE)
-    adjusted = b.reprice(raw, policy)
-    whole = lambda df: df.groupBy(*SCOPE).agg(F.sum("contribution").alias("contribution"), F.sum("eligible").alias("eligible"))
-    return b.compare_states(whole(system), whole(adjusted), SCOPE, ["contribution", "eligible"]).select("facility_id", "metric", F.round("variance", 1).cast("decimal(38,1)").alias("variance"))
+    """The state under all governed adjustments against the system's own."""
+    rows, usage = collateral(spark, sf_dir)
+    system = b.facility_state(b.component_base(rows, POLICY, SCOPE), usage, POLICY, SCOPE)
+    classes, facilities = b.adjustment_levers(adjustments(spark, sf_dir), F.lit("1999-12-31").cast("date"), POLICY, SCOPE)
+    adjusted = b.facility_state(b.component_base(rows, POLICY, SCOPE, classes), usage, POLICY, SCOPE, facilities)
+    tenth = lambda c: F.round(c, 1).cast("decimal(38,1)").alias(c)
+    return b.compare_states(system, adjusted, SCOPE, _METRICS).select("facility_id", "metric", *[tenth(c) for c in ("left_value", "right_value", "variance")])
+
+
+@query(
+    f"""WITH {_COLLATERAL},{_component_sql("facility_id")},{_state_sql("facility_id")}, cert AS (SELECT facility_id, CAST(ROUND(contribution, 2) AS DECIMAL(24,6)) AS contribution, CAST(ROUND(reserves, 2) AS DECIMAL(24,6)) AS reserves, CAST(blocks AS DECIMAL(24,6)) AS blocks, CAST(usage AS DECIMAL(24,6)) AS usage,
+        CAST(greatest(least(greatest(ROUND(contribution, 2) - ROUND(reserves, 2), 0), 60000000) - blocks, 0) + CASE WHEN {_N} % 4 = 0 THEN 1 ELSE 0 END AS DECIMAL(24,6)) AS capacity FROM f6)
+    SELECT facility_id, {_N} % 4 <> 0 AS capacity_ties, {_N} % 3 <> 0 AS excess_ties, CAST(ROUND(greatest(usage - capacity - CASE WHEN {_N} % 3 = 0 THEN 5 ELSE 0 END, 0), 1) AS DECIMAL(38,1)) AS overadvance FROM cert"""
+)
+def b13_submitted_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What borrowers submit (here: the system's figures in cents, some with a wrong capacity or excess) and whether it ties."""
+    rows, usage = collateral(spark, sf_dir)
+    state = b.facility_state(b.component_base(rows, POLICY, SCOPE), usage, POLICY, SCOPE)
+    n = F.substring("facility_id", 2, 9).cast("int")
+    cents = lambda c: F.round(c, 2).cast(b.M).alias(c)
+    cert = state.select("facility_id", cents("contribution"), cents("reserves"), F.col("blocks").cast(b.M).alias("blocks"), F.col("usage").cast(b.M).alias("usage"))
+    tied = F.greatest(F.least(F.greatest(F.col("contribution") - F.col("reserves"), b.lit(0)), b.lit(POLICY.commitment)) - F.col("blocks"), b.lit(0))
+    cert = cert.withColumn("capacity", (tied + F.when(n % 4 == 0, b.lit(1)).otherwise(b.lit(0))).cast(b.M))
+    cert = cert.withColumn("excess", (F.col("capacity") - F.col("usage") + F.when(n % 3 == 0, b.lit(5)).otherwise(b.lit(0))).cast(b.M))
+    out = b.submitted_states(cert, POLICY.commitment)
+    return out.select("facility_id", "capacity_ties", "excess_ties", F.round("overadvance", 1).cast("decimal(38,1)").alias("overadvance"))
 
 
 @query("SELECT s_suppkey, actual, threshold, comparator, CAST(CASE WHEN comparator = 'gte' THEN actual - threshold ELSE threshold - actual END AS DECIMAL(22,2)) AS headroom, CASE WHEN CASE WHEN comparator = 'gte' THEN actual - threshold ELSE threshold - actual END >= 0 THEN 'pass' ELSE 'breach' END AS status FROM (SELECT s_suppkey, CAST(s_acctbal AS DECIMAL(20,2)) AS actual, CAST(4500 AS DECIMAL(20,2)) AS threshold, CASE WHEN s_suppkey % 2 = 0 THEN 'gte' ELSE 'lte' END AS comparator FROM supplier)")
