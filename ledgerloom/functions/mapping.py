@@ -153,13 +153,16 @@ def lookups(tree: object) -> list[dict]:
 
 def execute_mapping(df: DataFrame, rules: list[Rule], row_id: str, dimensions: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, rejections). records: row_id and one column per rule of the rows that no rule rejects; rejections: row_id and the
-    first rule that rejects it. Dimensions (key, value) join by equality; Spark sends small ones to the tasks by itself.
+    first rule that rejects it. Dimensions (key, value) join by equality, and a repeated key ends the run; Spark sends small ones to
+    the tasks by itself.
     """
     for look in lookups([r.expression for r in rules]):
         name = look["definition"]
         if f"__dim_{name}" not in df.columns:
             key = compile_expression(look["input"], df.columns)[0].cast("string")
-            dim = dimensions[name].select(F.col("key").alias(f"__key_{name}"), F.col("value").alias(f"__dim_{name}"))
+            dim = dimensions[name].where("key is not null").groupBy(F.col("key").cast("string").alias(f"__key_{name}")).agg(F.count("*").alias("__n"), F.first("value").alias("__v"))
+            twice = F.raise_error(F.concat(F.lit(f"dimension {name} repeats key "), F.col(f"__key_{name}")))
+            dim = dim.select(f"__key_{name}", F.when(F.col("__n") > 1, twice).otherwise(F.col("__v")).alias(f"__dim_{name}"))
             df = df.withColumn(f"__in_{name}", key).join(dim, F.col(f"__in_{name}") == F.col(f"__key_{name}"), "left").drop(f"__key_{name}", f"__in_{name}")
     out, first = df, None
     for i, rule in enumerate(rules):
@@ -250,6 +253,3 @@ def requested_fields(definitions: list[dict]) -> list[str]:
     walk(definitions)
     return sorted(found)
 
-
-def empty_table(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)

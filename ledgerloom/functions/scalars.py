@@ -131,10 +131,15 @@ def row_token(*parts: Column | str) -> Column:
     return F.sha2(F.to_json(F.array(*[F.coalesce(col(p).cast("string"), F.lit("")) for p in parts])), 256)
 
 
+def digest_sums(digest: Column) -> list[Column]:
+    """Sums of the four 64-bit parts of SHA-256 digests (hex): an order-free aggregate over all 256 bits; nulls don't count."""
+    part = lambda i: F.conv(F.substring(digest, 16 * i + 1, 16), 16, 10).cast("decimal(38,0)")
+    return [F.coalesce(F.sum(part(i)), F.lit(0).cast("decimal(38,0)")).cast("string") for i in range(4)]
+
+
 def population_hash(token: Column) -> Column:
-    """Order-free aggregate over row tokens: count, and xor and sum of 64-bit halves. Combines before the shuffle, holds no set."""
-    half = F.xxhash64(token)
-    return F.sha2(F.concat_ws(":", F.count(token), F.bit_xor(half), F.sum(half.cast("decimal(38,0)"))), 256)
+    """Order-free hash of row tokens (SHA-256 in hex): their count and digest sums. Combines before the shuffle, holds no set."""
+    return F.sha2(F.concat_ws(":", F.count(token), *digest_sums(token)), 256)
 
 
 def entity_token(tenant: str, field: str, value: Column, resolved: Column) -> Column:
@@ -143,27 +148,26 @@ def entity_token(tenant: str, field: str, value: Column, resolved: Column) -> Co
     return F.concat(F.when(resolved, F.lit("Entity-")).otherwise(F.lit("Unresolved-")), mark)
 
 
-#: Words in field names that tell the unit and the kind of time.
-UNIT_WORDS = {"rate": r"(rate|pct|percent|ratio|yield)", "currency": r"(balance|amount|principal|interest|limit|commitment|value|price)", "days": r"(days|dpd)", "count": r"(count|number|qty)"}
-TEMPORAL_WORDS = {"as_of": r"(as_of|asof|report)", "event": r"(orig|start|close|default|charge)", "scheduled": r"(matur|due|expir)"}
+#: Parts of field names that tell the unit and the kind of time; the first that fits counts.
+UNIT_WORDS = {"currency": "balance|amount|price|value|cost|reserve|commitment", "percentage": "rate|percent|pct|ltv", "days": "days|dpd|age", "date": "date|_at$", "identifier": "^id$|_id$|number$|_no$"}
+TEMPORAL_WORDS = {"lifetime_to_date": "cumulative|lifetime|_ltd", "flow": "payment|charge|recovery|advance|flow", "event": "event|default_date|modification_date", "stock": "balance|status|rating|utilization"}
 
 
-def infer_unit(field: Column | str) -> Column:
-    """rate, currency, days, count or none, by the name of a field."""
+def _by_name(field: Column | str, table: dict[str, str]) -> Column:
     name, out = F.lower(col(field)), None
-    for unit, words in UNIT_WORDS.items():
-        out = F.when(name.rlike(words), unit) if out is None else out.when(name.rlike(words), unit)
-    return out.otherwise("none")
+    for kind, words in table.items():
+        out = F.when(name.rlike(words), kind) if out is None else out.when(name.rlike(words), kind)
+    return out.otherwise("unknown")
+
+
+def infer_unit(field: Column | str) -> Column:
+    """currency, percentage, days, date, identifier or unknown, by the name of a field."""
+    return _by_name(field, UNIT_WORDS)
 
 
 def infer_temporal(field: Column | str) -> Column:
-    """as_of, event, scheduled or none, for names that speak of dates."""
-    name = F.lower(col(field))
-    dated, out = name.rlike(r"(date|_dt$|_on$|_at$)"), None
-    for kind, words in TEMPORAL_WORDS.items():
-        hit = dated & name.rlike(words)
-        out = F.when(hit, kind) if out is None else out.when(hit, kind)
-    return out.when(dated, "event").otherwise("none")
+    """lifetime_to_date, flow, event, stock or unknown, by the name of a field."""
+    return _by_name(field, TEMPORAL_WORDS)
 
 
 def value_kind(text: Column | str) -> Column:

@@ -37,31 +37,24 @@ def bundle(terminals: DataFrame, dataset: str = "dataset_id", date: str = "as_of
     return one.join(source, dataset)
 
 
-def rates_as_of(rows: DataFrame, rates: DataFrame, row_id: list[str], base: str = "currency", at: str = "as_of", known: str = "known_at") -> DataFrame:
-    """Each row with the rate that was effective at its date and had been received by its cutoff: the latest effective, then the
-    latest received, then the greatest hash.
-
-    An as-of join without a range join: rates and rows of one currency are merged in order of time, and the last rate seen is
-    carried on; rates received too late for a row are the reason for the second key, so the latest received is kept per
-    effective time and the row takes the best among those it knows. Rates are few per currency and day.
+def rates_as_of(rows: DataFrame, rates: DataFrame, base: str = "currency", at: str = "as_of_date", known: str = "known_at") -> DataFrame:
+    """Each row with the rate (rate, effective_on) that was effective at its date and received by its cutoff: the latest
+    effective, then the latest received, then the greatest hash; null if there is none. rates: base, effective_on, received_at,
+    rate, rate_hash.
+
+    Only the distinct (currency, date, cutoff) of the rows are placed. For each cutoff the quotes known by then and the dates
+    asked for are merged in order of time and the last quote is carried on, so no date meets more than one quote; the rows then
+    join by equality. The work beside the rows is the number of cutoffs times that of quotes.
     """
-    pairs = rates.select(F.col("base").alias(base), "effective_at", "received_at", "rate", "rate_hash")
-    day = lambda c: F.to_date(c)
-    joined = rows.join(pairs, (rows[base].eqNullSafe(pairs[base])) & (pairs["effective_at"] <= rows[at]) & (pairs["received_at"] <= rows[known]), "left").drop(pairs[base])
-    best = joined.groupBy(*row_id).agg(F.max_by(F.struct("effective_at", "received_at", "rate"), F.struct("effective_at", "received_at", "rate_hash")).alias("r"))
-    return rows.join(best, row_id, "left").withColumn("rate", F.col("r.rate")).withColumn("rate_day", day(F.col("r.effective_at"))).drop("r")
-
-
-def rates_by_day(rows: DataFrame, rates: DataFrame, base: str = "currency", at: str = "as_of_date") -> DataFrame:
-    """The as-of join for one cutoff: rates become a calendar of days per currency (the last known carried on), so rows join by
-    equality and no row meets more than one rate. ``rates``: base, effective_on, received_at, rate, rate_hash."""
-    latest = rates.groupBy("base", "effective_on").agg(F.max_by("rate", F.struct("received_at", "rate_hash")).alias("rate"))
-    nxt = F.lead("effective_on").over(Window.partitionBy("base").orderBy("effective_on"))
-    spans = latest.withColumn("until", nxt)
-    days = rows.select(base, at).distinct()
-    # Distinct (currency, day) pairs are few: each takes the span it falls in.
-    placed = days.join(spans, (F.col(base) == F.col("base")) & (F.col(at) >= F.col("effective_on")) & (F.col("until").isNull() | (F.col(at) < F.col("until")))).select(base, at, "rate", "effective_on")
-    return rows.join(placed, [base, at], "left")
+    asked = rows.select(base, at, known).distinct()
+    cutoffs = asked.select(known).distinct()
+    seen = rates.withColumnRenamed("base", base).join(cutoffs, F.col("received_at") <= F.col(known))
+    latest = seen.groupBy(known, base, "effective_on").agg(F.max_by("rate", F.struct("received_at", "rate_hash")).alias("rate"))
+    quotes = latest.select(known, base, F.col("effective_on").alias(at), F.lit(0).alias("__asked"), F.struct("rate", "effective_on").alias("__quote"))
+    merged = quotes.unionByName(asked.select(known, base, at, F.lit(1).alias("__asked"), F.lit(None).cast(quotes.schema["__quote"].dataType).alias("__quote")))
+    carried = F.last("__quote", ignorenulls=True).over(Window.partitionBy(known, base).orderBy(at, "__asked").rowsBetween(Window.unboundedPreceding, 0))
+    placed = merged.withColumn("__quote", carried).where("__asked = 1").select(known, base, at, "__quote.rate", "__quote.effective_on")
+    return rows.join(placed, [base, at, known], "left")
 
 
 def convert(amount: Column, rate: Column, places: int = 2, inverse: bool = False) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import DATE_TEXT, DECIMAL_TEXT, WIDE, blank_to_null, infer_temporal, infer_unit, ratio, value_kind
+from ..functions.scalars import DATE_TEXT, DECIMAL_TEXT, WIDE, blank_to_null, digest_sums, infer_temporal, infer_unit, ratio, value_kind
 
 
 @dataclass
@@ -264,3 +264,15 @@ def certify(findings: DataFrame, controls: DataFrame) -> DataFrame:
     off = controls.where(~F.col("passed")).select(F.explode(F.split("reasons", ",")).alias("blocker"))
     codes = bad.union(off).agg(F.array_join(F.array_sort(F.collect_set("blocker")), ",").alias("blockers"))
     return codes.select(F.when(F.col("blockers") == "", "certified").otherwise("failed").alias("status"), "blockers")
+
+
+def fingerprint(rows: DataFrame, findings: DataFrame, profile: str) -> DataFrame:
+    """One hash of what was judged and what was found: profile, rows and findings, whatever their order. Sums of digests combine
+    before the shuffle, so nothing is sorted or collected."""
+
+    def whole(df: DataFrame, name: str) -> DataFrame:
+        digest = F.sha2(F.to_json(F.array(*[F.col(f"`{c}`").cast("string") for c in sorted(df.columns)])), 256)
+        return df.agg(F.concat_ws(":", F.count("*"), *digest_sums(digest)).alias(name))
+
+    both = whole(rows, "rows").crossJoin(whole(findings, "findings"))
+    return both.select(F.sha2(F.concat_ws("|", F.lit(profile), "rows", "findings"), 256).alias("fingerprint"))

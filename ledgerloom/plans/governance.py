@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import filters, mapping
+from ..functions.dictionary import ALIASES, FIELDS, REQUIRED, label
 from ..functions.scalars import infer_temporal, infer_unit, months_until, value_kind
 from ..operators import disclosure, history, matching
 from ..sources import tapes
 from .registry import query
-from .tape import KEY, PERIODS, tape, views, with_tape
+from .tape import KEY, PERIODS, digest_sums_sql, tape, views, with_tape
 
 _RAW = """
     raw AS (SELECT o_orderkey AS id, CAST(o_orderkey AS VARCHAR(20)) AS loan_no, CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR(20)) AS balance_cents,
@@ -67,7 +68,13 @@ def p1_approved_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.apply_approved(raw_orders(spark, sf_dir), {"loan_id": ("loan_no", "identifier"), "cents": ("balance_cents", "integer"), "flag_text": ("flag", "string")})
 
 
-@query()
+_PADS = ["".join(f"\\x{b ^ x:02X}" for b in b"demo key".ljust(64, b"\0")) for x in (0x36, 0x5C)]
+
+
+@query(
+    with_tape(f"""SELECT substr(sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode('loan_id' || chr(31) || loan_id)))), 1, 24) AS loan_id, CASE WHEN length(borrower_id) > 4 THEN '****' || right(borrower_id, 4) ELSE '****' END AS borrower_id,
+        risk_rating, outstanding_balance, '[redacted]' AS industry_code FROM tape WHERE period_idx = 3""")
+)
 def p20_masked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tape(spark, sf_dir).where("period_idx = 3").select("loan_id", "borrower_id", "risk_rating", "outstanding_balance", "industry_code")
     return mapping.mask(rows, {"loan_id": "tokenize", "borrower_id": "partial", "risk_rating": "none", "outstanding_balance": "none"}, b"demo key")
@@ -92,13 +99,20 @@ def h11_value_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(value_kind(v).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+_NAMES = "interest_rate days_past_due maturity_date loan_count outstanding_balance LTV cumulative_recovery payment_amount default_date updated_at id account_no loan_number status page_views utilization event_kind current_rating other".split()
+
+
 @query(
-    """WITH c AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'interest_rate' WHEN 1 THEN 'days_past_due' WHEN 2 THEN 'maturity_date' ELSE 'loan_count' END AS name FROM part)
-    SELECT p_partkey, CASE name WHEN 'interest_rate' THEN 'rate' WHEN 'days_past_due' THEN 'days' WHEN 'loan_count' THEN 'count' ELSE 'none' END AS unit, CASE name WHEN 'maturity_date' THEN 'scheduled' ELSE 'none' END AS temporal FROM c"""
+    f"""WITH c AS (SELECT p_partkey, lower(list_extract({_NAMES}, CAST(p_partkey % {len(_NAMES)} AS INT) + 1)) AS n FROM part)
+    SELECT p_partkey, CASE WHEN n LIKE '%balance%' OR n LIKE '%amount%' OR n LIKE '%price%' OR n LIKE '%value%' OR n LIKE '%cost%' OR n LIKE '%reserve%' OR n LIKE '%commitment%' THEN 'currency'
+        WHEN n LIKE '%rate%' OR n LIKE '%percent%' OR n LIKE '%pct%' OR n LIKE '%ltv%' THEN 'percentage' WHEN n LIKE '%days%' OR n LIKE '%dpd%' OR n LIKE '%age%' THEN 'days' WHEN n LIKE '%date%' OR right(n, 3) = '_at' THEN 'date'
+        WHEN n = 'id' OR right(n, 3) IN ('_id', '_no') OR right(n, 6) = 'number' THEN 'identifier' ELSE 'unknown' END AS unit,
+        CASE WHEN n LIKE '%cumulative%' OR n LIKE '%lifetime%' OR n LIKE '%!_ltd%' ESCAPE '!' THEN 'lifetime_to_date' WHEN n LIKE '%payment%' OR n LIKE '%charge%' OR n LIKE '%recovery%' OR n LIKE '%advance%' OR n LIKE '%flow%' THEN 'flow'
+        WHEN n LIKE '%event%' OR n LIKE '%default!_date%' ESCAPE '!' OR n LIKE '%modification!_date%' ESCAPE '!' THEN 'event' WHEN n LIKE '%balance%' OR n LIKE '%status%' OR n LIKE '%rating%' OR n LIKE '%utilization%' THEN 'stock' ELSE 'unknown' END AS temporal FROM c"""
 )
 def h10_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    name = F.element_at(F.array(F.lit("interest_rate"), F.lit("days_past_due"), F.lit("maturity_date"), F.lit("loan_count")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    name = F.element_at(F.array(*[F.lit(n) for n in _NAMES]), (F.col("p_partkey") % len(_NAMES) + 1).cast("int"))
     return p.select("p_partkey", infer_unit(name).alias("unit"), infer_temporal(name).alias("temporal"))
 
 
@@ -116,19 +130,51 @@ def lake_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(dataset, column_name, native_type) of the tables, and of copies of the tape under delivered names, one per supplier."""
     rows = [(t, f.name, f.dataType.simpleString()) for t in _TABLES for f in spark.read.parquet(f"{sf_dir}/{t}.parquet").schema.fields]
     named = spark.createDataFrame(rows, "dataset string, column_name string, native_type string")
-    delivered = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("native_type")) for c, t in (("CurrentBalance", "decimal(18,2)"), ("loan_no", "varchar"), ("Report Date", "date"), ("coupon_rate", "double"), ("riskGrade", "varchar"), ("due_date", "date"))])
+    delivered = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("native_type")) for c, t in _DELIVERED])
     copies = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("tape_"), F.col("s_suppkey").cast("string")).alias("dataset"), F.explode(delivered).alias("c")).select("dataset", "c.*")
     return named.union(copies)
 
 
-@query()
+_LAKE = " UNION ALL ".join(f"SELECT '{t}' AS dataset, column_name, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS native_type FROM (DESCRIBE {t})" for t in _TABLES)
+_DELIVERED = (("CurrentBalance", "decimal(18,2)"), ("loan_no", "varchar"), ("Report Date", "date"), ("coupon_rate", "double"), ("riskGrade", "varchar"), ("due_date", "date"))
+
+
+def _named() -> str:
+    rows = [(n, k, v, b) for n, k in FIELDS for v, b in [(n, 0.92), (label(n), 0.86), *((a, 0.88) for a in ALIASES.get(n, "").split())]]
+    return ", ".join(f"('{n}', '{k}', '{v}', {b})" for n, k, v, b in rows)
+
+
+def _words(name: str) -> str:
+    split = rf"regexp_replace(strip_accents({name}), '([a-z0-9])([A-Z])', '\1 \2', 'g')"
+    return f"trim(regexp_replace(lower(replace(replace({split}, '%', ' rate '), '&', ' and ')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _tokens(words: str) -> str:
+    table = "MAP {" + ", ".join(f"'{k}': {v.split()}" for k, v in matching.SHORT.items()) + "}"
+    return f"list_distinct(flatten(list_transform(string_split({words}, ' '), lambda w: coalesce({table}[w], [w]))))"
+
+
+@query(
+    f"""WITH lake AS ({_LAKE} UNION ALL SELECT 'tape_' || CAST(s_suppkey AS VARCHAR), c.column_name, c.native_type FROM supplier, (VALUES {", ".join(map(str, _DELIVERED))}) c(column_name, native_type)),
+    src AS (SELECT *, {_tokens("norm")} AS words FROM (SELECT *, {_words("column_name")} AS norm FROM lake) WHERE norm <> ''),
+    names AS (SELECT *, {_tokens("t_norm")} AS t_words FROM (SELECT *, {_words("name")} AS t_norm FROM (VALUES {_named()}) v(target, logical_type, name, base))),
+    p AS (SELECT *, list_intersect(words, t_words) AS met FROM src, names WHERE len(list_intersect(words, t_words)) > 0),
+    s AS (SELECT dataset, column_name, native_type, target, logical_type, MAX(CASE WHEN norm = t_norm THEN base END) AS equal,
+        MAX((0.65 * 2.0 * len(met) / (len(words) + len(t_words)) + 0.35 * len(met) / least(len(words), len(t_words))) * CASE WHEN len(list_filter(met, lambda w: NOT list_contains({matching.GENERIC_WORDS}, w))) = 0 THEN 0.78 ELSE 1 END) AS alike FROM p GROUP BY ALL),
+    f AS (SELECT *, CASE WHEN native_type IN ('int', 'bigint') THEN 'integer' WHEN native_type LIKE 'decimal%' OR native_type = 'double' THEN 'decimal' WHEN native_type IN ('string', 'varchar') THEN 'text' WHEN native_type LIKE 'timestamp%' THEN 'datetime' ELSE native_type END AS family FROM s),
+    t AS (SELECT *, CASE logical_type WHEN 'identifier' THEN CASE WHEN family IN ('text', 'integer') THEN 'exact' ELSE 'incompatible' END WHEN 'string' THEN CASE family WHEN 'text' THEN 'exact' ELSE 'incompatible' END
+        WHEN 'integer' THEN CASE WHEN family = 'integer' THEN 'exact' WHEN family IN ('decimal', 'text') THEN 'compatible' ELSE 'incompatible' END WHEN 'boolean' THEN CASE family WHEN 'boolean' THEN 'exact' WHEN 'text' THEN 'compatible' ELSE 'incompatible' END
+        WHEN 'date' THEN CASE WHEN family = 'date' THEN 'exact' WHEN family IN ('datetime', 'text') THEN 'compatible' ELSE 'incompatible' END ELSE CASE WHEN family = 'decimal' THEN 'exact' WHEN family IN ('integer', 'text') THEN 'compatible' ELSE 'incompatible' END END AS type_fit FROM f),
+    c AS (SELECT *, round(least(1.0, greatest(0.0, CAST(coalesce(equal, CASE WHEN alike >= 0.26 THEN least(0.76, alike * 0.76) END) + CASE type_fit WHEN 'exact' THEN 0.08 WHEN 'compatible' THEN 0.04 ELSE -0.15 END + CASE WHEN list_contains({REQUIRED["base"].split()}, target) THEN 0.02 ELSE 0 END AS DOUBLE))), 4) AS score FROM t)
+    SELECT dataset, column_name, native_type, target, type_fit, score, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY dataset, column_name, native_type ORDER BY score DESC, target) AS rank FROM c WHERE score >= 0.3) WHERE rank <= 5"""
+)
 def q11_schema_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.suggest(lake_columns(spark, sf_dir))
+    return matching.suggest(lake_columns(spark, sf_dir), profile="base")
 
 
 @query(
     """WITH d AS (SELECT 'tape_' || CAST(s_suppkey AS VARCHAR) AS dataset, s_suppkey AS k FROM supplier)
-    SELECT dataset, 'type_mismatch' AS problem, 'coupon_rate' AS item FROM d WHERE k % 2 = 0 UNION ALL SELECT dataset, 'unmapped_column', 'Report Date' FROM d UNION ALL SELECT dataset, 'unmapped_column', 'riskGrade' FROM d
+    SELECT dataset, 'type_mismatch' AS problem, 'coupon_rate' AS item FROM d WHERE k % 2 = 0 UNION ALL SELECT dataset, 'unmapped_column', 'Report Date' FROM d UNION ALL SELECT dataset, CASE WHEN k % 4 = 0 THEN 'type_coercion' ELSE 'unmapped_column' END, 'riskGrade' FROM d
     UNION ALL SELECT dataset, 'unmapped_column', 'due_date' FROM d UNION ALL SELECT dataset, 'unmapped_column', 'coupon_rate' FROM d WHERE k % 2 = 1
     UNION ALL SELECT dataset, 'missing_required', 'as_of_date' FROM d UNION ALL SELECT dataset, 'unknown_source', 'nothing' FROM d WHERE k % 3 = 0 UNION ALL SELECT dataset, 'unknown_target', 'no_such_field' FROM d WHERE k % 3 = 0
     UNION ALL SELECT dataset, 'duplicate_target', 'outstanding_balance' FROM d WHERE k % 5 = 0"""
@@ -140,7 +186,7 @@ def q10_mapping_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     yes = F.lit(True)
     maps = F.array_compact(
         F.array(
-            m("CurrentBalance", "outstanding_balance", yes), m("loan_no", "loan_id", yes), m("coupon_rate", "currency", F.col("k") % 2 == 0), m("nothing", "no_such_field", F.col("k") % 3 == 0),
+            m("CurrentBalance", "outstanding_balance", yes), m("loan_no", "loan_id", yes), m("coupon_rate", "currency_code", F.col("k") % 2 == 0), m("riskGrade", "maturity_date", F.col("k") % 4 == 0), m("nothing", "no_such_field", F.col("k") % 3 == 0),
             m("CurrentBalance", "outstanding_balance", F.col("k") % 5 == 0),
         )
     )
@@ -182,17 +228,38 @@ _RATES = """
     rates AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'GBP' END AS base, CAST(DATE '1999-09-01' + CAST(p_partkey % 120 AS INT) AS DATE) AS effective_on, CAST(p_partkey AS BIGINT) AS received_at, CAST(1 + CAST(p_partkey % 97 AS DECIMAL(12,6)) / 100 AS DECIMAL(12,6)) AS rate, CAST(p_partkey AS VARCHAR(20)) AS rate_hash FROM part)"""
 
 
+_QUOTES = "quotes AS (SELECT base, effective_on, CAST(effective_on + CAST(received_at % 50 AS INT) AS DATE) AS received_at, rate, rate_hash FROM rates)"
+_KNOWN = "CAST(as_of_date + CAST(5 + CAST(loan_id AS BIGINT) % 3 * 15 AS INT) AS DATE)"
+
+
+def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views(spark, sf_dir, "part")
+    return spark.sql(f"WITH {_RATES} SELECT * FROM rates".replace("DATE '1999-09-01' + CAST(p_partkey % 120 AS INT)", "date_add(DATE '1999-09-01', CAST(p_partkey % 120 AS INT))"))
+
+
 @query(
     with_tape(f"""
-    , {_RATES}, l AS (SELECT base, effective_on, MAX_BY(rate, received_at) AS rate FROM rates GROUP BY 1, 2), d AS (SELECT DISTINCT as_of_date, currency FROM tape),
-    r AS (SELECT d.*, (SELECT l.rate FROM l WHERE l.base = d.currency AND l.effective_on <= d.as_of_date ORDER BY l.effective_on DESC LIMIT 1) AS rate FROM d)
-    SELECT t.as_of_date, t.currency, COUNT(*) AS loans, MAX(r.rate) AS rate FROM tape t JOIN r ON r.as_of_date = t.as_of_date AND r.currency = t.currency GROUP BY 1, 2""")
+    , {_RATES}, {_QUOTES}, t AS (SELECT as_of_date, currency, {_KNOWN} AS known_at FROM tape), d AS (SELECT as_of_date, currency, known_at, COUNT(*) AS loans FROM t GROUP BY ALL)
+    SELECT as_of_date, currency, known_at, loans, (SELECT q.rate FROM quotes q WHERE q.base = d.currency AND q.effective_on <= d.as_of_date AND q.received_at <= d.known_at ORDER BY q.effective_on DESC, q.received_at DESC, q.rate_hash DESC LIMIT 1) AS rate FROM d""")
 )
 def j13_fx_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views(spark, sf_dir, "part")
-    rates = spark.sql(f"WITH {_RATES} SELECT * FROM rates".replace("DATE '1999-09-01' + CAST(p_partkey % 120 AS INT)", "date_add(DATE '1999-09-01', CAST(p_partkey % 120 AS INT))"))
-    rated = history.rates_by_day(tape(spark, sf_dir), rates)
-    return rated.groupBy("as_of_date", "currency").agg(F.count("*").alias("loans"), F.max("rate").alias("rate"))
+    """Rates as known some days after each loan's date; quotes arrive up to 49 days after they take effect."""
+    quotes = _rates(spark, sf_dir).withColumn("received_at", F.date_add("effective_on", (F.col("received_at") % 50).cast("int")))
+    rows = tape(spark, sf_dir).select("as_of_date", "currency", F.date_add("as_of_date", (5 + F.col("loan_id").cast("long") % 3 * 15).cast("int")).alias("known_at"))
+    rated = history.rates_as_of(rows, quotes)
+    return rated.groupBy("as_of_date", "currency", "known_at").agg(F.count("*").alias("loans"), F.max("rate").alias("rate"))
+
+
+@query(
+    f"""WITH {_RATES} SELECT rate_hash, base AS other,
+        CASE WHEN received_at % 2 = 0 THEN CAST(rate AS DECIMAL(20,12)) ELSE CAST(round_even(1 / CAST(rate AS DOUBLE), 12) AS DECIMAL(20,12)) END AS normal_rate FROM rates"""
+)
+def b19_normal_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes of every currency against a base XXX; every other one is the wrong way round."""
+    quotes = _rates(spark, sf_dir)
+    flip = F.col("received_at") % 2 != 0
+    given = quotes.select("rate_hash", F.when(flip, F.col("base")).otherwise("XXX").alias("base"), F.when(flip, "XXX").otherwise(F.col("base")).alias("quote"), F.col("rate").alias("source_rate"))
+    return history.normalise_quotes(given, "XXX").select("rate_hash", "other", "normal_rate")
 
 
 @query(
@@ -202,9 +269,8 @@ def j13_fx_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT t.as_of_date, t.loan_id, CAST(round_even(t.outstanding_balance * r.rate, 2) AS DECIMAL(38,2)) AS converted FROM tape t JOIN r ON r.as_of_date = t.as_of_date AND r.currency = t.currency WHERE t.currency = 'EUR'""")
 )
 def b19_fx_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views(spark, sf_dir, "part")
-    rates = spark.sql(f"WITH {_RATES} SELECT * FROM rates".replace("DATE '1999-09-01' + CAST(p_partkey % 120 AS INT)", "date_add(DATE '1999-09-01', CAST(p_partkey % 120 AS INT))"))
-    rated = history.rates_by_day(tape(spark, sf_dir).where("currency = 'EUR'"), rates).where("rate is not null")
+    rows = tape(spark, sf_dir).where("currency = 'EUR'").withColumn("known_at", F.lit(1 << 40))
+    rated = history.rates_as_of(rows, _rates(spark, sf_dir)).where("rate is not null")
     return rated.select("as_of_date", "loan_id", history.convert(F.col("outstanding_balance"), F.col("rate")).cast("decimal(38,2)").alias("converted"))
 
 
@@ -338,7 +404,8 @@ def s4_ragged_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT COUNT(*) AS rows, CAST(SUM(CAST(o_totalprice AS DECIMAL(20,2))) AS DECIMAL(38,2)) AS total FROM orders")
 def s5_parquet_governed(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
-    return tapes.read_parquet(spark, f"{sf_dir}/orders.parquet", expected).agg(F.count("*").alias("rows"), F.sum(F.col("o_totalprice").cast("decimal(20,2)")).cast("decimal(38,2)").alias("total"))
+    declared = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    return tapes.read_parquet(spark, f"{sf_dir}/orders.parquet", expected, declared).agg(F.count("*").alias("rows"), F.sum(F.col("o_totalprice").cast("decimal(20,2)")).cast("decimal(38,2)").alias("total"))
 
 
 @query(with_tape("SELECT CAST(as_of_date AS VARCHAR) AS as_of_date, COUNT(*) AS rows FROM tape GROUP BY 1"))
@@ -391,9 +458,16 @@ def s13_infer_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tapes.infer_kinds(_orders_text(spark, sf_dir))
 
 
-@query()
+_HASHED = ["period_idx", "as_of_date", "source_system", "facility_id", "loan_id", "outstanding_balance", "days_past_due", "interest_rate", "default_flag"]
+_FIELDS = '[["period_idx","int"],["as_of_date","date"],["source_system","string"],["facility_id","string"],["loan_id","string"],["outstanding_balance","decimal(20,2)"],["days_past_due","int"],["interest_rate","decimal(12,4)"],["default_flag","boolean"]]'
+
+
+@query(
+    with_tape(f"""SELECT sha256(COUNT(*) || ':' || {digest_sums_sql("d")}) AS content_hash, COUNT(*) AS rows, sha256('{_FIELDS}') AS field_hash
+        FROM (SELECT sha256(to_json([{", ".join(f"CAST({c} AS VARCHAR)" for c in _HASHED)}])) AS d FROM tape)""")
+)
 def s14_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tapes.content_hash(tape(spark, sf_dir))
+    return tapes.content_hash(tape(spark, sf_dir).select(*_HASHED))
 
 
 @query("SELECT COALESCE(m.k, a.k) AS section_id, m.n AS rows, a.n AS actual FROM (SELECT o_orderstatus AS k, COUNT(*) + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS n FROM orders GROUP BY 1) m FULL JOIN (SELECT o_orderstatus AS k, COUNT(*) AS n FROM orders GROUP BY 1) a ON a.k = m.k WHERE m.n IS DISTINCT FROM a.n")

@@ -10,7 +10,7 @@ from ..functions.scalars import Bin, category, cohort, entity_token, numeric_bin
 from ..operators import finalize, surveillance, vintage
 from ..operators.stratification import stratify, stratify_live, suppress_flat
 from .registry import query
-from .tape import KEY, PERIODS, periods, tape, with_tape
+from .tape import digest_sums_sql, KEY, PERIODS, periods, tape, with_tape
 
 BINS = [Bin("Current", 0, 30), Bin("30-59", 30, 60), Bin("60-89", 60, 90), Bin("90+", 90, 120)]
 _BAND = "CASE WHEN {0} IS NULL THEN 'Unknown' WHEN {0} >= 0 AND {0} < 30 THEN 'Current' WHEN {0} >= 30 AND {0} < 60 THEN '30-59' WHEN {0} >= 60 AND {0} < 90 THEN '60-89' WHEN {0} >= 90 AND {0} < 120 THEN '90+' ELSE 'Outside' END"
@@ -309,7 +309,16 @@ def a17_a20_finalised_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("as_of_date", "facility_id", "segment", "suppressed", "availability", "denominator_population", "numerator", "value")
 
 
-@query()
+_HASH = "sha256(COUNT({0}) || ':' || " + digest_sums_sql("{0}") + ")"
+
+
+@query(
+    with_tape(
+        f"""{_CELL_SQL}, t AS (SELECT as_of_date, facility_id, segment, token, MAX(n AND d) AS n, MAX(d) AS d FROM r GROUP BY ALL)
+    SELECT as_of_date, facility_id, segment, {_HASH.format("CASE WHEN n THEN token END")} AS numerator_hash, {_HASH.format("CASE WHEN d THEN token END")} AS denominator_hash,
+        sha256('delinquent_share' || chr(31) || CAST(as_of_date AS VARCHAR) || chr(31) || facility_id || chr(31) || segment) AS cell_id FROM t GROUP BY 1, 2, 3"""
+    )
+)
 def a22_population_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir).select("as_of_date", "facility_id", "segment", "numerator_hash", "denominator_hash", finalize.cell_id(F.lit("delinquent_share"), "as_of_date", "facility_id", "segment").alias("cell_id"))
 

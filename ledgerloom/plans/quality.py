@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quality as q
 from .registry import query
-from .tape import KEY, PERIODS, tape, with_tape
+from .tape import KEY, PERIODS, digest_sums_sql, tape, with_tape
 
 LAST = PERIODS[-1]
 _RAW = f"""
@@ -75,6 +75,23 @@ def q1_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.decision(q.run_quality(raw(spark, sf_dir), PROFILE))
 
 
+_RAW_TEXT = sorted(["period_idx", "as_of_date", "source_system", "facility_id", "loan_id", "borrower_id", "loan_status", "origination_date", "original_balance", "outstanding_balance", "commitment_amount", "days_past_due", "default_flag", "charge_off_amount", "recovery_amount", "scheduled_principal_amount", "risk_rating", "industry_code", "interest_rate", "maturity_date", "default_date", "currency"])
+_TEXT_OF = {"outstanding_balance": "bal", "as_of_date": "as_of_text", "loan_id": "id"}
+
+
+@query(
+    with_tape(
+        f"""{_RAW}, f AS (SELECT code, field, CAST(affected_rows AS BIGINT) AS affected_rows, affected_balance, severity FROM ({_FINDINGS})),
+    a AS (SELECT COUNT(*) || ':' || {digest_sums_sql("d")} AS rows FROM (SELECT sha256(to_json([{", ".join(f"CAST({_TEXT_OF.get(c, c)} AS VARCHAR)" for c in _RAW_TEXT)}])) AS d FROM raw)),
+    b AS (SELECT COUNT(*) || ':' || {digest_sums_sql("d")} AS findings FROM (SELECT sha256(to_json([{", ".join(f"CAST({c} AS VARCHAR)" for c in ("affected_balance", "affected_rows", "code", "field", "severity"))}])) AS d FROM f))
+    SELECT sha256('loan-tape-1|' || rows || '|' || findings) AS fingerprint FROM a, b"""
+    )
+)
+def q2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = raw(spark, sf_dir)
+    return q.fingerprint(rows, q.run_quality(rows, PROFILE), "loan-tape-1")
+
+
 RULES = [
     q.Rule("rating-known", "required", "risk_rating", blocks=True),
     q.Rule("rating-allowed", "allowed_values", "risk_rating", values=["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"]),
@@ -119,7 +136,7 @@ _PROFILE = r"""
     with_tape(
         f""", {_PROFILE.format(_CELLS.format(3), "p")}
     SELECT field, rows, CAST(nulls AS BIGINT) AS nulls, CAST(nulls AS DOUBLE) / rows AS null_share, dis AS "distinct", CASE WHEN rows > nulls THEN CAST(dis AS DOUBLE) / CAST(rows - nulls AS DOUBLE) END AS uniqueness, kinds,
-        CASE field WHEN 'interest_rate' THEN 'rate' WHEN 'days_past_due' THEN 'days' ELSE 'none' END AS unit, CASE field WHEN 'maturity_date' THEN 'scheduled' ELSE 'none' END AS temporal FROM p"""
+        CASE field WHEN 'interest_rate' THEN 'percentage' WHEN 'days_past_due' THEN 'days' WHEN 'maturity_date' THEN 'date' ELSE 'unknown' END AS unit, CASE field WHEN 'risk_rating' THEN 'stock' WHEN 'loan_status' THEN 'stock' ELSE 'unknown' END AS temporal FROM p"""
     )
 )
 def q4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:

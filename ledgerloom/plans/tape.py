@@ -75,3 +75,8 @@ def with_tape(select: str) -> str:
 def periods(spark: SparkSession) -> DataFrame:
     """The dates of the tape, which are known without a scan."""
     return spark.sql(f"SELECT * FROM (VALUES {_ROWS}) AS t(period_idx, as_of_date)")
+
+
+def digest_sums_sql(digest: str) -> str:
+    """Sums of the four 64-bit parts of SHA-256 digests, as texts joined by colons."""
+    return " || ':' || ".join(f"CAST(COALESCE(SUM(CAST(CAST('0x' || substr({digest}, {16 * i + 1}, 16) AS UBIGINT) AS HUGEINT)), 0) AS VARCHAR)" for i in range(4))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import INTEGER_TEXT, value_kind
+from ..functions.scalars import INTEGER_TEXT, definition_hash, digest_sums, value_kind
 
 
 def _text(columns: list[str]) -> T.StructType:
@@ -61,19 +63,17 @@ def schema_differences(df: DataFrame, expected: T.StructType) -> list[str]:
     return out or (["columns are in another order"] if have != want else [])
 
 
-def read_parquet(spark: SparkSession, path: str, expected: T.StructType | None = None) -> DataFrame:
-    """One schema only: no merging, and exact agreement with the expectation."""
+def read_parquet(spark: SparkSession, path: str, expected: T.StructType | None = None, declared_rows: int | None = None) -> DataFrame:
+    """One schema only: no merging, and exact agreement with the expectation. Declared rows must be those of the files' footers
+    (a count, which reads no column)."""
     df = spark.read.option("mergeSchema", False).parquet(path)
     if expected is not None and (found := schema_differences(df, expected)):
         raise ValueError("; ".join(found))
+    if declared_rows is not None and (rows := df.count()) != declared_rows:
+        raise ValueError(f"{declared_rows} rows declared, {rows} found")
     return df
 
 
-def row_count_gap(df: DataFrame, declared: int) -> DataFrame:
-    """Must be empty: actual and declared rows, if they differ. Reads no columns."""
-    return df.agg(F.count("*").alias("rows")).withColumn("declared", F.lit(declared).cast("long")).where("rows <> declared")
-
-
 def partition_mismatch(df: DataFrame, expected: dict[str, str]) -> DataFrame:
     """Must be empty: rows whose partition columns are not the expected values; pruned to other partitions by the scan."""
     off: Column = F.lit(False)
@@ -113,13 +113,24 @@ def snapshot_query(table: str, columns: list[str], exact: list[str], watermark:
     return f"SELECT {cols} FROM {table} WHERE {watermark[0]} <= '{value}' ORDER BY {keys} LIMIT {most + 1}"
 
 
-def read_jdbc(spark: SparkSession, url: str, query: str, fetch: int = 10_000, split: tuple[str, int, int, int] | None = None) -> DataFrame:
-    """A snapshot over JDBC; ``split`` (column, low, high, parts) reads in parallel ranges."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", f"({query}) AS snapshot").option("fetchsize", fetch).option("isolationLevel", "REPEATABLE_READ")
+def attestation_query(table: str, columns: list[str], watermark: tuple[str, str]) -> str:
+    """PostgreSQL text that a snapshot of the same bounds is held against: rows, widest row and widest cell in bytes."""
+    for name in [table, *columns, watermark[0]]:
+        if not name.replace("_", "").isalnum():
+            raise ValueError(f"not a plain name: {name}")
+    row = f"ROW({', '.join(columns)})"
+    cells = ", ".join(f"COALESCE(octet_length(CAST({c} AS TEXT)), 0)" for c in columns)
+    value = watermark[1].replace("'", "''")
+    return f"SELECT COUNT(*) AS source_rows, COALESCE(MAX(octet_length(CAST(to_json({row}) AS TEXT))), 0) AS max_row_bytes, COALESCE(MAX(GREATEST({cells})), 0) AS max_cell_bytes FROM {table} WHERE {watermark[0]} <= '{value}'"
+
+
+def read_jdbc(spark: SparkSession, url: str, query: str, fetch: int = 10_000, split: tuple[str, int, int, int] | None = None, options: dict[str, str] | None = None) -> DataFrame:
+    """A snapshot over JDBC in one isolation level; ``split`` (column, low, high, parts) reads in parallel ranges."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", f"({query}) snapshot").option("fetchsize", fetch).option("isolationLevel", "REPEATABLE_READ")
     if split:
         column, low, high, parts = split
         reader = reader.option("partitionColumn", column).option("lowerBound", low).option("upperBound", high).option("numPartitions", parts)
-    return reader.load()
+    return reader.options(**(options or {})).load()
 
 
 def population_limits(df: DataFrame, allowed: list[str]) -> DataFrame:
@@ -140,18 +151,29 @@ def infer_kinds(df: DataFrame) -> DataFrame:
 
 
 def content_hash(df: DataFrame) -> DataFrame:
-    """Order-free fingerprint of a table: rows, xor and sum of row hashes, as SHA-256. Combines before the shuffle."""
-    h = F.xxhash64(*df.columns)
-    return df.agg(F.sha2(F.concat_ws(":", F.count("*"), F.coalesce(F.bit_xor(h), F.lit(0)), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0))), 256).alias("content_hash"), F.count("*").alias("rows"))
+    """Order-free fingerprint of a table: content_hash (rows and digest sums of the rows as JSON arrays of texts), field_hash (names
+    and types) and rows. Combines before the shuffle."""
+    digest = F.sha2(F.to_json(F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns])), 256)
+    fields = definition_hash([[f.name, f.dataType.simpleString()] for f in df.schema.fields])
+    return df.agg(F.sha2(F.concat_ws(":", F.count("*"), *digest_sums(digest)), 256).alias("content_hash"), F.count("*").alias("rows")).withColumn("field_hash", F.lit(fields))
 
 
 def write_snapshot(df: DataFrame, path: str, dataset: str, declared_hash: str | None = None, partition: str = "as_of_date") -> DataFrame:
-    """Write once, partitioned by date; gives the manifest row. A declared hash must agree before anything is written."""
-    stamp = content_hash(df).first()
+    """Write once, partitioned by date, under a temporary name; gives the manifest row. The hash is taken from what was written,
+    and only content that agrees with a declared hash gets its name."""
+    spark = df.sparkSession
+    held = f"{path}.{uuid.uuid4().hex}"
+    df.write.partitionBy(partition).parquet(held)
+    stamp = content_hash(spark.read.schema(df.schema).parquet(held).select(*df.columns)).first()
+    here, there = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (held, path))
+    store = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if declared_hash is not None and stamp["content_hash"] != declared_hash:
+        store.delete(here, True)
         raise ValueError("content differs from its declared hash")
-    df.write.partitionBy(partition).mode("errorifexists").parquet(path)
-    return df.sparkSession.createDataFrame([(dataset, path, stamp["content_hash"], stamp["rows"])], "dataset_id string, path string, content_hash string, rows long")
+    if store.exists(there) or not store.rename(here, there):
+        store.delete(here, True)
+        raise FileExistsError(path)
+    return spark.createDataFrame([(dataset, path, stamp["content_hash"], stamp["rows"])], "dataset_id string, path string, content_hash string, rows long")
 
 
 def section_gaps(rows: DataFrame, manifest: DataFrame) -> DataFrame:
