@@ -334,12 +334,12 @@ def j19_unbacked_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH f AS (SELECT CAST(event_id % 700 AS VARCHAR) AS metric_id, CAST(user_id AS VARCHAR) AS ref FROM events WHERE event_id % 3 = 0), d AS (SELECT DISTINCT CAST(p_partkey % 900 AS VARCHAR) AS metric_id FROM part), t AS (SELECT CAST(c_custkey AS VARCHAR) AS ref FROM customer WHERE c_custkey % 2 = 0)
+    """WITH f AS (SELECT CAST(event_id % 700 AS VARCHAR) AS metric_id, CAST(user_id AS VARCHAR) AS ref FROM events), d AS (SELECT DISTINCT CAST(p_partkey % 900 AS VARCHAR) AS metric_id FROM part), t AS (SELECT CAST(c_custkey AS VARCHAR) AS ref FROM customer WHERE c_custkey % 2 = 0)
     SELECT 'unknown' AS problem, metric_id FROM (SELECT DISTINCT metric_id FROM f) ANTI JOIN d USING (metric_id) UNION ALL SELECT 'duplicate', metric_id FROM f GROUP BY metric_id HAVING COUNT(*) > 1
     UNION ALL SELECT 'missing', metric_id FROM d ANTI JOIN f USING (metric_id) UNION ALL SELECT 'untrusted', metric_id FROM (SELECT DISTINCT metric_id FROM f ANTI JOIN t USING (ref))"""
 )
 def j20_sidecar_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 3 = 0")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     facts = e.select((F.col("event_id") % 700).cast("string").alias("metric_id"), F.array(F.col("user_id").cast("string")).alias("evidence"))
     defs = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") % 900).cast("string").alias("metric_id"))
     trusted = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("ref"))
