@@ -109,22 +109,47 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more; anything outside the shared folder is left alone."""
+    for t in tables:
+        spark = t.sparkSession
+        files = t.inputFiles()
+        if files and f"/{shared_dir(spark).rpartition(':')[2].strip('/')}/" in files[0]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def pack(table: np.ndarray) -> bytes:
     """A table of counters as one compressed value."""
     return zlib.compress(table.tobytes(), 1)
 
 
-def tree_sum(tables: DataFrame, kind: type, size: int, merge: np.ufunc = np.add) -> np.ndarray:
-    """Sum (or other merge) of packed tables of ``size`` values, one a task, by a tree of tasks: nobody ever holds more than two.
-    No table at all gives zeros."""
+#: Tables of a fixed size are summed and sent in so many slices.
+SLICES = 64
+
+
+def sliced(table: np.ndarray) -> pa.RecordBatch:
+    """The slices of a task's table that aren't all zero, as rows (part int, table binary)."""
+    parts = [(i, pack(x)) for i, x in enumerate(np.array_split(table, SLICES)) if x.any()]
+    return pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["part", "table"])
+
 
-    def both(a: bytes, b: bytes) -> bytes:
-        if not a or not b:
-            return a or b
-        return pack(merge(np.frombuffer(zlib.decompress(a), kind), np.frombuffer(zlib.decompress(b), kind)))
+def summed(tables: DataFrame, kind: type, size: int, wide: type | None = None, last: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> np.ndarray:
+    """Sum of ``sliced`` tables of ``size`` values, as type ``wide``, then ``last`` on each slice. Slices meet by a shuffle; a
+    task holds one sum for each of its slices, whatever the number of tables. No table at all gives zeros."""
 
-    total = tables.rdd.map(lambda r: bytes(r[0])).treeAggregate(b"", both, both, 2)
-    return np.frombuffer(zlib.decompress(total), kind) if total else np.zeros(size, kind)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                one = np.frombuffer(zlib.decompress(packed.as_buffer()), kind)
+                held[part] = one.astype(wide or kind) if part not in held else np.add(held[part], one, out=held[part])
+        for part, total in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack(last(total))], pa.binary())], names=["part", "table"])
+
+    found = {part: zlib.decompress(packed) for part, packed in tables.repartition("part").mapInArrow(add, "part int, table binary").collect()}
+    whole = [last(x.astype(wide or kind)) for x in np.array_split(np.zeros(size, kind), SLICES)]
+    return np.concatenate([np.frombuffer(found[i], x.dtype) if i in found else x for i, x in enumerate(whole)])
 
 
 #: A bitmap has 16 bits a value, but never more than 2**29 (64 MB).
@@ -139,21 +164,33 @@ def _slot(values: np.ndarray, bits: int) -> np.ndarray:
 class Bitmap:
     """Which of many 64-bit values may be in a set: never misses one, and lets more others through as it fills.
 
-    Only for dropping rows early that a join would drop anyway, so results never depend on it; its size is bounded.
+    Only for dropping rows early that a join would drop anyway, so results never depend on it; its size is bounded. Each
+    slice of it is marked in one task, so no task holds the whole but those that ask.
     """
 
     def __init__(self, values: DataFrame, count: int):
         bits = min(MOST_BITS, max(16, (16 * count).bit_length()))
+        each = bits - (SLICES.bit_length() - 1)
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = _slot(batch.column(0).to_numpy(zero_copy_only=False), bits).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((at >> each).astype(np.int32)), pa.array((at & ((1 << each) - 1)).astype(np.int32))], names=["part", "at"])
 
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = np.zeros(1 << bits - 3, np.uint8)
+            held: dict[int, np.ndarray] = {}
             for batch in batches:
-                at = _slot(batch.column(0).to_numpy(zero_copy_only=False), bits)
-                np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-            yield pa.RecordBatch.from_arrays([pa.array([pack(table)], pa.binary())], names=["table"])
+                part, at = (batch.column(i).to_numpy() for i in (0, 1))
+                for x in np.unique(part).tolist():
+                    held.setdefault(x, np.zeros(1 << each, bool))[at[part == x]] = True
+            for x, table in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), pa.array([pack(np.packbits(table, bitorder="little"))], pa.binary())], names=["part", "table"])
 
         self.bits = bits
-        table = tree_sum(values.mapInArrow(mark, "table binary"), np.uint8, 1 << bits - 3, np.bitwise_or)
+        table = np.zeros(1 << bits - 3, np.uint8)
+        size = len(table) // SLICES
+        for part, packed in values.mapInArrow(places, "part int, at int").repartition("part").mapInArrow(mark, "part int, table binary").collect():
+            table[part * size : (part + 1) * size] = np.frombuffer(zlib.decompress(packed), np.uint8)
         #: Share of other values that get through.
         self.leak = float(np.unpackbits(table[: 1 << 20]).mean())
         self.table = values.sparkSession.sparkContext.broadcast(table)
@@ -161,3 +198,7 @@ class Bitmap:
     def may_have(self, values: np.ndarray) -> np.ndarray:
         at = _slot(values, self.bits)
         return self.table.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
+
+    def drop(self) -> None:
+        """Executors may forget it; a task that runs again fetches it again."""
+        self.table.unpersist()

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
@@ -24,7 +24,8 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = settle(small, "links")
+        last, edges = edges, settle(small, "links")
+        discard(last)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
         now = tuple(now.first())
         if now == before:

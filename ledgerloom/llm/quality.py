@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import append_columns, no_text, pack, tree_sum
+from .common import append_columns, no_text, sliced, summed
 
 BUCKET_BITS, DIM, NONZERO, REACH = 14, 64, 4, 2
 BUCKETS = 1 << BUCKET_BITS
@@ -52,9 +52,9 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
                     for j in range(NONZERO):
                         np.add.at(total, left * DIM + place[right, j], sign[right, j])
                         np.add.at(total, right * DIM + place[left, j], sign[left, j])
-        yield pa.RecordBatch.from_arrays([pa.array([pack(total.astype(np.int64))], pa.binary())], names=["table"])
+        yield sliced(total)
 
-    total = tree_sum(texts.mapInArrow(count, "table binary"), np.int64, BUCKETS * DIM).reshape(BUCKETS, DIM).astype(np.float64)
+    total = summed(texts.mapInArrow(count, "part int, table binary"), np.int32, BUCKETS * DIM, np.int64).reshape(BUCKETS, DIM).astype(np.float64)
     return (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
@@ -130,7 +130,8 @@ def fit_network(vectors: np.ndarray, x: np.ndarray, y: np.ndarray, part: np.ndar
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 20000) -> Model | None:
     """Word vectors from all of ``docs``; the network from about ``max_rows`` labelled rows that ``train`` keeps (all, if there
-    are fewer; else those with the smallest hash of their id). Null labels don't count; several labels of a row are averaged.
+    are fewer; else those with the smallest hash of their id). Null labels don't count; several labels of a row are averaged; of
+    rows that repeat an id the one with the smallest hash of its text counts.
     """
     known = labels.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.avg(label_col).alias("__y"))
     total = known.count()
@@ -140,15 +141,16 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     some = known.where(F.pmod(F.xxhash64(F.lit("quality"), "__id"), F.lit(1 << 30)) < share)
     vectors = word_vectors(docs.select(no_text(F.col(text_col)).alias("text")))
     held = docs.sparkSession.sparkContext.broadcast(vectors)
-    # At most about max_rows ids: small enough to send to every task by construction.
+    # At most about max_rows ids: small enough to send to every task by construction. Of rows that repeat an id one counts.
     rows = docs.select(F.col(id_col).alias("__id"), no_text(F.col(text_col)).alias("text")).join(F.broadcast(some), "__id")
+    rows = rows.groupBy("__id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("__y").alias("__y"))
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features(held.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("__y"), batch.column("part"), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "part", "x"])
 
-    got = rows.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(5)).cast("int")).select("__y", "part", "text").mapInArrow(turn, "y double, part int, x binary").orderBy("x", "y").toPandas()
+    got = rows.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(5)).cast("int")).select("__y", "part", "text").mapInArrow(turn, "y double, part int, x binary").toPandas().sort_values(["x", "y"], ignore_index=True)
     if not len(got):
         return None
     x = np.stack([np.frombuffer(b, np.float32) for b in got["x"]])

@@ -16,7 +16,7 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 SECOND = 0xC2B2AE3D27D4EB4F
 #: Bytes of text that one step works on (one row at least).
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
