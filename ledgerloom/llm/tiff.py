@@ -1,7 +1,8 @@
 """TIFF media columns: one row per page, decoded to plain samples, and a small writer for lossless storage.
 
 The reader walks the chain of image directories (either byte order), reads strips or tiles that are stored plain or by
-PackBits, LZW or deflate, undoes the horizontal and the floating-point predictor, and crops tiles to the image.
+PackBits, LZW or deflate, undoes the horizontal and the floating-point predictor, and crops tiles to the image. Samples have
+1, 2, 4, 8, 16, 32 or 64 bits. What a page may take is bounded by ``MOST_BYTES``, and no strip is unpacked beyond its size.
 """
 
 from __future__ import annotations
@@ -36,20 +37,25 @@ PAGE = [
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR = 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT = 317, 322, 323, 324, 325, 339
+#: A page of more sample bytes than this is an error row.
+MOST_BYTES = 1 << 29
 SCHEME = {1: "none", 5: "lzw", 8: "deflate", 32946: "deflate", 32773: "packbits"}
 FIELD = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 
 
-def packbits_decode(data: bytes) -> bytes:
-    out, i = [], 0
-    while i < len(data):
+def packbits_decode(data: bytes, need: int = 1 << 62) -> bytes:
+    """Stops once there are ``need`` bytes."""
+    out, i, size = [], 0, 0
+    while i < len(data) and size < need:
         n = data[i]
         if n < 128:
             out.append(data[i + 1 : i + 2 + n])
             i += n + 2
+            size += n + 1
         else:
             if n > 128:
                 out.append(data[i + 1 : i + 2] * (257 - n))
+                size += 257 - n
             i += 2 if n > 128 else 1
     return b"".join(out)
 
@@ -77,8 +83,8 @@ CLEAR, STOP = 256, 257
 _SINGLE = [bytes([i]) for i in range(256)] + [b"", b""]
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Most significant bit first, codes widen one entry early, as TIFF has it."""
+def lzw_decode(data: bytes, need: int = 1 << 62) -> bytes:
+    """Most significant bit first, codes widen one entry early, as TIFF has it. Stops once there are ``need`` bytes."""
     out: list[bytes] = []
     table = list(_SINGLE)
     width, limit, held, have, last = 9, 511, 0, 0, None
@@ -109,6 +115,9 @@ def lzw_decode(data: bytes) -> bytes:
                 width += 1
                 limit = (1 << width) - 1
         out.append(last)
+        need -= len(last)
+        if need <= 0:
+            break
     return b"".join(out)
 
 
@@ -150,12 +159,20 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack(data: bytes, scheme: str) -> bytes:
+def unpack(data: bytes, scheme: str, need: int) -> bytes:
+    """The first ``need`` bytes, or some more, of a strip or tile."""
     if scheme == "none":
         return data
     if scheme == "packbits":
-        return packbits_decode(data)
-    return lzw_decode(data) if scheme == "lzw" else zlib.decompress(data)
+        return packbits_decode(data, need)
+    return lzw_decode(data, need) if scheme == "lzw" else zlib.decompressobj().decompress(data, need)
+
+
+def widened(raw: bytes, rows: int, across: int, bits: int) -> np.ndarray:
+    """Samples of under 8 bits as bytes, rows x ``across``; every row begins at a new byte."""
+    size = -(-across * bits // 8)
+    each = np.unpackbits(np.frombuffer(raw, np.uint8, rows * size).reshape(rows, size), axis=1)[:, : across * bits]
+    return each.reshape(rows, across, bits) @ (1 << np.arange(bits - 1, -1, -1, dtype=np.uint8))
 
 
 def undo_predictor(block: np.ndarray, predictor: int, bits: int, order: str) -> np.ndarray:
@@ -230,16 +247,22 @@ def decode(data: bytes, order: str, tags: dict[int, tuple | None]) -> Page:
         raise ValueError("no image size")
     if scheme is None:
         raise ValueError(f"unsupported compression {one(COMPRESSION)}")
-    if bits not in (8, 16, 32, 64) or set(tags.get(BITS, (bits,))) != {bits} or predictor not in (1, 2, 3):
+    if bits not in (1, 2, 4, 8, 16, 32, 64) or set(tags.get(BITS, (bits,))) != {bits} or predictor not in ((1, 2, 3) if bits >= 8 else (1,)):
         raise ValueError(f"unsupported samples: {bits} bits, predictor {predictor}")
+    if not samples or samples < 1:
+        raise ValueError("no samples")
     planes = samples if one(PLANAR, 1) == 2 else 1
-    size = bits // 8 * samples // planes
+    size = max(1, bits // 8) * samples // planes
+    if width * height * size * planes > MOST_BYTES:
+        raise ValueError(f"page of {width * height * size * planes} bytes")
     if TILE_OFFSETS in tags:
         wide, high = one(TILE_WIDTH), one(TILE_HEIGHT)
         offsets, counts = tags[TILE_OFFSETS], tags[TILE_BYTES]
     else:
         wide, high = width, min(one(ROWS_PER_STRIP, height), height)
         offsets, counts = tags[STRIP_OFFSETS], tags[STRIP_BYTES]
+    if not wide or not high or wide < 1 or high < 1 or wide * high * size > MOST_BYTES:
+        raise ValueError("no size of strips or tiles, or one out of bounds")
     across, down = -(-width // wide), -(-height // high)
     if len(offsets) < across * down * planes or len(counts) < len(offsets):
         raise ValueError("too few strips or tiles")
@@ -247,11 +270,14 @@ def decode(data: bytes, order: str, tags: dict[int, tuple | None]) -> Page:
     for i in range(across * down * planes):
         plane, y, x = i // (across * down), i // across % down * high, i % across * wide
         rows = high if TILE_OFFSETS in tags else min(high, height - y)
-        raw = unpack(data[offsets[i] : offsets[i] + counts[i]], scheme)
-        if len(raw) < rows * wide * size:
+        need = rows * (-(-wide * (samples // planes) * bits // 8))
+        raw = unpack(data[offsets[i] : offsets[i] + counts[i]], scheme, need)
+        if len(raw) < need:
             raise ValueError("a strip or tile is too short")
-        block = np.frombuffer(raw, np.uint8, rows * wide * size).reshape(rows, wide, size)
-        block = undo_predictor(block, predictor, bits, order)
+        if bits < 8:
+            block = widened(raw, rows, wide * size, bits).reshape(rows, wide, size)
+        else:
+            block = undo_predictor(np.frombuffer(raw, np.uint8, need).reshape(rows, wide, size), predictor, bits, order)
         h, w = min(rows, height - y), min(wide, width - x)
         out[plane, y : y + h, x : x + w] = block[:h, :w]
     pixels = out[0] if planes == 1 else np.moveaxis(out, 0, 2)
@@ -309,7 +335,8 @@ def look_of(page: Page) -> str:
 
 def tiff_pages(media: DataFrame, media_col: str = "media") -> DataFrame:
     """One row per page: the other columns of ``media``, then page (from 0), width, height, bits, samples, compression,
-    predictor, pixels (samples in row order, interleaved, in the file's byte order), look and error.
+    predictor, pixels (samples in row order, interleaved, in the file's byte order; those of under 8 bits take a byte each), look
+    and error.
 
     Null or empty media give no row. A page that can't be decoded gives its row with the error in place of the pixels, and the
     pages after it are read; a broken chain of directories ends the file with such a row. Columns with the names of the new ones are replaced.
@@ -345,7 +372,7 @@ def tiff_pages(media: DataFrame, media_col: str = "media") -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
-FAILURES = (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error)
+FAILURES = (ValueError, ArithmeticError, KeyError, IndexError, TypeError, MemoryError, struct.error, zlib.error)
 
 
 def _rows(data: bytes) -> Iterator[tuple]:
