@@ -1,8 +1,9 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are range-sorted by key. The bounds of the shards come from exact byte counts over equal key ranges, so the same
-table gives the same files whatever the cluster. Each task writes its shards under temporary names and rolls to a new file
-before the compressed size would pass ``roll_bytes``; headers and digests are made anew from the payload. A manifest, written
+Records are range-sorted by key, then digest. The bounds of the shards come from exact byte counts: ranges of keys that hold
+more than a shard's bytes are counted again in finer ranges, down to single keys, and within a key by ranges of the digest. So
+the same table gives the same files whatever the cluster, and no outlying or hot key makes a shard large. Each task writes one
+shard under temporary names and rolls to a new file before the compressed size would pass ``roll_bytes``; headers and digests are made anew from the payload. A manifest, written
 by Spark's own committer, names the one attempt of each file that counts; only those get their final names, and readers see
 only what the final manifest lists. Everything lies in one folder that all executors share.
 """
@@ -14,16 +15,25 @@ import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import discard, settle
+
 LAST = (1 << 63) - 1
-BINS = 4096
+#: A range that is too large is counted again in about so many ranges for each shard that it holds.
+FINER = 16
 MANIFEST = "shard long, seq long, temporary string, name string, records long, bytes long, sha256 string"
+#: Pages have no time of capture; one fixed date keeps the files the same in every run.
 DATE = "2024-01-01T00:00:00Z"
+#: Characters of URLs that stay; all others are percent-encoded.
+URL_CHARS = "!#$%&'()*+,/:;=?@[]~-._"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -45,7 +55,7 @@ def record(key: int | None, url: str | None, payload: bytes, first: int | None,
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if first is None else http
     fields = [("WARC-Type", "response" if first is None else "revisit"), ("WARC-Record-ID", _record_id(key, name, nth)), ("WARC-Date", DATE)]
-    fields.append(("WARC-Target-URI", "".join(c for c in url or "" if c.isprintable() and c != " ") or "urn:none"))
+    fields.append(("WARC-Target-URI", quote(url or "", safe=URL_CHARS) or "urn:none"))
     if first is not None:
         fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _record_id(first, name, 0)), ("X-Refers-To-Key", str(first))]
     fields += [("X-Key", "" if key is None else str(key)), ("WARC-Payload-Digest", f"sha1:{name}"), ("WARC-Block-Digest", f"sha1:{digest(block)}")]
@@ -93,35 +103,94 @@ class _Roller:
         return self.shard, self.seq - 1, self.temporary, self.name, self.records, self.size, self.hash.hexdigest()
 
 
+def _counted(narrow: DataFrame, edges: np.ndarray) -> np.ndarray:
+    """Bytes at or after each (key, digest) edge and before the next; edges are sorted and the first is the least of all."""
+    held = narrow.sparkSession.sparkContext.broadcast(edges)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(held.value), np.int64)
+        for batch in batches:
+            np.add.at(total, _place(held.value, *(batch.column(c).to_numpy() for c in ("ord", "fine"))), batch.column("n").to_numpy())
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["at", "n"])
+
+    out = np.zeros(len(edges), np.int64)
+    for at, n in narrow.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n")).collect():
+        out[at] = n
+    held.unpersist()
+    return out
+
+
+def _place(edges: np.ndarray, key: np.ndarray, fine: np.ndarray) -> np.ndarray:
+    """Index of the last edge that is not after (key, fine); keys of equal value are told apart by ``fine``."""
+    ask = np.empty(len(key), EDGE)
+    ask["key"], ask["fine"] = key, fine
+    return np.searchsorted(edges, ask, side="right") - 1
+
+
+#: A key and a range of 31 bits of the digest.
+EDGE = np.dtype([("key", np.int64), ("fine", np.int64)])
+FINE = 1 << 31
+
+
+def shard_edges(narrow: DataFrame, shard_bytes: int) -> np.ndarray:
+    """First (key, digest) of every shard, from narrow(ord, fine, n). Ranges over ``shard_bytes`` are split until they are under it or
+    are one key and one value of the digest; neighbours then share a shard up to that size. Each round is one aggregate over the
+    table; the edges are some for each shard and are all that the driver holds."""
+    low, high = narrow.agg(F.min("ord"), F.max("ord")).first()
+    edges = np.array([(low or 0, 0)], EDGE)
+    while True:
+        size = _counted(narrow, edges)
+        finer = []
+        for i in np.flatnonzero(size > shard_bytes).tolist():
+            (a, fa), (b, fb) = edges[i].tolist(), edges[i + 1].tolist() if i + 1 < len(edges) else ((high or 0) + 1, 0)
+            parts = FINER * int(-(-size[i] // shard_bytes))
+            if a == b or b == a + 1 and fb == 0:
+                step = max(1, ((fb if a == b else FINE) - fa) // parts)
+                finer += [(a, f) for f in range(fa + step, fb if a == b else FINE, step)]
+            else:
+                step = max(1, (b - a) // parts)
+                finer += [(k, 0) for k in range(a + step, b if fb == 0 else b + 1, step)]
+                finer += [] if fa == 0 else [(a + 1, 0)]
+        if not finer:
+            break
+        # Ranges without rows need no edge of their own.
+        kept = edges[(size > 0) | (np.arange(len(edges)) == 0)]
+        edges = np.unique(np.concatenate((kept, np.array(finer, EDGE))))
+    first, run = [], shard_bytes
+    for i in range(len(edges)):
+        if run and run + size[i] > shard_bytes:
+            first.append(i)
+            run = 0
+        run += int(size[i])
+    return edges[first or [0]]
+
+
 def write_warc(pages: DataFrame, out: str, key: str = "page_id", url: str = "url", body: str = "html", min_bytes: int = 0, shard_bytes: int = 256 << 20, roll_bytes: int = 1 << 30, level: int = 6) -> DataFrame:
     """Write every row as a record under the new folder ``out``; gives the manifest (shard, seq, name, records, bytes, sha256).
 
     Payload: the body in UTF-8, null as empty. Of the records with equal payloads of at least ``min_bytes``, the one with the
     smallest key is a response and the others revisit it; smaller payloads are all responses. Rows that repeat key and
-    payload are one response and revisits of it. A null key comes last. Control characters and spaces leave the URL.
+    payload are one response and revisits of it. A null key comes last. Characters that a URL may not hold are percent-encoded.
     An empty table gives an empty manifest.
     """
     spark = pages.sparkSession
     rows = pages.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("ord"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(body), F.lit("")).cast("binary").alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
-    low, high, total = rows.where(F.col("ord") < LAST).agg(F.min("ord"), F.max("ord"), F.sum(F.octet_length("payload") + 512)).first()
-    low, high = low or 0, high or 0
-    step = max(1, -(-(high - low + 1) // BINS))
-    bin_of = F.when(F.col("ord") == LAST, F.lit(BINS)).otherwise(F.floor((F.col("ord") - F.lit(low)) / F.lit(step)).cast("int"))
-    sizes = dict(rows.groupBy(bin_of.alias("b")).agg(F.sum(F.octet_length("payload") + 512)).collect())
-    shard_of, run, shard = [], 0, 0
-    for b in range(BINS + 1):
-        if run >= shard_bytes:
-            run, shard = 0, shard + 1
-        shard_of.append(shard)
-        run += sizes.get(b, 0)
-    shard_col = F.element_at(F.lit(shard_of), bin_of + 1).cast("long")
-
-    narrow = rows.select("ord", "sha", F.octet_length("payload").alias("n"))
+    narrow = settle(rows.select("ord", "sha", F.octet_length("payload").alias("n")), "digests")
+    fine = F.shiftright(F.conv(F.hex(F.substring("sha", 1, 4)), 16, 10).cast("long"), 1)
+    held = spark.sparkContext.broadcast(shard_edges(narrow.select("ord", fine.alias("fine"), (F.col("n") + 512).cast("long").alias("n")), shard_bytes))
+    shards = len(held.value)
     firsts = narrow.where(F.col("n") >= min_bytes).groupBy("sha").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").select("sha", "first")
     revisits = narrow.select("ord", "sha").join(firsts, "sha").where("ord > first").distinct()
     notes = revisits.select("ord", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "sha", "first", F.lit(0).alias("kind"))
-    dealt = notes.union(rows.select("ord", "url", "payload", "sha", F.lit(None).cast("long").alias("first"), F.lit(1).alias("kind"))).withColumn("shard", shard_col)
-    dealt = dealt.repartition(shard + 1, "shard").sortWithinPartitions("shard", "ord", "sha", "kind", "url")
+    dealt = notes.union(rows.select("ord", "url", "payload", "sha", F.lit(None).cast("long").alias("first"), F.lit(1).alias("kind")))
+
+    @F.pandas_udf("int")
+    def shard(key: pd.Series, fine: pd.Series) -> pd.Series:
+        return pd.Series(_place(held.value, key.to_numpy(), fine.to_numpy()).astype(np.int32))
+
+    dealt = dealt.withColumn("shard", shard("ord", fine))
+    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "ord", "sha", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
@@ -149,6 +218,7 @@ def write_warc(pages: DataFrame, out: str, key: str = "page_id", url: str = "url
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=[f.split()[0] for f in MANIFEST.split(", ")])
 
     dealt.mapInArrow(write, MANIFEST).write.parquet(f"{out}/_attempts")
+    discard(narrow)
     attempts = spark.read.schema(MANIFEST).parquet(f"{out}/_attempts")
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
