@@ -2,16 +2,17 @@
 
 An item's windows (``size`` consecutive words, or the whole item if it is shorter) are sets of word shingles. Containment
 needs *every* shingle of a window, so under an order by rarity its necessary prefix is the rarest shingle alone: only texts
-with that shingle are candidates for the window. The shingle's place in the window fixes where the window would have to
-start (positional bound) and the text must have room for it (length bound); what is left is verified word by word.
+with that shingle are candidates for the window. Texts are joined with windows on that one shingle. Its place in the window
+fixes where the window would have to start (positional bound) and the text must have room for it (length bound); what is
+left is verified word by word.
 
-Rarity is counted over all documents. Items are taken in blocks of at most ``block_bytes`` of text, so what is sent to the
-executors is bounded; more items mean more passes over the texts, never another result.
+Rarity is counted over all documents; windows whose rarest shingle no document has are gone before the join. Items, windows,
+counts and candidates are tables: nothing of them is gathered on the driver or sent to all executors but bitmaps of bounded
+size, which only keep places out of the shuffles that a join would drop anyway. Equal texts are looked at as one.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import append_columns, no_text, settle, without
+from .common import Bitmap, append_columns, discard, no_text, pieces, settle, sized_rows, without
 
 U = np.uint64
 OUT = [
@@ -29,150 +30,150 @@ OUT = [
     T.StructField("hits", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
     T.StructField("item_ids", T.ArrayType(T.StringType())),
 ]
+WINDOW = pa.schema([("passage", pa.string()), ("n", pa.int32()), ("id", pa.string())])
+SHINGLE = pa.schema([("passage", pa.string()), ("n", pa.int32()), ("gram", pa.int64()), ("place", pa.int32())])
+PLACE = pa.schema([("mark", pa.string()), ("gram", pa.int64()), ("at", pa.int32()), ("before", pa.int32()), ("around", pa.string())])
+_DDL = {pa.string(): "string", pa.int32(): "int", pa.int64(): "long"}
 
 
-class Block:
-    """Windows of some items: words, items, and after ``rank`` the prefix shingle of each."""
-
-    def __init__(self, items: list[tuple[str, str | None]], size: int, gram: int):
-        owners: dict[bytes, set[str]] = defaultdict(set)
-        self.gram = gram
-        col = pa.array([t for _, t in items], pa.string())
-        for w in K.words(col, K.LETTER_WORDS):
-            for r in range(w.hi - w.lo):
-                own = w.texts(int(w.ptr[r]), int(w.ptr[r + 1]))
-                if own:
-                    for i in range(max(1, len(own) - size + 1)):
-                        owners[b" ".join(own[i : i + size])].add(items[w.lo + r][0])
-        self.windows = sorted(owners)
-        self.items = [sorted(owners[x]) for x in self.windows]
-        self.lengths = [x.count(b" ") + 1 for x in self.windows]
-        grams = [_grams(x, min(gram, n)) for x, n in zip(self.windows, self.lengths, strict=True)]
-        self.grams = grams
-        self.known = {n: np.unique(np.concatenate([np.array(g, U) for g, m in zip(grams, self.lengths, strict=True) if min(gram, m) == n])) for n in {min(gram, m) for m in self.lengths}}
-
-    def rank(self, counts: dict[int, int]) -> None:
-        """Choose each window's rarest shingle; ties go to the smaller value, then to the earlier place."""
-        anchors: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for i, (g, n) in enumerate(zip(self.grams, self.lengths, strict=True)):
-            at = min(range(len(g)), key=lambda j: (counts.get(g[j], 0), g[j], j))
-            anchors[min(self.gram, n)][g[at]].append((at, i))
-        self.anchors = {n: (np.array(sorted(a), U), [a[x] for x in sorted(a)]) for n, a in anchors.items()}
-        del self.grams
-
-
-def _grams(window: bytes, n: int) -> list[int]:
-    w = next(K.words(pa.array([window.decode()]), K.LETTER_WORDS))
-    return [int(x) for x in K.windows(w.value, n)]
-
-
-def _in(sorted_values: np.ndarray, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of ``ask`` that are among the values, and where."""
-    at = np.searchsorted(sorted_values, ask)
-    at[at == len(sorted_values)] = 0
-    hit = np.flatnonzero(sorted_values[at] == ask)
-    return hit, at[hit]
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, gram: int = 3, block_bytes: int = 32 << 20) -> DataFrame:
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {_DDL[f.type]}" for f in schema)
+
+
+def windows_of(items: DataFrame, size: int) -> DataFrame:
+    """Distinct (passage, n, id): the windows of items(id, text), their words joined by one space."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                ids = batch.column("id").to_pylist()
+                for w in K.words(batch.column("text"), K.LETTER_WORDS):
+                    for r in range(w.hi - w.lo):
+                        own = w.texts(int(w.ptr[r]), int(w.ptr[r + 1]))
+                        n = min(size, len(own))
+                        for i in range(len(own) - n + 1 if n else 0):
+                            yield b" ".join(own[i : i + n]).decode(), n, ids[w.lo + r]
+
+        yield from sized_rows(rows(), WINDOW, lambda r: len(r[0]))
+
+    return items.mapInArrow(cut, _ddl(WINDOW)).distinct()
+
+
+def shingles_of(windows: DataFrame, gram: int) -> DataFrame:
+    """(passage, n, gram, place): every shingle of every window; a window of fewer words than ``gram`` is one shingle."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, 1 << 20):
+                for w in K.words(part.column("passage"), K.LETTER_WORDS):
+                    n = np.diff(w.ptr)
+                    for k in np.unique(np.minimum(n, gram)).tolist():
+                        at, row = K.starts(w.ptr, k)
+                        use = np.minimum(n[row], gram) == k
+                        at, row = at[use], row[use]
+                        from_row = pa.array(w.lo + row)
+                        yield pa.RecordBatch.from_arrays([part.column("passage").take(from_row), part.column("n").take(from_row), pa.array(K.windows(w.value, k)[at].view(np.int64)), pa.array((at - w.ptr[row]).astype(np.int32))], schema=SHINGLE)
+
+    return windows.mapInArrow(cut, _ddl(SHINGLE))
+
+
+def rarities(texts: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
+    """(gram, count) of the known shingles over all texts, combined in each task before the shuffle."""
+    mask = Bitmap(known, known.count())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            u, inv = np.unique(np.concatenate(held), return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(inv, np.concatenate(sizes), len(u)).astype(np.int64))], names=["gram", "n"])
+
+        for batch in batches:
+            for w in K.words(batch.column("text"), K.LETTER_WORDS):
+                for k in lengths:
+                    at, _ = K.starts(w.ptr, k)
+                    value = K.windows(w.value, k)[at]
+                    u, n = np.unique(value[mask.may_have(value)], return_counts=True)
+                    held.append(u)
+                    sizes.append(n)
+            if sum(map(len, held)) > 1 << 20:
+                yield flush()
+                held, sizes = [], []
+        if held:
+            yield flush()
+
+    return texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("count")).join(known, "gram", "left_semi")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, gram: int = 3) -> DataFrame:
     """All rows and columns of ``docs`` with n_words, hits (word ranges [start, end) inside occurring windows, merged) and
     item_ids (distinct, sorted as strings; of the items with an occurring window).
 
     Words are runs of ASCII digits, ASCII letters (lower-cased) and non-ASCII characters. Null or empty texts have no words
     and no hits; null or empty items have no windows; a null item id counts as the text ``null``. Equal windows of several
-    items hit all of them. An empty table of items hits nothing.
+    items hit all of them; repeated rows are judged alike. An empty table of items hits nothing.
     """
-    spark = docs.sparkSession
     listed = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), no_text(F.col(item_text)).alias("text"))
-    total = listed.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_bytes))
-    out = append_columns(docs, lambda b: _blank(b, text_col), OUT)
-    for n in range(blocks):
-        part = listed.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == n)
-        block = Block([tuple(r) for r in part.distinct().collect()], size, gram)
-        if not block.windows:
-            continue
-        block.rank(_count(docs.select(no_text(F.col(text_col)).alias("text")), block))
-        held = spark.sparkContext.broadcast(block)
-        if blocks == 1:
-            return _matched(docs, text_col, held)
-        before = out.withColumnsRenamed({"hits": "__hits", "item_ids": "__items"})
-        out = settle(_merged(_matched(before, text_col, held)), "decontaminate")
-    return out
-
-
-def _blank(batch: pa.RecordBatch, text_col: str) -> dict[str, list]:
-    n_words = [int(x) for w in K.words(batch.column(text_col), K.LETTER_WORDS) for x in np.diff(w.ptr)]
-    return {"n_words": n_words, "hits": [[]] * len(n_words), "item_ids": [[]] * len(n_words)}
-
-
-def _count(texts: DataFrame, block: Block) -> dict[int, int]:
-    """How often each shingle of the block's windows occurs in all documents."""
-    known = texts.sparkSession.sparkContext.broadcast(block.known)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = {n: np.zeros(len(v), np.int64) for n, v in known.value.items()}
-        for batch in batches:
-            for w in K.words(batch.column("text"), K.LETTER_WORDS):
-                for n, values in known.value.items():
-                    at, _ = K.starts(w.ptr, n)
-                    _, where = _in(values, K.windows(w.value, n)[at])
-                    np.add.at(totals[n], where, 1)
-        for n, values in known.value.items():
-            some = totals[n] > 0
-            yield pa.RecordBatch.from_arrays([pa.array(values[some].view(np.int64)), pa.array(totals[n][some])], names=["gram", "n"])
-
-    rows = texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect()
-    return {int(np.int64(g).view(U)): n for g, n in rows}
-
-
-def _matched(docs: DataFrame, text_col: str, held) -> DataFrame:
-    def match(batch: pa.RecordBatch) -> dict[str, list]:
-        block: Block = held.value
-        n_words, hits, items = [], [], []
-        for w in K.words(batch.column(text_col), K.LETTER_WORDS):
-            found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-            for n, (values, places) in block.anchors.items():
-                at, row = K.starts(w.ptr, n)
-                hit, where = _in(values, K.windows(w.value, n)[at])
-                for h, x in zip(hit.tolist(), where.tolist(), strict=True):
-                    r, place = int(row[h]), int(at[h])
-                    for offset, i in places[x]:
-                        start = place - offset
-                        end = start + block.lengths[i]
-                        if start >= w.ptr[r] and end <= w.ptr[r + 1] and b" ".join(w.texts(start, end)) == block.windows[i]:
-                            found[r].append((start - int(w.ptr[r]), end - int(w.ptr[r]), i))
-            for r in range(w.hi - w.lo):
-                n_words.append(int(w.ptr[r + 1] - w.ptr[r]))
-                spans: list[dict[str, int]] = []
-                for s, e, _ in sorted(found.get(r, ())):
-                    if spans and s <= spans[-1]["end"]:
-                        spans[-1]["end"] = max(e, spans[-1]["end"])
-                    else:
-                        spans.append({"start": s, "end": e})
-                hits.append(spans)
-                items.append(sorted({x for _, _, i in found.get(r, ()) for x in block.items[i]}))
-        return {"n_words": n_words, "hits": hits, "item_ids": items}
-
-    return append_columns(docs, match, OUT)
-
-
-def _merged(df: DataFrame) -> DataFrame:
-    """Join the hits of one more block with those so far."""
+    owners = settle(windows_of(listed, size), "windows")
+    shingles = settle(shingles_of(owners.select("passage", "n").distinct(), gram), "shingles")
+    lengths = [r[0] for r in owners.select(F.least("n", F.lit(gram))).distinct().collect()]
+    texts = docs.select(no_text(F.col(text_col)).alias("text"))
+    known = settle(shingles.select("gram").distinct(), "grams")
+    counts = rarities(texts, known, lengths)
+    # The rarest shingle of each window; ties go to the smaller value, then to the earlier place. One that no text has can't occur.
+    least = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "gram", "place"))
+    anchors = shingles.join(counts, "gram", "left").groupBy("passage", "n").agg(least.alias("a")).where("a.count > 0")
+    anchors = settle(anchors.select("passage", "n", "a.gram", "a.place"), "anchors")
+    wanted = anchors.select("gram").distinct()
+    mask = Bitmap(wanted, wanted.count())
+    marked = texts.select("text", F.md5(F.col("text").cast("binary")).alias("mark"))
+    reach = size - 1
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                marks = batch.column("mark").to_pylist()
+                for w in K.words(batch.column("text"), K.LETTER_WORDS):
+                    new = np.array([m not in seen for m in marks[w.lo : w.hi]])
+                    for k in lengths:
+                        at, row = K.starts(w.ptr, k)
+                        value = K.windows(w.value, k)[at]
+                        use = np.flatnonzero(new[row] & mask.may_have(value)) if len(at) else []
+                        for i in use:
+                            r, p = int(row[i]), int(at[i])
+                            a, b = max(int(w.ptr[r]), p - reach), min(int(w.ptr[r + 1]), p + size)
+                            yield marks[w.lo + r], int(value[i].view(np.int64)), p - int(w.ptr[r]), p - a, b" ".join(w.texts(a, b)).decode()
+                    seen.update(marks[w.lo : w.hi])
+
+        yield from sized_rows(rows(), PLACE, lambda r: 32 + len(r[4]))
+
+    # Positional and length bounds are in the slice: it has another number of words where the window doesn't fit.
+    here = F.array_join(F.slice(F.split("around", " "), F.greatest(F.col("before") - F.col("place") + 1, F.lit(1)), F.col("n")), " ")
+    found = marked.mapInArrow(find, _ddl(PLACE)).join(anchors, "gram").where((F.col("before") >= F.col("place")) & (here == F.col("passage")))
+    found = settle(found.select("mark", (F.col("at") - F.col("place")).alias("start"), "n", "passage").distinct(), "found")
+    mask.drop()
+    discard(shingles, known)
+    spans = found.groupBy("mark").agg(F.collect_set(F.struct("start", "n")).alias("__spans"))
+    named = found.select("mark", "passage").distinct().join(owners.select("passage", "id"), "passage").groupBy("mark").agg(F.collect_set("id").alias("__ids"))
+    hit = settle(spans.join(named, "mark").withColumnRenamed("mark", "__mark"), "hits")
+    discard(found, anchors, owners)
+    keyed = without(docs, [f.name for f in OUT]).withColumn("__mark", F.md5(no_text(F.col(text_col)).cast("binary")))
 
     def merge(batch: pa.RecordBatch) -> dict[str, list]:
-        hits, items = [], []
-        for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("__hits", "hits", "__items", "item_ids")), strict=True):
-            spans: list[dict[str, int]] = []
-            for s in sorted([*a, *b], key=lambda z: (z["start"], z["end"])):
-                if spans and s["start"] <= spans[-1]["end"]:
-                    spans[-1]["end"] = max(s["end"], spans[-1]["end"])
-                else:
-                    spans.append(dict(s))
-            hits.append(spans)
-            items.append(sorted({*x, *y}))
-        return {"__h": hits, "__i": items}
-
-    fields = [T.StructField("__h", OUT[1].dataType), T.StructField("__i", OUT[2].dataType)]
-    both = append_columns(df, merge, fields)
-    return without(both, ["__hits", "__items", "hits", "item_ids"]).withColumnsRenamed({"__h": "hits", "__i": "item_ids"})
+        n_words = [int(x) for w in K.words(batch.column(text_col), K.LETTER_WORDS) for x in np.diff(w.ptr)]
+        return {"n_words": n_words, "hits": [_merged(x) for x in batch.column("__spans").to_pylist()], "item_ids": [sorted(x or []) for x in batch.column("__ids").to_pylist()]}
+
+    return append_columns(keyed.join(hit, "__mark", "left"), merge, OUT).drop("__mark", "__spans", "__ids")
+
+
+def _merged(spans: list[dict] | None) -> list[dict]:
+    """Maximal word ranges that the windows cover; ranges that touch become one."""
+    if not spans:
+        return []
+    both = np.array(sorted((s["start"], s["start"] + s["n"]) for s in spans))
+    end = np.maximum.accumulate(both[:, 1])
+    first = np.flatnonzero(np.append(True, both[1:, 0] > end[:-1]))
+    return [{"start": int(both[i, 0]), "end": int(end[j - 1])} for i, j in zip(first, [*first[1:], len(both)], strict=True)]
