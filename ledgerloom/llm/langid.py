@@ -1,11 +1,12 @@
 """Language ID with interpolated Kneser-Ney character models.
 
 Characters are folded to 128 symbols (0: not a letter; 1-26: a-z; the other letters share the rest by a hash of their code
-point), so an n-gram is an exact packed number of 7 bits a symbol and prefixes and suffixes are shifts. Counts come from
-all training rows, summed by Spark; the models of all languages live in one sorted array
-of n-grams per order with a matrix of log probabilities beside it. A text goes to the language of least cross-entropy per
-character. Rejection is calibrated: texts whose best cross-entropy is beyond what the language's own training texts of
-such length reach are marked. The bounds come from all distinct training texts, in one more pass.
+point), so an n-gram is an exact packed number of 7 bits a symbol and prefixes and suffixes are shifts. Counts come from the
+training rows, up to a bound of letters a language that is drawn by a hash of the text, summed by Spark; the models of all
+languages live in one sorted array of n-grams per order with a matrix of log probabilities beside it. A text goes to the
+language of least cross-entropy per character. Rejection is calibrated in one more pass over all training rows: centre and
+spread of each language's cross-entropies come from all its distinct texts, and how many spreads are too many from the texts
+that were left out of the counts, at a stated rate of false rejections.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .common import append_columns, no_text
 BITS, SYMBOLS, PAD = 7, 128, 4
 #: Cross-entropies are counted in this many classes a bit; a language of fewer distinct texts than LEAST takes wide bounds.
 CLASSES, LEAST = 1024, 20
+#: Spreads beyond which a text is rejected where too few texts were left out to tell: wide, so that clean texts stay.
+WIDE = 12.0
 OUT = [
     T.StructField("lang_pred", T.StringType()),
     T.StructField("score", T.DoubleType()),
@@ -120,6 +123,8 @@ class Model:
     #: Per language: mean and spread of the cross-entropy of its training texts.
     mean: np.ndarray
     spread: np.ndarray
+    #: Spreads beyond which a text is rejected.
+    z: float = WIDE
 
 
 def fit_counts(langs: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray]], order: int) -> Model:
@@ -192,34 +197,36 @@ def cross_entropies(model: Model, col: pa.Array) -> Iterator[tuple[np.ndarray, n
         yield -(run[end] - run[start]) / (length + 1)[:, None], seen[start + length] - seen[start]
 
 
-def predict(model: Model, col: pa.Array, z: float = 12.0) -> dict[str, list]:
-    langs, scores, ents, bad = [], [], [], []
+def _wider(letters: np.ndarray) -> np.ndarray:
+    """Short texts vary more."""
+    return np.maximum(1, np.sqrt(200 / np.maximum(letters, 1)))
+
+
+def predict(model: Model, col: pa.Array, z: float | None = None) -> dict[str, pa.Array]:
+    names = pa.array([*model.langs, "und"])
+    out: dict[str, list] = {"lang_pred": [], "score": [], "cross_entropy": [], "rejected": []}
     for bits, letters in cross_entropies(model, col):
         best = bits.argmin(axis=1)
         least = bits[np.arange(len(bits)), best]
         # Posterior of the best language, with the evidence of at most 64 symbols so that it stays graded.
         odds = np.exp2(-(bits - least[:, None]) * np.minimum(64, np.maximum(letters, 1))[:, None])
-        post = 1 / odds.sum(axis=1)
-        over = least > model.mean[best] + z * model.spread[best] * np.maximum(1, np.sqrt(200 / np.maximum(letters, 1)))
-        for i in range(len(bits)):
-            if letters[i]:
-                langs.append(model.langs[best[i]])
-                scores.append(float(post[i]))
-                ents.append(float(least[i]))
-                bad.append(bool(over[i]))
-            else:
-                langs.append("und")
-                scores.append(0.0)
-                ents.append(None)
-                bad.append(True)
-    return {"lang_pred": langs, "score": scores, "cross_entropy": ents, "rejected": bad}
-
-
-def _bounds(model: Model, rows: DataFrame) -> None:
-    """Sets mean and spread from all distinct training texts of at least 50 letters.
+        over = least > model.mean[best] + (model.z if z is None else z) * model.spread[best] * _wider(letters)
+        none = letters == 0
+        out["lang_pred"].append(names.take(pa.array(np.where(none, len(model.langs), best))))
+        out["score"].append(pa.array(np.where(none, 0.0, 1 / odds.sum(axis=1))))
+        out["cross_entropy"].append(pa.array(least, mask=none))
+        out["rejected"].append(pa.array(over | none))
+    kinds = {"lang_pred": pa.string(), "score": pa.float64(), "cross_entropy": pa.float64(), "rejected": pa.bool_()}
+    return {k: pa.chunked_array(v, kinds[k]).combine_chunks() for k, v in out.items()}
+
+
+def _bounds(model: Model, rows: DataFrame, rate: float) -> None:
+    """Sets mean and spread from all distinct training texts of at least 50 letters, and z from those of them that were left out
+    of the counts, so that a share ``rate`` of them would be rejected.
 
     A language of fewer than LEAST such texts says little about texts it wasn't fitted on: it takes the median bounds of the
-    other languages, or its own where they are wider. If no language has enough, no text with letters is rejected.
+    other languages, or its own where they are wider. If no language has enough, no text with letters is rejected. With fewer
+    than 1 / rate texts left out, z stays WIDE.
     """
     held = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -227,20 +234,22 @@ def _bounds(model: Model, rows: DataFrame) -> None:
         place = {x: j for j, x in enumerate(held.value.langs)}
         for batch in batches:
             at, lang = 0, np.array([place.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
-            use, bits = [], []
+            use, bits, wide = [], [], []
             for b, letters in cross_entropies(held.value, batch.column("text")):
                 own = lang[at : at + len(b)]
                 some = np.flatnonzero((letters >= 50) & (own >= 0))
                 use.append(at + some)
                 bits.append(np.floor(b[some, own[some]] * CLASSES).astype(np.int64))
+                wide.append(np.ceil(10 * _wider(letters[some])).astype(np.int64))
                 at += len(b)
             if use:
-                use = np.concatenate(use)
-                yield pa.RecordBatch.from_arrays([pa.array(lang[use]), batch.column("mark").take(pa.array(use)), pa.array(np.concatenate(bits))], names=["lang", "mark", "bits"])
+                use = pa.array(np.concatenate(use))
+                yield pa.RecordBatch.from_arrays([pa.array(lang).take(use), batch.column("mark").take(use), batch.column("out").take(use), pa.array(np.concatenate(bits)), pa.array(np.concatenate(wide))], names=["lang", "mark", "out", "bits", "wide"])
 
     # Copies meet by a hash of the text, combined in each task before the shuffle; then only counts of classes are left.
-    each = rows.select("lang", "text", F.xxhash64("text").alias("mark")).mapInArrow(seen, "lang long, mark long, bits long").groupBy("lang", "mark").agg(F.min("bits").alias("bits"))
-    got = each.groupBy("lang", "bits").count().toPandas().sort_values("bits")
+    each = rows.mapInArrow(seen, "lang long, mark long, out boolean, bits long, wide long").groupBy("lang", "mark").agg(F.min("bits").alias("bits"), F.min("wide").alias("wide"), F.max("out").alias("out"))
+    got = each.groupBy("lang", "bits", "wide", "out").count().toPandas().sort_values("bits")
+    held.unpersist()
     total = np.zeros(len(model.langs), np.int64)
     for j, mine in got.groupby("lang"):
         upto = mine["count"].to_numpy().cumsum()
@@ -252,16 +261,34 @@ def _bounds(model: Model, rows: DataFrame) -> None:
     for j in np.flatnonzero(~known):
         own = (model.mean[j], model.spread[j]) if total[j] else (0.0, 0.0)
         model.mean[j], model.spread[j] = max(mean, own[0]), max(spread, own[1])
+    left = got[got["out"]]
+    if left["count"].sum() * rate >= 1:
+        lang = left["lang"].to_numpy()
+        far = (left["bits"].to_numpy() / CLASSES - model.mean[lang]) / model.spread[lang] * 10 / left["wide"].to_numpy()
+        order = np.argsort(far)
+        upto = left["count"].to_numpy()[order].cumsum()
+        model.z = max(float(far[order][np.searchsorted(upto, (1 - rate) * upto[-1])]), 1.0)
 
 
-def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", order: int = 4) -> Model | None:
-    """order: up to PAD. Learn from every row that ``train`` keeps and whose language is not null; None if there is none.
+def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", order: int = 4, max_letters: int = 32 << 20, rate: float = 1e-4) -> Model | None:
+    """order: up to PAD. Learn from the rows that ``train`` keeps and whose language is not null; None if there is none.
 
-    The table of n-grams has at most 128**order rows a language whatever the input (in practice some ten thousand).
-    Rejection bounds come from the same rows, equal texts counted once.
+    max_letters: of a language with more characters than that, about so many are counted, in distinct texts drawn by a hash
+    of the text; this bounds the table of n-grams that is gathered. A language of 1000 rows or more also leaves an eighth of its
+    texts out of the counts. rate: the share of texts left out that the calibrated bounds would reject.
     """
     rows = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), no_text(F.col(text_col)).alias("text"))
-    got = gram_counts(rows, order).toPandas()
+    sizes = [tuple(r) for r in rows.groupBy("lang").agg(F.count("*"), F.sum(F.length("text"))).collect() if r[0] != "und"]
+    if not sizes:
+        return None
+    share = {x: int((1 << 20) * min(1.0 if n < 1000 else 0.875, max_letters / max(1, size))) for x, n, size in sizes}
+    marked = rows.withColumn("mark", F.xxhash64("text"))
+    keep = F.try_element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang")) if share else F.lit(0)
+    marked = marked.withColumn("out", F.coalesce(F.pmod(F.xxhash64("mark"), F.lit(1 << 20)) >= keep, F.lit(True)))
+    counted = marked.where(~F.col("out"))
+    if any(size > max_letters for _, _, size in sizes):
+        counted = counted.groupBy("lang", "mark").agg(F.first("text").alias("text"))
+    got = gram_counts(counted.select("lang", "text"), order).toPandas()
     langs = sorted(x for x in got["lang"].unique() if x != "und")
     if not langs:
         return None
@@ -270,15 +297,16 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str =
         mine = got[got["lang"] == lang].sort_values("gram")
         grams[lang] = (mine["gram"].to_numpy(np.int64).astype(np.uint32), mine["n"].to_numpy(np.int64))
     model = fit_counts(langs, grams, order)
-    _bounds(model, rows)
+    _bounds(model, marked, rate)
     return model
 
 
-def identify(docs: DataFrame, model: Model | None, text_col: str = "text", z: float = 12.0) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text", z: float | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with lang_pred, score (0 to 1), cross_entropy (bits a symbol) and rejected.
 
-    Null texts and texts without letters are ``und``, score 0, rejected; so is every text if nothing was learnt. Ties
-    between languages go to the first by name. Rejected texts with letters keep their best language.
+    z: spreads beyond which a text is rejected, if not those of the model. Null texts and texts without letters are ``und``,
+    score 0, rejected; so is every text if nothing was learnt. Ties between languages go to the first by name. Rejected texts
+    with letters keep their best language.
     """
     if model is None:
         return append_columns(docs, lambda b: {"lang_pred": ["und"] * b.num_rows, "score": [0.0] * b.num_rows, "cross_entropy": [None] * b.num_rows, "rejected": [True] * b.num_rows}, OUT)
