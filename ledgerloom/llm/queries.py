@@ -72,7 +72,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.sanitise(docs)
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    base = F.filter("spans", lambda s: s["kind"] != "term")
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.KINDS))
     return found.select("doc_id", *[count(k) for k in pii.KINDS], _sha(text(base)).alias("base_sha256"), text(F.col("spans")).alias("spans"), _sha(F.col("clean_text")).alias("clean_sha256"))
 
 
@@ -107,7 +107,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mixing.mix(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "selected")
+    return mixing.mix(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "selected", "raking_error")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
