@@ -138,16 +138,26 @@ def format_turns(conversations: DataFrame, learn: tuple[str, ...] = ("assistant"
     return kept.withColumn("formatted", F.array_join(F.transform("__safe", one), "")).withColumn("loss", runs).drop("__safe")
 
 
+def _starts(sizes: Column) -> Column:
+    """Where each part begins if the parts follow each other."""
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(sizes, state, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
+
+
 def parse_formatted(formatted: DataFrame) -> DataFrame:
-    """Adds read: the turns (role, text, learn) that the transcript and its mask hold, unescaped again."""
+    """Adds read: the turns (role, text, learn) that the transcript and its mask hold, unescaped again. learn: the mask has a run
+    under loss that begins and ends, counted from the start of the transcript, where the text does."""
     # The transcript starts with a mark, so the first part of the split is empty.
     parts = F.split("formatted", re.escape(TURN))
     parts = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
     fields = F.transform(parts, lambda p: F.struct(F.substring_index(p, BODY, 1).alias("role"), p.alias("part")))
+    placed = formatted.withColumn("__part", _starts(F.transform(parts, lambda p: F.length(p) + len(TURN)))).withColumn("__run", _starts(F.transform("loss", lambda r: r["chars"])))
 
     def turn(f: Column, i: Column) -> Column:
-        body = f["part"].substr(F.length(f["role"]) + len(BODY) + 1, F.length(f["part"]) - F.length(f["role"]) - len(BODY) - len(END))
+        before = F.length(f["role"]) + len(BODY)
+        body = f["part"].substr(before + 1, F.length(f["part"]) - before - len(END))
         run = F.get(F.col("loss"), i * 3 + 1)
-        return F.struct(unescape(f["role"]).alias("role"), unescape(body).alias("text"), (run["learn"] & (run["chars"] == F.length(body))).alias("learn"))
+        same = (run["chars"] == F.length(body)) & (F.get(F.col("__run"), i * 3 + 1) == F.get(F.col("__part"), i) + len(TURN) + before)
+        return F.struct(unescape(f["role"]).alias("role"), unescape(body).alias("text"), (run["learn"] & same).alias("learn"))
 
-    return formatted.withColumn("read", F.transform(fields, turn))
+    return placed.withColumn("read", F.transform(fields, turn)).drop("__part", "__run")
