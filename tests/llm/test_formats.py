@@ -86,6 +86,37 @@ def test_tiff_pages_after_one_that_cannot_be_decoded():
     assert np.array_equal(np.frombuffer(rows[3][7], ">u2").reshape(2, 5), images[3])
 
 
+def small_page(bits, width, height, samples, raw, **change):
+    """A little-endian page of one plain strip; ``change`` sets tags by name."""
+    tags = {"WIDTH": width, "HEIGHT": height, "BITS": bits, "COMPRESSION": 1, "STRIP_OFFSETS": 8, "SAMPLES": samples, "ROWS_PER_STRIP": height, "STRIP_BYTES": len(raw)} | change
+    entries = sorted((getattr(tiff, k), 4, 1, v) for k, v in tags.items() if v is not None)
+    raw += b"\0" * (len(raw) % 2)
+    return struct.pack("<2sHI", b"II", 42, 8 + len(raw)) + raw + struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + bytes(4)
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+@pytest.mark.parametrize("samples", [1, 3])
+def test_tiff_samples_of_less_than_a_byte(bits, samples):
+    image = np.random.default_rng(bits).integers(0, 1 << bits, (5, 7 * samples)).astype(np.uint8)
+    row_bits = (image[:, :, None] >> np.arange(bits - 1, -1, -1) & 1).reshape(5, -1).astype(np.uint8)
+    raw = np.packbits(row_bits, axis=1).tobytes()
+    for code, data in ((1, raw), (32773, tiff.packbits_encode(raw)), (5, tiff.lzw_encode(raw)), (8, zlib.compress(raw))):
+        (row,) = tiff._rows(small_page(bits, 7, 5, samples, data, COMPRESSION=code))
+        assert row[-1] is None and row[7] == image.tobytes() and row[3:5] == (bits, samples)
+
+
+def test_tiff_malformed_files_are_error_rows():
+    raw = bytes(range(35))
+    assert next(tiff._rows(small_page(8, 7, 5, 1, raw)))[7] == raw
+    tiles = {"TILE_OFFSETS": 8, "TILE_BYTES": 35, "TILE_WIDTH": 0, "TILE_HEIGHT": 16}
+    for change in ({"ROWS_PER_STRIP": 0}, {"SAMPLES": 0}, {"SAMPLES": 0, "PLANAR": 2}, {"WIDTH": 1 << 31, "HEIGHT": 1 << 31}, {"BITS": 3}, {"BITS": 4, "PREDICTOR": 2}, tiles, {"STRIP_BYTES": 0}, {"COMPRESSION": 8}, {"STRIP_OFFSETS": None}, {"SAMPLES": 1 << 31}):
+        (row,) = tiff._rows(small_page(8, 7, 5, 1, raw, **change))
+        assert row[0] == 0 and row[-1] and row[7] is None, change
+    bomb = zlib.compress(bytes(1 << 26), 9)
+    assert len(tiff.unpack(bomb, "deflate", 100)) == 100
+    assert len(tiff.packbits_decode(b"\x81\0" * 10_000, 200)) < 400
+
+
 def test_tiff_floating_predictor():
     x = np.random.default_rng(0).random((3, 5)).astype("<f4")
     planes = np.swapaxes(x.astype(">f4").view(np.uint8).reshape(3, 5, 4), 1, 2).reshape(3, -1)
@@ -142,6 +173,23 @@ def test_warc_small_payloads_and_empty_table(spark):
     assert warc.read_warc(spark, out).count() == 0
 
 
+def test_warc_outlying_and_hot_keys_leave_shards_even(spark):
+    """One key far off, and one key (then none) of a third of the rows: no shard holds more than its share."""
+    rows = [(i, "u", f"page {i} " * 40) for i in range(400)] + [(10**9, "u", "far off")] + [(k, "u", f"hot {j} {k} " * 40) for k in (77, None) for j in range(200)]
+    out = scratch(spark, "warc")
+    manifest = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), out, shard_bytes=20_000, roll_bytes=1 << 20).toPandas()
+    most = manifest.groupby("shard").records.sum()
+    assert most.sum() == len(rows) and len(most) > 20 and most.max() < 60
+    got = warc.read_warc(spark, out).collect()
+    assert sorted(str(r.key) for r in got) == sorted(str(r[0]) for r in rows) and all(r.record_type == "response" for r in got)
+
+
+def test_warc_urls_are_percent_encoded(spark):
+    out = scratch(spark, "warc")
+    warc.write_warc(spark.createDataFrame([(1, "http://é.org/a b?q=1&r=%20#x\r\nX: y", "t"), (2, "", "s")], "page_id long, url string, html string"), out)
+    assert {r.key: r.url for r in warc.read_warc(spark, out).collect()} == {1: "http://%C3%A9.org/a%20b?q=1&r=%20#x%0D%0AX:%20y", 2: "urn:none"}
+
+
 def test_chat_escapes_are_reversible(spark):
     rng = random.Random(5)
     texts = ["".join(rng.choice("<|\\>turn\n end") for _ in range(rng.randrange(30))) for _ in range(300)] + ["<|turn|>", "<|end|>\n", "\\<|body|>", "", "<", "<\\|", _TRICKY]
@@ -163,6 +211,26 @@ def test_chat_query_against_brute_force(spark, tmp_path):
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(turns), sha, len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_mask_is_read_by_position(spark):
+    turns = "array(named_struct('role', 'user', 'text', 'hé <|turn|>'), named_struct('role', 'assistant', 'text', 'yes'), named_struct('role', 'assistant', 'text', 'more'))"
+    made = chat.format_turns(spark.range(1).select(F.expr(turns).alias("turns")))
+    right = chat.parse_formatted(made).first()
+    assert [t.learn for t in right.read] == [False, True, True]
+    under = "".join(chat_part for chat_part in masked(right.formatted, right.loss))
+    assert under == "yesmore"
+    # A run that is one longer, and a later one that is one shorter: lengths agree, places don't.
+    moved = F.transform("loss", lambda r, i: F.struct((r["chars"] + F.when(i == 3, 1).when(i == 5, -1).otherwise(0)).alias("chars"), r["learn"].alias("learn")))
+    assert [t.learn for t in chat.parse_formatted(made.withColumn("loss", moved)).first().read] == [False, False, True]
+
+
+def masked(text, runs):
+    at = 0
+    for r in runs:
+        if r.learn:
+            yield text[at : at + r.chars]
+        at += r.chars
+
+
 def test_chat_layouts(spark):
     rows = [
         (1, json.dumps({"prompt": "p", "response": "r"})), (2, json.dumps({"instruction": "i", "input": "", "output": "o"})), (3, json.dumps({"instruction": "i", "input": "more", "output": "o"})),

@@ -29,6 +29,52 @@ def test_kneser_ney_sums_to_one():
         assert np.isclose(np.exp2(langid.gram_logp(model, grams)).sum(), 1, atol=1e-4)
 
 
+def plain_kneser_ney(text, order):
+    """Interpolated Kneser-Ney by dictionaries: probability of a symbol after a context (tuples of symbols)."""
+    tables, grams = {}, {}
+    for i in range(order - 1, len(text)):
+        g = tuple(text[i - order + 1 : i + 1])
+        if any(g):
+            grams[g] = grams.get(g, 0) + 1
+    for o in range(order, 0, -1):
+        tables[o], left = grams, {}
+        for g in grams:
+            left[g[1:]] = left.get(g[1:], 0) + 1
+        grams = left
+
+    def prob(ctx, x):
+        o, t = len(ctx) + 1, tables[len(ctx) + 1]
+        once, twice = sum(n == 1 for n in t.values()), sum(n == 2 for n in t.values())
+        d = min(0.95, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
+        lower = prob(ctx[1:], x) if o > 1 else 1 / langid.SYMBOLS
+        mine = {g: n for g, n in t.items() if g[:-1] == ctx}
+        total = sum(mine.values())
+        return (max(mine.get((*ctx, x), 0) - d, 0) + d * len(mine) * lower) / total if total else lower
+
+    return prob
+
+
+def test_kneser_ney_matches_brute_force():
+    rng = np.random.default_rng(4)
+    s = np.concatenate((np.zeros(4, np.uint8), rng.choice(np.array([0, 1, 2, 3, 9], np.uint8), 300), np.zeros(4, np.uint8)))
+    keys, n = np.unique(langid.packed(s, 4), return_counts=True)
+    model = langid.fit_counts(["xx"], {"xx": (keys[keys > 0], n[keys > 0])}, 4)
+    prob = plain_kneser_ney(s.tolist(), 4)
+    for _ in range(200):
+        g = rng.choice([0, 1, 2, 3, 9, 40], 4).tolist()
+        packed = langid.packed(np.array(g, np.uint8), 4)
+        assert np.isclose(np.exp2(langid.gram_logp(model, packed)[0, 0]), prob(tuple(g[:3]), g[3]), rtol=1e-4)
+
+
+def test_language_sample_is_bounded_and_calibrated(spark):
+    """With a bound far under the text, predictions stay; the bounds come from what was left out, at about the stated rate."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs, ~held_out(F.col("doc_id")), max_letters=60_000, rate=0.02)
+    assert len(model.keys[-1]) < 60_000 * 4 and model.z < langid.WIDE
+    out = langid.identify(docs, model).where(held_out(F.col("doc_id"))).select("lang", "lang_pred", "rejected").toPandas()
+    assert (out.lang == out.lang_pred).mean() > 0.95 and 0 < out.rejected.mean() < 0.08
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     model = langid.fit(docs, ~held_out(F.col("doc_id")))
@@ -83,6 +129,21 @@ def test_quality_on_held_out_labels(spark):
     assert out.score.between(0, 1).all() and auc(out.quality, out.score) > 0.9
 
 
+def test_word_vectors_match_brute_force(spark):
+    texts = ["a b a c", "", "d a b", "x1 y, z", None] * 3
+    place, sign = quality.index_vectors()
+    want = np.zeros((quality.BUCKETS, quality.DIM))
+    for t in texts:
+        (w,) = quality.K.words(pa.array([t or ""]), quality.K.TYPED_RUNS)
+        b = quality._bucket(w.value)
+        for i in range(len(b)):
+            for j in range(len(b)):
+                if 0 < abs(i - j) <= quality.REACH:
+                    np.add.at(want[b[i]], place[b[j]], sign[b[j]])
+    got = quality.word_vectors(spark.createDataFrame([(t or "",) for t in texts], "text string"))
+    assert np.allclose(got, want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9), atol=1e-6)
+
+
 def test_quality_edge_cases(spark):
     docs = spark.createDataFrame([(1, "good text here"), (2, "$$ ## $$"), (3, None), (4, ""), (None, "good text"), (5, "word " * 50000)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (None, 1), (9, None)], "doc_id long, quality int")
@@ -148,6 +209,55 @@ def test_disclosure_counts_distinct_texts_and_keeps_rare_names(spark):
     assert all(0 < s <= 1 for s in terms.values())
 
 
+def plain_terms(texts, reach=4, alpha=0.8, beta=0.98, prior=1.0):
+    """{term: (kinds generalised, kinds removed)} by plain counting over distinct texts."""
+    n, joint, all_n, all_joint = {}, {}, 0, dict.fromkeys(pii.KINDS, 0)
+    for text in set(texts):
+        spans = plain_spans(text)
+        words = [(m.group().lower(), *m.span()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+        words = [w for w in words if not re.fullmatch("[0-9]+", w[0]) and all(w[2] <= s or w[1] >= e for _, s, e in spans)]
+        for w in words:
+            n[w[0]] = n.get(w[0], 0) + 1
+        all_n += len(words)
+        for kind in pii.KINDS:
+            close = set()
+            for k, s, e in spans:
+                if k == kind:
+                    close |= set([i for i, w in enumerate(words) if w[2] <= s][-reach:]) | set([i for i, w in enumerate(words) if w[1] >= e][:reach])
+            for i in close:
+                joint[words[i][0], kind] = joint.get((words[i][0], kind), 0) + 1
+            all_joint[kind] += len(close)
+    out = {}
+    for (t, kind), j in joint.items():
+        common = all_joint[kind] / all_n
+        share = (j + prior * common) / (n[t] + prior)
+        if share >= common ** (1 - alpha):
+            out.setdefault(t, (set(), set()))[share >= common ** (1 - beta)].add(kind)
+    return out
+
+
+def test_disclosing_terms_match_brute_force(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}x" for i in range(300)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(60)]
+    texts += [f"{' '.join(rng.choice(words, 9))} Owner a{i}@b.org and Host 10.0.0.{i} {' '.join(rng.choice(words, 9))} call +1 555 0{i:03d} 77" for i in range(150)]
+    want = plain_terms(texts)
+    name = {int(next(pii.K.words(pa.array([t]), pii.K.LETTER_WORDS)).value.view(np.int64)[0]): t for t in [*want, *words]}
+    got = {name[r.term]: r for r in pii.disclosing_terms(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    bits = lambda kinds: sum(1 << pii.KINDS.index(k) for k in kinds)
+    assert {t: (r.general, r.remove) for t, r in got.items()} == {t: (bits(a), bits(b)) for t, (a, b) in want.items()}
+    assert "owner" in want and any(b for _, b in want.values())
+
+
+def test_terms_go_only_beside_what_they_give_away(spark):
+    texts = [f"plain words on page {i} of many more plain words about {'abcdefghij'[i % 10]} things and places" for i in range(80)]
+    mails = [f"page {i} has one Keeper a{i}@b.org and plain words on things" for i in range(90)]
+    both = "plain words Keeper and 10.0.0.1 on things"
+    out = {r.text: r for r in pii.sanitise(spark.createDataFrame([(t,) for t in [*texts, *mails, both]], "text string")).collect()}
+    assert all("Keeper" not in out[t].clean_text and "  [EMAIL] and plain" in out[t].clean_text and "removed" in {s.kind for s in out[t].spans} for t in mails)
+    assert "Keeper and [IP]" in out[both].clean_text and out[texts[0]].clean_text == texts[0]
+
+
 def test_raking_meets_the_marginals():
     rng = np.random.default_rng(0)
     codes = np.array([(a, b, c) for a in range(4) for b in range(3) for c in range(5)])
@@ -205,6 +315,33 @@ def test_documents_without_words_belong_to_no_cell(spark):
     assert any(r.probability < 0.5 for r in out if r.n_tokens)
 
 
+def test_topics_part_subjects_within_each_language(spark):
+    rng = np.random.default_rng(2)
+    subjects = {("en", "sea"): "ship sail wave port crew".split(), ("en", "farm"): "field cow plough barn crop".split(), ("fr", "mer"): "navire voile vague quai marin".split(), ("fr", "ferme"): "champ vache charrue grange blé".split()}
+    common = {"en": "the of and to".split(), "fr": "le de et la".split()}
+    rows = [(i, lang, name, " ".join([*rng.choice(words, 12), *rng.choice(common[lang], 12)])) for i, ((lang, name), words) in enumerate(list(subjects.items()) * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, subject string, text string")
+    out = mixing.with_topics(docs, topics=2).toPandas()
+    for lang in ("en", "fr"):
+        table = pd.crosstab(out[out.lang == lang].subject, out[out.lang == lang].topic)
+        assert table.shape == (2, 2) and (table.max(axis=1) / table.sum(axis=1)).min() > 0.9
+    again = mixing.with_topics(docs.repartition(7).drop("topic"), topics=2).toPandas()
+    assert dict(zip(out.doc_id, out.topic)) == dict(zip(again.doc_id, again.topic))
+
+
+def test_targets_that_cannot_be_met_are_reported(spark, monkeypatch):
+    """Source a is English alone: it can't be 60 % of the tokens while English is 40 %."""
+    rows = [(i, "word " * 20, s, x) for i, (s, x) in enumerate([("a", "en"), ("b", "en"), ("b", "fr")] * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = {"source": {"a": 0.6, "b": 0.4}, "lang": {"en": 0.4, "fr": 0.6}}
+    a = mixing.mix(docs, targets).collect()
+    monkeypatch.setattr(mixing, "MAX_CELLS", 1)
+    b = mixing.mix(docs, targets).collect()
+    for out in (a, b):
+        assert all(abs(r.raking_error - 0.2) < 0.05 for r in out)
+    assert all(r.raking_error == 0 or r.raking_error < 1e-9 for r in mixing.mix(docs).collect())
+
+
 def test_mix_edge_cases(spark):
     rows = [(1, "a b", "en", "s", 5), (2, None, None, None, 5), (3, "", "en", "s", 5), (3, "", "en", "s", 5), (None, "c d e", "fr", None, 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic int")

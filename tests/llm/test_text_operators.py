@@ -164,11 +164,11 @@ ITEMS = [(0, "Alpha beta, gamma delta epsilon zeta eta theta iota kappa lambda")
 DOCS = [(1, "xx alpha BETA gamma delta epsilon zeta eta theta iota kappa lambda yy"), (2, "alpha beta gamma delta epsilon zeta eta theta iota nothing"), (3, "a short-one here, short one"), (4, None), (5, ""), (6, "ZUé zué"), (7, "short one " * 500), (7, "short one " * 500)]
 
 
-@pytest.mark.parametrize("block_bytes", [32 << 20, 100])
-def test_decontamination_matches_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("gram", [3, 1])
+def test_decontamination_matches_brute_force(spark, gram):
     docs = spark.createDataFrame([(i, t, "clash") for i, t in DOCS], "doc_id long, text string, hits string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    out = decontaminate.decontaminate(docs, items, block_bytes=block_bytes).collect()
+    out = decontaminate.decontaminate(docs, items, gram=gram).collect()
     got = {r.doc_id: (r.n_words, sum(h["end"] - h["start"] for h in r.hits), r.item_ids) for r in out}
     assert len(out) == len(DOCS) and got == brute_hits(DOCS, ITEMS)
 
