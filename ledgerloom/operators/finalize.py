@@ -81,7 +81,11 @@ def project_metric(cells: DataFrame, metric: str, selectors: dict[str, str], dat
 
 
 def accounting(cells: DataFrame) -> DataFrame:
-    """Rows, metrics, suppressed and unavailable cells of a result."""
-    return cells.agg(
-        F.count("*").alias("cells"), F.count_distinct("metric").alias("metrics"), F.sum(F.col("suppressed").cast("long")).alias("suppressed"), F.sum((F.col("availability") != "available").cast("long")).alias("unavailable")
-    )
+    """Rows, metrics, suppressed and unavailable cells of a result and, if it has denominator_hash, its distinct populations and one
+    hash of them all."""
+    found = [F.count("*").alias("cells"), F.count_distinct("metric").alias("metrics"), F.sum(F.col("suppressed").cast("long")).alias("suppressed"), F.sum((F.col("availability") != "available").cast("long")).alias("unavailable")]
+    whole = cells.agg(*found)
+    if "denominator_hash" not in cells.columns:
+        return whole
+    each = cells.select("denominator_hash").distinct()
+    return whole.crossJoin(each.agg(F.count("denominator_hash").alias("populations"), population_hash(F.col("denominator_hash")).alias("populations_hash")))

@@ -1,7 +1,7 @@
 """Portfolio surveillance: metrics over consecutive snapshots of one book.
 
-Every period-to-period metric reads ``period_pairs``: one equi-join of each period with the next on the loan key and the
-period index, never a self-join on the loan alone. Labels of a matrix are a spine on the aggregated side.
+Every period-to-period metric reads ``period_pairs``: each row beside the loan's row of the next period, by one shuffle on the
+loan key and without a join. Labels of a matrix are a spine on the aggregated side.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.filters import latest_periods, population_filter
 from ..functions.scalars import Bin, days_between, months_until, numeric_bin, nz, ratio, total
 
 KEY = ["source_system", "facility_id", "loan_id"]
@@ -26,19 +27,29 @@ def with_index(tape: DataFrame) -> DataFrame:
 def period_pairs(tape: DataFrame, fields: list[str], how: str = "left", key: list[str] = KEY, periods: DataFrame | None = None) -> DataFrame:
     """Each loan of a period (``f``) with itself in the next (``f_next``); found says whether it is there. The last period has no next.
 
-    ``left`` keeps loans that leave, ``full`` also those that come. to_date is the later date. periods (period_idx, as_of_date)
-    spares a scan for the dates, where the caller knows them.
+    ``left`` keeps loans that leave, ``full`` also those that come (was is false). to_date is the later date. periods (period_idx,
+    as_of_date) spares a scan for the dates, where the caller knows them. One shuffle by loan: the next row of a loan counts if
+    it is of the next period. A loan has one row a period; rows without a whole key meet no other.
     """
     dates = periods if periods is not None else tape.select("period_idx", "as_of_date").distinct()
-    last = F.broadcast(dates.agg(F.max("period_idx").alias("__last")))
-    now = tape.crossJoin(last).where("period_idx < __last").select(*key, (F.col("period_idx") + 1).alias("pair"), *fields, F.lit(True).alias("__a"))
-    nxt = tape.select(*key, F.col("period_idx").alias("pair"), *[F.col(f).alias(f"{f}_next") for f in fields], F.lit(True).alias("__b"))
+    ends = F.broadcast(dates.agg(F.min("period_idx").alias("__first"), F.max("period_idx").alias("__last")))
+    by = Window.partitionBy(*key).orderBy("period_idx")
+    rows = tape.select(*key, "period_idx", *[f for f in fields if f not in key])
+    rows = rows.withColumn("__next", F.lead(F.struct("period_idx", *fields)).over(by)).withColumn("__before", F.lag("period_idx").over(by))
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
+    found = F.coalesce(whole & (F.col("__next.period_idx") == F.col("period_idx") + 1), F.lit(False))
+    goes = F.struct((F.col("period_idx") + 1).alias("pair"), *[F.col(f) for f in fields], *[F.when(found, F.col(f"__next.{f}")).alias(f"{f}_next") for f in fields], found.alias("found"), F.lit(True).alias("was"))
+    goes = F.when(F.col("period_idx") < F.col("__last"), goes)
     if how == "full":
-        first = F.broadcast(dates.agg(F.min("period_idx").alias("__first")))
-        nxt = nxt.crossJoin(first).where("pair > __first").drop("__first")
-    joined = now.join(nxt, [*key, "pair"], how)
-    named = joined.join(F.broadcast(dates.select(F.col("period_idx").alias("pair"), F.col("as_of_date").alias("to_date"))), "pair")
-    return named.withColumn("found", F.coalesce("__b", F.lit(False))).withColumn("was", F.coalesce("__a", F.lit(False))).drop("__a", "__b")
+        new = (F.col("period_idx") > F.col("__first")) & ~F.coalesce(whole & (F.col("__before") == F.col("period_idx") - 1), F.lit(False))
+        nothing = [F.when(F.lit(False), F.col(f)).alias(f) for f in fields]
+        comes = F.struct(F.col("period_idx").alias("pair"), *nothing, *[F.col(f).alias(f"{f}_next") for f in fields], F.lit(True).alias("found"), F.lit(False).alias("was"))
+        pairs = F.explode(F.array_compact(F.array(goes, F.when(new, comes))))
+    else:
+        pairs = goes
+    keys = [k for k in key if k not in fields]
+    out = rows.crossJoin(ends).select(*keys, pairs.alias("__p")).where("__p is not null").select(*keys, "__p.*")
+    return out.join(F.broadcast(dates.select(F.col("period_idx").alias("pair"), F.col("as_of_date").alias("to_date"))), "pair")
 
 
 def matrix(pairs: DataFrame, before: Column, after: Column, balance: str, labels: DataFrame | None = None) -> DataFrame:
@@ -207,3 +218,29 @@ def pack(metrics: dict[str, DataFrame]) -> DataFrame:
         num = lambda c, df=df: F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double")
         cells.append(df.select(F.lit(name).alias("metric"), F.create_map(*pairs).alias("dimensions"), num("numerator").alias("numerator"), num("denominator").alias("denominator"), num("value").alias("value")))
     return reduce(DataFrame.unionByName, cells)
+
+
+#: What a definition may name; each takes the rows of its population, with period_idx, and its parameters.
+METRICS = {
+    "default_incidence": default_incidence, "ever_dpd": ever_dpd, "roll_cure": roll_cure, "rating_migration": rating_migration, "balance_utilisation": balance_utilisation,
+    "loss_recovery": loss_recovery, "paydown_prepayment": paydown_prepayment, "maturity_wall": maturity_wall, "period_change": period_change,
+}
+
+
+def run_pack(tape: DataFrame, definitions: list[dict]) -> DataFrame:
+    """Cells of several metric definitions in one table, as ``pack`` has them.
+
+    A definition: id, metric (of METRICS), params, filter (a population filter), latest (periods of its population, all if
+    absent), most_cells (more end the run). Lazy; write the tape, or the part of it that the definitions share, before.
+    """
+    out = []
+    for d in definitions:
+        rows = tape.where(population_filter(d["filter"])) if d.get("filter") else tape
+        rows = with_index(latest_periods(rows, d["latest"]) if d.get("latest") else rows)
+        cells = pack({d["id"]: METRICS[d["metric"]](rows, **d.get("params", {}))})
+        if most := d.get("most_cells"):
+            n = F.broadcast(cells.agg(F.count("*").alias("__n")))
+            too_many = F.when(F.col("__n") > most, F.raise_error(F.lit(f"{d['id']} has more than {most} cells")))
+            cells = cells.crossJoin(n).where(too_many.cast("string").isNull()).drop("__n")
+        out.append(cells)
+    return reduce(DataFrame.unionByName, out)

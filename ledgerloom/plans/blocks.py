@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import filters, mapping
 from ..functions import scalars as s
+from ..functions.scalars import population_hash, row_token
 from ..operators import disclosure, finalize, stratification, surveillance
 from .portfolio import BINS
 from .registry import query
-from .tape import KEY, periods, tape, with_tape
+from .tape import KEY, digest_sums_sql, periods, tape, with_tape
 
 _SPANS = "spans AS (SELECT o_custkey % 50 AS rule_id, o_orderkey AS version, CAST(o_orderdate AS DATE) AS a, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 YEAR AS DATE) END AS b FROM orders)"
 
@@ -102,11 +103,16 @@ def p15_u1_requested_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.agg(F.count("*").alias("cells")).select(F.lit("default_incidence").alias("metric"), "cells")
 
 
-@query(with_tape("SELECT 12 AS cells, 1 AS metrics, COUNT(*) FILTER (n < 1000) AS suppressed, 0 AS unavailable FROM (SELECT as_of_date, t, COUNT(*) AS n FROM tape, (SELECT unnest([30, 60, 90]) AS t) WHERE days_past_due >= t GROUP BY 1, 2)"))
+@query(
+    with_tape(f""", c AS (SELECT as_of_date, t, COUNT(*) AS n, sha256(COUNT(k) || ':' || {digest_sums_sql("k")}) AS h FROM (SELECT *, sha256(to_json([source_system, facility_id, loan_id])) AS k FROM tape), (SELECT unnest([30, 60, 90]) AS t) WHERE days_past_due >= t GROUP BY 1, 2),
+    d AS (SELECT DISTINCT h FROM c)
+    SELECT (SELECT COUNT(*) FROM c) AS cells, 1 AS metrics, (SELECT COUNT(*) FROM c WHERE n < 1000) AS suppressed, 0 AS unavailable, COUNT(h) AS populations, sha256(COUNT(h) || ':' || {digest_sums_sql("h")}) AS populations_hash FROM d""")
+)
 def s16_result_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tape(spark, sf_dir)
-    per = rows.select("as_of_date", "days_past_due", F.explode(F.array(F.lit(30), F.lit(60), F.lit(90))).alias("t")).where("days_past_due >= t").groupBy("as_of_date", "t").agg(F.count("*").alias("n"))
-    cells = per.select(F.lit("dpd").alias("metric"), (F.col("n") < 1000).alias("suppressed"), F.lit("available").alias("availability"))
+    each = rows.select("as_of_date", "days_past_due", row_token(*KEY).alias("token"), F.explode(F.array(F.lit(30), F.lit(60), F.lit(90))).alias("t")).where("days_past_due >= t")
+    per = each.groupBy("as_of_date", "t").agg(F.count("*").alias("n"), population_hash(F.col("token")).alias("denominator_hash"))
+    cells = per.select(F.lit("dpd").alias("metric"), (F.col("n") < 1000).alias("suppressed"), F.lit("available").alias("availability"), "denominator_hash")
     return finalize.accounting(cells)
 
 

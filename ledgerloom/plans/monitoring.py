@@ -194,6 +194,24 @@ def m8_upsert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.read_latest(spark, f"{at}/out", ["user_id"], "event_id").select("user_id", "event_id")
 
 
+@query(
+    """WITH e AS (SELECT event_id, CAST(ts AS DATE) AS as_of_date, event_id % 3 AS part FROM events),
+    r AS (SELECT as_of_date, 'current' AS kind FROM e WHERE (day(as_of_date) <= 10 AND part = 2) OR (day(as_of_date) > 10 AND part < 2) UNION ALL SELECT as_of_date, 'revision' FROM e WHERE day(as_of_date) > 10 AND part = 2)
+    SELECT CAST(as_of_date AS VARCHAR) AS as_of_date, kind, COUNT(*) AS rows FROM r GROUP BY 1, 2"""
+)
+def m8_delivery_modes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full delivery of one third of the events, a delta of another, then a backfill of early days and corrections of the rest."""
+    at = _path(spark)
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.to_date("ts").alias("as_of_date"))
+    modes = ["full", "delta", F.when(F.dayofmonth("as_of_date") <= 10, "backfill").otherwise("correction")]
+    for part, mode in enumerate(modes):
+        rows = e.where(F.col("event_id") % 3 == part).withColumn("mode", F.lit(mode) if isinstance(mode, str) else mode)
+        rows.write.mode("append").parquet(f"{at}/in")
+        streams.delivery_sink(streams.file_stream(spark, f"{at}/in", rows.schema), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    each = lambda df, kind: df.groupBy(F.col("as_of_date").cast("string").alias("as_of_date")).agg(F.count("*").alias("rows")).select("as_of_date", F.lit(kind).alias("kind"), "rows")
+    return each(streams.read_deliveries(spark, f"{at}/out"), "current").union(each(streams.read_corrections(spark, f"{at}/out"), "revision"))
+
+
 @query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, COUNT(*) AS n FROM events WHERE CAST(ts AS DATE) < (SELECT MAX(CAST(ts AS DATE)) FROM events) GROUP BY 1, 2")
 def m9_windowed_totals_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily windows of event time in append mode; the last day stays open until its watermark passes."""

@@ -10,7 +10,7 @@ from ..functions.scalars import Bin, category, cohort, entity_token, numeric_bin
 from ..operators import finalize, surveillance, vintage
 from ..operators.stratification import stratify, stratify_live, suppress_flat
 from .registry import query
-from .tape import digest_sums_sql, KEY, PERIODS, periods, tape, with_tape
+from .tape import digest_sums_sql, KEY, PERIODS, periods, tape, with_tape, written
 
 BINS = [Bin("Current", 0, 30), Bin("30-59", 30, 60), Bin("60-89", 60, 90), Bin("90+", 90, 120)]
 _BAND = "CASE WHEN {0} IS NULL THEN 'Unknown' WHEN {0} >= 0 AND {0} < 30 THEN 'Current' WHEN {0} >= 30 AND {0} < 60 THEN '30-59' WHEN {0} >= 60 AND {0} < 90 THEN '60-89' WHEN {0} >= 90 AND {0} < 120 THEN '90+' ELSE 'Outside' END"
@@ -258,20 +258,20 @@ def a15_period_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surveillance.period_change(tape(spark, sf_dir), "industry_code", periods=periods(spark))
 
 
+NOT_EURO = {"op": "neq", "field": "currency", "value": "EUR"}
+PACK = [
+    {"id": "default_incidence", "metric": "default_incidence", "filter": NOT_EURO, "latest": 3, "most_cells": 10},
+    {"id": "ever_dpd", "metric": "ever_dpd", "params": {"thresholds": [30, 90]}, "filter": NOT_EURO, "latest": 3},
+    {"id": "roll_cure_all", "metric": "roll_cure", "params": {"bins": BINS}, "most_cells": 1000},
+    {"id": "rating_migration", "metric": "rating_migration", "filter": {"op": "in", "field": "industry_code", "values": ["BUILDING", "MACHINERY"]}, "latest": 2},
+    {"id": "balance", "metric": "balance_utilisation", "filter": NOT_EURO},
+]
+
+
 @query()
 def a16_metric_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five metrics over the last three periods of one population; the slice is written once and read by all."""
-    rows = filters.latest_periods(tape(spark, sf_dir).where(filters.population_filter({"op": "neq", "field": "currency", "value": "EUR"})), 3)
-    rows = surveillance.with_index(rows).cache()
-    return surveillance.pack(
-        {
-            "default_incidence": surveillance.default_incidence(rows),
-            "ever_dpd": surveillance.ever_dpd(rows, [30, 90]),
-            "roll_cure": surveillance.roll_cure(rows, BINS).drop("movement"),
-            "rating_migration": surveillance.rating_migration(rows),
-            "balance": surveillance.balance_utilisation(rows),
-        }
-    )
+    """Five definitions, each with its population and periods; the tape is written once and read by all."""
+    return surveillance.run_pack(written(tape(spark, sf_dir), "tape"), PACK)
 
 
 _CELL_SQL = """

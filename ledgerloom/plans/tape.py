@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 PERIODS = ["1999-09-30", "1999-10-31", "1999-11-30", "1999-12-31"]
@@ -80,3 +82,12 @@ def periods(spark: SparkSession) -> DataFrame:
 def digest_sums_sql(digest: str) -> str:
     """Sums of the four 64-bit parts of SHA-256 digests, as texts joined by colons."""
     return " || ':' || ".join(f"CAST(COALESCE(SUM(CAST(CAST('0x' || substr({digest}, {16 * i + 1}, 16) AS UBIGINT) AS HUGEINT)), 0) AS VARCHAR)" for i in range(4))
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Write a table that several parts of a query read to the shared folder (``spark.checkpoint.dir``), once, and read it back."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

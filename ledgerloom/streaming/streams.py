@@ -65,15 +65,30 @@ def read_latest(spark: SparkSession, path: str, keys: list[str], order: str) ->
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c != "batch"]), F.struct(order, "batch")).alias("r")).select("r.*")
 
 
-def dispatch_modes(batch: DataFrame, path: str, date: str = "as_of_date") -> None:
-    """Deliveries by their mode: full and backfill replace the dates they hold, delta adds rows, a correction is a new revision
-    beside the old one (folder ``revision=n``). Give it to ``foreachBatch``."""
-    spark = batch.sparkSession
-    full = batch.where(F.col("mode").isin("full", "backfill"))
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    full.write.mode("overwrite").partitionBy(date).parquet(f"{path}/current")
-    batch.where("mode = 'delta'").write.mode("append").partitionBy(date).parquet(f"{path}/current")
-    batch.where("mode = 'correction'").write.mode("append").partitionBy("revision", date).parquet(f"{path}/revisions")
+def delivery_sink(stream: DataFrame, path: str, checkpoint: str, date: str = "as_of_date") -> StreamingQuery:
+    """Rows of deliveries with their mode (full, backfill, delta or correction), each batch under its id, so a repeated batch
+    replaces itself. ``read_deliveries`` and ``read_corrections`` give what they amount to."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").partitionBy("mode", date).parquet(f"{path}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_deliveries(spark: SparkSession, path: str, date: str = "as_of_date") -> DataFrame:
+    """The present rows: of each date those of its last full or backfill delivery and of the deltas that came with or after it.
+    Dates and batches are partitions, so replaced rows are not read."""
+    rows = spark.read.parquet(path).where("mode <> 'correction'")
+    whole = F.col("mode").isin("full", "backfill")
+    last = rows.where(whole).groupBy(date).agg(F.max("batch").alias("__last"))
+    joined = rows.join(last, date, "left")
+    since = F.coalesce("__last", F.lit(-1))
+    return joined.where((whole & (F.col("batch") == since)) | (~whole & (F.col("batch") >= since))).drop("__last", "batch", "mode")
+
+
+def read_corrections(spark: SparkSession, path: str) -> DataFrame:
+    """Corrections stay beside what they correct, as revisions numbered by batch."""
+    return spark.read.parquet(path).where("mode = 'correction'").withColumnRenamed("batch", "revision").drop("mode")
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
