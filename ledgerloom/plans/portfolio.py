@@ -9,8 +9,8 @@ from ..functions import filters
 from ..functions.scalars import Bin, category, cohort, entity_token, numeric_bin, ratio, row_token
 from ..operators import finalize, surveillance, vintage
 from ..operators.stratification import stratify, stratify_live, suppress_flat
-from .registry import query
-from .tape import digest_sums_sql, KEY, PERIODS, periods, tape, with_tape, written
+from .registry import ORACLE_SQL, query
+from .tape import KEY, PERIODS, TAPE_SQL, digest_sums_sql, periods, tape, with_tape, written
 
 BINS = [Bin("Current", 0, 30), Bin("30-59", 30, 60), Bin("60-89", 60, 90), Bin("90+", 90, 120)]
 _BAND = "CASE WHEN {0} IS NULL THEN 'Unknown' WHEN {0} >= 0 AND {0} < 30 THEN 'Current' WHEN {0} >= 30 AND {0} < 60 THEN '30-59' WHEN {0} >= 60 AND {0} < 90 THEN '60-89' WHEN {0} >= 90 AND {0} < 120 THEN '90+' ELSE 'Outside' END"
@@ -264,14 +264,32 @@ PACK = [
     {"id": "ever_dpd", "metric": "ever_dpd", "params": {"thresholds": [30, 90]}, "filter": NOT_EURO, "latest": 3},
     {"id": "roll_cure_all", "metric": "roll_cure", "params": {"bins": BINS}, "most_cells": 1000},
     {"id": "rating_migration", "metric": "rating_migration", "filter": {"op": "in", "field": "industry_code", "values": ["BUILDING", "MACHINERY"]}, "latest": 2},
-    {"id": "balance", "metric": "balance_utilisation", "filter": NOT_EURO},
 ]
 
 
-@query()
+def _packed(name: str, query_name: str, where: str, dims: list[str], numerator: str = "numerator", denominator: str = "denominator", more: str = "") -> str:
+    """The SQL of a metric over a part of the tape, as cells of a pack."""
+    part = TAPE_SQL.replace("\ntape AS (", "\ntape0 AS (") + f", tape AS (SELECT * FROM tape0 WHERE {where})"
+    names = " || ',' || ".join(f"""'"{d}":"' || CAST({d} AS VARCHAR) || '"'""" for d in dims)
+    return f"SELECT '{name}' AS metric, '{{' || {names} || '}}' AS dimensions, CAST({numerator} AS DOUBLE) AS numerator, CAST({denominator} AS DOUBLE) AS denominator, value FROM ({ORACLE_SQL[query_name].replace(TAPE_SQL, part)}) {more}"
+
+
+@query(
+    " UNION ALL ".join(
+        [
+            _packed("default_incidence", "a6_default_incidence_count", "currency <> 'EUR' AND period_idx >= 1", ["to_date"]),
+            _packed("ever_dpd", "a7_ever_dpd", "currency <> 'EUR' AND period_idx >= 1", ["as_of_date", "threshold"], denominator="NULL", more="WHERE threshold <> 60"),
+            _packed("roll_cure_all", "a5_roll_cure", "TRUE", ["from_label", "to_label", "to_date", "movement"]),
+            _packed("rating_migration", "a10_rating_migration", "industry_code IN ('BUILDING', 'MACHINERY') AND period_idx >= 2", ["to_date", "from_label", "to_label"]),
+            _packed("balance", "a11_balance_utilisation", "currency <> 'EUR'", ["as_of_date", "cohort", "metric"]),
+        ]
+    )
+)
 def a16_metric_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five definitions, each with its population and periods; the tape is written once and read by all."""
-    return surveillance.run_pack(written(tape(spark, sf_dir), "tape"), PACK)
+    balance = {"id": "balance", "metric": "balance_utilisation", "params": {"by": cohort("origination_date", "year")}, "filter": NOT_EURO}
+    cells = surveillance.run_pack(written(tape(spark, sf_dir), "tape"), [*PACK, balance])
+    return cells.select("metric", F.to_json("dimensions").alias("dimensions"), "numerator", "denominator", "value")
 
 
 _CELL_SQL = """
