@@ -2,15 +2,15 @@
 
 Seeds are winnowed anchors: of every run of ``reach`` neighbouring ``gram``-word shingles the smallest value is kept, so any
 passage of ``gram + reach - 1`` words (the threshold) that two documents share holds the same anchor at the same place.
-Documents are joined on anchors; only around anchors of two or more documents is the text extended, left and right, to all
-windows of threshold length that chose that anchor. A window that a smaller document also has is a repeat; neighbouring
-repeats merge into maximal ones.
-
-Shuffles: anchors (two in eleven words) once, counted; windows of seeded places, then only repeated ones; texts once, for the
-result. Bitmaps of bounded size keep unshared anchors and windows out of the later shuffles; they never decide a result,
-and once too many anchors are shared for one, documents are joined with their anchors instead. Every aggregate combines
-before it shuffles and every join is an equi-join that adaptive execution can split, so an anchor in a third of all
-documents stays spread out.
+Occurrences of one anchor in different documents are joined and extended both ways, in two steps. First by the whole
+surroundings that a window over the anchor can reach: where they are the same as in a smaller document, the match extends
+over all windows at the anchor. Only where one anchor has several surroundings, so where matches begin or end, each of its
+windows of threshold length is compared, once for each different surroundings and not for each document. A window that a
+smaller document also has is a repeat; neighbouring repeats merge into maximal ones.
+
+Surroundings and windows are compared by 128 bits each. Bitmaps of bounded size keep unshared anchors and surroundings out of
+the shuffles; they never decide a result. Every aggregate combines before it shuffles and every join is an equi-join that
+adaptive execution can split, so a passage in a third of all documents stays spread out.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import Bitmap, append_columns, no_text, pieces, settle, without
+from .common import Bitmap, append_columns, discard, no_text, pieces, settle, without
 
+U = np.uint64
 LAST = (1 << 63) - 1
 OUT = [
     T.StructField("n_words", T.LongType()),
@@ -33,6 +34,8 @@ OUT = [
     T.StructField("kept_text", T.StringType()),
     T.StructField("repeats", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
 ]
+#: Stands for the words before the first and after the last one of a text; and the bases of the second halves of 128 bits.
+EDGE, OTHER = U(0x5851F42D4C957F2D), 0xDA942042E4DD58B5
 
 
 def winnow(value: np.ndarray, at: np.ndarray, gram: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,8 +50,44 @@ def winnow(value: np.ndarray, at: np.ndarray, gram: int, reach: int) -> tuple[np
     return at + off, best
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _runs(value: np.ndarray, at: np.ndarray, k: int, base: int) -> np.ndarray:
+    """One value for each run of k words that starts at ``at``."""
+    out = value[at].copy()
+    for j in range(1, k):
+        out = out * U(base) + value[at + j]
+    return K.mix(out + U(k))
+
+
+class Seeds:
+    """Anchors of a chunk of texts: start and anchor of each window, and row, place and value of each anchor."""
+
+    def __init__(self, w: K.Words, min_words: int, gram: int):
+        self.reach = min_words - gram + 1
+        self.start, row = K.starts(w.ptr, min_words)
+        place, value = winnow(w.value, self.start, gram, self.reach) if len(self.start) else (self.start, np.zeros(0, U))
+        new = np.append(True, place[1:] != place[:-1])[: len(place)]
+        self.anchor_of = np.cumsum(new) - 1
+        self.off = place - self.start
+        self.row, self.place, self.value = row[new], place[new], value[new]
+        self.words, self.gram = w, gram
+
+    def around(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of the surroundings of some anchors: all words that a window over the anchor can hold."""
+        w, pad = self.words, self.reach - 1
+        n = np.diff(w.ptr)
+        padded = np.full(len(w.value) + 2 * pad * len(n), EDGE)
+        padded[np.arange(len(w.value)) + pad * (2 * np.repeat(np.arange(len(n)), n) + 1)] = w.value
+        at = self.place[use] + 2 * pad * self.row[use]
+        return _runs(padded, at, self.gram + 2 * pad, K.SECOND), _runs(padded, at, self.gram + 2 * pad, OTHER)
+
+
+def _owned(around: np.ndarray, ord_: np.ndarray) -> np.ndarray:
+    """One value of surroundings and document."""
+    return K.mix(around ^ K.mix(ord_.view(U) + U(K.BASE)))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 13, gram: int = 5) -> DataFrame:
@@ -60,75 +99,106 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     than any other, and null ids are equal to each other, as are repeated ids: neither takes words from the other.
     Texts of fewer than ``min_words`` words lose nothing.
     """
-    reach = min_words - gram + 1
-    if reach < 1:
-        raise ValueError("min_words must be at least gram")
+    if not 1 <= min_words - gram + 1 <= 62:
+        raise ValueError("min_words must be at least gram, and at most 61 more")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), no_text(F.col(text_col)).alias("text"))
 
-    def anchors(batches: Iterator[pa.RecordBatch], wanted: Bitmap | None) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ord").to_numpy(zero_copy_only=False)
-            for w in K.words(batch.column("text"), K.BLANK_WORDS):
-                at, row = K.starts(w.ptr, min_words)
-                if not len(at):
-                    continue
-                place, value = winnow(w.value, at, gram, reach)
-                new = np.append(True, place[1:] != place[:-1])
-                value, row = value[new], row[new]
-                if wanted is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(value))], names=["anchor"])
-                    continue
-                use = wanted.may_have(value)
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(value[use])), pa.array(ids[w.lo + row[use]])], names=["anchor", "ord"])
-
-    seeds = rows.mapInArrow(lambda b: anchors(b, None), "anchor long")
-    shared = settle(seeds.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
-    mask = Bitmap(shared, shared.count())
-
-    def extend(batches: Iterator[pa.RecordBatch], seeded: Bitmap | None, wanted: Bitmap | None) -> Iterator[pa.RecordBatch]:
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Seeds, pa.RecordBatch]]:
         for batch in batches:
             for part in pieces(batch):
-                ids = part.column("ord").to_numpy(zero_copy_only=False)
-                known, known_at = _lists(part.column("anchors")) if seeded is None else (None, None)
                 for w in K.words(part.column("text"), K.BLANK_WORDS):
-                    at, row = K.starts(w.ptr, min_words)
-                    if not len(at):
-                        continue
-                    _, value = winnow(w.value, at, gram, reach)
-                    use = seeded.may_have(value) if seeded is not None else _member(_signed(value), row + w.lo, known, known_at)
-                    whole = _signed(K.windows(w.value, min_words, K.SECOND)[at[use]])
-                    ord_ = ids[w.lo + row[use]]
-                    if wanted is not None:
-                        keep = wanted.may_have(whole)
-                        whole, ord_ = whole[keep], ord_[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(ord_)], names=["passage", "ord"])
-
-    # While the bitmap of shared anchors is thin it stands for the join of documents with their anchors; beyond, join them.
-    thin = mask.leak < 0.5
-    if thin:
-        places = rows
-    else:
-        found = rows.mapInArrow(lambda b: anchors(b, mask), "anchor long, ord long").join(shared, "anchor")
-        places = rows.join(found.groupBy("ord").agg(F.collect_set("anchor").alias("anchors")), "ord")
-    seeded = mask if thin else None
-    passages = places.mapInArrow(lambda b: extend(b, seeded, None), "passage long, ord long")
-    firsts = settle(passages.groupBy("passage").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("passage", "lo"), "passages")
-    again = Bitmap(firsts, firsts.count())
-    later = places.mapInArrow(lambda b: extend(b, seeded, again), "passage long, ord long").join(firsts, "passage").where("ord > lo").groupBy("ord").agg(F.collect_set("passage").alias("__later"))
+                    s = Seeds(w, min_words, gram)
+                    if len(s.start):
+                        yield s, part.slice(w.lo, w.hi - w.lo)
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, _ in chunks(batches):
+            yield pa.RecordBatch.from_arrays([_signed(s.value)], names=["anchor"])
+
+    shared = settle(rows.select("text").mapInArrow(anchors, "anchor long").groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
+    known = Bitmap(shared, shared.count())
+    discard(shared)
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, part in chunks(batches):
+            use = np.flatnonzero(known.may_have(s.value))
+            a, b = s.around(use)
+            ord_ = part.column("ord").to_numpy()[s.row[use]]
+            yield pa.RecordBatch.from_arrays([_signed(s.value[use]), _signed(a), _signed(b), pa.array(ord_)], names=["anchor", "a", "b", "ord"])
+
+    joined = rows.mapInArrow(seeds, "anchor long, a long, b long, ord long").groupBy("anchor", "a", "b").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"))
+    places = settle(joined, "surroundings")
+    several = places.groupBy("anchor").agg(F.min("a").alias("a0"), F.max("a").alias("a1")).where("a0 < a1").select("anchor")
+    ends = settle(places.join(several, "anchor", "left_semi").select("a", "lo"), "ends")
+
+    def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([_signed(_owned(batch.column("a").to_numpy().view(U), batch.column("lo").to_numpy()))], names=["own"])
+
+    first = Bitmap(ends.mapInArrow(owned, "own long"), ends.count())
+    discard(ends)
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows at anchors with several surroundings, from the first document of each surroundings."""
+        for s, part in chunks(batches):
+            use = np.flatnonzero(known.may_have(s.value))
+            a, b = s.around(use)
+            ord_ = part.column("ord").to_numpy()[s.row[use]]
+            mine = first.may_have(_owned(a, ord_))
+            at = np.full(len(s.value), -1)
+            at[use[mine]] = np.flatnonzero(mine)
+            which = at[s.anchor_of]
+            win = np.flatnonzero(which >= 0)
+            which = which[win]
+            w = s.words.value
+            yield pa.RecordBatch.from_arrays(
+                [_signed(a[which]), _signed(b[which]), pa.array(ord_[which]), pa.array(s.off[win].astype(np.int32)), _signed(_runs(w, s.start[win], min_words, K.SECOND)), _signed(_runs(w, s.start[win], min_words, OTHER))],
+                names=["a", "b", "ord", "off", "x", "y"],
+            )
+
+    windows = settle(rows.mapInArrow(extend, "a long, b long, ord long, off int, x long, y long").distinct(), "windows")
+    earliest = windows.groupBy("x", "y").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("x", "y", F.col("lo").alias("least"))
+    again = windows.join(earliest, ["x", "y"]).where("ord > least").groupBy("a", "b", F.col("ord").alias("lo")).agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("own"))
+    marks = settle(places.select("a", "b", "lo", "hi").join(again, ["a", "b", "lo"], "left").where("lo < hi or own is not null").select("a", "b", "lo", F.coalesce("own", F.lit(0).cast("long")).alias("own")), "marks")
+    discard(places, windows)
+    known.drop()
+    first.drop()
+    wanted = marks.select("a")
+    repeated = Bitmap(wanted, wanted.count())
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, part in chunks(batches):
+            a, b = s.around(np.arange(len(s.value)))
+            use = np.flatnonzero(repeated.may_have(a))
+            at = pa.array(s.row[use])
+            yield pa.RecordBatch.from_arrays([_signed(a[use]), _signed(b[use]), part.column("ord").take(at), part.column("mark").take(at)], names=["a", "b", "ord", "mark"])
+
+    # Rows with one id, null say, are told apart by their texts: no id is a hot key.
+    found = rows.withColumn("mark", F.xxhash64("text")).mapInArrow(occurrences, "a long, b long, ord long, mark long").join(marks, ["a", "b"])
+    found = found.withColumn("own", F.when(F.col("ord") > F.col("lo"), F.lit(-1).cast("long")).when(F.col("ord") == F.col("lo"), F.col("own"))).where("own <> 0")
+    later = found.groupBy("ord", "mark").agg(F.collect_set(F.struct("a", "own")).alias("__later"))
 
     base = without(docs, [f.name for f in OUT])
-    base = base.withColumn("__ord", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)))
-    joined = base.join(later.withColumnRenamed("ord", "__ord"), "__ord", "left")
+    base = base.withColumn("__ord", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn("__mark", F.xxhash64(no_text(F.col(text_col))))
+    whole = base.join(later.withColumnsRenamed({"ord": "__ord", "mark": "__mark"}), ["__ord", "__mark"], "left")
 
     def cut(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        known, known_at = _lists(batch.column("__later"))
+        listed = batch.column("__later")
+        sizes = np.array([x or 0 for x in pa.compute.list_value_length(listed).to_pylist()], np.int64)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        flat = listed.flatten()
+        have = _owned(flat.field("a").to_numpy(zero_copy_only=False).view(U), owner)
+        order = np.argsort(have)
+        have, own = have[order], flat.field("own").to_numpy(zero_copy_only=False)[order]
         n_words, n_removed, texts, spans = [], [], [], []
         for w in K.words(batch.column(text_col), K.BLANK_WORDS):
-            at, row = K.starts(w.ptr, min_words)
+            s = Seeds(w, min_words, gram)
             gone = np.zeros(len(w.value) + 1, np.int64)
-            if len(at):
-                whole = _signed(K.windows(w.value, min_words, K.SECOND)[at])
-                hit = at[_member(whole, row + w.lo, known, known_at)]
+            if len(s.start) and len(have):
+                ask = _owned(s.around(np.arange(len(s.value)))[0], s.row + w.lo)
+                at = np.minimum(np.searchsorted(have, ask), len(have) - 1)
+                bits = np.where(have[at] == ask, own[at], 0)
+                hit = s.start[bits[s.anchor_of] >> s.off & 1 > 0]
                 np.add.at(gone, hit, 1)
                 np.subtract.at(gone, hit + min_words, 1)
             gone = np.cumsum(gone)[:-1] > 0
@@ -139,26 +209,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 n_removed.append(int(mine.sum()))
                 texts.append(b" ".join(w.text(a + int(i)) for i in np.flatnonzero(~mine)).decode())
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], mine.view(np.int8), [0]))))
-                spans.append([{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2], strict=True)])
+                spans.append([{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)])
         return {"n_words": n_words, "n_removed": n_removed, "kept_text": texts, "repeats": spans}
 
-    return append_columns(joined, cut, OUT).drop("__ord", "__later")
-
-
-def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values and offsets of a list column; null lists are empty."""
-    sizes = np.array([0 if x is None else x for x in pa.compute.list_value_length(col).to_pylist()], np.int64)
-    return col.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes)))
-
-
-def _member(value: np.ndarray, row: np.ndarray, known: np.ndarray, known_at: np.ndarray) -> np.ndarray:
-    """Which values are in the list of their row."""
-    owner = np.repeat(np.arange(len(known_at) - 1), np.diff(known_at)).astype(np.uint64)
-    salt = np.uint64(K.BASE)
-    have = np.sort(K.mix(known.view(np.uint64) ^ K.mix(owner + salt)))
-    ask = K.mix(value.view(np.uint64) ^ K.mix(row.astype(np.uint64) + salt))
-    if not len(have):
-        return np.zeros(len(value), bool)
-    at = np.searchsorted(have, ask)
-    at[at == len(have)] = 0
-    return have[at] == ask
+    return append_columns(whole, cut, OUT).drop("__ord", "__mark", "__later")
