@@ -166,7 +166,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
         n_words = [int(x) for w in K.words(batch.column(text_col), K.LETTER_WORDS) for x in np.diff(w.ptr)]
         return {"n_words": n_words, "hits": [_merged(x) for x in batch.column("__spans").to_pylist()], "item_ids": [sorted(x or []) for x in batch.column("__ids").to_pylist()]}
 
-    return append_columns(keyed.join(hit, "__mark", "left"), merge, OUT).drop("__mark", "__spans", "__ids")
+    # Always a merge join: few hits could be sent to all tasks, but then small and large tables would run different plans.
+    return append_columns(keyed.join(hit.hint("merge"), "__mark", "left"), merge, OUT).drop("__mark", "__spans", "__ids")
 
 
 def _merged(spans: list[dict] | None) -> list[dict]:
