@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from . import chat, decontaminate, langid, mixing, pii, quality, tiff, warc
 from .common import held_out, scratch
+from .gnat import hard_negatives
 from .jaccard import jaccard_groups
 from .repeats import remove_repeats
+from .trie import conversation_trie
+#from .wrapper import main_text
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,9 +113,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "selected", "raking_error")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.select("vec_id", moved.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_tiff, op2_warc, op3_decontaminate, op4_language_id, op5_quality, op6_pii, op7_substring_dedup, op8_jaccard_join, op9_chat_format, op10_mixing)
+    for f in (op1_tiff, op2_warc, op3_decontaminate, op4_language_id, op5_quality, op6_pii, op7_substring_dedup, op8_jaccard_join, op9_chat_format, op10_mixing, op11_hard_negatives, op13_conversation_trie)
 }
 
 _SAFE = r"replace(replace({0}, '\', '\\'), '<|', '<\|')"
@@ -171,4 +189,43 @@ ORACLE_SQL: dict[str, str] = {
             JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
         r(doc_id, reach) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reach)
         SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(reach) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY 1""",
+    "op11_hard_negatives": """
+        WITH e AS (
+            SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+            FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+        QUALIFY row_number() OVER w <= 5""",
+    "op13_conversation_trie": """
+        WITH own AS (
+            SELECT conv_id, {'r': coalesce(role, ''), 'x': coalesce(text, '')} AS t,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS head FROM own),
+        bits AS (
+            SELECT conv_id, head, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                lambda a, x: list_reduce([xor(a, x), 1, 1, 1, 1, 1, 1, 1, 1], lambda r, k: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)) AS r
+            FROM c),
+        h AS (SELECT conv_id, head, xor(r, 4294967295) % 9 AS h FROM bits),
+        parts AS (
+            SELECT h.conv_id, 0 AS part, pos, t FROM h JOIN own ON own.conv_id = head WHERE pos <= h
+            UNION ALL SELECT h.conv_id, 1, pos, t FROM h JOIN own USING (conv_id) WHERE pos > h),
+        seq AS (SELECT conv_id, coalesce(list(t ORDER BY part, pos) FILTER (t IS NOT NULL), []) AS s FROM h LEFT JOIN parts USING (conv_id) GROUP BY conv_id),
+        member AS (SELECT conv_id, s, d, s[1:d] AS node FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM seq)),
+        n AS (
+            SELECT node, d, min(conv_id) AS low, count(*) AS n, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(s) = d), '')) AS ends
+            FROM member GROUP BY node, d),
+        kids AS (SELECT node[1:d - 1] AS node, count(*) AS kids FROM n WHERE d > 0 GROUP BY 1),
+        one AS (SELECT n.*, coalesce(kids, 0) AS kids, CASE WHEN d = 0 THEN 0 ELSE (n - 1) * octet_length(encode(node[d].x)) END AS own_saved FROM n LEFT JOIN kids USING (node)),
+        up AS (SELECT node[1:k] AS node, kids, own_saved FROM (SELECT node, kids, own_saved, unnest(range(0, d + 1)) AS k FROM one)),
+        total AS (SELECT node, count(*) FILTER (kids = 0) AS leaves, sum(own_saved) AS saved FROM up GROUP BY node)
+        SELECT one.low AS conv_id, one.d AS depth, parent.low AS parent_conv_id, one.n AS n_convs, one.kids AS n_children, leaves AS n_leaves,
+            CAST(saved AS BIGINT) AS saved_tokens, one.ends AS ends_sha256
+        FROM one JOIN total USING (node) LEFT JOIN n AS parent ON one.d > 0 AND parent.node = one.node[1:one.d - 1]""",
 }
