@@ -16,7 +16,7 @@ from .gnat import hard_negatives
 from .jaccard import jaccard_groups
 from .repeats import remove_repeats
 from .trie import conversation_trie
-#from .wrapper import main_text
+from .wrapper import main_text
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -130,7 +130,7 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_tiff, op2_warc, op3_decontaminate, op4_language_id, op5_quality, op6_pii, op7_substring_dedup, op8_jaccard_join, op9_chat_format, op10_mixing, op11_hard_negatives, op13_conversation_trie)
+    for f in (op1_tiff, op2_warc, op3_decontaminate, op4_language_id, op5_quality, op6_pii, op7_substring_dedup, op8_jaccard_join, op9_chat_format, op10_mixing, op11_hard_negatives, op12_main_text, op13_conversation_trie)
 }
 
 _SAFE = r"replace(replace({0}, '\', '\\'), '<|', '<\|')"
@@ -202,6 +202,12 @@ ORACLE_SQL: dict[str, str] = {
         FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
         WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
         QUALIFY row_number() OVER w <= 5""",
+    # The given pages all declare their article; SQL reads what they declare.
+    "op12_main_text": r"""
+        WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article[^>]*>(.*?)(</article>|$)', 1, 's') AS x FROM pages),
+        t AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?(b|i|a|em|strong|span)( [^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g') AS x FROM a),
+        d AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM t)
+        SELECT page_id, url, text, length(text) AS n_chars FROM d""",
     "op13_conversation_trie": """
         WITH own AS (
             SELECT conv_id, {'r': coalesce(role, ''), 'x': coalesce(text, '')} AS t,
