@@ -1,8 +1,8 @@
 """Main text of web pages by wrapper induction: pages of one host are aligned, constant nodes are its template.
 
-A host's pages of one layout have a reference page, the one of least hash. Every page is aligned with it by simple tree
-matching, and for each node of the reference it is counted how many pages have it with the same text: all pages vote, in counters
-that are summed before they are shuffled. A node whose text stays the same is template, varying slots are content, unless HTML
+A host's pages of one layout have up to three reference pages, those of least hash. Every page is aligned with them by simple
+tree matching, and for each node of a reference it is counted how many pages have it with the same text: all pages vote, in
+counters that are summed before they are shuffled. A node whose text stays the same is template, varying slots are content, unless HTML
 itself or the names of their classes say that they are a menu, header, footer, sidebar, notice, advert, form or comments. Pages
 that declare their article have the slot there; else it is the innermost element that holds most of the varying text outside of
 links.
@@ -43,6 +43,8 @@ LEAST, SHARE, LEAST_INSIDE, SHARE_INSIDE = 4, 0.8, 20, 0.95
 #: References that are sent to all are at most so large.
 SENT = 32 << 20
 KEYS_HELD = 2048
+#: References of a host and layout: the pages of least hash in so many parts of the hashes, as one page may be odd.
+REFERENCES = 3
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -56,14 +58,16 @@ def main_text(pages: DataFrame) -> DataFrame:
     rows = kept.withColumn(host, F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)))
     rows = rows.withColumn(layout, F.concat(*[F.coalesce(F.contains("html", F.lit(t)).cast("int").cast("string"), F.lit("0")) for t in LAYOUT]))
     keyed = rows.select(F.col(host).alias("host"), F.col(layout).alias("layout"), F.coalesce("html", F.lit("")).alias("html"))
-    refs = settle(keyed.where("host <> ''").groupBy("host", "layout").agg(F.min_by("html", F.xxhash64("html")).alias("ref"), F.count("*").alias("n_pages")), "references")
-    small = (refs.agg(F.sum(F.octet_length("ref") + 64)).first()[0] or 0) <= SENT
+    mark = F.xxhash64("html")
+    refs = keyed.where("host <> '' and html <> ''").groupBy("host", "layout", F.pmod(mark, F.lit(REFERENCES)).alias("part")).agg(F.min_by("html", mark).alias("ref"), F.count("*").alias("n"))
+    refs = settle(refs.groupBy("host", "layout").agg(F.collect_list("ref").alias("refs"), F.sum("n").alias("n_pages")), "references")
+    small = (refs.agg(F.sum(F.aggregate("refs", F.lit(64), lambda s, r: s + F.octet_length(r)).cast("long"))).first()[0] or 0) <= SENT
     sent = F.broadcast if small else (lambda t: t)
     # Hosts of one page have nothing to compare.
-    votes = keyed.join(sent(refs.where("n_pages > 1").drop("n_pages")), ["host", "layout"]).mapInArrow(_votes, "host string, layout string, node int, votes long")
-    votes = votes.groupBy("host", "layout", "node").agg(F.sum("votes").alias("votes"))
-    votes = votes.groupBy("host", "layout").agg(F.collect_list("node").alias("nodes"), F.collect_list("votes").alias("votes"))
-    wrappers = settle(refs.join(votes, ["host", "layout"]).select("host", "layout", F.struct("ref", "nodes", "votes").alias(ref)), "wrappers")
+    votes = keyed.join(sent(refs.where("n_pages > 1").drop("n_pages")), ["host", "layout"]).mapInArrow(_votes, "host string, layout string, part int, node int, votes long")
+    votes = votes.groupBy("host", "layout", "part", "node").agg(F.sum("votes").alias("votes"))
+    votes = votes.groupBy("host", "layout").agg(F.collect_list(F.struct("part", "node", "votes")).alias("votes"))
+    wrappers = settle(refs.join(votes, ["host", "layout"]).select("host", "layout", F.struct("refs", "votes").alias(ref)), "wrappers")
     rows = rows.join(sent(wrappers.withColumnsRenamed({"host": host, "layout": layout})), [host, layout], "left")
     names = kept.columns
 
@@ -87,51 +91,55 @@ def _reference(html: str) -> tuple[Shapes, list[Node]]:
     return shapes, shapes.mark(parse(html))
 
 
-def _aligned(page: Node, html: str) -> tuple[list[Node], list[Node], list[tuple[Node, Node]]]:
-    """Nodes of the page and of the reference, and the pairs of equal, not empty text."""
+def _same(page: Node, html: str) -> list[tuple[Node, Node]] | None:
+    """Pairs of equal, not empty text in the alignment of a page with a reference; None if all of the text is the same."""
     shapes, nodes = _reference(html)
     if len(shapes.known) > 100_000:
         _reference.cache_clear()
         shapes, nodes = _reference(html)
-    own = shapes.mark(page)
+    shapes.mark(page)
     if page.value == nodes[0].value:
-        return own, nodes, []
-    return own, nodes, [(a, b) for a, b in align(shapes, page, nodes[0]) if a.value and a.value == b.value]
+        return None
+    return [(a, b) for a, b in align(shapes, page, nodes[0]) if a.value and a.value == b.value]
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per reference: how many pages differ from it (node -1), and how many of these have a node's text."""
-    held: dict[tuple[str, str], np.ndarray] = {}
+    held: dict[tuple[str, str, int], np.ndarray] = {}
+    names, types = ["host", "layout", "part", "node", "votes"], (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64())
 
     def out() -> pa.RecordBatch:
-        found = [(h, k, int(i) - 1, int(v[i])) for (h, k), v in held.items() for i in np.nonzero(v)[0]]
+        found = [(*key, int(i) - 1, int(v[i])) for key, v in held.items() for i in np.nonzero(v)[0]]
         held.clear()
-        columns = list(zip(*found, strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["host", "layout", "node", "votes"])
+        columns = list(zip(*found, strict=True)) or [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     for batch in batches:
-        for host, layout, html, ref in zip(*(batch.column(c) for c in ("host", "layout", "html", "ref")), strict=True):
-            page, key = parse(html.as_py()), (host.as_py(), layout.as_py())
-            _, nodes, same = _aligned(page, ref.as_py())
-            if page.value != nodes[0].value:
-                if key not in held:
-                    if len(held) >= KEYS_HELD:
-                        yield out()
-                    held[key] = np.zeros(len(nodes) + 1, np.int64)
-                held[key][[0, *(b.number + 1 for _, b in same)]] += 1
+        for host, layout, html, refs in zip(*(batch.column(c) for c in ("host", "layout", "html", "refs")), strict=True):
+            page = parse(html.as_py())
+            for part, ref in enumerate(refs.as_py()):
+                same, key = _same(page, ref), (host.as_py(), layout.as_py(), part)
+                if same is not None:
+                    if key not in held:
+                        if len(held) >= KEYS_HELD:
+                            yield out()
+                        held[key] = np.zeros(len(_reference(ref)[1]) + 1, np.int64)
+                    held[key][[0, *(b.number + 1 for _, b in same)]] += 1
     yield out()
 
 
-def _wrapper(row: dict) -> tuple[str, frozenset[int]]:
-    """The reference and the numbers of its constant nodes."""
-    votes = dict(zip(row["nodes"], row["votes"], strict=True))
-    n = votes.pop(-1, 0)
-    if n < LEAST or not any(v >= SHARE * n for v in votes.values()):
-        return row["ref"], frozenset()
-    _, nodes = _reference(row["ref"])
-    inside = {k.number for node in nodes if declared(node) for k in below(node)}
-    constant = {i for i, v in votes.items() if (n >= LEAST_INSIDE and v >= SHARE_INSIDE * n if i in inside else v >= SHARE * n)}
-    return row["ref"], frozenset(constant)
+def _wrapper(row: dict) -> list[tuple[str, frozenset[int]]]:
+    """The references that have constant nodes, with the numbers of these."""
+    found = []
+    for part, ref in enumerate(row["refs"]):
+        votes = {v["node"]: v["votes"] for v in row["votes"] if v["part"] == part}
+        n = votes.pop(-1, 0)
+        if n >= LEAST and any(v >= SHARE * n for v in votes.values()):
+            inside = {k.number for node in _reference(ref)[1] if declared(node) for k in below(node)}
+            constant = {i for i, v in votes.items() if (n >= LEAST_INSIDE and v >= SHARE_INSIDE * n if i in inside else v >= SHARE * n)}
+            if constant:
+                found.append((ref, frozenset(constant)))
+    return found
 
 
 def below(node: Node) -> Iterator[Node]:
@@ -167,12 +175,12 @@ def _furniture(node: Node, in_article: bool) -> bool:
     return tag == "article" and bool(words & {"comment", "comments", "reply"}) or not (declared(node) or any(declared(k) for k in below(node)))
 
 
-def extract(html: str, wrapper: tuple[str, frozenset[int]] | None = None) -> str:
+def extract(html: str, wrapper: list[tuple[str, frozenset[int]]] | None = None) -> str:
     """The main text of one page under the wrapper of its host."""
     page = parse(html)
     gone: set[int] = set()
-    if wrapper and wrapper[1]:
-        gone = {id(a) for a, b in _aligned(page, wrapper[0])[2] if b.number in wrapper[1]}
+    for ref, constant in wrapper or ():
+        gone |= {id(a) for a, b in _same(page, ref) or () if b.number in constant}
     articles: list[Node] = []
     stack = [(page, False)]
     while stack:
