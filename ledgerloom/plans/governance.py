@@ -387,6 +387,47 @@ def s2_json_array_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tapes.read_json_array(spark, path, _COLS, by_line=True)
 
 
+@query(_ORDERS_TEXT)
+def s2_one_array_a_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file is one array over many lines; it is read by ranges."""
+    path = _folder(spark)
+
+    def bracketed(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array(["["])], names=["value"])
+        before = ""
+        for batch in batches:
+            lines = []
+            for value in batch.column(0).to_pylist():
+                lines.append(before + value)
+                before = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["value"])
+
+    _orders_text(spark, sf_dir).select(F.to_json(F.struct(*_COLS)).alias("value")).mapInArrow(bracketed, "value string").write.text(path)
+    return tapes.read_json_array(spark, path, _COLS)
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) || chr(10) || '"' || o_orderpriority || '", }' || chr(13) || chr(10) || o_orderstatus AS note, o_orderstatus AS o_orderstatus FROM orders""")
+def s1_quoted_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with line breaks, quotes and commas; ranges of a file may begin inside them."""
+    path = _folder(spark)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    note = F.concat(F.col("o_custkey").cast("string"), F.lit('\n"'), "o_orderpriority", F.lit('", }\r\n'), "o_orderstatus")
+    cell = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), cell(note), "o_orderstatus")
+
+    def headed(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array(["o_orderkey,note,o_orderstatus"])], names=["value"])
+        yield from batches
+
+    orders.select(line.alias("value")).mapInArrow(headed, "value string").write.text(path)
+    return tapes.read_csv(spark, path, ["o_orderkey", "note", "o_orderstatus"])
+
+
 @query(_ORDERS_TEXT)
 def s3_ndjson_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)

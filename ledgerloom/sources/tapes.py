@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import INTEGER_TEXT, definition_hash, digest_sums, value_kind
+from .ranges import csv_records, json_objects
 
 
 def _text(columns: list[str]) -> T.StructType:
@@ -16,19 +17,21 @@ def _text(columns: list[str]) -> T.StructType:
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Header required and equal to ``columns``; a row of another width, or an unclosed quote, ends the run. Empty cells are null."""
+    """Header required and equal to ``columns``; a row of another width, or an unclosed quote, ends the run. Empty cells are null. A file
+    is read by as many tasks as it has ranges, whatever line breaks its cells hold."""
     if len(set(columns)) != len(columns):
         raise ValueError("column names must be unique")
-    reader = spark.read.schema(_text(columns)).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("multiLine", True).option("escape", '"')
-    return reader.csv(path)
+    cells = F.from_csv("record", F.lit(", ".join(f"`{c}` STRING" for c in columns)), {"mode": "FAILFAST", "escape": '"', "maxCharsPerColumn": "-1"})
+    return csv_records(spark, path, columns).select(cells.alias("r")).select(*[F.col(f"r.`{c}`").alias(c) for c in columns])
 
 
 def read_json_array(spark: SparkSession, path: str, columns: list[str], by_line: bool = False) -> DataFrame:
-    """Files that hold one array of flat objects, or one a line. Values must be text, whole numbers, booleans or null; a fractional number
-    ends the run, as it would lose digits."""
-    whole = spark.read.text(path, wholetext=not by_line).select(F.parse_json("value").alias("v"))
-    rows = whole.select(F.explode(F.col("v").try_cast("array<variant>")).alias("r"))
-    return _flat(rows, columns)
+    """Files that hold one array of flat objects, each read by as many tasks as it has ranges; or one array a line. Values must be text,
+    whole numbers, booleans or null; a fractional number ends the run, as it would lose digits."""
+    if by_line:
+        rows = spark.read.text(path).select(F.parse_json("value").alias("v"))
+        return _flat(rows.select(F.explode(F.col("v").try_cast("array<variant>")).alias("r")), columns)
+    return _flat(json_objects(spark, path).select(F.parse_json("value").alias("r")), columns)
 
 
 def read_ndjson(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
