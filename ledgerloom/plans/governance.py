@@ -422,7 +422,8 @@ def s1_quoted_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
         import pyarrow as pa
 
         yield pa.RecordBatch.from_arrays([pa.array(["o_orderkey,note,o_orderstatus"])], names=["value"])
-        yield from batches
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
 
     orders.select(line.alias("value")).mapInArrow(headed, "value string").write.text(path)
     return tapes.read_csv(spark, path, ["o_orderkey", "note", "o_orderstatus"])
