@@ -11,7 +11,7 @@ from ..functions import filters, mapping
 from ..functions.dictionary import ALIASES, FIELDS, REQUIRED, label
 from ..functions.scalars import infer_temporal, infer_unit, months_until, value_kind
 from ..operators import disclosure, history, matching
-from ..sources import tapes
+from ..sources import footers, tapes
 from .registry import query
 from .tape import KEY, PERIODS, digest_sums_sql, tape, views, with_tape
 
@@ -450,6 +450,37 @@ def s5_parquet_governed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tapes.read_parquet(spark, f"{sf_dir}/orders.parquet", expected, declared).agg(F.count("*").alias("rows"), F.sum(F.col("o_totalprice").cast("decimal(20,2)")).cast("decimal(38,2)").alias("total"))
 
 
+@query(
+    """SELECT o_orderstatus AS part, COUNT(*) AS rows, CASE o_orderstatus WHEN 'F' THEN 'unexpected note string required' WHEN 'P' THEN 'missing o_totalprice decimal(20,2) optional,unexpected o_totalprice decimal(18,2) optional'
+        ELSE '' END AS problems FROM orders GROUP BY 1"""
+)
+def s5_footer_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in folders by status, one with a column too many and one of another precision: what the footers say of each file."""
+    path = _folder(spark)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(20,2)").alias("o_totalprice"))
+    expected = orders.schema
+    wrong = {"F": orders.withColumn("note", F.lit("x")), "P": orders.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)"))}
+    for status in ("F", "O", "P"):
+        wrong.get(status, orders).where(F.col("o_orderstatus") == status).write.parquet(f"{path}/{status}")
+    found = footers.footers(spark, path)
+    part = F.regexp_extract("file", r"/([^/]*)/[^/]*$", 1).alias("part")
+    bad = footers.problems(found, expected).select(part, "problem").distinct().groupBy("part").agg(F.array_join(F.array_sort(F.collect_list("problem")), ",").alias("problems"))
+    rows = found.groupBy(part).agg(F.sum("rows").alias("rows"))
+    return rows.join(bad, "part", "left").select("part", "rows", F.coalesce("problems", F.lit("")).alias("problems"))
+
+
+@query(with_tape("SELECT CAST(as_of_date AS VARCHAR) AS as_of_date, COUNT(*) AS rows, CAST(SUM(CASE WHEN period_idx = 2 THEN 1 ELSE 0 END) AS BIGINT) AS off FROM tape GROUP BY 1"))
+def s6_partition_column_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files carry their date inside too; one folder was moved to another date, so that its rows are off."""
+    path = _folder(spark)
+    rows = tape(spark, sf_dir).select("loan_id", F.col("as_of_date").alias("own_date"), F.when(F.col("period_idx") == 2, F.lit("1999-12-15").cast("date")).otherwise(F.col("as_of_date")).alias("as_of_date"))
+    tapes.write_snapshot(rows, path, "demo")
+    back = spark.read.parquet(path)
+    bad = tapes.partition_mismatch(back, {}, {"as_of_date": "own_date"}).groupBy("own_date").agg(F.count("*").alias("off"))
+    whole = back.groupBy("own_date").agg(F.count("*").alias("rows"))
+    return whole.join(bad, "own_date", "left").select(F.col("own_date").cast("string").alias("as_of_date"), "rows", F.coalesce("off", F.lit(0)).cast("long").alias("off"))
+
+
 @query(with_tape("SELECT CAST(as_of_date AS VARCHAR) AS as_of_date, COUNT(*) AS rows FROM tape GROUP BY 1"))
 def s6_s12_partitioned_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write once by date, read back, and hold each partition against its expectation."""

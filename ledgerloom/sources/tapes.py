@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import INTEGER_TEXT, definition_hash, digest_sums, value_kind
+from .footers import Limits, footers, problems
 from .ranges import csv_records, json_objects
 
 
@@ -58,31 +59,26 @@ def ragged_columns(spark: SparkSession, path: str, most: int = 2000) -> DataFram
     return checked.select(F.when(F.col("n") > most, F.raise_error(F.lit("too many columns"))).otherwise(F.col("column")).alias("column")).orderBy("column")
 
 
-def schema_differences(df: DataFrame, expected: T.StructType) -> list[str]:
-    """Names, order, types and nullability against the expectation; nothing is read."""
-    have = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
-    want = [(f.name, f.dataType.simpleString()) for f in expected.fields]
-    out = [f"missing {n}: {t}" for n, t in want if (n, t) not in have] + [f"unexpected {n}: {t}" for n, t in have if (n, t) not in want]
-    return out or (["columns are in another order"] if have != want else [])
+def read_parquet(spark: SparkSession, path: str, expected: T.StructType | None = None, declared_rows: int | None = None, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
+    """Every file must have exactly the expected columns: names, order, types, precision, zone and nullability; declared rows must be
+    those of the footers. Both are read from all footers by one job before any data; any difference ends the run. Without an
+    expectation, all files must have the columns of one."""
+    found = problems(footers(spark, path), expected, limits, declared_rows).orderBy("file", "problem").limit(20).collect()
+    if found:
+        raise ValueError("; ".join(f"{r.file}: {r.problem}" if r.file else r.problem for r in found))
+    reader = spark.read.option("mergeSchema", False)
+    return (reader if expected is None else reader.schema(expected)).parquet(path)
 
 
-def read_parquet(spark: SparkSession, path: str, expected: T.StructType | None = None, declared_rows: int | None = None) -> DataFrame:
-    """One schema only: no merging, and exact agreement with the expectation. Declared rows must be those of the files' footers
-    (a count, which reads no column)."""
-    df = spark.read.option("mergeSchema", False).parquet(path)
-    if expected is not None and (found := schema_differences(df, expected)):
-        raise ValueError("; ".join(found))
-    if declared_rows is not None and (rows := df.count()) != declared_rows:
-        raise ValueError(f"{declared_rows} rows declared, {rows} found")
-    return df
-
-
-def partition_mismatch(df: DataFrame, expected: dict[str, str]) -> DataFrame:
-    """Must be empty: rows whose partition columns are not the expected values; pruned to other partitions by the scan."""
+def partition_mismatch(df: DataFrame, expected: dict[str, str], inside: dict[str, str] | None = None) -> DataFrame:
+    """Must be empty: rows whose partition columns are not the expected values; pruned to other partitions by the scan. ``inside`` names,
+    per partition column, the column of the file that must agree with it on every row."""
     off: Column = F.lit(False)
     for c, v in expected.items():
         off = off | ~F.col(c).cast("string").eqNullSafe(F.lit(v))
-    return df.where(off).limit(1)
+    for c, own in (inside or {}).items():
+        off = off | ~F.col(c).cast("string").eqNullSafe(F.col(own).cast("string"))
+    return df.where(off)
 
 
 def worksheet_rows(cells: DataFrame, sheet: str, header_row: int, columns: list[str]) -> DataFrame:
