@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import eligibility_condition
 from ..functions.scalars import WIDE, ratio
+from .running import running, same_keys
 
 M = "decimal(24,6)"
 
@@ -43,7 +44,7 @@ class ArPolicy:
 
 def ar_receivables(receivables: DataFrame, policy: ArPolicy, scope: list[str]) -> DataFrame:
     """Each receivable with the rule that excludes it (the first by priority and id), the rules it matches, what cross-aging and
-    the concentration cap take, and what stays eligible.
+    the concentration cap take, and what stays eligible. One debtor may hold any share of the invoices.
 
     Cross-aging looks at gross amounts before any exclusion; the cap is a share of all that is left before it, and its excess
     is taken in order until it is used up (a running sum, no loop).
@@ -54,23 +55,30 @@ def ar_receivables(receivables: DataFrame, policy: ArPolicy, scope: list[str]) -
     matched = F.array_compact(F.array(*[F.when(h, r[0]) for r, h in zip(rules, hits, strict=True)]))
     rows = receivables.withColumn("gross", money("outstanding_amount")).withColumn("rule_id", first).withColumn("matched", matched)
     rows = rows.withColumn("left1", F.when(F.col("rule_id").isNull(), F.col("gross")).otherwise(0).cast(M))
-    debtor = Window.partitionBy(*scope, "debtor_id")
+    # Debtors and scopes are grouped sums joined back, so that no task has to hold one.
+    debtor = [*scope, "debtor_id"]
+    old = F.sum(F.when(F.col("days_past_due") >= policy.cross_age_days, F.col("gross")).otherwise(0))
+    per = rows.groupBy(*debtor).agg(F.sum("gross").alias("__gross"), old.alias("__old"), F.sum("left1").alias("__left"))
+    aged = F.lit(False)
     if policy.cross_age_ratio is not None:
-        old = F.sum(F.when(F.col("days_past_due") >= policy.cross_age_days, F.col("gross")).otherwise(0)).over(debtor)
-        aged = F.coalesce((F.sum("gross").over(debtor) > 0) & (old >= F.sum("gross").over(debtor) * lit(policy.cross_age_ratio)), F.lit(False))
-    else:
-        aged = F.lit(False)
-    rows = rows.withColumn("cross_aged", F.when(aged, F.col("left1")).otherwise(0).cast(M)).withColumn("left2", (F.col("left1") - F.col("cross_aged")).cast(M))
+        aged = F.coalesce((F.col("__gross") > 0) & (F.col("__old") >= F.col("__gross") * lit(policy.cross_age_ratio)), F.lit(False))
+    per = per.withColumn("__aged", aged).withColumn("__left", F.when(F.col("__aged"), F.lit(0)).otherwise(F.col("__left")))
+    per = per.select(*debtor, "__aged", "__left")
+    if policy.concentration is not None:
+        whole = per.groupBy(*scope).agg(F.sum("__left").alias("__whole"))
+        per = per.alias("a").join(whole.alias("b"), same_keys("a", "b", scope)).select("a.*", "__whole")
+        per = per.withColumn("__excess", F.greatest(F.col("__left") - F.col("__whole") * lit(policy.concentration), F.lit(0))).drop("__whole")
+    rows = rows.alias("a").join(per.alias("b"), same_keys("a", "b", debtor)).select("a.*", *[f"b.{c}" for c in per.columns if c not in debtor])
+    rows = rows.withColumn("cross_aged", F.when(F.col("__aged"), F.col("left1")).otherwise(0).cast(M)).withColumn("left2", (F.col("left1") - F.col("cross_aged")).cast(M))
+    rows = rows.drop("__aged", "__left")
     if policy.concentration is None:
         return rows.withColumn("concentration", lit(0)).withColumn("eligible", F.col("left2"))
-    # The whole of a scope is a grouped sum joined back, so that no task has to hold a scope.
-    whole = rows.groupBy(*scope).agg(F.sum("left2").alias("__whole"))
-    rows = rows.join(whole, scope)
-    order = {"invoice": [F.col("receivable_id")], "largest": [F.col("left2").desc(), F.col("receivable_id")], "oldest": [F.col("days_past_due").desc(), F.col("receivable_id")]}[policy.allocation]
-    before = F.coalesce(F.sum("left2").over(debtor.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    excess = F.greatest(F.sum("left2").over(debtor) - F.col("__whole") * lit(policy.concentration), F.lit(0))
-    taken = F.greatest(F.least(F.col("left2"), excess - before), F.lit(0)).cast(M)
-    return rows.withColumn("concentration", taken).withColumn("eligible", (F.col("left2") - taken).cast(M)).drop("__whole")
+    order = {"invoice": [("receivable_id", True)], "largest": [("left2", False), ("receivable_id", True)], "oldest": [("days_past_due", False), ("receivable_id", True)]}[policy.allocation]
+    # Only debtors over the cap need an order.
+    over = running(rows.where("__excess > 0"), debtor, order, {"__upto": ("sum", F.col("left2"))}, "allocation")
+    rows = over.unionByName(rows.where("not (__excess > 0)").withColumn("__upto", F.col("left2").cast(over.schema["__upto"].dataType)))
+    taken = F.greatest(F.least(F.col("left2"), F.col("__excess") - (F.col("__upto") - F.col("left2"))), F.lit(0)).cast(M)
+    return rows.withColumn("concentration", taken).withColumn("eligible", (F.col("left2") - taken).cast(M)).drop("__excess", "__upto")
 
 
 def ar_base(receivables: DataFrame, usage: DataFrame, policy: ArPolicy, scope: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import after_key, running
+
 
 def differencing(candidates: DataFrame, releases: DataFrame, cell: list[str], k: int, recent: int = 500) -> DataFrame:
     """permit, or deny for a small cell or for members that differ from one of the last ``recent`` releases of the cell by fewer
@@ -25,9 +27,9 @@ def differencing(candidates: DataFrame, releases: DataFrame, cell: list[str], k:
 
 
 def budget(log: DataFrame, scope: list[str], rows: int) -> DataFrame:
-    """Rows disclosed so far, in order, and whether each page still fits the budget."""
-    run = Window.partitionBy(*scope).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumn("disclosed", F.sum("rows").over(run)).withColumn("allowed", F.col("disclosed") <= rows)
+    """Rows disclosed so far, in order, and whether each page still fits the budget. One scope may hold any share of the log."""
+    run = running(log, scope, [("seq", True)], {"disclosed": ("sum", F.col("rows"))}, "budget")
+    return run.withColumn("allowed", F.col("disclosed") <= rows)
 
 
 def page(df: DataFrame, keys: list[str], offset: int, limit: int) -> DataFrame:
@@ -35,6 +37,13 @@ def page(df: DataFrame, keys: list[str], offset: int, limit: int) -> DataFrame:
     return df.orderBy(*keys).offset(offset).limit(limit)
 
 
+def page_after(df: DataFrame, keys: list[tuple[str, bool]], last: dict | None, limit: int) -> DataFrame:
+    """The page that follows the row with the keys ``last`` (the first page without it), by name and ascending or not: each task keeps
+    ``limit`` rows, however deep the page. The keys must be unique and not null."""
+    rows = df.where(after_key(keys, last)) if last else df
+    return rows.orderBy(*[F.col(k).asc() if up else F.col(k).desc() for k, up in keys]).limit(limit)
+
+
 def total_order(df: DataFrame, order: list[tuple[str, str, str]]) -> DataFrame:
     """Keys with a direction (asc, desc) and a place for nulls (first, last) each."""
     return df.orderBy(*[getattr(F.col(c), f"{d}_nulls_{n}")() for c, d, n in order])

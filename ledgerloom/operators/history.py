@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import settled
+from .running import running
+
 
 def terminal_revisions(manifests: DataFrame, known_at: Column, scope: list[str]) -> DataFrame:
     """The last revision of each chain that was known at the cutoff.
@@ -37,24 +40,36 @@ def bundle(terminals: DataFrame, dataset: str = "dataset_id", date: str = "as_of
     return one.join(source, dataset)
 
 
-def rates_as_of(rows: DataFrame, rates: DataFrame, base: str = "currency", at: str = "as_of_date", known: str = "known_at") -> DataFrame:
+def rates_as_of(rows: DataFrame, rates: DataFrame, base: str = "currency", at: str = "as_of_date", known: str = "known_at", same: tuple[str, ...] = ()) -> DataFrame:
     """Each row with the rate (rate, effective_on) that was effective at its date and received by its cutoff: the latest
     effective, then the latest received, then the greatest hash; null if there is none. rates: base, effective_on, received_at,
-    rate, rate_hash.
+    rate, rate_hash, and whatever else must agree (``same``: quote currency, rate type, definition and its hash).
 
-    Only the distinct (currency, date, cutoff) of the rows are placed. For each cutoff the quotes known by then and the dates
-    asked for are merged in order of time and the last quote is carried on, so no date meets more than one quote; the rows then
-    join by equality. The work beside the rows is the number of cutoffs times that of quotes.
+    A dominance join without a product. Times of receipt are ranked, and a cutoff that c of them come before is the blocks of
+    2^j ranks for which bit j of c is set: about log2(quotes) blocks, in each of which every quote is known. A quote is in one
+    block of each size. Within a block, quotes and dates asked for run in order of time, and the running maximum of (effective,
+    received, hash) is the block's answer; the greatest of the blocks is the row's. The work is (quotes + distinct dates and
+    cutoffs) times that logarithm, in ranges that split any key.
     """
-    asked = rows.select(base, at, known).distinct()
-    cutoffs = asked.select(known).distinct()
-    seen = rates.withColumnRenamed("base", base).join(cutoffs, F.col("received_at") <= F.col(known))
-    latest = seen.groupBy(known, base, "effective_on").agg(F.max_by("rate", F.struct("received_at", "rate_hash")).alias("rate"))
-    quotes = latest.select(known, base, F.col("effective_on").alias(at), F.lit(0).alias("__asked"), F.struct("rate", "effective_on").alias("__quote"))
-    merged = quotes.unionByName(asked.select(known, base, at, F.lit(1).alias("__asked"), F.lit(None).cast(quotes.schema["__quote"].dataType).alias("__quote")))
-    carried = F.last("__quote", ignorenulls=True).over(Window.partitionBy(known, base).orderBy(at, "__asked").rowsBetween(Window.unboundedPreceding, 0))
-    placed = merged.withColumn("__quote", carried).where("__asked = 1").select(known, base, at, "__quote.rate", "__quote.effective_on")
-    return rows.join(placed, [base, at, known], "left")
+    keys = [base, *same]
+    asked = rows.select(*keys, at, known).distinct()
+    quotes = rates.withColumnRenamed("base", base).where(F.col(base).isNotNull() & F.col("effective_on").isNotNull() & F.col("received_at").isNotNull())
+    time = lambda df, c, mark: df.select(*keys, F.col(c).alias("t"), F.lit(mark).alias("late")).distinct()
+    ranked = running(time(quotes, "received_at", 0).union(time(asked, known, 1)), keys, [("t", True), ("late", True)], {"c": ("sum", 1 - F.col("late"))}, "ranks")
+    ranked = settled(ranked, "ranks")
+    levels = int(ranked.agg(F.max("c")).first()[0] or 0).bit_length()
+    steps = F.sequence(F.lit(0), F.lit(max(0, levels - 1)))
+    at_rank = lambda late, c: ranked.where(F.col("late") == late).select(*keys, F.col("t").alias(c), F.col("c").cast("long").alias("c"))
+    held = quotes.join(at_rank(0, "received_at"), [*keys, "received_at"]).withColumn("j", F.explode(steps))
+    # Only blocks of an even number are ever asked for.
+    held = held.withColumn("block", F.call_function("shiftright", F.col("c") - 1, F.col("j"))).where("block % 2 = 0")
+    held = held.select(*keys, "j", "block", F.col("effective_on").alias(at), F.lit(0).alias("asks"), F.struct("effective_on", "received_at", "rate_hash", "rate").alias("quote"))
+    want = asked.join(at_rank(1, known), [*keys, known]).withColumn("j", F.explode(steps)).withColumn("block", F.call_function("shiftright", F.col("c"), F.col("j")) - 1).where("block % 2 = 0 and block >= 0")
+    want = want.select(*keys, "j", "block", at, F.lit(1).alias("asks"), F.lit(None).cast(held.schema["quote"].dataType).alias("quote"), known)
+    merged = held.withColumn(known, F.lit(None).cast(want.schema[known].dataType)).unionByName(want)
+    found = running(merged, [*keys, "j", "block"], [(at, True), ("asks", True)], {"last": ("max", F.col("quote"))}, "quotes")
+    placed = found.where("asks = 1").groupBy(*keys, at, known).agg(F.max("last").alias("last")).select(*keys, at, known, "last.rate", "last.effective_on")
+    return rows.join(placed, [*keys, at, known], "left")
 
 
 def convert(amount: Column, rate: Column, places: int = 2, inverse: bool = False) -> Column:

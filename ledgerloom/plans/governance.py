@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -250,6 +251,25 @@ def j13_fx_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.groupBy("as_of_date", "currency", "known_at").agg(F.count("*").alias("loans"), F.max("rate").alias("rate"))
 
 
+@query(
+    with_tape(f"""
+    , {_RATES}, q AS (SELECT base AS currency, CASE WHEN received_at % 2 = 0 THEN 'closing' ELSE 'average' END AS rate_type, received_at % 3 AS definition, effective_on, CAST(effective_on + CAST(received_at % 50 AS INT) AS DATE) AS received_at, rate, rate_hash FROM rates),
+    t AS (SELECT loan_id, source_system, facility_id, as_of_date, currency, CASE WHEN days_past_due > 60 THEN 'average' ELSE 'closing' END AS rate_type, CAST(loan_id AS BIGINT) % 3 AS definition, CAST(as_of_date + CAST(CAST(loan_id AS BIGINT) % 61 AS INT) AS DATE) AS known_at FROM tape),
+    d AS (SELECT DISTINCT currency, rate_type, definition, as_of_date, known_at FROM t),
+    r AS (SELECT *, (SELECT q.rate_hash FROM q WHERE q.currency = d.currency AND q.rate_type = d.rate_type AND q.definition = d.definition AND q.effective_on <= d.as_of_date AND q.received_at <= d.known_at ORDER BY q.effective_on DESC, q.received_at DESC, q.rate_hash DESC LIMIT 1) AS h FROM d)
+    SELECT t.loan_id, t.source_system, t.facility_id, t.as_of_date, q.rate, q.effective_on FROM t JOIN r USING (currency, rate_type, definition, as_of_date, known_at) LEFT JOIN q ON q.rate_hash = r.h""")
+)
+def j13_fx_rate_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every loan has its own cutoff, within two months of its date; rate type and definition must agree as well."""
+    loan = F.col("loan_id").cast("long")
+    kind = F.when(F.col("days_past_due") > 60, "average").otherwise("closing")
+    rows = tape(spark, sf_dir).select("loan_id", "source_system", "facility_id", "as_of_date", "currency", kind.alias("rate_type"), (loan % 3).alias("definition"), F.date_add("as_of_date", (loan % 61).cast("int")).alias("known_at"))
+    n = F.col("received_at")
+    quotes = _rates(spark, sf_dir).withColumns({"rate_type": F.when(n % 2 == 0, "closing").otherwise("average"), "definition": n % 3, "received_at": F.date_add("effective_on", (n % 50).cast("int"))})
+    rated = history.rates_as_of(rows, quotes, same=("rate_type", "definition"))
+    return rated.select("loan_id", "source_system", "facility_id", "as_of_date", "rate", "effective_on")
+
+
 @query(
     f"""WITH {_RATES} SELECT rate_hash, base AS other,
         CASE WHEN received_at % 2 = 0 THEN CAST(rate AS DECIMAL(20,12)) ELSE CAST(round_even(1 / CAST(rate AS DOUBLE), 12) AS DECIMAL(20,12)) END AS normal_rate FROM rates"""
@@ -305,6 +325,14 @@ def f2_t5_investigation_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.page(rows, ["as_of_date", "loan_id"], 25, 50)
 
 
+@query(with_tape("SELECT loan_id, source_system, as_of_date, outstanding_balance FROM tape WHERE outstanding_balance IS NOT NULL AND (as_of_date < DATE '1999-11-30' OR (as_of_date = DATE '1999-11-30' AND (loan_id > '50' OR (loan_id = '50' AND source_system > 'core')))) ORDER BY as_of_date DESC, loan_id, source_system LIMIT 200"))
+def t5_page_after_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page that follows a loan of November: newest dates first, then by id."""
+    rows = tape(spark, sf_dir).where("outstanding_balance is not null").select("loan_id", "source_system", "as_of_date", "outstanding_balance")
+    last = {"as_of_date": datetime.date(1999, 11, 30), "loan_id": "50", "source_system": "core"}
+    return disclosure.page_after(rows, [("as_of_date", False), ("loan_id", True), ("source_system", True)], last, 200)
+
+
 @query(with_tape("SELECT as_of_date, COUNT(*) AS loans FROM tape WHERE facility_id NOT IN (SELECT DISTINCT facility_id FROM tape WHERE CAST(loan_id AS BIGINT) % 900 = 1) AND outstanding_balance <= 50000.5 AND outstanding_balance > 10 GROUP BY 1"))
 def f7_f9_watermark_and_disabled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tape(spark, sf_dir)
