@@ -53,6 +53,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def shielded(docs: DataFrame, used: list[str], new: list[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run`` on the table with the columns that it uses under the names that it asks for, in any case, and all others under
+    numbers, so that none meets a name of its own; then all have their names again. Columns named as new ones are replaced."""
+    kept, asked = without(docs, new), {u.lower(): u for u in used}
+    inner = [asked.get(c.lower(), f"_{i}") for i, c in enumerate(kept.columns)]
+    out = run(kept.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept.columns, inner, strict=True)]))
+    back = dict(zip(inner, kept.columns, strict=True))
+    return out.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in out.columns])
+
+
 def append_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]], fields: list[T.StructField]) -> DataFrame:
     """Row-preserving Arrow map: ``fn`` gives the new columns of a batch; columns of the same name are replaced."""
     kept = without(df, [f.name for f in fields])

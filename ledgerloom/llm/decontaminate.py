@@ -13,7 +13,7 @@ size, which only keep places out of the shuffles that a join would drop anyway.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import Bitmap, append_columns, discard, no_text, pieces, settle, sized_rows, without
+from .common import Bitmap, append_columns, discard, no_text, pieces, settle, shielded, sized_rows
 
 U = np.uint64
 OUT = [
@@ -77,9 +77,8 @@ def shingles_of(windows: DataFrame, gram: int) -> DataFrame:
     return windows.mapInArrow(cut, _ddl(SHINGLE))
 
 
-def rarities(texts: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
-    """(gram, count) of the known shingles over all texts, combined in each task before the shuffle."""
-    mask = Bitmap(known, known.count())
+def rarities(texts: DataFrame, known: DataFrame, lengths: list[int], mask: Bitmap) -> DataFrame:
+    """(gram, count) of the known shingles over all texts, combined in each task before the shuffle; ``mask`` may have them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -112,19 +111,26 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
 
     Words are runs of ASCII digits, ASCII letters (lower-cased) and non-ASCII characters. Null or empty texts have no words
     and no hits; null or empty items have no windows; a null item id counts as the text ``null``. Equal windows of several
-    items hit all of them; repeated rows are judged alike. An empty table of items hits nothing.
+    items hit all of them; repeated rows are judged alike. An empty table of items hits nothing. Columns of any name may be there;
+    those of the names of new ones are replaced.
     """
+    return shielded(docs, [text_col], [f.name for f in OUT], lambda d: _decontaminate(d, items, text_col, item_id, item_text, size, gram))
+
+
+def _decontaminate(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, size: int, gram: int) -> DataFrame:
     listed = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), no_text(F.col(item_text)).alias("text"))
     owners = settle(windows_of(listed, size), "windows")
     shingles = settle(shingles_of(owners.select("passage", "n").distinct(), gram), "shingles")
     lengths = [r[0] for r in owners.select(F.least("n", F.lit(gram))).distinct().collect()]
     texts = docs.select(no_text(F.col(text_col)).alias("text"))
     known = settle(shingles.select("gram").distinct(), "grams")
-    counts = rarities(texts, known, lengths)
+    common = Bitmap(known, known.count())
+    counts = rarities(texts, known, lengths, common)
     # The rarest shingle of each window; ties go to the smaller value, then to the earlier place. One that no text has can't occur.
     least = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "gram", "place"))
     anchors = shingles.join(counts, "gram", "left").groupBy("passage", "n").agg(least.alias("a")).where("a.count > 0")
     anchors = settle(anchors.select("passage", "n", "a.gram", "a.place"), "anchors")
+    common.drop()
     wanted = anchors.select("gram").distinct()
     mask = Bitmap(wanted, wanted.count())
     marked = texts.select("text", F.md5(F.col("text").cast("binary")).alias("mark"))
@@ -160,14 +166,32 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     named = found.select("mark", "passage").distinct().join(owners.select("passage", "id"), "passage").groupBy("mark").agg(F.collect_set("id").alias("__ids"))
     hit = settle(spans.join(named, "mark").withColumnRenamed("mark", "__mark"), "hits")
     discard(found, anchors, owners)
-    keyed = without(docs, [f.name for f in OUT]).withColumn("__mark", F.md5(no_text(F.col(text_col)).cast("binary")))
+    # Only rows whose text may have a hit meet the hits; the others stay where they are.
+    key = lambda m: F.conv(F.substring(m, 1, 15), 16, 10).cast("long")
+    kept = Bitmap(hit.select(key(F.col("__mark"))), hit.count())
+    keyed = docs.withColumn("__mark", F.md5(no_text(F.col(text_col)).cast("binary"))).withColumn("__key", key(F.col("__mark")))
+
+    def chosen(hits: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield batch.filter(pa.array(kept.may_have(batch.column("__key").to_numpy()) == hits))
+
+        return run
+
+    def counted(batch: pa.RecordBatch) -> list[int]:
+        return [int(x) for w in K.words(batch.column(text_col), K.LETTER_WORDS) for x in np.diff(w.ptr)]
 
     def merge(batch: pa.RecordBatch) -> dict[str, list]:
-        n_words = [int(x) for w in K.words(batch.column(text_col), K.LETTER_WORDS) for x in np.diff(w.ptr)]
-        return {"n_words": n_words, "hits": [_merged(x) for x in batch.column("__spans").to_pylist()], "item_ids": [sorted(x or []) for x in batch.column("__ids").to_pylist()]}
+        return {"n_words": counted(batch), "hits": [_merged(x) for x in batch.column("__spans").to_pylist()], "item_ids": [sorted(x or []) for x in batch.column("__ids").to_pylist()]}
+
+    def nothing(batch: pa.RecordBatch) -> dict[str, list]:
+        return {"n_words": counted(batch), "hits": [[]] * batch.num_rows, "item_ids": [[]] * batch.num_rows}
 
-    # Always a merge join: few hits could be sent to all tasks, but then small and large tables would run different plans.
-    return append_columns(keyed.join(hit.hint("merge"), "__mark", "left"), merge, OUT).drop("__mark", "__spans", "__ids")
+    some, none = (keyed.mapInArrow(chosen(x), keyed.schema) for x in (True, False))
+    # A merge join at every size, so that small and large tables run one plan.
+    met = append_columns(some.join(hit.hint("merge"), "__mark", "left"), merge, OUT).drop("__mark", "__key", "__spans", "__ids")
+    return append_columns(none, nothing, OUT).drop("__mark", "__key").unionByName(met)
 
 
 def _merged(spans: list[dict] | None) -> list[dict]:
