@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import append_columns, no_text
+from .common import append_columns, no_text, shielded
 
 BITS, SYMBOLS, PAD = 7, 128, 4
 #: Cross-entropies are counted in this many classes a bit; a language of fewer distinct texts than LEAST takes wide bounds.
 CLASSES, LEAST = 1024, 20
 #: Spreads beyond which a text is rejected where too few texts were left out to tell: wide, so that clean texts stay.
 WIDE = 12.0
+#: The tail of distances is what this share of texts is beyond; so many texts stand for what isn't known of it.
+TAIL, PRIOR = 0.1, 10.0
 OUT = [
     T.StructField("lang_pred", T.StringType()),
     T.StructField("score", T.DoubleType()),
@@ -222,11 +224,10 @@ def predict(model: Model, col: pa.Array, z: float | None = None) -> dict[str, pa
 
 def _bounds(model: Model, rows: DataFrame, rate: float) -> None:
     """Sets mean and spread from all distinct training texts of at least 50 letters, and z from those of them that were left out
-    of the counts, so that a share ``rate`` of them would be rejected.
+    of the counts, so that about a share ``rate`` of such texts would be rejected (``tail_bound``).
 
     A language of fewer than LEAST such texts says little about texts it wasn't fitted on: it takes the median bounds of the
-    other languages, or its own where they are wider. If no language has enough, no text with letters is rejected. With fewer
-    than 1 / rate texts left out, z stays WIDE.
+    other languages, or its own where they are wider. If no language has enough, no text with letters is rejected.
     """
     held = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -262,32 +263,51 @@ def _bounds(model: Model, rows: DataFrame, rate: float) -> None:
         own = (model.mean[j], model.spread[j]) if total[j] else (0.0, 0.0)
         model.mean[j], model.spread[j] = max(mean, own[0]), max(spread, own[1])
     left = got[got["out"]]
-    if left["count"].sum() * rate >= 1:
-        lang = left["lang"].to_numpy()
-        far = (left["bits"].to_numpy() / CLASSES - model.mean[lang]) / model.spread[lang] * 10 / left["wide"].to_numpy()
-        order = np.argsort(far)
-        upto = left["count"].to_numpy()[order].cumsum()
-        model.z = max(float(far[order][np.searchsorted(upto, (1 - rate) * upto[-1])]), 1.0)
+    lang = left["lang"].to_numpy()
+    far = (left["bits"].to_numpy() / CLASSES - model.mean[lang]) / model.spread[lang] * 10 / left["wide"].to_numpy()
+    model.z = tail_bound(far, left["count"].to_numpy(), rate)
 
 
-def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", order: int = 4, max_letters: int = 32 << 20, rate: float = 1e-4) -> Model | None:
+def tail_bound(far: np.ndarray, n: np.ndarray, rate: float) -> float:
+    """Spreads that a share ``rate`` of texts passes, from n texts at each distance: one rule at every number of texts.
+
+    The tail beyond the distance that TAIL of the texts pass is taken as exponential. PRIOR texts of a wide tail (WIDE at a rate
+    of 1e-4) stand for what isn't known, and the mean excess is raised by two standard errors, so the bound is wide with no text
+    and tightens with their number, without a step.
+    """
+    order = np.argsort(far)
+    far, n = far[order], n[order]
+    total = n.sum()
+    slope, edge = (WIDE - 2.0) / math.log(TAIL / 1e-4) / (1 + 2 / math.sqrt(PRIOR)), 2.0
+    k, excess = 0.0, 0.0
+    if total:
+        own = far[np.searchsorted(n.cumsum(), (1 - TAIL) * total)]
+        over = far > own
+        k, excess = float(n[over].sum()), float((n[over] * (far[over] - own)).sum())
+        edge = (PRIOR * edge + k * own) / (PRIOR + k)
+    slope = (PRIOR * slope + excess) / (PRIOR + k) * (1 + 2 / math.sqrt(PRIOR + k))
+    return max(1.0, edge + slope * math.log(max(1.0, TAIL / rate)))
+
+
+def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", order: int = 4, max_letters: int = 32 << 20, max_total: int = 256 << 20, rate: float = 1e-4) -> Model | None:
     """order: up to PAD. Learn from the rows that ``train`` keeps and whose language is not null; None if there is none.
 
-    max_letters: of a language with more characters than that, about so many are counted, in distinct texts drawn by a hash
-    of the text; this bounds the table of n-grams that is gathered. A language of 1000 rows or more also leaves an eighth of its
-    texts out of the counts. rate: the share of texts left out that the calibrated bounds would reject.
+    Equal texts of a language count once, at every size. Of each language about an eighth of the texts, drawn by a hash of the text,
+    is left out of the counts, and if what is left has more than ``max_letters`` characters, or its part of ``max_total`` for all
+    languages, about so many are counted; this bounds the tables of n-grams that are gathered. The text of least hash, if it
+    isn't empty, is always counted. rate: the share of texts left out that the calibrated bounds would reject.
     """
-    rows = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), no_text(F.col(text_col)).alias("text"))
-    sizes = [tuple(r) for r in rows.groupBy("lang").agg(F.count("*"), F.sum(F.length("text"))).collect() if r[0] != "und"]
+    rows = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), no_text(F.col(text_col)).alias("text")).where("lang <> 'und'")
+    marked = rows.withColumn("mark", F.xxhash64("text")).withColumn("draw", F.pmod(F.xxhash64("mark"), F.lit(1 << 20)))
+    texts = marked.groupBy("lang", "mark").agg(F.max(F.length("text")).alias("size"), F.max("draw").alias("draw"))
+    sizes = [tuple(r) for r in texts.groupBy("lang").agg(F.sum("size"), F.coalesce(F.min(F.when(F.col("size") > 0, F.col("draw"))), F.lit(0))).collect()]
     if not sizes:
         return None
-    share = {x: int((1 << 20) * min(1.0 if n < 1000 else 0.875, max_letters / max(1, size))) for x, n, size in sizes}
-    marked = rows.withColumn("mark", F.xxhash64("text"))
-    keep = F.try_element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang")) if share else F.lit(0)
-    marked = marked.withColumn("out", F.coalesce(F.pmod(F.xxhash64("mark"), F.lit(1 << 20)) >= keep, F.lit(True)))
-    counted = marked.where(~F.col("out"))
-    if any(size > max_letters for _, _, size in sizes):
-        counted = counted.groupBy("lang", "mark").agg(F.first("text").alias("text"))
+    most = min(max_letters, max_total // len(sizes))
+    share = {x: max(int((1 << 20) * min(0.875, most / max(1, size))), first + 1) for x, size, first in sizes}
+    keep = F.try_element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
+    marked = marked.withColumn("out", F.coalesce(F.col("draw") >= keep, F.lit(True))).drop("draw")
+    counted = marked.where(~F.col("out")).dropDuplicates(["lang", "mark"])
     got = gram_counts(counted.select("lang", "text"), order).toPandas()
     langs = sorted(x for x in got["lang"].unique() if x != "und")
     if not langs:
@@ -308,6 +328,10 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", z: fl
     score 0, rejected; so is every text if nothing was learnt. Ties between languages go to the first by name. Rejected texts
     with letters keep their best language.
     """
+    return shielded(docs, [text_col], [f.name for f in OUT], lambda d: _identify(d, model, text_col, z))
+
+
+def _identify(docs: DataFrame, model: Model | None, text_col: str, z: float | None) -> DataFrame:
     if model is None:
         return append_columns(docs, lambda b: {"lang_pred": ["und"] * b.num_rows, "score": [0.0] * b.num_rows, "cross_entropy": [None] * b.num_rows, "rejected": [True] * b.num_rows}, OUT)
     held = docs.sparkSession.sparkContext.broadcast(model)
