@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, discard, no_text, settle, without
+from .common import append_columns, discard, no_text, settle, shielded
 from .topics import Topics, vectors
 from .topics import fit as fit_topics
 
@@ -172,10 +172,16 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, pow
     the ``power``. Values without a target get none of the budget; targets of absent values are spread over the others.
     keep: the budget, as a share of all tokens. Null source or language is a value of its own. Documents without words have
     no tokens to weigh: weight 1, always selected. Repeated rows are drawn alike. raking_error: the largest gap that is left
-    between a target share and the raked one, over 1e-10 only if the targets can't be met together.
+    between a target share and the raked one, over 1e-10 only if the targets can't be met together. source and lang count in any
+    case of their names; columns of any other name may be there, those of the names of new ones are replaced.
     """
+    new = ["topic", "n_tokens", "weight", "probability", "selected", "raking_error"]
+    return shielded(docs, [id_col, text_col, "source", "lang"], new, lambda d: _mix(d, targets, power, keep, seed, id_col, text_col))
+
+
+def _mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None, power: float, keep: float, seed: str, id_col: str, text_col: str) -> DataFrame:
     model, cells = fit_topics(_named(docs, text_col), 8, ["__source", "__lang"])
-    marked = without(with_topics(docs, text_col=text_col, model=model), ["weight", "probability", "selected", "raking_error"])
+    marked = with_topics(docs, text_col=text_col, model=model)
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE)) if c in marked.columns else F.lit(NONE)
     keyed = marked.select("*", *[name(d).alias(f"__{d}") for d in DIMS])
     # Documents without words belong to no cell; their ids keep them apart in a shuffle.

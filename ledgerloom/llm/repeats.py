@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import Bitmap, append_columns, discard, no_text, pieces, settle, without
+from .common import append_columns, discard, no_text, pieces, settle, shielded, Bitmap
 
 U = np.uint64
 LAST = (1 << 63) - 1
@@ -97,8 +97,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes if a window of ``min_words`` words over it also starts in a document with a smaller id; the first
     document keeps its words, and repeats inside one document stay. Null text has no words; a null id counts as larger
     than any other, and null ids are equal to each other, as are repeated ids: neither takes words from the other.
-    Texts of fewer than ``min_words`` words lose nothing.
+    Texts of fewer than ``min_words`` words lose nothing. Columns of any name may be there; those of the names of new ones are
+    replaced.
     """
+    return shielded(docs, [id_col, text_col], [f.name for f in OUT], lambda d: _remove_repeats(d, id_col, text_col, min_words, gram))
+
+
+def _remove_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int, gram: int) -> DataFrame:
     if not 1 <= min_words - gram + 1 <= 62:
         raise ValueError("min_words must be at least gram, and at most 61 more")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), no_text(F.col(text_col)).alias("text"))
@@ -178,8 +183,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = found.withColumn("own", F.when(F.col("ord") > F.col("lo"), F.lit(-1).cast("long")).when(F.col("ord") == F.col("lo"), F.col("own"))).where("own <> 0")
     later = found.groupBy("ord", "mark").agg(F.collect_set(F.struct("a", "own")).alias("__later"))
 
-    base = without(docs, [f.name for f in OUT])
-    base = base.withColumn("__ord", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn("__mark", F.xxhash64(no_text(F.col(text_col))))
+    base = docs.withColumn("__ord", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn("__mark", F.xxhash64(no_text(F.col(text_col))))
     whole = base.join(later.withColumnsRenamed({"ord": "__ord", "mark": "__mark"}), ["__ord", "__mark"], "left")
 
     def cut(batch: pa.RecordBatch) -> dict[str, pa.Array]:
