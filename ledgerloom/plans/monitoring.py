@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from ..operators import quality as q
 from ..operators import staged
 from ..operators.stratification import stratify
 from ..streaming import streams
+from ..streaming.table_log import TableLog
 from .registry import query
 from .tape import KEY, PERIODS, tape, with_tape
 
@@ -212,6 +214,32 @@ def m8_delivery_modes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each(streams.read_deliveries(spark, f"{at}/out"), "current").union(each(streams.read_corrections(spark, f"{at}/out"), "revision"))
 
 
+@query(
+    """WITH e AS (SELECT event_id, CAST(ts AS DATE) AS as_of_date, event_id % 5 AS part FROM events),
+    k AS (SELECT *, CASE WHEN as_of_date = DATE '2024-01-05' THEN part = 0 WHEN as_of_date = DATE '2024-01-06' THEN FALSE WHEN day(as_of_date) <= 10 THEN part IN (2, 3) ELSE part IN (0, 1, 3) END AS present FROM e)
+    SELECT CAST(as_of_date AS VARCHAR) AS as_of_date, 'current' AS kind, COUNT(*) AS rows, CAST(SUM(event_id) AS BIGINT) AS ids FROM k WHERE present GROUP BY 1
+    UNION ALL SELECT CAST(as_of_date AS VARCHAR), 'revision of 1', COUNT(*), CAST(SUM(event_id) AS BIGINT) FROM k WHERE day(as_of_date) > 10 AND part = 4 GROUP BY 1"""
+)
+def m8_table_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six versions of a table of events: full, delta, a backfill of early days, delta, a correction, a full version of two days of which
+    one is empty; a checkpoint between them, and two versions that come twice."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.to_date("ts").alias("as_of_date"))
+    part = lambda n: e.where(F.col("event_id") % 5 == n)
+    log = TableLog(spark, _path(spark), "event_id long, as_of_date date", every=4)
+    early, day = F.dayofmonth("as_of_date") <= 10, lambda n: datetime.date(2024, 1, n)
+    log.commit(0, part(0), "full", (day(1), datetime.date(2030, 1, 1)))
+    log.commit(1, part(1), "delta")
+    log.commit(2, part(2).where(early), "backfill", (day(1), day(10)), supersedes=0)
+    log.commit(3, part(3), "delta")
+    log.commit(4, part(4).where(~early), "correction", supersedes=1)
+    log.commit(1, part(1), "delta")
+    log.commit(5, part(0).where(F.col("as_of_date") == F.lit(day(5))), "full", (day(5), day(6)))
+    log.commit(5, part(2), "full", (day(1), day(31)))
+    log.vacuum()
+    each = lambda df, kind: df.groupBy(F.col("as_of_date").cast("string").alias("as_of_date"), kind.alias("kind")).agg(F.count("*").alias("rows"), F.sum("event_id").alias("ids"))
+    return each(log.read(), F.lit("current")).union(each(log.corrections(), F.concat(F.lit("revision of "), F.col("supersedes").cast("string"))))
+
+
 @query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, COUNT(*) AS n FROM events WHERE CAST(ts AS DATE) < (SELECT MAX(CAST(ts AS DATE)) FROM events) GROUP BY 1, 2")
 def m9_windowed_totals_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily windows of event time in append mode; the last day stays open until its watermark passes."""
