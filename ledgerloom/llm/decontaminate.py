@@ -13,13 +13,14 @@ size, which only keep places out of the shuffles that a join would drop anyway.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textkernel as K
 from .common import Bitmap, append_columns, discard, no_text, pieces, settle, shielded, sized_rows
@@ -171,27 +172,32 @@ def _decontaminate(docs: DataFrame, items: DataFrame, text_col: str, item_id: st
     kept = Bitmap(hit.select(key(F.col("__mark"))), hit.count())
     keyed = docs.withColumn("__mark", F.md5(no_text(F.col(text_col)).cast("binary"))).withColumn("__key", key(F.col("__mark")))
 
-    def chosen(hits: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    yield batch.filter(pa.array(kept.may_have(batch.column("__key").to_numpy()) == hits))
-
-        return run
+    def may_hit(batch: pa.RecordBatch) -> np.ndarray:
+        return kept.may_have(batch.column("__key").to_numpy())
 
     def counted(batch: pa.RecordBatch) -> list[int]:
         return [int(x) for w in K.words(batch.column(text_col), K.LETTER_WORDS) for x in np.diff(w.ptr)]
 
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(may_hit(batch)))
+
+    def none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In one step, as each Python step of a task is a process of its own."""
+        for batch in batches:
+            for part in pieces(batch):
+                rest = part.filter(pa.array(~may_hit(part)))
+                n = rest.num_rows
+                new = [pa.array(counted(rest), pa.int64()), pa.array([[]] * n, to_arrow_type(OUT[1].dataType)), pa.array([[]] * n, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*rest.columns, *new], names=[*rest.schema.names, *(f.name for f in OUT)])
+
     def merge(batch: pa.RecordBatch) -> dict[str, list]:
         return {"n_words": counted(batch), "hits": [_merged(x) for x in batch.column("__spans").to_pylist()], "item_ids": [sorted(x or []) for x in batch.column("__ids").to_pylist()]}
 
-    def nothing(batch: pa.RecordBatch) -> dict[str, list]:
-        return {"n_words": counted(batch), "hits": [[]] * batch.num_rows, "item_ids": [[]] * batch.num_rows}
-
-    some, none = (keyed.mapInArrow(chosen(x), keyed.schema) for x in (True, False))
     # A merge join at every size, so that small and large tables run one plan.
-    met = append_columns(some.join(hit.hint("merge"), "__mark", "left"), merge, OUT).drop("__mark", "__key", "__spans", "__ids")
-    return append_columns(none, nothing, OUT).drop("__mark", "__key").unionByName(met)
+    met = append_columns(keyed.mapInArrow(some, keyed.schema).join(hit.hint("merge"), "__mark", "left"), merge, OUT).drop("__mark", "__key", "__spans", "__ids")
+    return keyed.mapInArrow(none, T.StructType([*keyed.schema.fields, *OUT])).drop("__mark", "__key").unionByName(met)
 
 
 def _merged(spans: list[dict] | None) -> list[dict]:
