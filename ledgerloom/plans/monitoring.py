@@ -14,6 +14,7 @@ from ..operators import quality as q
 from ..operators import staged
 from ..operators.stratification import stratify
 from ..streaming import streams
+from ..streaming.monitors import PROVIDER, monitor_stream
 from ..streaming.table_log import TableLog
 from .registry import query
 from .tape import KEY, PERIODS, tape, with_tape
@@ -131,6 +132,29 @@ def m4_stateful_cases_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run_to_table(streams.stateful_cases(stream, ["series"], 35.0, 25.0, 3), f"{at}/out", f"{at}/checkpoint")
 
 
+_DAILY = _FOLD.replace("points AS (", "points0 AS (", 1).replace(", p AS (", ", points AS (SELECT series, as_of_date, CAST(as_of_date AS VARCHAR) AS point_id, MAX(value) AS value FROM points0 GROUP BY 1, 2), p AS (", 1)
+_SAID = "CASE transition WHEN 'triggered' THEN 'condition_triggered' WHEN 'cooldown' THEN 'cooldown_active' WHEN 'open' THEN 'hysteresis_not_reset' WHEN 'missing' THEN 'insufficient_history' ELSE 'condition_clear' END"
+
+
+@query(f"SELECT series, as_of_date AS as_of, point_id, value, CASE transition WHEN 'open' THEN 'clear' ELSE transition END AS outcome, {_SAID} AS reason FROM ({_DAILY})")
+def m4_monitor_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greatest value of each user and day through a stream of many files, judged day by day with the case carried on."""
+    at = _path(spark)
+    rows = points(spark, sf_dir).groupBy("series", "as_of_date").agg(F.max("value").cast("double").alias("value"))
+    rows = rows.select("series", F.col("as_of_date").cast("date").alias("as_of_date"), F.col("as_of_date").cast("string").alias("point_id"), "value")
+    rows.repartition(6, "as_of_date").write.parquet(f"{at}/in")
+    # A last row of no user, far behind all others, ends their days.
+    spark.createDataFrame([(-1, datetime.date(2030, 1, 1), "end", 0.0)], rows.schema).write.mode("append").parquet(f"{at}/in")
+    was = spark.conf.get(PROVIDER[0])
+    spark.conf.set(*PROVIDER)
+    try:
+        tree = {"type": "absolute", "op": "gte", "bound": 35.0, "reset": 25.0}
+        out = monitor_stream(streams.file_stream(spark, f"{at}/in", rows.schema), tree, ["series"], 36_500, cooldown_days=3, delay_days=100)
+        return streams.run_to_table(out, f"{at}/out", f"{at}/checkpoint").where("series >= 0")
+    finally:
+        spark.conf.set(PROVIDER[0], was)
+
+
 _OCC = "occ AS (SELECT event_id % 400 AS occurrence_key, user_id AS dedupe_key, ts AS seen_at FROM events)"
 
 
