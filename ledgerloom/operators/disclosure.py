@@ -16,8 +16,11 @@ def differencing(candidates: DataFrame, releases: DataFrame, cell: list[str], k:
     of shared tokens, |a - b| = |a| - |a & b|, so no set of members is ever held.
     """
     size = candidates.groupBy(*cell).agg(F.count_distinct("token").alias("n"))
-    per = releases.groupBy(*cell, "release_id").agg(F.count_distinct("token").alias("m"), F.max("released_at").alias("at"))
-    last = per.withColumn("rank", F.row_number().over(Window.partitionBy(*cell).orderBy(F.col("at").desc(), "release_id"))).where(F.col("rank") <= recent)
+    # The last releases are found by their dates alone; tokens of older ones go no further.
+    dated = releases.groupBy(*cell, "release_id").agg(F.max("released_at").alias("at"))
+    chosen = dated.withColumn("rank", F.row_number().over(Window.partitionBy(*cell).orderBy(F.col("at").desc(), "release_id"))).where(F.col("rank") <= recent).select(*cell, "release_id")
+    releases = releases.join(chosen, [*cell, "release_id"], "left_semi")
+    last = releases.groupBy(*cell, "release_id").agg(F.count_distinct("token").alias("m"))
     both = candidates.select(*cell, "token").distinct().join(releases.select(*cell, "release_id", "token").distinct(), [*cell, "token"]).groupBy(*cell, "release_id").agg(F.count("*").alias("shared"))
     pairs = last.join(size, cell).join(both, [*cell, "release_id"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
     gap = lambda c: (F.col(c) - F.col("shared") > 0) & (F.col(c) - F.col("shared") < k)

@@ -21,14 +21,16 @@ def suppress_flat(groups: DataFrame, key: str, count: str, least: int) -> DataFr
     return marked.withColumn("suppressed", hidden).drop("__small", "__n", "__rank")
 
 
-def stratify(df: DataFrame, bucket: Column, balance: str = "outstanding_balance", averages: tuple[str, ...] = (), least: int = 1, by: tuple[str, ...] = ("as_of_date",)) -> DataFrame:
+def stratify(df: DataFrame, bucket: Column, balance: str = "outstanding_balance", averages: tuple[str, ...] = (), least: int = 1, by: tuple[str, ...] = ("as_of_date",), strict: bool = False) -> DataFrame:
     """Per bucket: loans, balance, share of the date's balance, and balance-weighted averages over rows that have the value.
 
-    Null balances are an error elsewhere (see ``balance_conflicts``); here they add nothing. Hidden cells are null but for
+    A null balance ends the run if ``strict``, else it adds nothing; ``balance_conflicts`` lists them. Hidden cells are null but for
     their bucket. One shuffle: partial sums by bucket; the share is a window over the buckets of a date.
     """
     if len(averages) > 5:
         raise ValueError("at most five averages")
+    if strict:
+        df = df.withColumn(balance, F.coalesce(F.col(balance), F.raise_error(F.lit(f"{balance} is required")).cast(df.schema[balance].dataType)))
     aggs = [F.count("*").alias("loans"), total(balance).alias("balance")]
     for a in averages:
         has = F.col(a).isNotNull()

@@ -59,14 +59,19 @@ def matrix(pairs: DataFrame, before: Column, after: Column, balance: str, labels
     observed to-labels of that pair. Eligible loans are all of the from-label; observed ones are there in the next period.
     """
     rows = pairs.select("to_date", before.alias("from_label"), F.when(F.col("found"), after).alias("to_label"), F.col(balance).alias("b"), "found")
-    cells = rows.where("found").groupBy("to_date", "from_label", "to_label").agg(total("b").alias("moved"), F.count("*").alias("loans"))
-    whole = rows.groupBy("to_date", "from_label").agg(total(F.when(F.col("found"), F.col("b"))).alias("denominator"), F.count("*").alias("eligible"), F.sum(F.col("found").cast("long")).alias("observed"))
+    # One aggregation of the pairs; what follows is a row a date, whose maps hold the labels, which are few.
+    cells = rows.groupBy("to_date", "from_label", "to_label", "found").agg(total("b").alias("moved"), F.count("*").alias("loans"))
+    seen = F.col("found")
+    moved = F.map_from_entries(F.collect_list(F.when(seen, F.struct("to_label", F.struct("moved", "loans").alias("c")))))
+    whole = cells.groupBy("to_date", "from_label").agg(total(F.when(seen, F.col("moved"))).alias("denominator"), F.sum("loans").alias("eligible"), F.sum(F.when(seen, F.col("loans")).otherwise(0)).alias("observed"), moved.alias("to"))
+    dates = whole.groupBy("to_date").agg(F.map_from_entries(F.collect_list(F.struct("from_label", F.struct("denominator", "eligible", "observed", "to").alias("w")))).alias("w"))
     if labels is None:
-        names = whole.select("to_date", F.col("from_label").alias("label")).union(cells.select("to_date", F.col("to_label").alias("label"))).distinct()
-        spine = names.withColumnRenamed("label", "from_label").join(names.withColumnRenamed("label", "to_label"), "to_date")
+        names = F.array_distinct(F.concat(F.map_keys("w"), F.flatten(F.transform(F.map_values("w"), lambda x: F.map_keys(x["to"])))))
+        spine = dates.withColumn("from_label", F.explode(names)).withColumn("to_label", F.explode(names))
     else:
-        spine = whole.select("to_date").distinct().crossJoin(F.broadcast(labels))
-    full = spine.join(whole, ["to_date", "from_label"], "left").join(cells, ["to_date", "from_label", "to_label"], "left")
+        spine = dates.crossJoin(F.broadcast(labels))
+    spine = spine.withColumn("w", F.try_element_at("w", F.col("from_label"))).withColumn("c", F.try_element_at("w.to", F.col("to_label")))
+    full = spine.select("to_date", "from_label", "to_label", "w.denominator", "w.eligible", "w.observed", "c.moved", "c.loans")
     return full.select(
         "to_date", "from_label", "to_label", nz("moved").cast("decimal(38,2)").alias("numerator"), nz("denominator").cast("decimal(38,2)").alias("denominator"), ratio(nz("moved"), "denominator").alias("value"), nz("loans").alias("loans"), nz("eligible").alias("eligible"), nz("observed").alias("observed")
     )
@@ -119,10 +124,12 @@ def loss_recovery(tape: DataFrame, flows: str = "period", exposure: str = "outst
     fill = (lambda c: nz(c)) if null_policy == "zero" else (lambda c: c)
     rows = tape.select("as_of_date", "period_idx", *KEY, fill(F.col("charge_off_amount")).alias("loss"), fill(F.col("recovery_amount")).alias("rec"), F.col(exposure).alias("exposure"), "default_date")
     if flows == "cumulative":
-        prior = rows.select(*KEY, (F.col("period_idx") + 1).alias("period_idx"), F.col("loss").alias("loss0"), F.col("rec").alias("rec0"), F.lit(True).alias("had"))
-        rows = rows.join(prior, [*KEY, "period_idx"], "left")
-        step = lambda now, was: F.col(now) - F.when(F.col("had").isNull(), 0).otherwise(F.col(was))
-        rows = rows.withColumn("loss", step("loss", "loss0")).withColumn("rec", step("rec", "rec0"))
+        # The loan's row before, if it is of the period before: one shuffle by loan, no join.
+        before = F.lag(F.struct("period_idx", "loss", "rec")).over(Window.partitionBy(*KEY).orderBy("period_idx"))
+        whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in KEY])
+        had = F.coalesce(whole & (F.col("was.period_idx") == F.col("period_idx") - 1), F.lit(False))
+        step = lambda c: F.col(c) - F.when(had, F.col(f"was.{c}")).otherwise(0)
+        rows = rows.withColumn("was", before).withColumns({"loss": step("loss"), "rec": step("rec")})
     lag = days_between("default_date", "as_of_date")
     dated = F.col("rec").isNotNull() & (F.col("rec") > 0) & F.col("default_date").isNotNull()
     all3 = F.col("loss").isNotNull() & F.col("rec").isNotNull() & F.col("exposure").isNotNull()
@@ -200,10 +207,10 @@ def period_change(tape: DataFrame, segment: str, balance: str = "outstanding_bal
     pairs = period_pairs(known, [balance], "full", list(dict.fromkeys([*KEY, segment])), periods=periods)
     change = nz(f"{balance}_next") - nz(balance)
     driver = F.when(~F.col("was"), "new_exposure").when(~F.col("found"), "exit").when(change > 0, "increase").when(change < 0, "decrease").otherwise("unchanged")
-    rows = pairs.groupBy("to_date", F.col(segment).alias("segment"), driver.alias("driver")).agg(total(change).alias("amount"), F.count("*").alias("loans"))
-    starts = pairs.groupBy("to_date", F.col(segment).alias("segment")).agg(total(nz(balance)).alias("start_balance"), total(change).alias("change"))
-    spine = starts.withColumn("driver", F.explode(F.array(*[F.lit(d) for d in DRIVERS])))
-    full = spine.join(rows, ["to_date", "segment", "driver"], "left")
+    rows = pairs.groupBy("to_date", F.col(segment).alias("segment"), driver.alias("driver")).agg(total(change).alias("amount"), F.count("*").alias("loans"), total(nz(balance)).alias("start"))
+    held = F.map_from_entries(F.collect_list(F.struct("driver", F.struct("amount", "loans").alias("c"))))
+    sums = rows.groupBy("to_date", "segment").agg(total("start").alias("start_balance"), total("amount").alias("change"), held.alias("held"))
+    full = sums.withColumn("driver", F.explode(F.array(*[F.lit(d) for d in DRIVERS]))).withColumn("c", F.try_element_at("held", F.col("driver"))).withColumns({"amount": F.col("c.amount"), "loans": F.col("c.loans")})
     return full.select("to_date", "segment", "driver", nz("amount").cast("decimal(38,2)").alias("amount"), nz("loans").alias("loans"), "change", ratio("change", "start_balance").alias("change_rate"), ratio(nz("amount"), "change").alias("driver_share"))
 
 

@@ -23,13 +23,26 @@ def conflicts(tape: DataFrame, key: list[str]) -> DataFrame:
     return moved.select(*key).union(twice.select(*key)).distinct()
 
 
-def vintage(tape: DataFrame, key: list[str], as_of: Column, grain: str = "month", max_mob: int = 12, dpd_threshold: int = 30) -> DataFrame:
+def refused(tape: DataFrame, key: list[str]) -> DataFrame:
+    """The tape, which ends the run where ``conflicts`` has a row: one window by loan beside the shuffle that follows anyway."""
+    loan = Window.partitionBy(*key)
+    moved = ~F.min("origination_date").over(loan).eqNullSafe(F.max("origination_date").over(loan)) | ~F.min("original_balance").over(loan).eqNullSafe(F.max("original_balance").over(loan))
+    content = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in sorted(tape.columns)])
+    day = Window.partitionBy(*key, "as_of_date")
+    twice = F.min("__row").over(day) != F.max("__row").over(day)
+    why = F.when(moved, "a loan's origination or original balance changes").when(twice, "a loan has two different rows of one date")
+    marked = tape.withColumn("__row", content).withColumn("__why", why)
+    return marked.where(F.when(F.col("__why").isNotNull(), F.raise_error(F.col("__why")).cast("boolean")).otherwise(F.lit(True))).select(*tape.columns)
+
+
+def vintage(tape: DataFrame, key: list[str], as_of: Column, grain: str = "month", max_mob: int = 12, dpd_threshold: int = 30, strict: bool = False) -> DataFrame:
     """A dense grid of cohorts and months on book: loans, observed loans, original and current balance, factor, net loss and
     rate, delinquent balance and rate. Points that can't have been seen by ``as_of`` or that nobody reported are null.
 
-    Denominators are fixed per cohort: every loan once, by its original balance. The grid is cohorts times months, so it is
+    ``strict``: contradictory rows end the run. Denominators are fixed per cohort: every loan once, by its original balance. The grid is cohorts times months, so it is
     joined on the aggregated side only.
     """
+    tape = refused(tape, key) if strict else tape
     seen = observations(tape, grain, max_mob, key)
     loans = tape.groupBy(*key).agg(F.min("origination_date").alias("o"), F.max("original_balance").alias("b"))
     cohorts = loans.groupBy(cohort("o", grain).alias("cohort")).agg(F.count("*").alias("loans"), total("b").alias("original"))

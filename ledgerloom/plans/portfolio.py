@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import filters
 from ..functions.scalars import Bin, category, cohort, entity_token, numeric_bin, ratio, row_token
 from ..operators import finalize, surveillance, vintage
-from ..operators.stratification import stratify, stratify_live, suppress_flat
+from ..operators.stratification import balance_conflicts, stratify, stratify_live, suppress_flat
 from .registry import ORACLE_SQL, query
 from .tape import KEY, PERIODS, TAPE_SQL, digest_sums_sql, periods, tape, with_tape, written
 
@@ -392,3 +392,28 @@ def f1_population_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_tape(f"SELECT as_of_date, COUNT(*) AS loans FROM tape WHERE as_of_date > DATE '{PERIODS[1]}' GROUP BY 1"))
 def f8_latest_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.latest_periods(tape(spark, sf_dir), 2).groupBy("as_of_date").agg(F.count("*").alias("loans"))
+
+
+@query(
+    with_tape("""
+    , bad AS (SELECT source_system, facility_id, loan_id, as_of_date, outstanding_balance, origination_date, original_balance + CASE WHEN CAST(loan_id AS BIGINT) % 53 = 0 AND period_idx = 2 THEN 1 ELSE 0 END AS original_balance FROM tape
+        UNION ALL SELECT source_system, facility_id, loan_id, as_of_date, outstanding_balance + 1, origination_date, original_balance FROM tape WHERE CAST(loan_id AS BIGINT) % 59 = 0 AND period_idx = 1 AND outstanding_balance IS NOT NULL),
+    moved AS (SELECT source_system, facility_id, loan_id FROM bad GROUP BY 1, 2, 3 HAVING COUNT(DISTINCT original_balance) > 1),
+    twice AS (SELECT source_system, facility_id, loan_id FROM bad GROUP BY 1, 2, 3, as_of_date HAVING COUNT(*) > 1)
+    SELECT 'stratification' AS analysis, COUNT(*) AS refused FROM bad WHERE outstanding_balance IS NULL UNION ALL SELECT 'vintage', COUNT(*) FROM (SELECT * FROM moved UNION SELECT * FROM twice)""")
+)
+def a1_a3_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the strict analyses refuse of a tape with missing balances, original balances that change and loans twice on a date."""
+    k, fields = F.col("loan_id").cast("long"), [*KEY, "as_of_date", "outstanding_balance", "origination_date", "original_balance", "period_idx"]
+    rows = tape(spark, sf_dir).select(*fields)
+    moved = rows.withColumn("original_balance", (F.col("original_balance") + F.when((k % 53 == 0) & (F.col("period_idx") == 2), 1).otherwise(0)).cast("decimal(20,2)"))
+    again = rows.where((k % 59 == 0) & (F.col("period_idx") == 1) & F.col("outstanding_balance").isNotNull()).withColumn("outstanding_balance", (F.col("outstanding_balance") + 1).cast("decimal(20,2)"))
+    bad = moved.unionByName(again)
+    counted = lambda name, df: df.agg(F.count("*").alias("refused")).select(F.lit(name).alias("analysis"), "refused")
+    return counted("stratification", balance_conflicts(bad)).union(counted("vintage", vintage.conflicts(bad, KEY)))
+
+
+@query(ORACLE_SQL["a3_snapshot_vintage"])
+def a3_strict_vintage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same figures where every row has passed the refusals."""
+    return vintage.vintage(tape(spark, sf_dir), KEY, F.lit(PERIODS[-1]).cast("date"), "quarter", 12, 30, strict=True)

@@ -242,3 +242,26 @@ def test_metric_pack_definitions(spark, sf):
     with pytest.raises(Exception, match="more than 1 cells"):
         surveillance.run_pack(rows, [{"id": "x", "metric": "default_incidence", "filter": NOT_EURO, "most_cells": 1}]).collect()
     rows.unpersist()
+
+
+def test_strict_analyses_refuse_what_conflicts_list(spark):
+    import datetime
+    from decimal import Decimal
+
+    from ledgerloom.operators.stratification import balance_conflicts, stratify
+    from ledgerloom.operators.vintage import conflicts, refused
+
+    day, old = datetime.date(2024, 1, 31), datetime.date(2023, 1, 1)
+    row = lambda key, at=day, b=5, o=9, start=old: (key, at, None if b is None else Decimal(b), Decimal(o), start)
+    df = lambda *rows: spark.createDataFrame(list(rows), "loan_id string, as_of_date date, outstanding_balance decimal(20,2), original_balance decimal(20,2), origination_date date")
+    good = df(row("a"), row("a"), row("b"), row("a", datetime.date(2024, 2, 29), 4))
+    assert refused(good, ["loan_id"]).count() == 4 and conflicts(good, ["loan_id"]).isEmpty()
+    assert stratify(good, F.col("loan_id"), strict=True).count() == 3
+    for bad in (df(row("a"), row("a", b=6)), df(row("a"), row("a", datetime.date(2024, 2, 29), o=8)), df(row("a"), row("a", datetime.date(2024, 2, 29), start=day))):
+        assert conflicts(bad, ["loan_id"]).count() == 1
+        with pytest.raises(Exception, match="a loan"):
+            refused(bad, ["loan_id"]).collect()
+    empty = df(row("a", b=None))
+    assert balance_conflicts(empty).count() == 1
+    with pytest.raises(Exception, match="is required"):
+        stratify(empty, F.col("loan_id"), strict=True).collect()
