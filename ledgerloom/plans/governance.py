@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import datetime
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import filters, mapping
 from ..functions.dictionary import ALIASES, FIELDS, REQUIRED, label
 from ..functions.scalars import infer_temporal, infer_unit, months_until, value_kind
 from ..operators import disclosure, history, matching
-from ..sources import footers, tapes
+from ..sources import footers, sqlite, tapes
 from .registry import query
 from .tape import KEY, PERIODS, digest_sums_sql, tape, views, with_tape
 
@@ -497,6 +499,38 @@ def s5_footer_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(bad, "part", "left").select("part", "rows", F.coalesce("problems", F.lit("")).alias("problems"))
 
 
+@query("""WITH o AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, CAST(o_orderdate AS VARCHAR)[:10] AS day FROM orders)
+    SELECT o_orderstatus, COUNT(*) AS rows, CAST(SUM(o_orderkey) AS BIGINT) AS keys, MAX(o_custkey) AS last_customer, (SELECT COUNT(*) FROM o WHERE day <= '1998-06-30') AS attested FROM o WHERE day <= '1998-06-30' AND o_orderkey >= 100 GROUP BY 1""")
+def s8_sqlite_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as SQLite files, one a task, read back by ranges of row ids up to a watermark, with their attestation."""
+    path = re.sub("^file:/*", "/", _folder(spark))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"), "o_orderstatus", F.substring(F.col("o_orderdate").cast("string"), 1, 10).alias("day"))
+
+    def store(batches):
+        import os
+        import sqlite3
+
+        import pyarrow as pa
+
+        os.makedirs(path, exist_ok=True)
+        name = f"{path}/{uuid.uuid4().hex}.db"
+        con = sqlite3.connect(name)
+        con.execute("CREATE TABLE orders (o_orderkey INTEGER, o_custkey TEXT, o_orderstatus TEXT, day TEXT)")
+        for batch in batches:
+            con.executemany("INSERT INTO orders VALUES (?, ?, ?, ?)", zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        con.commit()
+        con.close()
+        yield pa.RecordBatch.from_arrays([pa.array([name])], names=["path"])
+
+    # A task that ran twice has left a file that nobody names.
+    paths = [r.path for r in orders.repartition(4).mapInArrow(store, "path string").collect()]
+    kinds = T.StructType([T.StructField(c, T.LongType() if c == "o_orderkey" else T.StringType()) for c in orders.columns])
+    rows, attested = sqlite.sqlite_snapshot(spark, paths, "orders", kinds, ("day", "1998-06-30"))
+    total = attested.agg(F.sum("source_rows").alias("attested"))
+    found = rows.where("o_orderkey >= 100").groupBy("o_orderstatus").agg(F.count("*").alias("rows"), F.sum("o_orderkey").alias("keys"), F.max("o_custkey").alias("last_customer"))
+    return found.crossJoin(F.broadcast(total))
+
+
 @query(with_tape("SELECT CAST(as_of_date AS VARCHAR) AS as_of_date, COUNT(*) AS rows, CAST(SUM(CASE WHEN period_idx = 2 THEN 1 ELSE 0 END) AS BIGINT) AS off FROM tape GROUP BY 1"))
 def s6_partition_column_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files carry their date inside too; one folder was moved to another date, so that its rows are off."""
