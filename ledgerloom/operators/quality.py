@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DATE_TEXT, DECIMAL_TEXT, WIDE, blank_to_null, digest_sums, infer_temporal, infer_unit, ratio, value_kind
+from ..functions.tables import settled
 
 
 @dataclass
@@ -199,6 +204,68 @@ def top_values(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     return ranked.join(F.broadcast(whole), "field").select("field", "rank", "value", "n", ratio("n", "whole").alias("share"))
 
 
+#: Candidates that are sent to all tasks are at most so many.
+CANDIDATES = 200_000
+
+
+def _summaries(batches: Iterator[pa.RecordBatch], counters: int) -> Iterator[pa.RecordBatch]:
+    """Per task and field the values that may be frequent, counted from below (value, n), and (null, cells, how far a count may be short)."""
+    held: dict[str, Counter] = {}
+    cells: Counter = Counter()
+    short: Counter = Counter()
+
+    def pruned(name: str) -> Counter:
+        kept = held[name].most_common(counters + 1)
+        if len(kept) <= counters:
+            return held[name]
+        # All counts fall by the least that is dropped: what is dropped had no more than that.
+        least = kept[-1][1]
+        short[name] += least
+        return Counter({v: n - least for v, n in kept[:-1] if n > least})
+
+    for batch in batches:
+        for name, part in pa.TableGroupBy(pa.Table.from_batches([batch]), ["field", "value"]).aggregate([([], "count_all")]).to_pandas().groupby("field"):
+            found = held.setdefault(name, Counter())
+            found.update(dict(zip(part["value"], part["count_all"].tolist(), strict=True)))
+            cells[name] += int(part["count_all"].sum())
+            if len(found) > 2 * counters:
+                held[name] = pruned(name)
+    for name in held:
+        kept = pruned(name)
+        values = [None, *kept]
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(values)), pa.array(values, pa.string()), pa.array([cells[name], *kept.values()], pa.int64()), pa.array([short[name]] + [0] * len(kept), pa.int64())], names=["field", "value", "n", "short"])
+
+
+def frequent_values(df: DataFrame, columns: list[str], k: int, counters: int = 4096) -> DataFrame:
+    """``top_values`` in two scans, whose shuffles don't grow with the number of distinct values.
+
+    Each task keeps ``counters`` counters a field (Misra and Gries, 1982, as Space-Saving has them); merged, a count is short by at
+    most E, the sum of what the tasks fell by, and a value without a counter has at most E. If E is less than the k-th count from
+    below, only values whose count plus E reaches it can be among the first k, and these are counted exactly. Fields for which
+    that isn't so (no value is frequent) are counted in full.
+    """
+    run = lambda batches: _summaries(batches, counters)
+    merged = unpivot_text(df, columns).where("value is not null").select("field", "value").mapInArrow(run, "field string, value string, n long, short long")
+    merged = settled(merged.groupBy("field", "value").agg(F.sum("n").alias("n"), F.sum("short").alias("short")), "counters")
+    whole = merged.where("value is null").select("field", F.col("n").alias("whole"), F.col("short").alias("error"))
+    low = merged.where("value is not null").withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(F.col("n").desc(), "value")))
+    kth = low.groupBy("field").agg(F.coalesce(F.max(F.when(F.col("rank") == k, F.col("n"))), F.lit(0)).alias("least"))
+    fields = {r.field: r for r in whole.join(kth, "field", "left").select("field", "whole", "error", F.coalesce("least", F.lit(0)).alias("least")).collect()}
+    proven = [c for c in columns if c in fields and (fields[c].error < fields[c].least or not fields[c].error)]
+    candidates = low.join(whole, "field").join(kth, "field").where(F.col("field").isin(proven) & (F.col("n") + F.col("error") >= F.col("least"))).select("field", "value")
+    if candidates.count() > CANDIDATES:
+        proven = []
+    rest = [c for c in columns if c in fields and c not in proven]
+    counted = []
+    if proven:
+        counted.append(unpivot_text(df, proven).join(F.broadcast(candidates), ["field", "value"]).groupBy("field", "value").agg(F.count("*").alias("n")))
+    if rest or not proven:
+        counted.append(unpivot_text(df, rest or columns).where("value is not null").groupBy("field", "value").agg(F.count("*").alias("n")))
+    every = reduce(DataFrame.unionByName, [c.select("field", "value", "n") for c in counted])
+    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(F.col("n").desc(), "value"))).where(F.col("rank") <= k)
+    return ranked.join(F.broadcast(whole.select("field", "whole")), "field").select("field", "rank", "value", "n", ratio("n", "whole").alias("share"))
+
+
 def drift(before: DataFrame, after: DataFrame, null_share: float = 0.05) -> DataFrame:
     """Fields that are added, removed, of another type, or whose share of nulls moved by more than ``null_share``."""
     a = before.select("field", F.col("kinds").alias("k0"), F.col("null_share").alias("s0"), F.lit(1).alias("a"))

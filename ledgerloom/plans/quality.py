@@ -154,6 +154,22 @@ def q4_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.top_values(tape(spark, sf_dir).where("period_idx = 3"), COLUMNS, 4)
 
 
+_FREQUENT = ["industry_code", "risk_rating", "loan_id", "facility_id"]
+_LONG = " UNION ALL ".join(f"SELECT '{c}' AS field, NULLIF(TRIM({c}), '') AS value FROM tape" for c in _FREQUENT)
+
+
+@query(
+    with_tape(
+        f""", c AS (SELECT field, value, COUNT(*) AS n FROM ({_LONG}) WHERE value IS NOT NULL GROUP BY 1, 2), w AS (SELECT field, SUM(n) AS whole FROM c GROUP BY 1),
+    r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY field ORDER BY n DESC, value) AS rank FROM c)
+    SELECT field, rank, value, n, CAST(n AS DOUBLE) / CAST(whole AS DOUBLE) AS share FROM r JOIN w USING (field) WHERE rank <= 5"""
+    )
+)
+def q4_frequent_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most frequent values of four fields over all dates by bounded counters; loan ids, of which none is frequent, in full."""
+    return q.frequent_values(tape(spark, sf_dir), _FREQUENT, 5, counters=64)
+
+
 def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = tape(spark, sf_dir)
     before = rows.where("period_idx = 0")
