@@ -1,9 +1,11 @@
 """All metrics of a surveillance pack in one pass over the tape, finalised: availability, coverage, suppression and hashes.
 
-A loan's rows meet once, by a shuffle on the loan: each row gets the loan's row of the next and of the prior date. Then each row is
-expanded into the contributions that all definitions take from it, and these are summed by cell, combined before the second
-shuffle. Denominators, coverage and populations of a cell's group are sums over its cells, so nothing is read twice. A loan
-contributes to a cell once, so populations are counts, and their hashes sums of token digests: no set of tokens is ever held.
+A loan's rows meet once, by a shuffle on the loan: each row gets the loan's row of the next and of the prior date, and these rows are
+written to the shared folder. Each contribution of a definition is then a filter and a sum by cell over the few columns it names, all
+of them in one job; expanding each row into all its contributions made one method that the JVM does not compile, and a wide decimal
+sum for each digest. Denominators, coverage and populations of a cell's group are sums over its cells. A loan contributes to a cell
+once, so populations are counts, and their hashes sums of token digests: no set of tokens is ever held. Digests are summed as halves
+of 64 bits in longs within a task, as decimals over tasks.
 The summed cells are written to the shared folder, and whatever compares cells reads that small table.
 """
 
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,9 +24,6 @@ from ..functions.tables import settled
 
 KEY = ["source_system", "facility_id", "loan_id"]
 LANES = 4
-#: A contribution: definition, metric, date, group and label of the cell; whether eligible, observed, in the population and in the
-#: numerator's; amounts.
-PART = ["d", "m", "i", "g", "s", "el", "ob", "dn", "nm", "num", "den", "aux"]
 CELL = ["d", "m", "i", "g", "s"]
 #: Per metric its unit, the group in which one suppressed cell would be given away (with the cell's own group or
 #: not), and whether a zero denominator makes it unavailable.
@@ -74,6 +74,25 @@ class Definition:
         return self.params.get(name, default)
 
 
+class Part(NamedTuple):
+    """A contribution: the rows that make it; definition, metric, date, group and label of the cell; whether eligible, observed, in the
+    population and in the numerator's; amounts. What is the same for all rows is no column."""
+
+    when: Column
+    d: int
+    m: str
+    i: Column
+    g: Column | str
+    s: Column | str
+    el: Column | bool
+    ob: Column | bool
+    dn: Column | bool
+    nm: Column | bool
+    num: Column | int
+    den: Column | int
+    aux: Column | int
+
+
 class _Row:
     """What definition ``d`` sees of a row: its own fields, and those of the loan's next and prior row of its population."""
 
@@ -89,14 +108,10 @@ class _Row:
         c = F.col(f"{side}{name}").cast("decimal(38,2)")
         return F.coalesce(c, F.lit(0).cast("decimal(38,2)")) if self.of.null_policy == "zero" else c
 
-    def part(self, when: Column, metric: str, i: Column, g: Column | str = "", s: Column | str | None = "", el=True, ob=True, dn=True, nm=False, num=0, den=0, aux=0) -> Column:
-        text = lambda c: c if isinstance(c, Column) else F.lit(c).cast("string")
-        flag = lambda c: F.coalesce((c if isinstance(c, Column) else F.lit(c)), F.lit(False)).cast("long")
-        wide = lambda c: F.coalesce((c if isinstance(c, Column) else F.lit(c)).cast("decimal(38,2)"), F.lit(0).cast("decimal(38,2)"))
-        values = [F.lit(self.d), F.lit(metric), i.cast("int"), text(g), text(s), flag(el), flag(ob), flag(dn), flag(nm), wide(num), wide(den), wide(aux)]
-        return F.when(when, F.struct(*[v.alias(n) for v, n in zip(values, PART, strict=True)]))
+    def part(self, when: Column, metric: str, i: Column, g: Column | str = "", s: Column | str = "", el=True, ob=True, dn=True, nm=False, num=0, den=0, aux=0) -> Part:
+        return Part(when, self.d, metric, i, g, s, el, ob, dn, nm, num, den, aux)
 
-    def nothing_before(self, *metrics: str) -> list[Column]:
+    def nothing_before(self, *metrics: str) -> list[Part]:
         """A metric over pairs where there is one date only: the whole population, nothing observed."""
         return [self.part(self.here, m, F.lit(-1), ob=False) for m in metrics]
 
@@ -105,7 +120,7 @@ def _is(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def _transition(r: _Row) -> list[Column]:
+def _transition(r: _Row) -> list[Part]:
     """Share of each from-band's observed balance that went to each to-band."""
     if r.single:
         return r.nothing_before("transition_share")
@@ -120,7 +135,7 @@ def _outside(d: Definition) -> tuple[str, str]:
     return d.get("unknown", "Unknown"), d.get("other", "Outside")
 
 
-def _default(r: _Row) -> list[Column]:
+def _default(r: _Row) -> list[Part]:
     """Incidence of default between dates, and of ever having reached a number of days past due."""
     flag, dpd, balance = r.of.get("default_flag", "default_flag"), r.of.get("delinquency", "days_past_due"), r.amount(r.of.get("balance", "outstanding_balance"))
     weight = F.lit(1) if r.of.get("basis", "count") == "count" else balance
@@ -137,7 +152,7 @@ def _default(r: _Row) -> list[Column]:
     return out
 
 
-def _loss(r: _Row) -> list[Column]:
+def _loss(r: _Row) -> list[Part]:
     """Gross and net loss rates, recoveries and their lag; cumulative flows are differences from the prior date."""
     fields = [r.of.get("loss", "charge_off_amount"), r.of.get("recovery", "recovery_amount")]
     loss, rec = (r.amount(f) for f in fields)
@@ -159,7 +174,7 @@ def _loss(r: _Row) -> list[Column]:
     ]
 
 
-def _paydown(r: _Row) -> list[Column]:
+def _paydown(r: _Row) -> list[Part]:
     """Declines of balance, and what of them is beyond the scheduled principal; a loan that left is paid to zero."""
     if r.single:
         return r.nothing_before("paydown_rate", "prepayment_rate")
@@ -181,7 +196,7 @@ def _present(name: str) -> Column:
     return F.when(c != "", c)
 
 
-def _rating(r: _Row) -> list[Column]:
+def _rating(r: _Row) -> list[Part]:
     """Share of each rating's observed balance that went to each rating; loans without a rating at the start take no part."""
     if r.single:
         return r.nothing_before("rating_transition_share")
@@ -191,7 +206,7 @@ def _rating(r: _Row) -> list[Column]:
     return [r.part(r.starts & before.isNotNull(), "rating_transition_share", r.i + 1, before, after, ob=seen, dn=seen, nm=seen, num=F.when(seen, balance), den=F.when(seen, balance))]
 
 
-def _balance(r: _Row) -> list[Column]:
+def _balance(r: _Row) -> list[Part]:
     """Balance, its share of the original balance and of the commitment, by cohort if asked for."""
     now, original, limit = (r.amount(r.of.get(k, v)) for k, v in (("balance", "outstanding_balance"), ("original", "original_balance"), ("commitment", "commitment_amount")))
     grain = r.of.get("grain")
@@ -201,7 +216,7 @@ def _balance(r: _Row) -> list[Column]:
     return [held("outstanding_balance", F.lit(0)), held("remaining_balance_factor", original), held("utilization", limit)]
 
 
-def _maturity(r: _Row) -> list[Column]:
+def _maturity(r: _Row) -> list[Part]:
     """Share of balance by the first window that the months to maturity don't pass."""
     date, balance = r.of.get("maturity", "maturity_date"), r.amount(r.of.get("balance", "outstanding_balance"))
     months = months_until("as_of_date", date)
@@ -212,7 +227,7 @@ def _maturity(r: _Row) -> list[Column]:
     return [r.part(r.here, "maturity_balance_share", r.i, "", F.when(seen, label.otherwise("Beyond")), ob=seen, dn=seen, nm=seen, num=F.when(seen, balance), den=F.when(seen, balance))]
 
 
-def _concentration(r: _Row) -> list[Column]:
+def _concentration(r: _Row) -> list[Part]:
     """Balance by category; ids only through their resolved tokens."""
     name, balance = r.of.params["field"], r.amount(r.of.get("balance", "outstanding_balance"))
     if name in ("borrower_id", "account_debtor_id") and not r.of.get("resolved"):
@@ -228,7 +243,7 @@ def _concentration(r: _Row) -> list[Column]:
     return [r.part(r.here, "concentration_share", r.i, "", F.when(seen, label), ob=seen, dn=seen, nm=seen, num=F.when(seen, balance), den=F.when(seen, balance))]
 
 
-def _comparison(r: _Row) -> list[Column]:
+def _comparison(r: _Row) -> list[Part]:
     """Change of balance by segment and driver. A loan that changes its segment leaves one and is new in the other."""
     if r.single:
         return r.nothing_before("portfolio_change_amount")
@@ -261,6 +276,11 @@ FAMILIES = {
 }
 
 
+#: Parameters whose fields are looked at in a loan's next, and in its prior row.
+NEXT = {"delinquency", "balance", "default_flag", "scheduled", "rating", "field"}
+PRIOR = {"loss", "recovery", "balance", "field"}
+
+
 def _check(definitions: list[Definition]) -> None:
     if len({d.id for d in definitions}) != len(definitions):
         raise ValueError("one version of a definition may run")
@@ -275,9 +295,11 @@ def _check(definitions: list[Definition]) -> None:
 
 
 def contributions(tape: DataFrame, definitions: list[Definition], dates: list) -> DataFrame:
-    """Rows (PART, lanes) of what each row of the tape adds to each cell. A loan of two rows on one date, or without an id, ends the run."""
+    """The rows that contributions are taken from: the tape's, with what definitions see of the loan's rows of the next (``nxt``) and prior date (``prv``) and the digest of its
+    token, as four longs. A loan of two rows on one date, or without an id, ends the run."""
     spark, n = tape.sparkSession, len(dates)
-    fields = {v for d in definitions for k, default in FAMILIES[d.family][1].items() if (v := d.get(k, default))}
+    named = lambda kinds: {v for d in definitions for k, default in FAMILIES[d.family][1].items() if k in kinds and (v := d.get(k, default))}
+    fields = named({k for _, kinds in FAMILIES.values() for k in kinds})
     names = sorted((fields | {"as_of_date"}) - set(KEY))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     loan = F.coalesce(F.col("loan_id").cast("string"), F.raise_error(F.lit("loan_id is required")).cast("string"))
@@ -285,13 +307,12 @@ def contributions(tape: DataFrame, definitions: list[Definition], dates: list) -
     index = F.broadcast(spark.createDataFrame([(x, i) for i, x in enumerate(dates)], "as_of_date date, i int"))
     rows = tape.join(index, "as_of_date")
     flags = [((population_filter(d.population) if d.population else F.lit(True)) & (F.col("i") >= s)).alias(f"in_{k}") for k, (d, s) in enumerate(zip(definitions, starts, strict=True))]
-    # The digests of the population's tokens, as four 64-bit numbers.
     token = row_token(*KEY)
-    lanes = [F.conv(F.substring("token", 16 * j + 1, 16), 16, 10).cast("decimal(38,0)").alias(f"t{j}") for j in range(LANES)]
+    lanes = [F.conv(F.substring("token", 16 * j + 1, 16), 16, -10).cast("long").alias(f"t{j}") for j in range(LANES)]
     rows = rows.select(text("source_system").alias("source_system"), text("facility_id").alias("facility_id"), loan.alias("loan_id"), "i", *names, *flags, token.alias("token"))
     by = Window.partitionBy(*KEY).orderBy("i")
-    near = F.struct("i", *names, *[x for x in KEY if x in fields], *[f"in_{k}" for k in range(len(definitions))])
-    rows = rows.withColumns({"nxt": F.lead(near).over(by), "prv": F.lag(near).over(by)})
+    near = lambda kinds: F.struct("i", *sorted(named(kinds)), *[f"in_{k}" for k in range(len(definitions))])
+    rows = rows.withColumns({"nxt": F.lead(near(NEXT)).over(by), "prv": F.lag(near(PRIOR)).over(by)})
     so_far = by.rowsBetween(Window.unboundedPreceding, 0)
     for k, d in enumerate(definitions):
         if d.family == "default_ever":
@@ -299,8 +320,13 @@ def contributions(tape: DataFrame, definitions: list[Definition], dates: list) -
             rows = rows.withColumns({f"worst_{k}": F.max(F.when(mine, dpd)).over(so_far), f"gap_{k}": F.coalesce(F.max(mine & dpd.isNull()).over(so_far), F.lit(False))})
     twice = F.col("prv.i") == F.col("i")
     rows = rows.withColumn("i", F.when(_is(twice), F.raise_error(F.lit("a loan has two rows on one date")).cast("int")).otherwise(F.col("i")))
-    parts = [p for k, (d, s) in enumerate(zip(definitions, starts, strict=True)) for p in FAMILIES[d.family][0](_Row(k, d, s, n - 1))]
-    return rows.select(F.explode(F.array_compact(F.array(*parts))).alias("p"), *lanes).select("p.*", *[f"t{j}" for j in range(LANES)])
+    held = [c for c in rows.columns if c != "token" and (c not in KEY or c in fields or c == "source_system")]
+    return rows.select(*held, *lanes)
+
+
+def parts(definitions: list[Definition], n: int) -> list[Part]:
+    """The contributions of all definitions to ``n`` dates."""
+    return [p for k, d in enumerate(definitions) for p in FAMILIES[d.family][0](_Row(k, d, max(0, n - d.latest), n - 1))]
 
 
 def _spine(spark, definitions: list[Definition], n: int) -> DataFrame:
@@ -350,11 +376,31 @@ def _nothing(rows: DataFrame) -> DataFrame:
 
 def summed_cells(tape: DataFrame, definitions: list[Definition], dates: list) -> DataFrame:
     """Sums by cell; a null ``s`` holds what belongs to the group alone."""
-    rows = contributions(tape, definitions, dates)
-    none = F.lit(0).cast("decimal(38,0)")
-    lanes = [F.when(F.col(flag) > 0, F.col(f"t{j}")).otherwise(none).alias(f"{side}{j}") for side, flag in (("d", "dn"), ("n", "nm")) for j in range(LANES)]
-    rows = rows.select(*CELL, "el", "ob", "dn", "nm", (F.col("dn") * F.col("nm")).alias("both"), "num", "den", "aux", *lanes)
-    return _sum(rows.unionByName(_nothing(_spine(tape.sparkSession, definitions, len(dates)))), CELL)
+    rows = settled(contributions(tape, definitions, dates), "rows")
+    halves = [f"{half} AS {side}{j}" for j in range(LANES) for side, half in (("h", f"shiftrightunsigned(t{j}, 32)"), ("l", f"t{j} & 4294967295L"))]
+    rows = rows.selectExpr(*[c for c in rows.columns if c not in {f"t{j}" for j in range(LANES)}], *halves, "spark_partition_id() AS task")
+    sums = [part_sums(rows, p) for p in parts(definitions, len(dates))]
+    return _sum(reduce(DataFrame.unionByName, sums, _nothing(_spine(tape.sparkSession, definitions, len(dates)))), CELL)
+
+
+def part_sums(rows: DataFrame, p: Part) -> DataFrame:
+    """Sums of one contribution by cell and task. A task's sums of 32-bit halves stay far below the end of a long."""
+    given = p._asdict()
+    columns = {k: c for k, c in given.items() if isinstance(c, Column) and k != "when"}
+    amounts, flags = [k for k in ("num", "den", "aux") if k in columns], ("el", "ob", "dn", "nm")
+    each = rows.where(p.when).select("task", *[f"{side}{j}" for j in range(LANES) for side in "hl"], *[c.alias(k) for k, c in columns.items()])
+    # What is no column is the same for all rows; where one population is the other, its digests are summed once.
+    of = {k: f"CAST(COALESCE({k}, FALSE) AS BIGINT)" if k in columns else f"{int(given[k])}L" for k in flags}
+    sides = ["dn"] if p.nm is p.dn or p.nm is False else ["dn", "nm"]
+    sums = {k: of[k] for k in flags} | {"n": "1L", "both": f"{of['dn']} * {of['nm']}"} | {k: f"CAST({k} AS DECIMAL(38,2))" for k in amounts}
+    sums |= {f"{side}_{half}{j}": f"{half}{j} * {of[side]}" for side in sides for half in "hl" for j in range(LANES)}
+    by = [k for k in ("i", "g", "s") if k in columns]
+    found = each.groupBy(*by, "task").agg(*[F.expr(f"SUM({v}) AS {k}") for k, v in sums.items()])
+    whole = lambda side, j: f"CAST({side}_h{j} AS DECIMAL(20,0)) * CAST(4294967296 AS DECIMAL(10,0)) + CAST({side}_l{j} AS DECIMAL(20,0))"
+    out = {k: k for k in (*flags, "both")} | {k: f"COALESCE({k}, 0)" if k in amounts else f"n * {given[k]}" for k in ("num", "den", "aux")}
+    out |= {f"d{j}": whole("dn", j) for j in range(LANES)} | {f"n{j}": "0" if p.nm is False else whole(sides[-1], j) for j in range(LANES)}
+    place = [k if k in columns else f"'{given[k]}' AS {k}" for k in ("g", "s")]
+    return found.selectExpr(f"{p.d} AS d", f"'{p.m}' AS m", "CAST(i AS INT) AS i", *place, *[f"CAST({out[k]} AS {kind}) AS {k}" for k, kind in _KINDS.items()])
 
 
 def _completed(cells: DataFrame, definitions: list[Definition]) -> DataFrame:

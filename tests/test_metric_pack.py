@@ -116,3 +116,10 @@ def test_all_families_are_one_scan_and_two_shuffles(spark, tape, tmp_path):
     pack = [Definition("a", "rating_migration"), Definition("b", "default_ever", {"thresholds": [30]}), Definition("c", "loss_recovery"), Definition("d", "period_comparison")]
     plan = contributions(rows, pack, [D1, D2, D3])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_rows_are_not_expanded_into_contributions(spark, tape):
+    """One method for all contributions of a row is too long to be compiled, and a wide decimal a digest is slow."""
+    rows = contributions(tape, [Definition("c", "period_comparison", {"field": "industry_code"}), Definition("l", "loss_recovery")], [D1, D2, D3])
+    assert "Generate" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert dict(rows.dtypes)["t0"] == "bigint" and rows.count() == tape.count()
