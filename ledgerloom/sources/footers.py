@@ -71,7 +71,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             scheme, _, rest = path.partition(":")
             try:
-                store, at = pa.fs.FileSystem.from_uri(f"{scheme}:///{rest.lstrip('/')}" if scheme == "file" else path)
+                store, at = (pa.fs.LocalFileSystem(), f"/{rest.lstrip('/')}") if scheme == "file" else pa.fs.FileSystem.from_uri(path)
                 with store.open_input_file(at) as f:
                     meta = pq.ParquetFile(f).metadata
                 columns = [meta.schema.column(i) for i in range(meta.num_columns)]
