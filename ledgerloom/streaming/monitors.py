@@ -1,6 +1,8 @@
 """Monitors of any condition over streams: a bounded history per series, timers for days that end and for silence.
 
 A day of a series is judged once the watermark has passed it, so the order in which points arrive within the delay doesn't matter.
+A series has a timer for its first open day only, which judges all days that are over by then: each call of state or timers is a round
+trip to the JVM.
 State is the last points that the condition can look back to, the points of days that are still open, and the case; a series that
 was silent long enough is reported stale once, and forgotten after ``forget_days``.
 """
@@ -78,23 +80,28 @@ class Monitor(StatefulProcessor):
         pass
 
     def _held(self) -> dict:
-        return json.loads(self.case.get()[0]) if self.case.exists() else {"past": [], "open_days": {}, "is_open": False, "triggered": None, "last": None, "since": None, "told": False}
+        return json.loads(self.case.get()[0]) if self.case.exists() else {"past": [], "open_days": {}, "is_open": False, "triggered": None, "last": None, "since": None, "told": False, "timer": None}
 
-    def _timer(self, day: int) -> None:
-        self.handle.registerTimer(day * DAY_MS)
+    def _timer(self, held: dict, day: int) -> None:
+        """Wake on that day, unless an earlier timer stands; that one sets the next."""
+        if held.get("timer") is None or day < held["timer"]:
+            held["timer"] = day
+            self.handle.registerTimer(day * DAY_MS)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self._held()
+        held, wake = self._held(), []
         for batch in rows:
-            for at, point, value in zip(batch["as_of"], batch["point_id"], batch["value"], strict=True):
-                day = int(pd.Timestamp(at).value // 1_000_000 // DAY_MS)
+            days = batch["as_of"].to_numpy().astype("datetime64[D]").astype("int64").tolist()
+            for day, point, value in zip(days, batch["point_id"].tolist(), batch["value"].tolist(), strict=True):
                 if pd.isna(point):  # a scope that is to be watched
                     if held["last"] is None and held["since"] is None:
                         held["since"] = day
-                        self._timer(day + self.stale_days + 2)
+                        wake.append(day + self.stale_days + 2)
                 elif held["last"] is None or day > held["last"]:
                     held["open_days"].setdefault(str(day), []).append([str(point), None if pd.isna(value) else float(value)])
-                    self._timer(day + 1)
+                    wake.append(day + 1)
+        if wake:
+            self._timer(held, min(wake))
         self.case.update((json.dumps(held),))
         yield from ()
 
@@ -135,6 +142,8 @@ class Monitor(StatefulProcessor):
             return
         # Days before this one are over.
         held, now, out = self._held(), timerValues.getCurrentWatermarkInMs() // DAY_MS, []
+        if held.get("timer") is not None and held["timer"] <= expiredTimerInfo.getExpiryTimeInMs() // DAY_MS:
+            held["timer"] = None
         for day in sorted(int(d) for d in held["open_days"] if int(d) < now):
             if held["last"] is not None or held["since"] is not None:
                 out += self._quiet(key, held, day)
@@ -145,9 +154,11 @@ class Monitor(StatefulProcessor):
             if now > silent + self.forget_days:
                 self.case.clear()
             else:
-                self._timer(silent + 1 if not held["told"] else silent + self.forget_days + 1)
+                self._timer(held, silent + 1 if not held["told"] else silent + self.forget_days + 1)
                 self.case.update((json.dumps(held),))
         else:
+            if held["open_days"]:
+                self._timer(held, min(int(d) for d in held["open_days"]) + 1)
             self.case.update((json.dumps(held),))
         if out:
             yield pd.DataFrame(out)

@@ -24,3 +24,41 @@ def test_a_status_that_the_first_task_has_not_leaves_no_empty_file(spark, tmp_pa
     got = {r.part: (r["rows"], r.problems) for r in governance.s5_footer_scan(spark, str(tmp_path)).collect()}
     price = "missing o_totalprice decimal(20,2) optional,unexpected o_totalprice decimal(18,2) optional"
     assert got == {"O": (5000, ""), "F": (1, "unexpected note string required"), "P": (2, price), None: (1, ""), "a+b /%": (1, "")}
+
+
+class _Handle:
+    def __init__(self):
+        self.timers, self.held = [], None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, held):
+        self.held = held
+
+    def registerTimer(self, ms):
+        self.timers.append(ms // monitors.DAY_MS)
+
+
+class _At:
+    def __init__(self, day):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: day * monitors.DAY_MS
+
+
+def test_a_series_of_many_days_has_one_timer():
+    import pandas as pd
+
+    monitor, handle = monitors.Monitor(["s"], {"type": "absolute", "op": "gte", "bound": 5.0}, 1000, "alert", 0, 1), _Handle()
+    monitor.init(handle)
+    rows = pd.DataFrame({"as_of": pd.to_datetime([f"1970-02-{d:02}" for d in range(20, 0, -1)]), "point_id": [str(d) for d in range(20)], "value": [float(d) for d in range(20)]})
+    list(monitor.handleInputRows((1,), iter([rows]), None))
+    assert handle.timers == [32]
+    out = pd.concat(list(monitor.handleExpiredTimer((1,), _At(41), _At(32))))
+    assert len(out) == 10 and out["as_of"].max() == datetime.date(1970, 2, 10)
+    assert handle.timers == [32, 42]  # the first day that is still open
