@@ -62,3 +62,10 @@ def test_a_series_of_many_days_has_one_timer():
     out = pd.concat(list(monitor.handleExpiredTimer((1,), _At(41), _At(32))))
     assert len(out) == 10 and out["as_of"].max() == datetime.date(1970, 2, 10)
     assert handle.timers == [32, 42]  # the first day that is still open
+
+
+def test_stages_read_what_was_delivered(spark, sf, monkeypatch):
+    runs = []
+    monkeypatch.setattr(staged, "run_stages", lambda spark, at, stages: runs.append(stages) or spark.createDataFrame([("x", "done", 1)], "stage string, status string, rows long"))
+    monitoring.m10_staged_run(spark, sf)
+    assert len(runs) == 2 and all("lineitem" not in plan(stages[0].run({})) for stages in runs)
