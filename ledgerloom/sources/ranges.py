@@ -10,7 +10,8 @@ another one, at most two pieces a range, is put together by file.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +95,7 @@ def _rows(found: Iterator[tuple], names: list[str], kinds: list[pa.DataType]) ->
     for row in found:
         held.append(row)
         size += 64 + len(row[-1])
-        if size > 8 << 20:
+        if size > 1 << 20:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
             held, size = [], 0
     if held:
@@ -104,14 +105,26 @@ def _rows(found: Iterator[tuple], names: list[str], kinds: list[pa.DataType]) ->
 _NAMES, _KINDS = ["file", "block", "place", "record"], [pa.string(), pa.int64(), pa.int64(), pa.string()]
 
 
-def records(spark: SparkSession, path: str, sep: str, escapes: bool, closing: str | None = None) -> DataFrame:
-    """(file, block, place, record): records without their separator; the first of a file has block and place 0. Two scans by all
-    tasks; the table of ranges (some hundred bytes for each 128 MB) is sent to all."""
+class Shape(NamedTuple):
+    """What a task makes of its records (file, block, place, record) in the Python worker that cut them: rows, and their columns."""
+
+    each: Callable[[Iterator[tuple]], Iterator[tuple]]
+    names: list[str]
+    kinds: list[pa.DataType]
+    ddl: str
+
+
+_AS_CUT = Shape(lambda found: found, _NAMES, _KINDS, _RECORD)
+
+
+def records(spark: SparkSession, path: str, sep: str, escapes: bool, closing: str | None = None, shape: Shape = _AS_CUT) -> DataFrame:
+    """(file, block, place, record), or what ``shape`` makes of it: records without their separator; the first of a file has block and
+    place 0. Two scans by all tasks; the table of ranges (some hundred bytes for each 128 MB) is sent to all."""
     begin = settled(starts(spark, path, sep, escapes, closing), "ranges")
     rows = _ranges(spark, path, sep).join(F.broadcast(begin), ["file", "block"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _rows(((f, b, p, t) for f, b, k, p, t in _walk(batches, sep, escapes) if k == "whole"), _NAMES, _KINDS)
+        yield from _rows(shape.each((f, b, p, t) for f, b, k, p, t in _walk(batches, sep, escapes) if k == "whole"), shape.names, shape.kinds)
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _rows(((f, b, p, k, t) for f, b, k, p, t in _walk(batches, sep, escapes) if k != "whole"), ["file", "block", "place", "kind", "record"], [*_KINDS[:3], pa.string(), pa.string()])
@@ -128,13 +141,13 @@ def records(spark: SparkSession, path: str, sep: str, escapes: bool, closing: st
                         if kind == "head":
                             yield *begun, sep.join(held)
 
-        yield from _rows(each(), _NAMES, _KINDS)
+        yield from _rows(shape.each(each()), shape.names, shape.kinds)
 
     pieces = rows.mapInArrow(ends, "file string, block long, place long, kind string, record string")
     # Ranges without an end lie between a tail and a head; a range's head comes before its tail.
     order = F.when(F.col("kind") == "tail", 1).otherwise(0)
-    across = pieces.repartition("file").sortWithinPartitions("file", "block", order).mapInArrow(stitch, _RECORD)
-    return rows.mapInArrow(whole, _RECORD).union(across)
+    across = pieces.repartition("file").sortWithinPartitions("file", "block", order).mapInArrow(stitch, shape.ddl)
+    return rows.mapInArrow(whole, shape.ddl).union(across)
 
 
 def csv_records(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -143,27 +156,23 @@ def csv_records(spark: SparkSession, path: str, columns: list[str]) -> DataFrame
     header = ",".join('"' + c.replace('"', '""') + '"' for c in columns)
     names = {header, ",".join(columns)}
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple]:
-            for batch in batches:
-                for block, place, record in zip(*(batch.column(c).to_pylist() for c in ("block", "place", "record")), strict=True):
-                    record = record[:-1] if record.endswith("\r") else record
-                    first = block == 0 and place == 0
-                    for row in _split(record) if "\r" in record else (record,):
-                        if not row and len(columns) > 1:
-                            raise ValueError("an empty line")
-                        if '"' in row and not _ROW.fullmatch(row):
-                            raise ValueError("a quote must begin and end a cell")
-                        if first:
-                            if row.removeprefix("﻿") not in names:
-                                raise ValueError("header differs")
-                            first = False
-                        else:
-                            yield (row,)
-
-        yield from _rows(each(), ["record"], [pa.string()])
-
-    return records(spark, path, "\n", False).mapInArrow(check, "record string")
+    def check(found: Iterator[tuple]) -> Iterator[tuple]:
+        for _, block, place, record in found:
+            record = record[:-1] if record.endswith("\r") else record
+            first = block == 0 and place == 0
+            for row in _split(record) if "\r" in record else (record,):
+                if not row and len(columns) > 1:
+                    raise ValueError("an empty line")
+                if '"' in row and not _ROW.fullmatch(row):
+                    raise ValueError("a quote must begin and end a cell")
+                if first:
+                    if row.removeprefix("﻿") not in names:
+                        raise ValueError("header differs")
+                    first = False
+                else:
+                    yield (row,)
+
+    return records(spark, path, "\n", False, shape=Shape(check, ["record"], [pa.string()], "record string"))
 
 
 def _split(record: str) -> Iterator[str]:

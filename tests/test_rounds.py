@@ -69,3 +69,10 @@ def test_stages_read_what_was_delivered(spark, sf, monkeypatch):
     monkeypatch.setattr(staged, "run_stages", lambda spark, at, stages: runs.append(stages) or spark.createDataFrame([("x", "done", 1)], "stage string, status string, rows long"))
     monitoring.m10_staged_run(spark, sf)
     assert len(runs) == 2 and all("lineitem" not in plan(stages[0].run({})) for stages in runs)
+
+
+def test_a_task_cuts_and_checks_records_in_one_worker(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n"1\n2",x\n3,y\n')
+    rows = ranges.csv_records(spark, str(tmp_path), ["a", "b"])
+    assert sorted(r[0] for r in rows.collect()) == ['"1\n2",x', "3,y"]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 3  # whole records, pieces, pieces put together
