@@ -52,7 +52,8 @@ def rates_as_of(rows: DataFrame, rates: DataFrame, base: str = "currency", at: s
     cutoffs) times that logarithm, in ranges that split any key.
     """
     keys = [base, *same]
-    asked = rows.select(*keys, at, known).distinct()
+    # Ranges are sampled before they are dealt, and what is asked is looked at by rank and by block: found once.
+    asked = settled(rows.select(*keys, at, known).distinct(), "asked")
     quotes = rates.withColumnRenamed("base", base).where(F.col(base).isNotNull() & F.col("effective_on").isNotNull() & F.col("received_at").isNotNull())
     time = lambda df, c, mark: df.select(*keys, F.col(c).alias("t"), F.lit(mark).alias("late")).distinct()
     ranked = running(time(quotes, "received_at", 0).union(time(asked, known, 1)), keys, [("t", True), ("late", True)], {"c": ("sum", 1 - F.col("late"))}, "ranks")

@@ -76,3 +76,19 @@ def test_a_task_cuts_and_checks_records_in_one_worker(spark, tmp_path):
     rows = ranges.csv_records(spark, str(tmp_path), ["a", "b"])
     assert sorted(r[0] for r in rows.collect()) == ['"1\n2",x', "3,y"]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 3  # whole records, pieces, pieces put together
+
+
+@pytest.mark.parametrize("same", [(), ("kind",)])
+def test_rows_with_rates_are_found_twice(spark, same):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    day = datetime.date(2024, 1, 1)
+    rows = spark.createDataFrame([("EUR", day + datetime.timedelta(i % 7), day + datetime.timedelta(i % 9 + 3), "x") for i in range(60)], "currency string, as_of_date date, known_at date, kind string").mapInArrow(count, "currency string, as_of_date date, known_at date, kind string")
+    rates = spark.createDataFrame([("EUR", day + datetime.timedelta(i), day + datetime.timedelta(i + 2), float(i), str(i), "x") for i in range(8)], "base string, effective_on date, received_at date, rate double, rate_hash string, kind string")
+    assert history.rates_as_of(rows, rates, same=same).where("rate is not null").count() > 0
+    assert seen.value == 120  # what is asked, and the rows themselves
