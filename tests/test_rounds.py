@@ -92,3 +92,7 @@ def test_rows_with_rates_are_found_twice(spark, same):
     rates = spark.createDataFrame([("EUR", day + datetime.timedelta(i), day + datetime.timedelta(i + 2), float(i), str(i), "x") for i in range(8)], "base string, effective_on date, received_at date, rate double, rate_hash string, kind string")
     assert history.rates_as_of(rows, rates, same=same).where("rate is not null").count() > 0
     assert seen.value == 120  # what is asked, and the rows themselves
+
+
+def test_disclosure_reads_one_table_of_members(spark, sf):
+    assert "lineitem" not in plan(governance.j18_m11_disclosure(spark, sf))
