@@ -24,15 +24,19 @@ def conflicts(tape: DataFrame, key: list[str]) -> DataFrame:
 
 
 def refused(tape: DataFrame, key: list[str]) -> DataFrame:
-    """The tape, which ends the run where ``conflicts`` has a row: one window by loan beside the shuffle that follows anyway."""
+    """The tape, which ends the run where ``conflicts`` has a row. Adds of each row its month on book (``mob``), whether it is the loan's
+    latest of that month (``newest``) and of all (``only``), and the loan's first origination and greatest original balance (``o``,
+    ``b``): one shuffle and one sort by loan and date serve all of it. Months go with dates, as a loan has one origination here."""
     loan = Window.partitionBy(*key)
+    back = loan.orderBy(F.col("as_of_date").desc())
     moved = ~F.min("origination_date").over(loan).eqNullSafe(F.max("origination_date").over(loan)) | ~F.min("original_balance").over(loan).eqNullSafe(F.max("original_balance").over(loan))
     content = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in sorted(tape.columns)])
-    day = Window.partitionBy(*key, "as_of_date")
-    twice = F.min("__row").over(day) != F.max("__row").over(day)
+    twice = F.lag("as_of_date").over(back).eqNullSafe(F.col("as_of_date")) & (F.lag("__row").over(back) != F.col("__row"))
+    later = F.last("mob", True).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    more = {"newest": ~later.eqNullSafe(F.col("mob")), "only": F.row_number().over(back) == 1, "o": F.min("origination_date").over(loan), "b": F.max("original_balance").over(loan)}
     why = F.when(moved, "a loan's origination or original balance changes").when(twice, "a loan has two different rows of one date")
-    marked = tape.withColumn("__row", content).withColumn("__why", why)
-    return marked.where(F.when(F.col("__why").isNotNull(), F.raise_error(F.col("__why")).cast("boolean")).otherwise(F.lit(True))).select(*tape.columns)
+    marked = tape.withColumns({"__row": content, "mob": months_between_calendar("origination_date", "as_of_date")}).withColumns(more | {"__why": why})
+    return marked.where(F.when(F.col("__why").isNotNull(), F.raise_error(F.col("__why")).cast("boolean")).otherwise(F.lit(True))).drop("__row", "__why")
 
 
 def vintage(tape: DataFrame, key: list[str], as_of: Column, grain: str = "month", max_mob: int = 12, dpd_threshold: int = 30, strict: bool = False) -> DataFrame:
@@ -42,9 +46,13 @@ def vintage(tape: DataFrame, key: list[str], as_of: Column, grain: str = "month"
     ``strict``: contradictory rows end the run. Denominators are fixed per cohort: every loan once, by its original balance. The grid is cohorts times months, so it is
     joined on the aggregated side only.
     """
-    tape = refused(tape, key) if strict else tape
-    seen = observations(tape, grain, max_mob, key)
-    loans = tape.groupBy(*key).agg(F.min("origination_date").alias("o"), F.max("original_balance").alias("b"))
+    if strict:
+        tape = refused(tape, key)
+        seen = tape.where(f"newest AND mob BETWEEN 0 AND {int(max_mob)}").withColumn("cohort", cohort("origination_date", grain))
+        loans = tape.where("only")
+    else:
+        seen = observations(tape, grain, max_mob, key)
+        loans = tape.groupBy(*key).agg(F.min("origination_date").alias("o"), F.max("original_balance").alias("b"))
     cohorts = loans.groupBy(cohort("o", grain).alias("cohort")).agg(F.count("*").alias("loans"), total("b").alias("original"))
     late = F.col("days_past_due") >= dpd_threshold
     points = seen.groupBy("cohort", "mob").agg(

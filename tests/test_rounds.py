@@ -96,3 +96,18 @@ def test_rows_with_rates_are_found_twice(spark, same):
 
 def test_disclosure_reads_one_table_of_members(spark, sf):
     assert "lineitem" not in plan(governance.j18_m11_disclosure(spark, sf))
+
+
+def test_strict_curves_take_one_sort_a_branch_and_equal_the_others(spark):
+    rng, rows = random.Random(3), []
+    for k in range(40):
+        start = datetime.date(2023, rng.randint(1, 12), rng.randint(1, 28))
+        for d in sorted(rng.sample(range(0, 400), 9)):
+            at = datetime.date(2023, 1, 1) + datetime.timedelta(d)
+            rows.append((f"l{k}", at, None if rng.random() < 0.2 else start, 100, rng.choice([None, 10, 20]), rng.choice([None, 0, 5]), 0, rng.choice([None, 0, 40])))
+    kinds = "loan_id string, as_of_date date, origination_date date, original_balance decimal(20,2), outstanding_balance decimal(20,2), charge_off_amount decimal(20,2), recovery_amount decimal(20,2), days_past_due int"
+    df = spark.createDataFrame([(*r[:3], *(None if x is None else __import__("decimal").Decimal(x) for x in r[3:7]), r[7]) for r in rows], kinds)
+    last = F.lit("2024-02-28").cast("date")
+    strict, plain = (vintage.vintage(df.union(df.limit(20)) if s else df, ["loan_id"], last, "quarter", 12, 30, strict=s) for s in (True, False))
+    assert sorted(map(str, strict.collect())) == sorted(map(str, plain.collect()))
+    assert plan(vintage.refused(df, ["loan_id"])).count("Sort [") == 1
